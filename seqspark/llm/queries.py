@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqspark.llm.common import table
 from seqspark.llm.sentencepiece import encode_decode
+from seqspark.llm.simhash import near_duplicates
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -26,8 +27,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ids=False, text=False)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
