@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqspark.llm.common import table
+from seqspark.llm.common import id_bucket, table
+from seqspark.llm.html import extract
+from seqspark.llm.langid import train_and_identify
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
 
@@ -23,6 +26,16 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = train_and_identify(docs, id_bucket(F.col("doc_id"), 3) != 1, spans=False)
+    return out.select("doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "n_words")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ids=False, text=False)
 
@@ -32,6 +45,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op4_html_extraction": op4_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_simhash": op9_simhash,
 }
