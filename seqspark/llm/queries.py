@@ -12,6 +12,8 @@ from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
+from seqspark.llm.toxicity import fit as fit_toxicity
+from seqspark.llm.toxicity import score as score_toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -40,6 +42,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ids=False, text=False)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), id_bucket(F.col("doc_id"), 3) != 1)
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
 }
 
