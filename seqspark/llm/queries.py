@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import id_bucket, table
+from seqspark.llm.embeddings import near_duplicates as near_vectors
 from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
 from seqspark.llm.sentencepiece import encode_decode
@@ -53,12 +54,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -32,7 +32,7 @@ IDENTITY = [
 SAMPLE_ROWS, FEATURES = 10_000, 8_192
 
 #: Lengths of word beginnings that count as features.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 _EDGE = b"".join(bytes([i]) for i in range(33, 127) if not chr(i).isalnum())
 _WORDS_HELD = 300_000
