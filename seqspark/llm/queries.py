@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import id_bucket, table
+from seqspark.llm.decontaminate import contaminated
 from seqspark.llm.embeddings import near_duplicates as near_vectors
 from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
@@ -43,6 +44,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ids=False, text=False)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), id_bucket(F.col("doc_id"), 3) != 1)
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
