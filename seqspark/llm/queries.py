@@ -12,11 +12,15 @@ from seqspark.llm.decontaminate import contaminated
 from seqspark.llm.embeddings import near_duplicates as near_vectors
 from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
+from seqspark.llm.pii import pseudonymise
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
 from seqspark.llm.toxicity import fit as fit_toxicity
 from seqspark.llm.toxicity import score as score_toxicity
 
+#: The key of the surrogates in these queries; production takes its own.
+PII_KEY = "surrogate-key"
+
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -30,6 +34,11 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY, count_col="n_entities")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = train_and_identify(docs, id_bucket(F.col("doc_id"), 3) != 1, spans=False)
@@ -64,6 +73,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
