@@ -12,6 +12,7 @@ from seqspark.llm.decontaminate import contaminated
 from seqspark.llm.embeddings import near_duplicates as near_vectors
 from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
+from seqspark.llm.lm import train_and_score
 from seqspark.llm.pii import pseudonymise
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
@@ -34,6 +35,12 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = train_and_score(docs, id_bucket(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (id_bucket(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, PII_KEY, count_col="n_entities")
@@ -73,6 +80,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
