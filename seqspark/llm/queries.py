@@ -18,6 +18,7 @@ from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
 from seqspark.llm.toxicity import fit as fit_toxicity
 from seqspark.llm.toxicity import score as score_toxicity
+from seqspark.llm.warc import round_trip
 
 #: The key of the surrogates in these queries; production takes its own.
 PII_KEY = "surrogate-key"
@@ -56,6 +57,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ids=False, text=False)
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
+    "op5_warc": op5_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
