@@ -15,14 +15,13 @@ from seqspark.llm.pii import pseudonymise
 from seqspark.llm.queries import PII_KEY, piece_model
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import keep_one
-from seqspark.llm.toxicity import fit, rejected
+from seqspark.llm.toxicity import accepted, fit
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject."""
     model = fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    bad = rejected(docs, model)
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    return accepted(docs, model)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,16 @@ def windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     return df.where(F.size("t") > 0).select(*keys, F.posexplode(spans).alias("pos", "h"))
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls being equal too."""
+    b = b.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in b.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b[f"_{k}"])
+    return a.join(b, cond, how).drop(*[f"_{k}" for k in keys])
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **kw) -> DataFrame:
     """One row per document and benchmark item found in it: id_col, item_col,
     n_windows (of the item), coverage, n_slots, same_values.
 
@@ -64,47 +73,54 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     the document throughout, else the find is dropped. same_values says that all
     slots have the item's own values, i.e. the question isn't re-parameterised.
 
-    Null and empty texts on either side match nothing. Repeated rows count once;
-    documents with a null id are not looked at. Extra columns are not looked at.
+    Null and empty texts on either side match nothing, nor does an item with a
+    null id. Repeated documents and items count once (of an item's texts the
+    smallest). Documents with a null id are found too. Extra columns are not
+    looked at.
     """
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    found = _found(docs, bench, id_col, text_col, item_col, item_text, **kw)
+    found = found.groupBy("id", "item").agg(F.max(F.struct("coverage", "n_windows", "n_slots", "same_values")).alias("m"))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.n_windows", "m.coverage", "m.n_slots", "m.same_values")
+
+
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """contaminated() by (id, th, item): th is the text's hash, as an id may have several texts."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     d = d.withColumn("th", F.xxhash64("text"))
     b = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     items = templated(b.groupBy("item").agg(F.min("text").alias("text")), ["item"], "text")
-    items = materialise(items.where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1))), "items")
+    items = materialise(items.where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint")), "items")
     asked = materialise(windows(items, ["item", "n_windows"], window).withColumnRenamed("pos", "ipos"), "asked")
     met = windows(templated(d, ["id", "th"], "text"), ["id", "th"], window)
     few = asked.count() <= broadcast_rows
     met = met.join(F.broadcast(asked) if few else asked, "h")
-    # windows a document has in common with an item, by diagonal
+    # the item's windows that a document has on each diagonal: an item's length at most
     diag = met.groupBy("id", "th", "item", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"))
-    # a window can meet at many places: enough distinct ones are needed before the rest is worth its rows
     diag = materialise(diag, "diagonals")
     pair = ["id", "th", "item"]
     best = diag.groupBy(*pair).agg(F.max(F.struct(F.size("at").alias("n"), (-F.col("diag")).alias("d"))).alias("m"), F.sum(F.size("at")).alias("all_n"), F.first("n_windows").alias("nw"))
     best = best.where(F.col("all_n") >= F.col("nw") * coverage).select(*pair, (-F.col("m.d")).alias("best"))
     band = F.greatest(F.lit(1), F.ceil((1 - coverage) * (F.col("n_windows") + window)))
-    near = diag.join(best, pair).where(F.abs(F.col("diag") - F.col("best")) <= band)
+    near = _match(diag, best, pair).where(F.abs(F.col("diag") - F.col("best")) <= band)
     found = near.groupBy(*pair, "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
-    found = found.where(F.col("n") >= F.col("n_windows") * coverage)
-    found = materialise(found, "found")
+    found = materialise(found.where(F.col("n") >= F.col("n_windows") * coverage), "found")
     # slots: the values at aligned places of windows that met
-    places = near.join(found.select(*pair, "n"), pair).select(*pair, "diag", F.explode("at").alias("ipos"))
+    places = _match(near.drop("n_windows"), found.select(*pair), pair).select(*pair, "diag", F.explode("at").alias("ipos"))
     places = places.select(*pair, "diag", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + window - 1)).alias("k")).distinct()
     slot = lambda of: F.expr(f"filter(transform(arrays_zip(raw, t), (x, i) -> struct(i AS k, x.raw AS raw, x.t AS t)), x -> x.t IN ('{NUM}', '{NAME}', '{UNIT}'))").alias(of)
     own = items.select("item", F.explode(slot("s")).alias("s")).select("item", F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
-    theirs = templated(d.join(found.select("id", "th").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"]), ["id", "th"], "text")
-    theirs = theirs.select("id", "th", F.explode(slot("s")).alias("s")).select("id", "th", F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
+    texts = _match(d, found.select("id", "th").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    theirs = templated(texts, ["id", "th"], "text").select("id", "th", F.explode(slot("s")).alias("s")).select("id", "th", F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
     slots = places.join(own, ["item", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
-    slots = slots.join(theirs, ["id", "th", "pos"]).where("type = type2").select(*pair, "k", "type", "value", "other").distinct()
-    mapped = slots.groupBy(*pair, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.count(F.lit(1)).alias("k"))
+    slots = _match(slots, theirs, ["id", "th", "pos"]).where("type = type2").select(*pair, "k", "type", "value", "other").distinct()
+    mapped = slots.groupBy(*pair, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.countDistinct("k").alias("k"))
     checked = mapped.groupBy(*pair).agg(F.max("n").alias("most"), F.min("same").alias("same"), F.sum("k").alias("n_slots"))
-    out = found.join(checked, pair, "left").where(F.coalesce("most", F.lit(1)) <= 1)
-    out = out.groupBy("id", "item", "n_windows").agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("same", F.lit(True))).alias("same_values"))
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("bigint").alias("n_windows"), "coverage", "n_slots", "same_values")
+    out = _match(found, checked, pair, "left").where(F.coalesce("most", F.lit(1)) <= 1)
+    return out.select(*pair, "n_windows", (F.col("n") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("same", F.lit(True)).alias("same_values"))
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    bad = contaminated(docs, bench, id_col, **kw).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__id"), "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **kw) -> DataFrame:
+    """docs without the documents that hold a benchmark item."""
+    bad = _found(docs, bench, id_col, text_col, item_col, item_text, **kw).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    bad = materialise(bad, "leaks")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")

@@ -42,16 +42,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp): one row per row of df, fp a bigint with the fingerprint's bits."""
+    """(id_col, th, fp): one row per row of df, th the text's 64-bit hash, fp a bigint with the fingerprint's bits."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], names=["id", "th", "fp"])
 
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "id string, fp bigint").select(F.col("id").cast(kind).alias(id_col), "fp")
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, "id string, th bigint, fp bigint").select(F.col("id").cast(kind).alias("id"), "th", "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -217,23 +217,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unless its whole component has none. Repeated rows give repeated results;
     other columns of df are not looked at; an empty df gives no rows.
     """
+    rows = _labelled(df, id_col, text_col, shingle, bits, cell_rows)
+    return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(id, th, fp, component_id) of each row."""
     fps = materialise(fingerprints(df, id_col, text_col, shingle), "fp")
-    least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(hamming_edges(least.select("fp"), bits, cell_rows))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
     comp = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(comp, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(labels, "fp").select("id", "th", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """df without near copies: of each component the row with the smallest id
-    stays, once if its id is repeated. Rows with a null id can't be named as
-    copies and all stay."""
-    groups = near_duplicates(df, id_col, text_col, **kw)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = df.join(keep, F.col(id_col) == F.col("__keep"), "inner")
-    single = kept.where("__n = 1").select(df.columns)
-    repeated = kept.where("__n > 1").dropDuplicates([id_col]).select(df.columns)
-    return single.union(repeated).union(df.where(F.col(id_col).isNull()))
+    """df without near copies: of each component one row stays, that with the
+    smallest id (on a tie, the text of smallest hash; of equal rows, one). Rows
+    with a null id can't be named as copies and all stay."""
+    rows = materialise(_labelled(df, id_col, text_col, **kw), "labelled").where("id is not null")
+    keep = rows.where("id = component_id").groupBy("id").agg(F.min("th").alias("keep"))
+    # the dropped rows are fewer than the kept ones: only their keys go to the texts
+    drop = rows.join(keep, "id", "left").where("keep is null or th <> keep or id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    drop = materialise(drop, "copies")
+    twice = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    twice = materialise(twice, "twice")
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    kept = df.join(drop, same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))

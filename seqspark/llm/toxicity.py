@@ -31,6 +31,8 @@ IDENTITY = [
 #: Bounds of the fit: labelled rows of each class, and features.
 SAMPLE_ROWS, FEATURES = 10_000, 8_192
 
+THRESHOLD = 0.7
+
 #: Lengths of word beginnings that count as features.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -184,7 +186,24 @@ def regress(y, x, c, n_features: int, fairness: float, l2: float, steps: int = 4
     return w, b
 
 
-def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def _scorer(model: dict):
+    weights, bias, identity = model["weights"], model["bias"], frozenset(model["identity"])
+    known: dict[bytes, tuple] = {}
+
+    def of(text: str | None) -> float:
+        words = words_of(text)
+        if len(known) > _WORDS_HELD:
+            known.clear()
+        for w in words.difference(known):
+            known[w] = tuple(f for f in features(w, identity) if f in weights)
+        hit = set().union(*filter(None, map(known.__getitem__, words)))
+        s = bias + sum(weights[f] for f in sorted(hit))
+        return float(1 / (1 + np.exp(-min(max(s, -40.0), 40.0))))
+
+    return of
+
+
+def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of df: id_col, score (0 to 1), predicted (1 if score >= threshold).
 
     Whole texts are read. A null, empty or wordless text gets the score of a text
@@ -195,19 +214,9 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        weights, bias, identity = shared.value["weights"], shared.value["bias"], frozenset(shared.value["identity"])
-        known: dict[bytes, tuple] = {}
+        of = _scorer(shared.value)
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                words = words_of(t)
-                if len(known) > _WORDS_HELD:
-                    known.clear()
-                for w in words.difference(known):
-                    known[w] = tuple(f for f in features(w, identity) if f in weights)
-                hit = set().union(*filter(None, map(known.__getitem__, words)))
-                s = bias + sum(weights[f] for f in sorted(hit))
-                out.append(1 / (1 + np.exp(-min(max(s, -40.0), 40.0))))
+            out = [of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
@@ -215,6 +224,14 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").cast(kind).alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def rejected(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids of rows that the classifier rejects."""
-    return score(df, model, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__id")).distinct()
+def accepted(df: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, whole, whose text scores below the threshold. Nothing is joined, so null and repeated ids are no matter."""
+    at = df.columns.index(text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        of = _scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
