@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ _TYPE = pa.struct(
 )
 
 #: Queries this long or longer are cheaper one at a time: whole columns as one integer.
-LANE_SYMBOLS = 4096
+LANE_SYMBOLS = 2048
 
 
 def column(c) -> Column:
@@ -82,6 +83,47 @@ def _pairs(config: AlignConfig, build, kind: pa.DataType):
     return run
 
 
+def _packed(array: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """(symbols, offsets) of a string or binary array; nulls are empty. None for other types."""
+    if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type):
+        wide = np.int64
+    elif pa.types.is_string(array.type) or pa.types.is_binary(array.type):
+        wide = np.int32
+    else:
+        return None
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, wide)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    is_text = pa.types.is_string(array.type) or pa.types.is_large_string(array.type)
+    if is_text and raw.max(initial=0) > 127:  # code points, not bytes
+        texts = [x or "" for x in array.to_pylist()]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    return raw, at - at[0]
+
+
+def _distances(config: AlignConfig):
+    """An Arrow iterator function that gives the distances alone."""
+    near = kernel.partners(config.equalities)
+    slow = _pairs(config, lambda r: r.edit_distance, pa.int32())
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for queries, targets in batches:
+            q, t = _packed(queries), _packed(targets)
+            if q is None or t is None or config.max_alphabet is not None or queries.type != targets.type or np.diff(q[1]).max(initial=0) >= LANE_SYMBOLS:
+                yield from slow(iter([(queries, targets)]))
+                continue
+            text = pa.types.is_string(queries.type) or pa.types.is_large_string(queries.type)
+            match = {(ord(a) if text else a): [ord(b) if text else b for b in bs] for a, bs in near.items()} if near else None
+            d = lanes.distances(*q, *t, config.mode, match)
+            both = (np.diff(q[1]) > 0) & (np.diff(t[1]) > 0)
+            if config.k >= 0:
+                d = np.where(both & (d > config.k), -1, d)
+            none = np.asarray(queries.is_null()) | np.asarray(targets.is_null())
+            yield pa.array(d, pa.int32(), mask=none)
+
+    return run
+
+
 def _udf(f, ret: str):
     # the annotations tell Spark that this is an iterator of tuples
     f.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
@@ -128,7 +170,7 @@ def edit_distance(query, target, mode: str = "NW", k: int = -1, equalities=(), n
         # an empty side is exempt from the bound; lengths too far apart need no table
         gap = F.abs(F.length(q) - F.length(t))
         return F.when((F.length(q) == 0) | (F.length(t) == 0), F.greatest(F.length(q), F.length(t))).when(gap > config.k, -1).otherwise(F.levenshtein(q, t, config.k))
-    return _udf(_pairs(config, lambda r: r.edit_distance, pa.int32()), "int")(q, t)
+    return _udf(_distances(config), "int")(q, t)
 
 
 def alphabet_length(query, target) -> Column:

@@ -128,3 +128,104 @@ def search(queries: list, targets: list, mode: str, equal: dict) -> list[tuple[i
             out[k] = got
         i += len(group)
     return out
+
+
+def _fill(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, empty: int, kind) -> np.ndarray:
+    """Rows of a packed table side by side, short ones filled up."""
+    out = np.full((len(size), width), empty, kind)
+    out[np.arange(width) < size[:, None]] = data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+    return out
+
+
+def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray, mode: str, match: dict | None = None) -> np.ndarray:
+    """Distances of packed pairs: symbols (small non-negative integers) of all
+    queries one after another and their offsets, likewise the targets. match:
+    symbol -> others that equal it. Pairs with an empty side follow the rule for those."""
+    q_size, t_size = np.diff(q_at), np.diff(t_at)
+    out = np.where(mode == "NW", np.maximum(q_size, t_size), q_size).astype(np.int32)
+    top = int(max(q.max(initial=0), t.max(initial=0))) + 1
+    seen = np.zeros(top, bool)
+    seen[q] = seen[t] = True
+    symbols = np.flatnonzero(seen)
+    code_of = np.zeros(top, np.int32)
+    code_of[symbols] = np.arange(len(symbols))
+    n_codes = len(symbols)
+    qc, tc = code_of[q].astype(np.int16 if n_codes < 30_000 else np.int32), code_of[t]
+    same = [[c] for c in range(n_codes)]
+    for a, others in (match or {}).items():
+        for b in others:
+            if a < top and b < top and seen[a] and seen[b]:
+                same[code_of[a]].append(int(code_of[b]))
+    full = np.flatnonzero((q_size > 0) & (t_size > 0))
+    words = -(-q_size // 64)
+    order = full[np.lexsort((-t_size[full], words[full]))]
+    i = 0
+    while i < len(order):
+        w = int(words[order[i]])
+        longest = int(t_size[order[i]])
+        most = max(1, min(4096, CELLS // longest, MASK_WORDS // (w * n_codes)))
+        lot = order[i : i + most]
+        lot = lot[words[lot] == w]
+        i += len(lot)
+        out[lot] = _lot(qc, q_at[lot], q_size[lot], tc, t_at[lot], t_size[lot], w, n_codes, same, mode)
+    return out
+
+
+def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode):
+    n = len(q_size)
+    rows = _fill(q, q_at, q_size, words * 64, -1, q.dtype)
+    peq = np.empty((n_codes, words, n), np.uint64)
+    for c in range(n_codes):
+        hit = rows == c if len(same[c]) == 1 else np.isin(rows, same[c])
+        peq[c] = np.packbits(hit, axis=1, bitorder="little").view("<u8").T
+    steps = int(t_size[0])
+    text = np.ascontiguousarray(_fill(t, t_at, t_size, steps, 0, np.int32).T)
+    last = ONE << ((q_size - 1) % 64).astype(np.uint64)
+    plus = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
+    minus = np.zeros((words, n), np.uint64)
+    score = q_size.astype(np.int32)
+    best = np.full(n, np.iinfo(np.int32).max, np.int32)
+    alive = np.searchsorted(-t_size, -np.arange(steps), side="left")
+    flat = peq.reshape(-1)
+    lane = np.arange(n)
+    first = np.uint64(0 if mode == "HW" else 1)
+    a, b, d, h = (np.empty(n, np.uint64) for _ in range(4))
+    for j in range(steps):
+        k = int(alive[j])
+        at = text[j, :k] * (words * n) + lane[:k]
+        hp_in, hm_in = first, None
+        x, y, z, hp = a[:k], b[:k], d[:k], h[:k]
+        for w in range(words):
+            p, m = plus[w, :k], minus[w, :k]
+            eq = flat[at + w * n]
+            np.bitwise_or(eq, m, out=x)
+            if hm_in is not None:
+                eq |= hm_in
+            np.bitwise_and(eq, p, out=z)
+            z += p
+            z ^= p
+            z |= eq
+            np.bitwise_or(z, p, out=hp)
+            np.invert(hp, out=hp)
+            hp |= m
+            np.bitwise_and(p, z, out=y)  # horizontal -1
+            if w == words - 1:
+                bit = last[:k]
+                score[:k] += ((hp & bit) != 0).view(np.int8)
+                score[:k] -= ((y & bit) != 0).view(np.int8)
+            else:
+                hp_out, hm_out = hp >> TOP, y >> TOP
+            hp <<= ONE
+            hp |= hp_in
+            y <<= ONE
+            if hm_in is not None:
+                y |= hm_in
+            np.bitwise_or(x, hp, out=z)
+            np.invert(z, out=z)
+            np.bitwise_or(y, z, out=p)
+            np.bitwise_and(hp, x, out=m)
+            if w < words - 1:
+                hp_in, hm_in = hp_out, hm_out
+        if mode != "NW":
+            np.minimum(best[:k], score[:k], out=best[:k])
+    return score if mode == "NW" else best
