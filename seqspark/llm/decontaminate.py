@@ -46,9 +46,12 @@ def templated(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One row per window of template tokens: keys, pos, h (its 64-bit hash)."""
-    spans = F.expr(f"transform(sequence(0, greatest(size(t) - {size}, 0)), i -> xxhash64(slice(t, i + 1, {size})))")
-    return df.where(F.size("t") > 0).select(*keys, F.posexplode(spans).alias("pos", "h"))
+    """One row per window of template tokens: keys, pos, h (its 64-bit hash). A
+    shorter row is one window, its missing tokens left out of the hash."""
+    # tokens one by one: slice() would copy the whole array for each window
+    hashed = ", ".join(f"get(t, i + {k})" for k in range(size))
+    spans = F.expr(f"transform(sequence(0, greatest(size(t) - {size}, 0)), i -> xxhash64({hashed}))")
+    return df.select(*keys, F.posexplode(spans).alias("pos", "h"))
 
 
 def _match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
