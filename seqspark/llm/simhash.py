@@ -222,15 +222,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(id, th, fp, component_id) of each row."""
+    """(id, th, fp, root, component_id) of each row; root tells components apart even where ids repeat."""
     fps = materialise(fingerprints(df, id_col, text_col, shingle), "fp")
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(hamming_edges(least.select("fp"), bits, cell_rows))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
     comp = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(comp, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select("id", "th", "fp", "component_id")
+    labels = named.join(comp, "root").select("fp", "root", "component_id")
+    return fps.join(labels, "fp").select("id", "th", "fp", "root", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -238,9 +238,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
     smallest id (on a tie, the text of smallest hash; of equal rows, one). Rows
     with a null id can't be named as copies and all stay."""
     rows = materialise(_labelled(df, id_col, text_col, **kw), "labelled").where("id is not null")
-    keep = rows.where("id = component_id").groupBy("id").agg(F.min("th").alias("keep"))
+    keep = rows.where("id = component_id").groupBy("root").agg(F.min("th").alias("keep"))
     # the dropped rows are fewer than the kept ones: only their keys go to the texts
-    drop = rows.join(keep, "id", "left").where("keep is null or th <> keep or id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    drop = rows.join(keep, "root", "left").where("keep is null or th <> keep or id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
     drop = materialise(drop, "copies")
     twice = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
     twice = materialise(twice, "twice")
