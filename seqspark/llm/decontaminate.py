@@ -25,22 +25,24 @@ def _sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def template_sql(arr: str) -> str:
+def template_sql(arr: str, names: bool = True) -> str:
     """SQL for an array of struct(raw, t): tokens without sentence ends, each with
     its template form: a placeholder for numbers, units and names, else the
     lower-case word. A name is a capitalised word inside a sentence, or a known
-    given name anywhere."""
+    given name anywhere; names=False leaves them as words."""
     given = sorted({n for d in (MALE, FEMALE) for k in d.values() for n in k})
     plain = f"CASE WHEN lower(x) IN ({_sql_list([*UNITS, *SIGNS])}) THEN '{UNIT}' WHEN lower(x) IN ({_sql_list(NUMBERS)}) THEN '{NUM}' ELSE lower(x) END"
     inside = f"i > 0 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND NOT {arr}[i - 1] IN ('.', '!', '?', '\n')"
+    if not names:
+        return f"transform({arr}, x -> CASE WHEN x < ':' AND x >= '0' THEN '{NUM}' ELSE {plain} END)"
     kind = f"CASE WHEN x < ':' AND x >= '0' THEN '{NUM}' WHEN x = lower(x) THEN {plain} WHEN x IN ({_sql_list(given)}) OR ({inside}) THEN '{NAME}' ELSE {plain} END"
     return f"transform({arr}, (x, i) -> {kind})"
 
 
-def templated(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def templated(df: DataFrame, keys: list[str], text: str, names: bool = True) -> DataFrame:
     """df's keys with raw (tokens) and t (their template forms), sentence ends left out of both."""
     out = df.select(*keys, tokens(F.col(text)).alias("all"))
-    out = out.select(*keys, "all", F.expr(template_sql("all")).alias("forms"))
+    out = out.select(*keys, "all", F.expr(template_sql("all", names)).alias("forms"))
     ends = "array('.', '!', '?', '\n')"
     return out.select(*keys, F.expr(f"filter(all, x -> NOT array_contains({ends}, x))").alias("raw"), F.expr(f"filter(forms, x -> NOT array_contains({ends}, x))").alias("t"))
 
@@ -91,9 +93,12 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     d = d.withColumn("th", F.xxhash64("text"))
     b = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    items = templated(b.groupBy("item").agg(F.min("text").alias("text")), ["item"], "text")
-    items = materialise(items.where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint")), "items")
-    asked = materialise(windows(items, ["item", "n_windows"], window).withColumnRenamed("pos", "ipos"), "asked")
+    b = b.groupBy("item").agg(F.min("text").alias("text"))
+    shaped = lambda names: templated(b, ["item"], "text", names).where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint"))
+    items = materialise(shaped(True), "items")
+    # names as words too: capitals don't show them in a text all in capitals, or where a sentence begins
+    asked = windows(items, ["item", "n_windows"], window).union(windows(shaped(False), ["item", "n_windows"], window)).distinct()
+    asked = materialise(asked.withColumnRenamed("pos", "ipos"), "asked")
     met = windows(templated(d, ["id", "th"], "text"), ["id", "th"], window)
     few = asked.count() <= broadcast_rows
     met = met.join(F.broadcast(asked) if few else asked, "h")
