@@ -71,11 +71,12 @@ def test_join_loses_nothing(spark, k, method):
     assert semi == {i for i, j, _ in want if j < 5}
 
 
-def test_containment(spark):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_containment(spark, broadcast_rows):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(12)]
     queries = [texts[2][50:150], texts[3][10:60][:20] + "Z" + texts[3][10:60][21:], "ab", "q" * 60]
-    got = {(r.qid, r.tid, r.distance) for r in containment_join(spark.createDataFrame(list(enumerate(queries)), "qid int, q string"), spark.createDataFrame([*enumerate(texts), (99, None)], "tid int, t string"), "qid", "q", "tid", "t", k_share=0.06).collect()}
+    got = {(r.qid, r.tid, r.distance) for r in containment_join(spark.createDataFrame(list(enumerate(queries)), "qid int, q string"), spark.createDataFrame([*enumerate(texts), (99, None)], "tid int, t string"), "qid", "q", "tid", "t", k_share=0.06, broadcast_rows=broadcast_rows).collect()}
     want = {(i, j, d) for i, q in enumerate(queries) for j, t in enumerate(texts) if (d := dp.search(q, t, "HW")[0]) <= int(len(q) * 0.06)}
     assert got == want and (0, 2, 0) in want and (1, 3, 1) in want
 
