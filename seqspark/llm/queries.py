@@ -12,6 +12,7 @@ from seqspark.llm.decontaminate import contaminated
 from seqspark.llm.embeddings import near_duplicates as near_vectors
 from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
+from seqspark.llm.leak_sql import LEAKS
 from seqspark.llm.lm import train_and_score
 from seqspark.llm.pii import pseudonymise
 from seqspark.llm.sentencepiece import encode_decode
@@ -108,6 +109,7 @@ b AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i:
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, n) AS top FROM b)
 SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to FROM m""",
+    "op7_decontamination": LEAKS,
     "op10_embeddings": """
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS MATERIALIZED (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0
