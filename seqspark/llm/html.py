@@ -38,6 +38,8 @@ UNLIKELY = re.compile(
     r"comments?(?:-?(?:list|section|area|thread|form|body|text|box))?|commentlist|disqus\w*|replies|reply|respond|login|search\w*|disclaimer|outbrain|taboola|skip-?link|tags?)(?=$|[\s_-])",
     re.I,
 )
+#: The head of an article is no page header.
+_OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|blog|title|section)[_-]*header", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main|post\w*|story\w*|text|hentry|blog)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog", "note"}
 
@@ -67,7 +69,7 @@ def _attrs(text: str) -> tuple[bool, bool]:
             hidden |= value.lower() == "true"
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    said = " ".join(words)
+    said = _OWN_HEADER.sub(" ", " ".join(words))
     good = bool(LIKELY.search(said)) or role in ("main", "article")
     return hidden or role in ROLES or bool(UNLIKELY.search(said)), good
 
@@ -192,6 +194,16 @@ def _density(node: Node) -> float:
     return node.link_len / node.text_len if node.text_len else 0.0
 
 
+def _has_heading(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.name in ("h1", "h2", "hgroup"):
+            return True
+        stack.extend(c for c in x.children if isinstance(c, Node) and (c is node or not c.drop))
+    return False
+
+
 def _header_of_article(node: Node) -> None:
     """A header inside an article is part of it: its headings stay, its menus go."""
     stack = [(node, False)]
@@ -200,7 +212,7 @@ def _header_of_article(node: Node) -> None:
         inside = inside or x.name in ("article", "main")
         for c in x.children:
             if isinstance(c, Node):
-                if c.name == "header" and inside and c.drop and any(isinstance(k, Node) and k.name in ("h1", "h2", "hgroup") for k in c.children):
+                if c.name == "header" and inside and c.drop and _has_heading(c):
                     c.drop = False
                 stack.append((c, inside))
 

@@ -108,6 +108,11 @@ def test_pages(spark):
     assert main_text(PAGE) == "Head & line\nFirst, paraé text more.\nSecond.\none\ntwo\nLast."
     divs = '<body><div id="main" class="content"><h2>Title</h2><div><p>One, two, three and a good deal more text here.</p></div>Loose text in a block<br>goes on</div><div class="related"><a href="x">See, this, other, page</a></div></body>'
     assert main_text(divs) == "Title\nOne, two, three and a good deal more text here.\nLoose text in a block goes on"
+    para = "One paragraph, with commas, and enough text to be counted as one."
+    heads = f'<body><div class="site-header"><h1>Site</h1></div><div class="post"><div class="entry-header"><h1>Title</h1></div><div class="entry-content"><p>{para}</p></div></div><section class="comments"><p>{para}</p></section></body>'
+    assert main_text(heads) == f"Title\n{para}"
+    assert main_text(f"<article><header><div><h1>T</h1></div><nav>m</nav></header><p>{para}</p><pre>a   b\n c</pre></article><ul class='comment-list'><li>{para}</li></ul>") == f"T\n{para}\na b c"
+    assert main_text(f'<div id="page"><section><h2>A</h2><p>{para}</p></section><section><h2>B</h2><p>{para}</p></section></div>') == f"A\n{para}\nB\n{para}"
     for broken in ("<", "<p", "a<b", "&am", "<p>x</div></p></ul>y", "<!-- x", "<script>never ends", "<p class='x", "<a <b>c"):
         main_text(broken)
     assert main_text("<p>a</p>" * 20_000).count("\n") == 19_999
@@ -185,7 +190,7 @@ def test_network_is_a_distribution():
     n = head * gru.MEMBERS + tail
     first = rng.integers(0, n, 40)
     rows = [np.append(first, k) for k in range(n)]
-    whole = gru.log10_likelihood(p, rows, 0, head, lanes=7)
+    whole = gru.log10_likelihood(p, rows, 0, head, lanes=7, together=50)
     begin = gru.log10_likelihood(p, [first], 0, head)[0]
     assert (10 ** (whole - begin)).sum() == pytest.approx(1, abs=1e-4)
 
