@@ -6,6 +6,8 @@ softmax over the class; all other words belong to tail classes by their spelling
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN, EMBED, MEMBERS = 32, 16, 32
@@ -64,22 +66,26 @@ def step(p, x: np.ndarray, h: np.ndarray):
     return z * h + (1 - z) * c, (z, r, c, u[:, 2 * n :])
 
 
-def window_gradient(p, inputs: np.ndarray, cls: np.ndarray, mem: np.ndarray, mask: np.ndarray, h0: np.ndarray):
+def window_gradient(p, inputs: np.ndarray, cls: np.ndarray, mem: np.ndarray, mask: np.ndarray, h0: np.ndarray, fresh: np.ndarray | None = None):
     """Loss, gradient and last state for a window (steps x lanes) of tokens.
 
     inputs: embedding rows of the tokens read; cls, mem: class and member (-1 in
-    tail classes) of the tokens to predict. The gradient stops at the window's start."""
+    tail classes) of the tokens to predict; fresh: where a text begins, so its lane's
+    state is zero before. The gradient stops at the window's start."""
     steps, lanes = inputs.shape
     n = HIDDEN
     g = {k: np.zeros_like(v) for k, v in p.items()}
     e = p["emb"][inputs]
     x = e @ p["win"] + p["bin"]
-    hs, kept = [h0], []
+    h, before, after, kept = h0, [], [], []
     for t in range(steps):
-        h, k = step(p, x[t], hs[-1])
-        hs.append(h)
+        if fresh is not None and fresh[t].any():
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+        before.append(h)
+        h, k = step(p, x[t], h)
+        after.append(h)
         kept.append(k)
-    out = np.stack(hs[1:])
+    out = np.stack(after)
     flat_h, m = out.reshape(-1, n), mask.reshape(-1)
     total = max(1.0, float(m.sum()))
     lp = softmax_log(flat_h @ p["wcls"] + p["bcls"])
@@ -108,22 +114,25 @@ def window_gradient(p, inputs: np.ndarray, cls: np.ndarray, mem: np.ndarray, mas
         g["bmem"][k] = dm.sum(0)
     dh = dh.reshape(steps, lanes, n)
     dx = np.zeros_like(x)
+    dus = np.zeros_like(x)
     back = np.zeros_like(h0)
     for t in range(steps - 1, -1, -1):
         z, r, k, un = kept[t]
         d = dh[t] + back
-        dz, dk = d * (hs[t] - k) * z * (1 - z), d * (1 - z) * (1 - k * k)
+        dz, dk = d * (before[t] - k) * z * (1 - z), d * (1 - z) * (1 - k * k)
         dr = dk * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dk * r], 1)
+        du = dus[t] = np.concatenate([dz, dr, dk * r], 1)
         dx[t] = np.concatenate([dz, dr, dk], 1)
-        g["rec"] += hs[t].T @ du
         back = d * z + du @ p["rec"].T
+        if fresh is not None and fresh[t].any():
+            back[fresh[t]] = 0
+    g["rec"] = np.concatenate(before).T @ dus.reshape(-1, 3 * n)
     fx = dx.reshape(-1, 3 * n)
     g["win"], g["bin"] = e.reshape(-1, EMBED).T @ fx, fx.sum(0)
     rows, where = np.unique(inputs.reshape(-1), return_inverse=True)
     hit = np.argsort(where, kind="stable")
     g["emb"][rows] = np.add.reduceat((fx @ p["win"].T)[hit], np.searchsorted(where[hit], np.arange(len(rows))), axis=0)
-    return loss / total, g, hs[-1], total
+    return loss / total, g, after[-1], total
 
 
 class Adam:
@@ -143,32 +152,49 @@ class Adam:
             p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.995**self.t)) + 1e-6)
 
 
-def train(p, segments: list[np.ndarray], start: int, head: int, rate: float = 0.01, lanes: int = 48, window: int = 32) -> int:
-    """Truncated backpropagation over segments (arrays of outputs: row < head * MEMBERS
-    is a head word, later rows are tail classes). p changes in place; tokens seen."""
-    order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
-    # like lengths together, their order dealt out by a fixed shuffle
-    groups = [order[i : i + lanes] for i in range(0, len(order), lanes)]
+def _packed(texts: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
+    """Texts dealt to lanes of about equal length, longest lane first; each lane's in an order from a fixed shuffle."""
+    dealt: list[list[np.ndarray]] = [[] for _ in range(min(lanes, len(texts)))]
+    load = [(0, j) for j in range(len(dealt))]
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        n, j = heapq.heappop(load)
+        dealt[j].append(texts[i])
+        heapq.heappush(load, (n + len(texts[i]), j))
+    rng = np.random.default_rng(len(texts))
+    mixed = [[own[i] for i in rng.permutation(len(own))] for own in dealt]
+    return sorted(mixed, key=lambda own: -sum(map(len, own)))
+
+
+def train(p, texts: list[np.ndarray], start: int, head: int, rate: float = 0.01, lanes: int = 48, window: int = 32) -> int:
+    """Truncated backpropagation over whole texts (arrays of outputs: row < head * MEMBERS
+    is a head word, later rows are tail classes). A lane reads one text after another;
+    the state goes on from window to window and is zero where a text begins. p changes
+    in place; tokens seen."""
+    dealt = _packed([t for t in texts if len(t)], lanes)
+    streams = [np.concatenate(own) for own in dealt]
+    sizes = [len(s) for s in streams]
+    reads, begins = [], []
+    for own, s in zip(dealt, streams, strict=True):
+        first = np.zeros(len(s), bool)
+        first[np.cumsum([0, *map(len, own[:-1])])] = True
+        reads.append(np.where(first, start, np.concatenate([[start], s[:-1]])))
+        begins.append(first)
     opt, seen = Adam(p, rate), 0
-    for k in np.random.default_rng(len(segments)).permutation(len(groups)):
-        own = [segments[i] for i in groups[k]]
-        longest = max(len(s) for s in own)
-        if not longest:
-            continue
-        ids = np.zeros((longest, len(own)), np.int64)
-        mask = np.zeros((longest, len(own)), np.float32)
-        for j, s in enumerate(own):
-            ids[: len(s), j], mask[: len(s), j] = s, 1
-        read = np.vstack([np.full((1, len(own)), start), ids[:-1]])
+    h = np.zeros((len(streams), HIDDEN), np.float32)
+    for t in range(0, sizes[0] if sizes else 0, window):
+        open_ = [j for j in range(len(streams)) if sizes[j] > t]
+        steps = min(window, sizes[0] - t)
+        ids, read = np.zeros((steps, len(open_)), np.int64), np.full((steps, len(open_)), start)
+        mask, fresh = np.zeros((steps, len(open_)), np.float32), np.zeros((steps, len(open_)), bool)
+        for j in open_:
+            n = min(steps, sizes[j] - t)
+            ids[:n, j], read[:n, j], fresh[:n, j], mask[:n, j] = streams[j][t : t + n], reads[j][t : t + n], begins[j][t : t + n], 1
         is_head = ids < head * MEMBERS
         cls = np.where(is_head, ids // MEMBERS, ids - head * MEMBERS + head)
         mem = np.where(is_head, ids % MEMBERS, -1)
-        h = np.zeros((len(own), HIDDEN), np.float32)
-        for t in range(0, longest, window):
-            w = slice(t, t + window)
-            _, g, h, n = window_gradient(p, read[w], cls[w], mem[w], mask[w], h)
-            opt.apply(p, g)
-            seen += int(n)
+        _, g, h, n = window_gradient(p, read, cls, mem, mask, h[: len(open_)], fresh)
+        opt.apply(p, g)
+        seen += int(n)
     return seen
 
 

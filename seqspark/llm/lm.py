@@ -19,8 +19,8 @@ END = b""  # no word is empty
 #: Words looked up in a task's own table (each of 64 bytes at most), head classes, tail classes.
 TABLE_WORDS, WORD_BYTES, HEAD, TAIL = 200_000, 64, 32, 128
 
-#: Of each training document, a segment of SEGMENT tokens from every STRIDE tokens; rounds of local training and averaging.
-SEGMENT, STRIDE, ROUNDS = 48, 1024, 2
+#: Tokens that a task holds at a time for training; rounds of local training on every token, and averaging.
+HELD_TOKENS, ROUNDS = 1_000_000, 2
 
 BLOCK = 512  # weights averaged together
 
@@ -119,9 +119,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     """(model, word counts) from all rows of docs.
 
     Word counts, class totals and the network's training all cover every row and
-    grow with the input. The network trains in each task on segments of that
-    task's documents, by truncated backpropagation; the tasks' weights are
-    averaged by tokens seen, and a second round starts from the average. The
+    grow with the input. The network trains in each task on every token of that
+    task's documents, by truncated backpropagation with the state carried to a
+    document's end; the tasks' weights are averaged by tokens seen, and a second
+    round starts from the average. The
     driver gets the counts' totals, at most TABLE_WORDS words and the weights.
     """
     spark = docs.sparkSession
@@ -161,25 +162,16 @@ def _round(texts: DataFrame, model: dict, rate: float) -> np.ndarray:
     def run(batches):
         look = Lookup(shared.value)
         p = gru.unflat(shared.value["weights"].copy(), HEAD, TAIL)
-        seen, held = 0, []
-
-        def learn_held():
-            return gru.train(p, held, shared.value["start"], HEAD, rate)
-
+        seen, held, size = 0, [], 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                whole = tokens(t)
-                for at in range(0, len(whole), STRIDE):
-                    # a segment anywhere in its stride, by the words there
-                    room = max(0, min(STRIDE, len(whole) - at) - SEGMENT)
-                    begin = at + (zlib.crc32(b" ".join(whole[at : at + 8])) % (room + 1) if room else 0)
-                    piece = whole[begin : begin + SEGMENT]
-                    held.append(np.array([look.rows[i] if (i := look.index.get(w, -1)) >= 0 else look.head + tail_class(w) for w in piece], np.int64))
-                if len(held) >= 9_600:
-                    seen += learn_held()
-                    held.clear()
+                held.append(look(t)[1])
+                size += len(held[-1])
+                if size >= HELD_TOKENS:
+                    seen += gru.train(p, held, shared.value["start"], HEAD, rate)
+                    held, size = [], 0
         if held:
-            seen += learn_held()
+            seen += gru.train(p, held, shared.value["start"], HEAD, rate)
         if seen:
             w = gru.flat(p).astype(np.float64) * seen
             parts = [w[i : i + BLOCK] for i in range(0, len(w), BLOCK)]

@@ -217,3 +217,43 @@ def test_language_model(spark):
     none = lm.train_and_score(df.limit(3), F.lit(False)).collect()
     assert {(r.train_tokens, r.base_score, r.score) for r in none} == {(0, 0.0, 0.0)}
     assert lm.train_and_score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_network_trains_on_every_token():
+    # texts of three lengths: all their tokens are seen, and the gradient across a text's begin is that of separate texts
+    rng = np.random.default_rng(2)
+    head, tail = 2, 3
+    p = gru.init(head, tail, np.ones(head + tail), np.ones((head, gru.MEMBERS)))
+    texts = [rng.integers(0, head * gru.MEMBERS + tail, n) for n in (5, 700, 90, 1)]
+    assert gru.train({k: v.copy() for k, v in p.items()}, texts, 0, head, lanes=2) == 796
+    a, b = rng.integers(0, 64, (3, 1)), rng.integers(0, 64, (4, 1))
+    both, fresh = np.concatenate([a, b]), np.zeros((7, 1), bool)
+    fresh[[0, 3]] = True
+    zero = np.zeros((1, gru.HIDDEN), np.float32)
+    part = lambda x, **kw: gru.window_gradient(p, x, x // 32, x % 32, np.ones(x.shape), zero, **kw)[1]
+    whole, first, last = part(both, fresh=fresh), part(a), part(b)
+    for k in p:
+        assert whole[k] == pytest.approx((3 * first[k] + 4 * last[k]) / 7, abs=1e-6)
+
+
+def test_long_texts_are_trained_to_their_end(spark, monkeypatch):
+    # a word's neighbours are learned from any place of a long text, in one piece with what comes before
+    seen = []
+    real = gru.train
+    monkeypatch.setattr(gru, "train", lambda p, texts, *a, **kw: seen.append([len(t) for t in texts]) or real(p, texts, *a, **kw))
+    docs = documents(spark, ["the cat " * 1000, "a dog", None]).coalesce(1)
+    rows = docs.select("text").toArrow().to_batches()
+    model, _ = lm.learn(docs, rounds=0)
+
+    class Rows:
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda m: type("B", (), {"value": m}))})})
+
+        def mapInArrow(self, run, schema):
+            self.out = list(run(iter(rows)))
+            return self
+
+        groupBy = applyInArrow = lambda self, *a: self
+        collect = lambda self: []
+
+    lm._round(Rows(), model, 0.01)
+    assert seen == [[2001, 3, 1]]
