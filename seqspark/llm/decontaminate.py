@@ -74,8 +74,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     fewer tokens is one window, met by documents that consist of it). Of the
     windows that meet, those near the diagonal of most count, so the passage
     stands in one place and in order; they must cover `coverage` of the item's
-    windows. Then slots are compared: an item's value must stand for one value of
-    the document throughout, else the find is dropped. same_values says that all
+    windows. Then slots are compared, each at the diagonal nearest to that of most
+    windows: an item's value must stand for one value of the document throughout,
+    else the find is dropped. same_values says that all
     slots have the item's own values, i.e. the question isn't re-parameterised.
 
     Null and empty texts on either side match nothing, nor does an item with a
@@ -119,8 +120,10 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     own = items.select("item", F.explode(slot("s")).alias("s")).select("item", F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
     texts = _match(d, found.select("id", "th").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     theirs = templated(texts, ["id", "th"], "text").select("id", "th", F.explode(slot("s")).alias("s")).select("id", "th", F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
+    # a position of the item stands at one place of the document: that of the diagonal nearest to the best
     slots = places.join(own, ["item", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
-    slots = _match(slots, theirs, ["id", "th", "pos"]).where("type = type2").select(*pair, "k", "type", "value", "other").distinct()
+    slots = _match(slots, theirs, ["id", "th", "pos"]).where("type = type2")
+    slots = _match(slots, best, pair).groupBy(*pair, "k", "type", "value").agg(F.min_by("other", F.struct(F.abs(F.col("diag") - F.col("best")), F.col("diag"))).alias("other"))
     mapped = slots.groupBy(*pair, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.countDistinct("k").alias("k"))
     checked = mapped.groupBy(*pair).agg(F.max("n").alias("most"), F.min("same").alias("same"), F.sum("k").alias("n_slots"))
     out = _match(found, checked, pair, "left").where(F.coalesce("most", F.lit(1)) <= 1)

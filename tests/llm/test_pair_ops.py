@@ -158,6 +158,17 @@ def test_leaks(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+RUNS = ["What is the median of 12 17 30 4 9 15 8 of the list given above", "Compute 12 + 7 + 30 + 4 + 9 + 15 + 8", "A rod is marked at 5 cm 12 cm 7 cm 30 cm 9 cm from its left end"]
+
+
+def test_leaks_with_runs_of_values(spark):
+    # the template of a run meets itself a few places on; an exact copy is a leak all the same
+    docs = spark.createDataFrame([(i, "so it was told. " + t + ". and so on it went") for i, t in enumerate(RUNS)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(RUNS)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.same_values for r in contaminated(docs, bench).collect()}
+    assert {k: v for k, v in got.items() if k[0] == k[1]} == {(i, i): True for i in range(3)}
+
+
 PRIVATE = [
     "Write to Anna.Schmidt42@mail.example.com or call +1 (017) 555-7713, from 10.20.130.4.",
     "anna.schmidt42@MAIL.example.com; +1 017-555-7713. Card 4785 3805 9239 1139, SSN 123-45-6789.",
