@@ -72,11 +72,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     Numbers, names and units become typed placeholders. Windows of `window`
     template tokens of the items meet those of all documents by hash (an item of
     fewer tokens is one window, met by documents that consist of it). Of the
-    windows that meet, those near the diagonal of most count, so the passage
-    stands in one place and in order; they must cover `coverage` of the item's
-    windows. Then slots are compared, each at the diagonal nearest to that of most
-    windows: an item's value must stand for one value of the document throughout,
-    else the find is dropped. same_values says that all
+    windows that meet, those near one diagonal count, so the passage stands in
+    one place and in order; they must cover `coverage` of the item's windows.
+    Each diagonal is tried. Then slots are compared, each at the diagonal nearest
+    to the place's own: an item's value must stand for one value of the document
+    throughout, else the place is dropped. A pair with any place left is found. same_values says that all
     slots have the item's own values, i.e. the question isn't re-parameterised.
 
     Null and empty texts on either side match nothing, nor does an item with a
@@ -107,27 +107,33 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     diag = met.groupBy("id", "th", "item", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"))
     diag = materialise(diag, "diagonals")
     pair = ["id", "th", "item"]
-    best = diag.groupBy(*pair).agg(F.max(F.struct(F.size("at").alias("n"), (-F.col("diag")).alias("d"))).alias("m"), F.sum(F.size("at")).alias("all_n"), F.first("n_windows").alias("nw"))
-    best = best.where(F.col("all_n") >= F.col("nw") * coverage).select(*pair, (-F.col("m.d")).alias("best"))
-    band = F.greatest(F.lit(1), F.ceil((1 - coverage) * (F.col("n_windows") + window)))
-    near = _match(diag, best, pair).where(F.abs(F.col("diag") - F.col("best")) <= band)
-    found = near.groupBy(*pair, "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
+    enough = diag.groupBy(*pair).agg(F.sum(F.size("at")).alias("all_n"), F.first("n_windows").alias("nw")).where(F.col("all_n") >= F.col("nw") * coverage)
+    diag = materialise(_match(diag, enough.select(*pair), pair, "left_semi").withColumn("band", F.greatest(F.lit(1), F.ceil((1 - coverage) * (F.col("n_windows") + window)))), "places")
+    # every diagonal is the middle of a place; those within the band of it meet it by cells as wide as the band
+    cell = F.floor(F.col("diag") / F.col("band"))
+    middles = diag.select(*pair, F.col("diag").alias("mid"), F.size("at").alias("mid_n"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = _match(diag.withColumn("cell", cell), middles, [*pair, "cell"]).where(F.abs(F.col("diag") - F.col("mid")) <= F.col("band")).drop("cell", "band")
+    place = [*pair, "mid"]
+    found = near.groupBy(*place, "mid_n", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
     found = materialise(found.where(F.col("n") >= F.col("n_windows") * coverage), "found")
     # slots: the values at aligned places of windows that met
-    places = _match(near.drop("n_windows"), found.select(*pair), pair).select(*pair, "diag", F.explode("at").alias("ipos"))
-    places = places.select(*pair, "diag", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + window - 1)).alias("k")).distinct()
+    places = _match(near.drop("n_windows", "mid_n"), found.select(*place), place).select(*place, "diag", F.explode("at").alias("ipos"))
+    places = places.select(*place, "diag", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + window - 1)).alias("k")).distinct()
     slot = lambda of: F.expr(f"filter(transform(arrays_zip(raw, t), (x, i) -> struct(i AS k, x.raw AS raw, x.t AS t)), x -> x.t IN ('{NUM}', '{NAME}', '{UNIT}'))").alias(of)
     own = items.select("item", F.explode(slot("s")).alias("s")).select("item", F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
     texts = _match(d, found.select("id", "th").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     theirs = templated(texts, ["id", "th"], "text").select("id", "th", F.explode(slot("s")).alias("s")).select("id", "th", F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
-    # a position of the item stands at one place of the document: that of the diagonal nearest to the best
+    # a position of the item stands at one place of the document: that of the diagonal nearest to the middle
     slots = places.join(own, ["item", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
     slots = _match(slots, theirs, ["id", "th", "pos"]).where("type = type2")
-    slots = _match(slots, best, pair).groupBy(*pair, "k", "type", "value").agg(F.min_by("other", F.struct(F.abs(F.col("diag") - F.col("best")), F.col("diag"))).alias("other"))
-    mapped = slots.groupBy(*pair, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.countDistinct("k").alias("k"))
-    checked = mapped.groupBy(*pair).agg(F.max("n").alias("most"), F.min("same").alias("same"), F.sum("k").alias("n_slots"))
-    out = _match(found, checked, pair, "left").where(F.coalesce("most", F.lit(1)) <= 1)
-    return out.select(*pair, "n_windows", (F.col("n") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("same", F.lit(True)).alias("same_values"))
+    slots = slots.groupBy(*place, "k", "type", "value").agg(F.min_by("other", F.struct(F.abs(F.col("diag") - F.col("mid")), F.col("diag"))).alias("other"))
+    mapped = slots.groupBy(*place, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.countDistinct("k").alias("k"))
+    checked = mapped.groupBy(*place).agg(F.max("n").alias("most"), F.min("same").alias("same"), F.sum("k").alias("n_slots"))
+    out = _match(found, checked, place, "left").where(F.coalesce("most", F.lit(1)) <= 1).withColumn("same", F.coalesce("same", F.lit(True)))
+    # of the places that pass, the one whose middle has most windows, with the item's own values, the first
+    first = F.struct("mid_n", "same", (-F.col("mid")).alias("mid"), "n", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
+    out = out.groupBy(*pair).agg(F.max(first).alias("m"))
+    return out.select(*pair, "m.n_windows", (F.col("m.n") / F.col("m.n_windows")).alias("coverage"), "m.n_slots", F.col("m.same").alias("same_values"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **kw) -> DataFrame:

@@ -169,6 +169,15 @@ def test_leaks_with_runs_of_values(spark):
     assert {k: v for k, v in got.items() if k[0] == k[1]} == {(i, i): True for i in range(3)}
 
 
+def test_leaks_in_any_place(spark):
+    # the first place is not the same question (5 stands for three values), the second is the item itself
+    item = "If 5 cats eat 5 fish in 5 days then how many days do 9 dogs need for all the meat in the house?"
+    other = item.replace("5 cats", "2 cats").replace("5 fish", "7 fish").replace("5 days", "4 days")
+    docs = spark.createDataFrame([(1, f"{other} {prose(random.Random(2), 60)}. {item}"), (2, other + " " + other)], "doc_id bigint, text string")
+    got = contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.same_values) for r in got] == [(1, 1, True)]
+
+
 PRIVATE = [
     "Write to Anna.Schmidt42@mail.example.com or call +1 (017) 555-7713, from 10.20.130.4.",
     "anna.schmidt42@MAIL.example.com; +1 017-555-7713. Card 4785 3805 9239 1139, SSN 123-45-6789.",
