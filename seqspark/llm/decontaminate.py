@@ -47,12 +47,13 @@ def templated(df: DataFrame, keys: list[str], text: str, names: bool = True) ->
     return out.select(*keys, F.expr(f"filter(all, x -> NOT array_contains({ends}, x))").alias("raw"), F.expr(f"filter(forms, x -> NOT array_contains({ends}, x))").alias("t"))
 
 
-def windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One row per window of template tokens: keys, pos, h (its 64-bit hash). A
-    shorter row is one window, its missing tokens left out of the hash."""
+def windows(df: DataFrame, keys: list[str], size: int, col: str = "t") -> DataFrame:
+    """One row per window of template tokens (or those of another column): keys,
+    pos, h (its 64-bit hash). A shorter row is one window, its missing tokens left
+    out of the hash."""
     # tokens one by one: slice() would copy the whole array for each window
-    hashed = ", ".join(f"get(t, i + {k})" for k in range(size))
-    spans = F.expr(f"transform(sequence(0, greatest(size(t) - {size}, 0)), i -> xxhash64({hashed}))")
+    hashed = ", ".join(f"get({col}, i + {k})" for k in range(size))
+    spans = F.expr(f"transform(sequence(0, greatest(size({col}) - {size}, 0)), i -> xxhash64({hashed}))")
     return df.select(*keys, F.posexplode(spans).alias("pos", "h"))
 
 
@@ -70,8 +71,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     n_windows (of the item), coverage, n_slots, same_values.
 
     Numbers, names and units become typed placeholders. Windows of `window`
-    template tokens of the items meet those of all documents by hash (an item of
-    fewer tokens is one window, met by documents that consist of it). Of the
+    template tokens of the items meet those of all documents by hash. An item of
+    fewer tokens is one window, met by windows of its own length; if it is of
+    placeholders alone, by its own values or by documents that consist of it. Of the
     windows that meet, those near one diagonal count, so the passage stands in
     one place and in order; they must cover `coverage` of the item's windows.
     Each diagonal is tried. Then slots are compared, each at the diagonal nearest
@@ -79,34 +81,50 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     throughout, else the place is dropped. A pair with any place left is found. same_values says that all
     slots have the item's own values, i.e. the question isn't re-parameterised.
 
-    Null and empty texts on either side match nothing, nor does an item with a
-    null id. Repeated documents and items count once (of an item's texts the
-    smallest). Documents with a null id are found too. Extra columns are not
+    Null and empty texts on either side match nothing. All texts of an item are
+    looked for; repeated documents and items count once. A find of an item with a
+    null id has no name to be listed by, so it shows in clean() only. Documents with a null id are found too. Extra columns are not
     looked at.
     """
     found = _found(docs, bench, id_col, text_col, item_col, item_text, **kw)
-    found = found.groupBy("id", "item").agg(F.max(F.struct("coverage", "n_windows", "n_slots", "same_values")).alias("m"))
+    found = found.where("item is not null").groupBy("id", "item").agg(F.max(F.struct("coverage", "n_windows", "n_slots", "same_values")).alias("m"))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.n_windows", "m.coverage", "m.n_slots", "m.same_values")
 
 
 def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """contaminated() by (id, th, item): th is the text's hash, as an id may have several texts."""
+    """contaminated() by (id, th, item, ih): th and ih are hashes of the texts, as ids
+    may have several texts or be null; items with a null id are found too."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     d = d.withColumn("th", F.xxhash64("text"))
-    b = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    b = b.groupBy("item").agg(F.min("text").alias("text"))
-    shaped = lambda names: templated(b, ["item"], "text", names).where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint"))
+    b = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    b = b.withColumn("ih", F.xxhash64("text")).dropDuplicates(["item", "ih"])
+    shaped = lambda names: templated(b, ["item", "ih"], "text", names).where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint"))
     items = materialise(shaped(True), "items")
     # names as words too: capitals don't show them in a text all in capitals, or where a sentence begins
-    asked = windows(items, ["item", "n_windows"], window).union(windows(shaped(False), ["item", "n_windows"], window)).distinct()
+    key = ["item", "ih", "n_windows"]
+    # a short item of placeholders alone (whole) is met inside a text by its own values only
+    whole = F.expr(f"size(t) < {window} AND forall(t, x -> x IN ('{NUM}', '{NAME}', '{UNIT}'))")
+    low = F.expr("transform(raw, x -> lower(x))")
+    plain = shaped(False)
+    bare = items.where(whole).withColumn("low", low).withColumn("whole", F.lit(False))
+    asked = windows(items.withColumn("whole", whole), [*key, "whole"], window).union(windows(plain.withColumn("whole", whole), [*key, "whole"], window))
+    asked = asked.union(windows(bare, [*key, "whole"], window, "low")).distinct()
     asked = materialise(asked.withColumnRenamed("pos", "ipos"), "asked")
-    met = windows(templated(d, ["id", "th"], "text"), ["id", "th"], window)
+    lengths = sorted(r[0] for r in items.where(F.size("t") < window).select(F.size("t")).distinct().collect())  # window - 1 numbers at most
+    shapes = templated(d, ["id", "th"], "text").withColumn("low", low) if lengths else templated(d, ["id", "th"], "text")
+    met = windows(shapes, ["id", "th"], window).withColumn("inner", F.lit(False))
+    for n in lengths:
+        longer = shapes.where(F.size("t") > n)
+        for col in ("t", "low"):
+            met = met.union(windows(longer, ["id", "th"], n, col).withColumn("inner", F.lit(True)))
     few = asked.count() <= broadcast_rows
     met = met.join(F.broadcast(asked) if few else asked, "h")
+    if lengths:
+        met = met.where("NOT (inner AND whole)")
     # the item's windows that a document has on each diagonal: an item's length at most
-    diag = met.groupBy("id", "th", "item", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"))
+    diag = met.groupBy("id", "th", "item", "ih", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"))
     diag = materialise(diag, "diagonals")
-    pair = ["id", "th", "item"]
+    pair = ["id", "th", "item", "ih"]
     enough = diag.groupBy(*pair).agg(F.sum(F.size("at")).alias("all_n"), F.first("n_windows").alias("nw")).where(F.col("all_n") >= F.col("nw") * coverage)
     diag = materialise(_match(diag, enough.select(*pair), pair, "left_semi").withColumn("band", F.greatest(F.lit(1), F.ceil((1 - coverage) * (F.col("n_windows") + window)))), "places")
     # every diagonal is the middle of a place; those within the band of it meet it by cells as wide as the band
@@ -120,11 +138,11 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     places = _match(near.drop("n_windows", "mid_n"), found.select(*place), place).select(*place, "diag", F.explode("at").alias("ipos"))
     places = places.select(*place, "diag", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + window - 1)).alias("k")).distinct()
     slot = lambda of: F.expr(f"filter(transform(arrays_zip(raw, t), (x, i) -> struct(i AS k, x.raw AS raw, x.t AS t)), x -> x.t IN ('{NUM}', '{NAME}', '{UNIT}'))").alias(of)
-    own = items.select("item", F.explode(slot("s")).alias("s")).select("item", F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
+    own = items.select("item", "ih", F.explode(slot("s")).alias("s")).select("item", "ih", F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
     texts = _match(d, found.select("id", "th").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     theirs = templated(texts, ["id", "th"], "text").select("id", "th", F.explode(slot("s")).alias("s")).select("id", "th", F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
     # a position of the item stands at one place of the document: that of the diagonal nearest to the middle
-    slots = places.join(own, ["item", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
+    slots = _match(places, own, ["item", "ih", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
     slots = _match(slots, theirs, ["id", "th", "pos"]).where("type = type2")
     slots = slots.groupBy(*place, "k", "type", "value").agg(F.min_by("other", F.struct(F.abs(F.col("diag") - F.col("mid")), F.col("diag"))).alias("other"))
     mapped = slots.groupBy(*place, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.countDistinct("k").alias("k"))

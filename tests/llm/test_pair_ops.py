@@ -178,6 +178,18 @@ def test_leaks_in_any_place(spark):
     assert [(r.doc_id, r.item_id, r.same_values) for r in got] == [(1, 1, True)]
 
 
+def test_leaks_of_every_benchmark_row(spark):
+    rng = random.Random(6)
+    first, second, unnamed = (prose(rng, 20) for _ in range(3))
+    texts = {1: first, 2: second, 3: unnamed, 4: prose(rng, 9) + " who wrote Hamlet? " + prose(rng, 30), 5: prose(rng, 9) + " 42 km " + prose(rng, 9), 6: prose(rng, 9) + " 43 km " + prose(rng, 9), 7: "43 km", 8: prose(rng, 40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, first), (1, second), (1, second), (None, unnamed), (2, "Who wrote Hamlet?"), (3, "42 km")], "item_id bigint, text string")
+    for kw in ({}, {"broadcast_rows": 0}):
+        got = {(r.doc_id, r.item_id): r.same_values for r in contaminated(docs, bench, **kw).collect()}
+        assert got == {(1, 1): True, (2, 1): True, (4, 2): True, (5, 3): True, (7, 3): False}
+    assert sorted(r.doc_id for r in clean(docs, bench).collect()) == [6, 8]
+
+
 PRIVATE = [
     "Write to Anna.Schmidt42@mail.example.com or call +1 (017) 555-7713, from 10.20.130.4.",
     "anna.schmidt42@MAIL.example.com; +1 017-555-7713. Card 4785 3805 9239 1139, SSN 123-45-6789.",
