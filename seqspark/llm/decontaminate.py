@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import materialise
-from seqspark.llm.names import FEMALE, MALE, NUMBERS, SIGNS, UNITS
+from seqspark.llm.names import FEMALE, MALE, NUMBERS, NUMBERS_MORE, SIGNS, UNITS, UNITS_MORE
 
 #: Words of a window, share of an item's windows that must be found, windows of the benchmark up to which they are broadcast.
 WINDOW, COVERAGE, BROADCAST_ROWS = 5, 0.8, 1_000_000
@@ -39,12 +39,22 @@ def template_sql(arr: str, names: bool = True) -> str:
     return f"transform({arr}, (x, i) -> {kind})"
 
 
-def templated(df: DataFrame, keys: list[str], text: str, names: bool = True) -> DataFrame:
-    """df's keys with raw (tokens) and t (their template forms), sentence ends left out of both."""
+def loose_sql(raw: str, t: str) -> str:
+    """SQL for the loose forms of tokens from their template forms: number words and
+    units of four languages, and a name for any capitalised word left."""
+    numbers, units = sorted(set(NUMBERS_MORE)), sorted({*UNITS_MORE} - {*NUMBERS_MORE})
+    more = f"CASE WHEN f IN ({_sql_list(numbers)}) THEN '{NUM}' WHEN f IN ({_sql_list(units)}) THEN '{UNIT}' ELSE f END"
+    return f"zip_with({raw}, {t}, (x, f) -> CASE WHEN f < '=' AND f >= '<' THEN f WHEN f IN ({_sql_list(sorted({*numbers, *units}))}) THEN {more} WHEN x <> f AND length(x) > 1 AND substr(x, 2) = substr(f, 2) THEN '{NAME}' ELSE f END)"
+
+
+def templated(df: DataFrame, keys: list[str], text: str, names: bool = True, loose: bool = False) -> DataFrame:
+    """df's keys with raw (tokens) and t (their template forms), sentence ends left
+    out of both; loose: with lt, their loose template forms, too."""
     out = df.select(*keys, tokens(F.col(text)).alias("all"))
     out = out.select(*keys, "all", F.expr(template_sql("all", names)).alias("forms"))
     ends = "array('.', '!', '?', '\n')"
-    return out.select(*keys, F.expr(f"filter(all, x -> NOT array_contains({ends}, x))").alias("raw"), F.expr(f"filter(forms, x -> NOT array_contains({ends}, x))").alias("t"))
+    out = out.select(*keys, F.expr(f"filter(all, x -> NOT array_contains({ends}, x))").alias("raw"), F.expr(f"filter(forms, x -> NOT array_contains({ends}, x))").alias("t"))
+    return out.withColumn("lt", F.expr(loose_sql("raw", "t"))) if loose else out
 
 
 def windows(df: DataFrame, keys: list[str], size: int, col: str = "t") -> DataFrame:
@@ -57,6 +67,15 @@ def windows(df: DataFrame, keys: list[str], size: int, col: str = "t") -> DataFr
     return df.select(*keys, F.posexplode(spans).alias("pos", "h"))
 
 
+def both_windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """windows() of t with dmode 0, and those of lt that differ with dmode 1."""
+    h = lambda col: "xxhash64(" + ", ".join(f"get({col}, i + {k})" for k in range(size)) + ")"
+    equal = " AND ".join(f"get(t, i + {k}) <=> get(lt, i + {k})" for k in range(size))
+    at = f"sequence(0, greatest(size(t) - {size}, 0))"
+    spans = F.expr(f"concat(transform({at}, i -> struct(i AS pos, {h('t')} AS h, 0 AS dmode)), transform(filter({at}, i -> NOT ({equal})), i -> struct(i AS pos, {h('lt')} AS h, 1 AS dmode)))")
+    return df.select(*keys, F.inline(spans))
+
+
 def _match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, nulls being equal too."""
     b = b.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in b.columns])
@@ -70,7 +89,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     """One row per document and benchmark item found in it: id_col, item_col,
     n_windows (of the item), coverage, n_slots, same_values.
 
-    Numbers, names and units become typed placeholders. Windows of `window`
+    Numbers, names and units become typed placeholders; a second, loose template
+    of both sides has number words and units of four languages (no articles) and a
+    name for any capitalised word, and counts where the first finds nothing. Windows of `window`
     template tokens of the items meet those of all documents by hash. An item of
     fewer tokens is one window, met by windows of its own length; if it is of
     placeholders alone, by its own values or by documents that consist of it. Of the
@@ -99,32 +120,40 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     b = bench.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     b = b.withColumn("ih", F.xxhash64("text")).dropDuplicates(["item", "ih"])
     shaped = lambda names: templated(b, ["item", "ih"], "text", names).where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint"))
-    items = materialise(shaped(True), "items")
+    items = templated(b, ["item", "ih"], "text", loose=True).where("size(t) > 0").withColumn("n_windows", F.greatest(F.size("t") - window + 1, F.lit(1)).cast("bigint"))
+    items = materialise(items, "items")
     # names as words too: capitals don't show them in a text all in capitals, or where a sentence begins
     key = ["item", "ih", "n_windows"]
     # a short item of placeholders alone (whole) is met inside a text by its own values only
-    whole = F.expr(f"size(t) < {window} AND forall(t, x -> x IN ('{NUM}', '{NAME}', '{UNIT}'))")
+    whole_of = lambda c: f"size({c}) < {window} AND forall({c}, x -> x IN ('{NUM}', '{NAME}', '{UNIT}'))"
+    whole = F.expr(whole_of("t"))
     low = F.expr("transform(raw, x -> lower(x))")
     plain = shaped(False)
-    bare = items.where(whole).withColumn("low", low).withColumn("whole", F.lit(False))
+    bare = items.where(F.expr(f"{whole_of('t')} OR {whole_of('lt')}")).withColumn("low", low).withColumn("whole", F.lit(False))
     asked = windows(items.withColumn("whole", whole), [*key, "whole"], window).union(windows(plain.withColumn("whole", whole), [*key, "whole"], window))
-    asked = asked.union(windows(bare, [*key, "whole"], window, "low")).distinct()
+    asked = asked.union(windows(bare, [*key, "whole"], window, "low")).distinct().withColumn("mode", F.lit(0))
+    # the loose templates' own windows: what they find counts where the others fail
+    more = windows(items.withColumn("whole", F.expr(whole_of("lt"))), [*key, "whole"], window, "lt").withColumn("mode", F.lit(1))
+    asked = asked.union(more).groupBy(*key, "whole", "pos", "h").agg(F.min("mode").alias("mode"))
     asked = materialise(asked.withColumnRenamed("pos", "ipos"), "asked")
     lengths = sorted(r[0] for r in items.where(F.size("t") < window).select(F.size("t")).distinct().collect())  # window - 1 numbers at most
-    shapes = templated(d, ["id", "th"], "text").withColumn("low", low) if lengths else templated(d, ["id", "th"], "text")
-    met = windows(shapes, ["id", "th"], window).withColumn("inner", F.lit(False))
+    shapes = templated(d, ["id", "th"], "text", loose=True)
+    shapes = shapes.withColumn("low", low) if lengths else shapes
+    met = both_windows(shapes, ["id", "th"], window).withColumn("inner", F.lit(False))
     for n in lengths:
         longer = shapes.where(F.size("t") > n)
-        for col in ("t", "low"):
-            met = met.union(windows(longer, ["id", "th"], n, col).withColumn("inner", F.lit(True)))
+        met = met.union(both_windows(longer, ["id", "th"], n).withColumn("inner", F.lit(True)))
+        met = met.union(windows(longer, ["id", "th"], n, "low").withColumn("dmode", F.lit(0)).withColumn("inner", F.lit(True)))
     few = asked.count() <= broadcast_rows
     met = met.join(F.broadcast(asked) if few else asked, "h")
     if lengths:
         met = met.where("NOT (inner AND whole)")
-    # the item's windows that a document has on each diagonal: an item's length at most
-    diag = met.groupBy("id", "th", "item", "ih", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"))
-    diag = materialise(diag, "diagonals")
-    pair = ["id", "th", "item", "ih"]
+    # the item's windows that a document has on each diagonal: an item's length at most; mode 1 takes the loose templates in
+    met = met.withColumn("mode", F.greatest("mode", "dmode"))
+    spots = met.groupBy("id", "th", "item", "ih", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set(F.when(F.col("mode") == 0, F.col("ipos"))).alias("strict"), F.collect_set("ipos").alias("all"))
+    diag = spots.select("id", "th", "item", "ih", "n_windows", "diag", F.posexplode(F.array("strict", "all")).alias("mode", "at"))
+    diag = materialise(diag.where("size(at) > 0"), "diagonals")
+    pair = ["id", "th", "item", "ih", "mode"]
     enough = diag.groupBy(*pair).agg(F.sum(F.size("at")).alias("all_n"), F.first("n_windows").alias("nw")).where(F.col("all_n") >= F.col("nw") * coverage)
     diag = materialise(_match(diag, enough.select(*pair), pair, "left_semi").withColumn("band", F.greatest(F.lit(1), F.ceil((1 - coverage) * (F.col("n_windows") + window)))), "places")
     # every diagonal is the middle of a place; those within the band of it meet it by cells as wide as the band
@@ -137,13 +166,14 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     # slots: the values at aligned places of windows that met
     places = _match(near.drop("n_windows", "mid_n"), found.select(*place), place).select(*place, "diag", F.explode("at").alias("ipos"))
     places = places.select(*place, "diag", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + window - 1)).alias("k")).distinct()
-    slot = lambda of: F.expr(f"filter(transform(arrays_zip(raw, t), (x, i) -> struct(i AS k, x.raw AS raw, x.t AS t)), x -> x.t IN ('{NUM}', '{NAME}', '{UNIT}'))").alias(of)
-    own = items.select("item", "ih", F.explode(slot("s")).alias("s")).select("item", "ih", F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
+    one = lambda c, m: f"filter(transform(arrays_zip(raw, {c}), (x, i) -> struct(i AS k, x.raw AS raw, x.{c} AS t, {m} AS mode)), x -> x.t IN ('{NUM}', '{NAME}', '{UNIT}'))"
+    slot = F.expr(f"concat({one('t', 0)}, {one('lt', 1)})")
+    own = items.select("item", "ih", F.explode(slot).alias("s")).select("item", "ih", F.col("s.mode").alias("mode"), F.col("s.k").alias("k"), F.lower("s.raw").alias("value"), F.col("s.t").alias("type"))
     texts = _match(d, found.select("id", "th").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    theirs = templated(texts, ["id", "th"], "text").select("id", "th", F.explode(slot("s")).alias("s")).select("id", "th", F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
+    theirs = templated(texts, ["id", "th"], "text", loose=True).select("id", "th", F.explode(slot).alias("s")).select("id", "th", F.col("s.mode").alias("mode"), F.col("s.k").alias("pos"), F.lower("s.raw").alias("other"), F.col("s.t").alias("type2"))
     # a position of the item stands at one place of the document: that of the diagonal nearest to the middle
-    slots = _match(places, own, ["item", "ih", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
-    slots = _match(slots, theirs, ["id", "th", "pos"]).where("type = type2")
+    slots = _match(places, own, ["item", "ih", "mode", "k"]).withColumn("pos", F.col("k") + F.col("diag"))
+    slots = _match(slots, theirs, ["id", "th", "mode", "pos"]).where("type = type2")
     slots = slots.groupBy(*place, "k", "type", "value").agg(F.min_by("other", F.struct(F.abs(F.col("diag") - F.col("mid")), F.col("diag"))).alias("other"))
     mapped = slots.groupBy(*place, "type", "value").agg(F.countDistinct("other").alias("n"), F.min(F.col("value") == F.col("other")).alias("same"), F.countDistinct("k").alias("k"))
     checked = mapped.groupBy(*place).agg(F.max("n").alias("most"), F.min("same").alias("same"), F.sum("k").alias("n_slots"))
@@ -151,6 +181,8 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     # of the places that pass, the one whose middle has most windows, with the item's own values, the first
     first = F.struct("mid_n", "same", (-F.col("mid")).alias("mid"), "n", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
     out = out.groupBy(*pair).agg(F.max(first).alias("m"))
+    out = out.groupBy("id", "th", "item", "ih").agg(F.min_by("m", "mode").alias("m"))
+    pair = pair[:-1]
     return out.select(*pair, "m.n_windows", (F.col("m.n") / F.col("m.n_windows")).alias("coverage"), "m.n_slots", F.col("m.same").alias("same_values"))
 
 

@@ -27,3 +27,7 @@ SIGNS = ["%", "$", "€", "£", "¥", "°"]
 
 # Number words.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+
+# The same in German, French and Spanish, but articles (ein, un, una), which are no numbers for the most part.
+UNITS_MORE = "meile meilen zoll fuß kilometer zentimeter millimeter gramm kilogramm tonne tonnen pfund unze unzen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad mètre mètres kilomètre kilomètres centimètre centimètres millimètre millimètres mille milles pouce pouces pied pieds gramme grammes kilogramme kilogrammes kilo kilos tonnes livre livres once onces litre litres seconde secondes heure heures jour jours semaine semaines mois an ans année années centime centimes degré degrés metro metros kilómetro kilómetros centímetro centímetros milímetro milímetros milla millas pulgada pulgadas pie pies gramo gramos kilogramo kilogramos tonelada toneladas libra libras onza onzas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares céntimo céntimos grado grados".split()
+NUMBERS_MORE = "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen milliarde milliarden dutzend zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent cents mille millions milliard milliards douzaine cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos mil millón millones docena".split()

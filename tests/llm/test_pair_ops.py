@@ -190,6 +190,24 @@ def test_leaks_of_every_benchmark_row(spark):
     assert sorted(r.doc_id for r in clean(docs, bench).collect()) == [6, 8]
 
 
+def test_leaks_with_unlisted_names_and_words(spark):
+    items = {
+        1: "Priya has some red marbles in a bag. Priya gives a few to her kind old neighbour. Priya then counts what is still left in there",
+        2: "das lange seil wurde in stücke von drei kilometern geschnitten und je stück vier stunden lang an der sonne zum trocknen gelegt",
+        3: "la corde mesure deux mètres et il faut trois heures pour la couper en petits morceaux avec les amis du village",
+        4: "el viaje dura cinco horas y cuesta siete euros por persona si todos salen juntos de casa por la tarde",
+    }
+    again = {
+        1: items[1].replace("Priya", "Ravi"),
+        2: items[2].replace("drei", "sieben").replace("vier stunden", "acht tage"),
+        3: items[3].replace("deux mètres", "quatre pieds").replace("trois", "cinq"),
+        4: items[4].replace("cinco horas", "ocho días").replace("siete", "nueve"),
+    }
+    docs = spark.createDataFrame([*again.items(), (5, prose(random.Random(3), 90)), (6, items[1].replace("Priya has", "Ravi has").replace("Priya gives", "Meena gives"))], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.same_values for r in contaminated(docs, spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()}
+    assert got == {(i, i): False for i in items}
+
+
 PRIVATE = [
     "Write to Anna.Schmidt42@mail.example.com or call +1 (017) 555-7713, from 10.20.130.4.",
     "anna.schmidt42@MAIL.example.com; +1 017-555-7713. Card 4785 3805 9239 1139, SSN 123-45-6789.",
