@@ -38,6 +38,11 @@ UNLIKELY = re.compile(
     r"comments?(?:-?(?:list|section|area|thread|form|body|text|box))?|commentlist|disqus\w*|replies|reply|respond|login|search\w*|disclaimer|outbrain|taboola|skip-?link|tags?)(?=$|[\s_-])",
     re.I,
 )
+#: Words that may stand beside those in a name without giving it another meaning.
+_FILLER = re.compile(r"left|right|top|bottom|main|site|page|global|primary|secondary|box|wrap(?:per)?|container|inner|outer|area|block|section|col(?:umn)?|list|items?|links?|bar|unit|slot|title|head(?:er|ing)?|body|text|content|posts?|articles?|stories|entries|news|form|icons?|buttons?|btns?|js|the|us|policy|overlay|message|\d*", re.I)
+#: A form, or a part of which only a piece of the name is unlikely, stays with so much text at a link density below SPARED_LINKS.
+FORM_TEXT, SPARED_TEXT, SPARED_LINKS = 25, 140, 0.25
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: The head of an article is no page header.
 _OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|blog|title|section)[_-]*header", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main|post\w*|story\w*|text|hentry|blog)(?=$|[\s_-])", re.I)
@@ -45,22 +50,29 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "weight", "drop", "good", "text_len", "link_len", "commas")
+    __slots__ = ("name", "parent", "children", "score", "weight", "drop", "soft", "good", "text_len", "link_len", "commas")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False, good: bool = False):
-        self.name, self.parent, self.drop, self.good = name, parent, drop, good
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, good: bool = False, soft: bool = False):
+        self.name, self.parent, self.drop, self.good, self.soft = name, parent, drop, good, soft
         self.children: list[Node | str] = []
         self.score = self.weight = 0.0
         self.text_len = self.link_len = self.commas = 0
 
 
-def _attrs(text: str) -> tuple[bool, bool]:
-    """(unlikely, likely) from an element's attributes."""
+def _wholly(token: str) -> bool:
+    """Whether a class or id is unlikely as a whole: each of its words is, or says nothing."""
+    return bool(UNLIKELY.fullmatch(token)) or all(_FILLER.fullmatch(w) or UNLIKELY.fullmatch(w) for w in re.split(r"[_-]+", token))
+
+
+def _attrs(text: str, name: str = "div") -> tuple[bool, bool, bool]:
+    """(unlikely, likely, only by a piece of a name) from an element's attributes.
+    Ids of headings and paragraphs, made from their text as a rule, say nothing."""
     words, hidden, role = [], False, ""
     for m in _ATTR.finditer(text):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id", "itemprop"):
-            words.append(value)
+            if key != "id" or name not in HEADINGS and name != "p":
+                words.append(value)
         elif key == "role":
             role = value.strip().lower()
         elif key == "hidden":
@@ -71,7 +83,10 @@ def _attrs(text: str) -> tuple[bool, bool]:
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
     said = _OWN_HEADER.sub(" ", " ".join(words))
     good = bool(LIKELY.search(said)) or role in ("main", "article")
-    return hidden or role in ROLES or bool(UNLIKELY.search(said)), good
+    if hidden or role in ROLES:
+        return True, good, False
+    met = [w for w in said.split() if UNLIKELY.search(w)]
+    return bool(met), good, bool(met) and not any(map(_wholly, met))
 
 
 def parse(page: str) -> Node:
@@ -159,9 +174,12 @@ def parse(page: str) -> Node:
                     up = up.parent
                 if up.name == end:
                     at = up.parent
-            unlikely, good = _attrs(attrs) if attrs.strip() else (False, False)
-            drop = name in DROPPED or (unlikely and name not in ("html", "body", "article", "main"))
-            node = Node(name, at, drop, good)
+            unlikely, good, piece = _attrs(attrs, name) if attrs.strip() else (False, False, False)
+            if piece and (name in HEADINGS or name in ("p", "section")):
+                unlikely = False
+            unlikely = unlikely and name not in ("html", "body", "article", "main")
+            drop = name in DROPPED or unlikely
+            node = Node(name, at, drop, good, drop and (piece or not unlikely) and (name not in DROPPED or name in ("form", "fieldset")))
             at.children.append(node)
             at = node
     flush()
@@ -217,8 +235,33 @@ def _header_of_article(node: Node) -> None:
                 stack.append((c, inside))
 
 
+def _spare(root: Node) -> None:
+    """Keeps forms that hold most of the page's text, and much text in few links
+    where only a piece of a name spoke against it."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(c for c in x.children if isinstance(c, Node) and (not c.drop or c.soft))
+    if not any(x.soft for x in order):
+        return
+    size = {id(x): [x.text_len, x.link_len] for x in order}
+    for x in reversed(order):
+        if x.parent is not None:
+            size[id(x.parent)][0] += size[id(x)][0]
+            size[id(x.parent)][1] += size[id(x)][1]
+    for x in order:
+        if x.soft:
+            n, links = size[id(x)]
+            if x.name in ("form", "fieldset"):
+                x.drop = not (n >= FORM_TEXT and 2 * n > size[id(root)][0])
+            else:
+                x.drop = not (n >= SPARED_TEXT and links < SPARED_LINKS * n)
+
+
 def best(root: Node) -> list[Node]:
     """The best container and those of its siblings that belong to it, in page order."""
+    _spare(root)
     _header_of_article(root)
     order = _measure(root)
     for node in order:
@@ -304,7 +347,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     commas to their ancestors, ancestors are discounted by link density, and the
     best container is kept with the siblings that belong to it. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles, comments and
-    hidden parts are left out. Inside a block white space becomes one space;
+    hidden parts are left out, but a form that holds most of the page's text, and
+    parts of which only a piece of a class or id is unlikely ("related-work") if
+    they are sections, headings or much text in few links. Inside a block white space becomes one space;
     blocks are joined by a line feed.
 
     Null or empty html, and pages without text, give the text '' and 0. Broken

@@ -257,3 +257,15 @@ def test_long_texts_are_trained_to_their_end(spark, monkeypatch):
 
     lm._round(Rows(), model, 0.01)
     assert seen == [[2001, 3, 1]]
+
+
+def test_pages_keep_text_with_unlucky_names():
+    para = "A sentence with a number of words, and then some more of them to read. " * 3
+    para = para.strip()
+    for name in ("related-work", "search-algorithms", "header-files", "social-history", "menu-design", "side-effects"):
+        for tag in ("section", "div"):
+            assert main_text(f'<article><h1>T</h1><p>{para}</p><{tag} id="{name}"><h2 id="{name}2">H</h2><p id="{name}">{para}</p></{tag}></article>') == f"T\n{para}\nH\n{para}"
+    assert main_text(f'<body><form id="aspnetForm"><div><h1>T</h1><p>{para}</p></div></form></body>') == f"T\n{para}"
+    # what is unlikely as a whole stays out, so do small forms
+    for name in ("related-posts", "comment-list", "left-sidebar", "cookie-banner"):
+        assert main_text(f'<article><h1>T</h1><p>{para}</p><div class="{name}"><p>{para}</p></div><form><p>Your mail address</p></form></article>') == f"T\n{para}"
