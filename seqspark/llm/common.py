@@ -63,6 +63,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that a task turns few texts into Python
+    objects at a time. At the end the worker gives its free memory back: Spark keeps
+    workers for later tasks, and what they hold counts against the executor."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Returns free memory of Arrow's pool and of the C library to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({f.name: pa.array([], f.type) for f in schema}, schema)
 

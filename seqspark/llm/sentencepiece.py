@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.llm.common import slices
+
 MARK = "▁"
 
 #: A task's table forgets its words when it holds so many; words longer than this are segmented each time.
@@ -123,26 +125,24 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
                 got = sp.encode(t, num_threads=1)
                 yield np.array(got, "<u4").tobytes(), sp.decode(got)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, ih, dh, il, dl = [], [], [], [], []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for body, back in (table.batch if apart else whole)(texts):
-                    body = head + body + tail
-                    n.append(len(body) // 4)
-                    ih.append(hashlib.sha256(body).hexdigest())
-                    dh.append(hashlib.sha256(back.encode()).hexdigest())
-                    if ids:
-                        il.append(np.frombuffer(body, "<i4"))
-                    if text:
-                        dl.append(back)
-                cols = {"id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ih, pa.string()), "decoded_sha256": pa.array(dh, pa.string())}
+        for part in slices(batches):
+            n, ih, dh, il, dl = [], [], [], [], []
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for body, back in (table.batch if apart else whole)(texts):
+                body = head + body + tail
+                n.append(len(body) // 4)
+                ih.append(hashlib.sha256(body).hexdigest())
+                dh.append(hashlib.sha256(back.encode()).hexdigest())
                 if ids:
-                    cols["ids"] = pa.array(il, pa.list_(pa.int32()))
+                    il.append(np.frombuffer(body, "<i4"))
                 if text:
-                    cols["decoded"] = pa.array(dl, pa.string())
-                yield pa.RecordBatch.from_pydict(cols)
+                    dl.append(back)
+            cols = {"id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ih, pa.string()), "decoded_sha256": pa.array(dh, pa.string())}
+            if ids:
+                cols["ids"] = pa.array(il, pa.list_(pa.int32()))
+            if text:
+                cols["decoded"] = pa.array(dl, pa.string())
+            yield pa.RecordBatch.from_pydict(cols)
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
     out = rows.mapInArrow(run, schema)

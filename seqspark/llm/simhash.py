@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import components, local_forest, materialise
+from seqspark.llm.common import components, local_forest, materialise, release, slices
 
 #: Rows that one cell of the index may hold; larger groups are dealt out as pairs of parts.
 CELL_ROWS = 20_000
 
 #: Child pairs looked at together: bounds a task's memory.
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 250_000
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -46,7 +46,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], names=["id", "th", "fp"])
 
@@ -178,6 +178,7 @@ def _links(bits: int):
             rows += len(m)
         if held:
             yield from flush(held)
+        release()
 
     return run
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.llm.common import slices
+
 # Identity terms; those of one row can stand for each other.
 IDENTITY = [
     "women men girls boys",
@@ -37,7 +39,7 @@ THRESHOLD = 0.7
 STEMS = (4, 5, 6, 7, 8)
 
 _EDGE = b"".join(bytes([i]) for i in range(33, 127) if not chr(i).isalnum())
-_WORDS_HELD = 300_000
+_WORDS_HELD = 100_000
 
 
 def swaps() -> dict[bytes, list[bytes]]:
@@ -94,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     def count(batches):
         n: dict[bytes, list[int]] = {}
         size = [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size[y] += 1
                 seen = set()
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     def reduce(batches):
         import zlib
 
-        for batch in batches:
+        for batch in slices(batches):
             xs, cs = [], []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
@@ -215,7 +217,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         of = _scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = [of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
@@ -231,7 +233,7 @@ def accepted(df: DataFrame, model: dict, text_col: str = "text", threshold: floa
 
     def run(batches):
         of = _scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
