@@ -1,270 +1,352 @@
 """A small gated recurrent network with a class-factored softmax, in numpy.
 
-Outputs are classes. Frequent words are members of head classes, told apart by a
-softmax over the class; all other words belong to tail classes by their spelling.
+Output i is member i % MEMBERS of class i // MEMBERS: its probability is that of
+the class times that of the member within the class, so a token costs one softmax
+over the classes and one over MEMBERS. Lanes read one text after another, the
+state going on to a text's end and zero where a text begins.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 HIDDEN, EMBED, MEMBERS = 32, 16, 32
 
 
-def softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def shapes(head: int, tail: int) -> list[tuple[str, tuple[int, ...]]]:
-    """Parameters in order; head: number of head classes, tail: of tail classes."""
+def shapes(classes: int) -> list[tuple[str, tuple[int, ...]]]:
+    """Parameters in order."""
     h = HIDDEN
-    return [("emb", (head * MEMBERS + tail, EMBED)), ("win", (EMBED, 3 * h)), ("bin", (3 * h,)), ("rec", (h, 3 * h)), ("wcls", (h, head + tail)), ("bcls", (head + tail,)), ("wmem", (head, MEMBERS, h)), ("bmem", (head, MEMBERS))]
+    return [("emb", (classes * MEMBERS, EMBED)), ("win", (EMBED, 3 * h)), ("bin", (3 * h,)), ("rec", (h, 3 * h)), ("wcls", (h, classes)), ("bcls", (classes,)), ("wmem", (classes, h, MEMBERS)), ("bmem", (classes, MEMBERS))]
 
 
-def init(head: int, tail: int, class_counts: np.ndarray, member_counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """Random weights; the biases start at the corpus's frequencies, so the untrained
-    network is the class-factored unigram model."""
+def init(counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+    """Random weights; counts (classes x MEMBERS) are the corpus's: the biases start at
+    them, so the untrained network is the class-factored unigram model."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(head, tail)}
+    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(counts))}
     p["rec"] = (rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32)
     p["bin"][:] = 0
     p["bin"][:HIDDEN] = 1.0  # hold the state at first
     for w in ("wcls", "wmem"):
         p[w] *= 0.1
-    p["bcls"] = np.log((class_counts + 0.5) / (class_counts + 0.5).sum()).astype(np.float32)
-    p["bmem"] = np.log((member_counts + 1e-3) / (member_counts + 1e-3).sum(1, keepdims=True)).astype(np.float32)
+    by_class = counts.sum(1)
+    p["bcls"] = np.log((by_class + 0.5) / (by_class + 0.5).sum()).astype(np.float32)
+    p["bmem"] = np.log((counts + 1e-3) / (counts + 1e-3).sum(1, keepdims=True)).astype(np.float32)
     return p
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in p]).astype(np.float32)
+    return np.concatenate([p[k].ravel() for k in p])
 
 
-def unflat(w: np.ndarray, head: int, tail: int) -> dict[str, np.ndarray]:
+def unflat(w: np.ndarray, classes: int) -> dict[str, np.ndarray]:
+    """The parameters as views of one vector."""
     out, at = {}, 0
-    for k, s in shapes(head, tail):
+    for k, s in shapes(classes):
         n = int(np.prod(s))
-        out[k] = w[at : at + n].reshape(s).astype(np.float32)
+        out[k] = w[at : at + n].reshape(s)
         at += n
     return out
 
 
-def step(p, x: np.ndarray, h: np.ndarray):
-    """One step of the cell: x the gate inputs of the current tokens, h the state."""
-    n = HIDDEN
-    u = h @ p["rec"]
-    zr = sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    return z * h + (1 - z) * c, (z, r, c, u[:, 2 * n :])
+class Scratch:
+    """Arrays by name, used again from window to window: fresh ones would cost a page fault a page."""
+
+    def __init__(self, kind):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        got = self.held.get(name)
+        if got is None or len(got) < size:
+            got = self.held[name] = np.empty(size, self.kind)
+        return got[:size].reshape(shape)
+
+
+class Window:
+    """What a window's pass forward leaves for the pass back, features x steps x
+    lanes: gates are contiguous, and sums over the window are single products."""
+
+    def __init__(self, p):
+        self.p, self.new = p, Scratch(p["rec"].dtype)
+
+    def run(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """The states after each step. h: the state before (features x lanes); fresh:
+        where a text begins, so its lane's state is zero before."""
+        p, n, new, (steps, lanes) = self.p, HIDDEN, self.new, inputs.shape
+        self.gates = gates = new("gates", 3 * n, steps, lanes)  # z, r and the candidate
+        self.cand = cand = new("cand", n, steps, lanes)  # what the reset gate acts on
+        self.before = prior = new("before", n, steps, lanes)
+        self.after = after = new("after", n, steps, lanes)
+        self.inputs = read = new("inputs", EMBED, steps, lanes)
+        np.take(np.ascontiguousarray(p["emb"].T), inputs, axis=1, out=read, mode="clip")
+        np.dot(p["win"].T, read.reshape(EMBED, -1), out=gates.reshape(3 * n, -1))
+        gates += p["bin"][:, None, None]
+        by_zr, by_k = np.ascontiguousarray(p["rec"][:, : 2 * n].T), np.ascontiguousarray(p["rec"][:, 2 * n :].T)
+        u, c, k, f, now = new("u", 2 * n, lanes), new("c", n, lanes), new("k", n, lanes), new("f", n, lanes), new("now", n, lanes)
+        now[:] = h
+        starts = fresh.any(1)
+        for t in range(steps):
+            if starts[t]:
+                now[:, fresh[t]] = 0
+            prior[:, t] = now
+            np.dot(by_zr, now, out=u)
+            np.dot(by_k, now, out=c)
+            u += gates[: 2 * n, t]
+            np.negative(u, out=u)
+            np.exp(u, out=u)
+            u += 1
+            np.reciprocal(u, out=u)
+            np.multiply(u[n:], c, out=k)
+            k += gates[2 * n :, t]
+            np.tanh(k, out=k)
+            now -= k
+            now *= u[:n]
+            now += k
+            gates[: 2 * n, t], gates[2 * n :, t], cand[:, t], after[:, t] = u, k, c, now
+        return after
+
 
+def _safe(p) -> bool:
+    """Whether no softmax can overflow or vanish: states lie between -1 and 1."""
+    low, high = 0.0, 0.0
+    for w, b in ((p["wcls"], p["bcls"]), (p["wmem"], p["bmem"])):
+        span = np.abs(w).sum(-2)
+        low, high = min(low, float((b - span).max(-1).min())), max(high, float((b + span).max()))
+    return low > -60 and high < 60
 
-def window_gradient(p, inputs: np.ndarray, cls: np.ndarray, mem: np.ndarray, mask: np.ndarray, h0: np.ndarray, fresh: np.ndarray | None = None):
-    """Loss, gradient and last state for a window (steps x lanes) of tokens.
 
-    inputs: embedding rows of the tokens read; cls, mem: class and member (-1 in
-    tail classes) of the tokens to predict; fresh: where a text begins, so its lane's
-    state is zero before. The gradient stops at the window's start."""
+def _softmax(logit: np.ndarray, at: np.ndarray, safe: bool, back: bool) -> np.ndarray:
+    """Log probabilities of `at` (a row for each column of logit). back: logit
+    becomes the gradient of minus their sum."""
+    column = np.arange(logit.shape[1])
+    if not safe:
+        logit -= logit.max(0)
+    own = logit[at, column]
+    np.exp(logit, out=logit)
+    total = logit.sum(0)
+    if back:
+        logit *= 1 / total
+        logit[at, column] -= 1
+    return own - np.log(total)
+
+
+def outputs(p, x: np.ndarray, y: np.ndarray, new: Scratch, g: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
+    """The log probabilities of outputs y at states x (features x tokens). g: gets the
+    gradients of minus their sum times `scale`; then that by x is returned, too."""
+    safe, n, classes = _safe(p), len(y), len(p["bcls"])
+    cls, mem = (y // MEMBERS).astype(np.int16), y % MEMBERS
+    lc = new("class", classes, n)
+    np.dot(p["wcls"].T, x, out=lc)
+    lc += p["bcls"][:, None]
+    out = _softmax(lc, cls, safe, g is not None)
+    order = np.argsort(cls, kind="stable")  # class by class: one product each
+    ends = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+    xs, lm = new("sorted", len(x), n), new("member", MEMBERS, n)
+    np.take(x, order, axis=1, out=xs, mode="clip")
+    for k in range(classes):
+        a, b = ends[k], ends[k + 1]
+        if a < b:
+            np.add(p["wmem"][k].T @ xs[:, a:b], p["bmem"][k][:, None], out=lm[:, a:b])
+    out[order] += _softmax(lm, mem[order], safe, g is not None)
+    if g is None:
+        return out, None
+    lc *= scale
+    lm *= scale
+    np.dot(x, lc.T, out=g["wcls"])
+    lc.sum(1, out=g["bcls"])
+    by_x = new("by_x", len(x), n)
+    back = new("back", len(x), n)
+    for k in range(classes):
+        a, b = ends[k], ends[k + 1]
+        if a < b:
+            np.dot(xs[:, a:b], lm[:, a:b].T, out=g["wmem"][k])
+            lm[:, a:b].sum(1, out=g["bmem"][k])
+            back[:, a:b] = p["wmem"][k] @ lm[:, a:b]
+        else:
+            g["wmem"][k] = g["bmem"][k] = 0
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    np.take(back, place, axis=1, out=xs, mode="clip")
+    np.dot(p["wcls"], lc, out=by_x)
+    by_x += xs
+    return out, by_x
+
+
+def window_gradient(p, inputs: np.ndarray, y: np.ndarray, mask: np.ndarray, h0: np.ndarray, fresh: np.ndarray, window: Window | None = None, g: dict | None = None):
+    """(loss, gradient, last state, tokens) of a window (steps x lanes) of tokens.
+
+    inputs: outputs read; y: those to predict, where mask holds; fresh: where a text
+    begins, so its lane's state is zero before; h0: features x lanes. The gradient
+    stops at the window's start. window, g: to be used again."""
     steps, lanes = inputs.shape
     n = HIDDEN
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    e = p["emb"][inputs]
-    x = e @ p["win"] + p["bin"]
-    h, before, after, kept = h0, [], [], []
-    for t in range(steps):
-        if fresh is not None and fresh[t].any():
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        before.append(h)
-        h, k = step(p, x[t], h)
-        after.append(h)
-        kept.append(k)
-    out = np.stack(after)
-    flat_h, m = out.reshape(-1, n), mask.reshape(-1)
-    total = max(1.0, float(m.sum()))
-    lp = softmax_log(flat_h @ p["wcls"] + p["bcls"])
-    at = np.arange(len(flat_h))
-    c = cls.reshape(-1)
-    loss = -(lp[at, c] * m).sum()
-    d = np.exp(lp)
-    d[at, c] -= 1
-    d *= (m / total)[:, None]
-    g["wcls"], g["bcls"] = flat_h.T @ d, d.sum(0)
-    dh = d @ p["wcls"].T
-    i = np.flatnonzero((mem.reshape(-1) >= 0) & (m > 0))
-    i = i[np.argsort(c[i], kind="stable")]  # class by class: one product each
-    ends = np.searchsorted(c[i], np.arange(len(p["wmem"]) + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        own = i[ends[k] : ends[k + 1]]
-        mi, hi = mem.reshape(-1)[own], flat_h[own]
-        lm = softmax_log(hi @ p["wmem"][k].T + p["bmem"][k])
-        at_k = np.arange(len(own))
-        loss -= lm[at_k, mi].sum()
-        dm = np.exp(lm)
-        dm[at_k, mi] -= 1
-        dm /= total
-        dh[own] += dm @ p["wmem"][k]
-        g["wmem"][k] = dm.T @ hi
-        g["bmem"][k] = dm.sum(0)
-    dh = dh.reshape(steps, lanes, n)
-    dx = np.zeros_like(x)
-    dus = np.zeros_like(x)
-    back = np.zeros_like(h0)
+    window = window or Window(p)
+    new = window.new
+    if g is None:
+        g = {k: np.empty_like(v) for k, v in p.items()}
+    out = window.run(inputs, h0, fresh)
+    last = out[:, -1].copy()
+    x, goal = out.reshape(n, -1), y.reshape(-1)
+    live = None if mask.all() else np.flatnonzero(mask.reshape(-1))
+    if live is not None:
+        x, goal = np.take(x, live, axis=1), goal[live]
+    total = max(1, len(goal))
+    logs, dx = outputs(p, x, goal, new, g, 1 / total)
+    if live is not None:
+        whole = np.zeros((n, steps * lanes), x.dtype)
+        whole[:, live] = dx
+        dx = whole
+    dh = dx.reshape(n, steps, lanes)
+    # what doesn't depend on later steps, for the whole window at once
+    z, r, k = window.gates[:n], window.gates[n : 2 * n], window.gates[2 * n :]
+    keep, by_z, cand = new("keep", *z.shape), new("by_z", *z.shape), window.cand
+    np.subtract(1, z, out=keep)
+    np.subtract(window.before, k, out=by_z)
+    by_z *= z
+    by_z *= keep
+    k *= k
+    np.subtract(1, k, out=k)
+    keep *= k
+    cand *= r
+    np.subtract(1, r, out=k)
+    cand *= k
+    du, dk = new("du", *window.gates.shape), k  # the candidate isn't needed any more
+    own, e, d, back = new("own", 3 * n, lanes), new("k", n, lanes), new("f", n, lanes), new("now", n, lanes)
+    back[:] = 0
+    starts = fresh.any(1)
     for t in range(steps - 1, -1, -1):
-        z, r, k, un = kept[t]
-        d = dh[t] + back
-        dz, dk = d * (before[t] - k) * z * (1 - z), d * (1 - z) * (1 - k * k)
-        dr = dk * un * r * (1 - r)
-        du = dus[t] = np.concatenate([dz, dr, dk * r], 1)
-        dx[t] = np.concatenate([dz, dr, dk], 1)
-        back = d * z + du @ p["rec"].T
-        if fresh is not None and fresh[t].any():
-            back[fresh[t]] = 0
-    g["rec"] = np.concatenate(before).T @ dus.reshape(-1, 3 * n)
-    fx = dx.reshape(-1, 3 * n)
-    g["win"], g["bin"] = e.reshape(-1, EMBED).T @ fx, fx.sum(0)
-    rows, where = np.unique(inputs.reshape(-1), return_inverse=True)
-    hit = np.argsort(where, kind="stable")
-    g["emb"][rows] = np.add.reduceat((fx @ p["win"].T)[hit], np.searchsorted(where[hit], np.arange(len(rows))), axis=0)
-    return loss / total, g, after[-1], total
+        np.add(dh[:, t], back, out=d)
+        np.multiply(d, by_z[:, t], out=own[:n])
+        np.multiply(d, keep[:, t], out=e)
+        np.multiply(e, cand[:, t], out=own[n : 2 * n])
+        np.multiply(e, r[:, t], out=own[2 * n :])
+        np.dot(p["rec"], own, out=back)
+        d *= z[:, t]
+        back += d
+        if starts[t]:
+            back[:, fresh[t]] = 0
+        du[:, t], dk[:, t] = own, e
+    flat_du = du.reshape(3 * n, -1)
+    np.dot(window.before.reshape(n, -1), flat_du.T, out=g["rec"])
+    du[2 * n :] = dk
+    np.dot(window.inputs.reshape(EMBED, -1), flat_du.T, out=g["win"])
+    flat_du.sum(1, out=g["bin"])
+    # sums by token, as tokens repeat
+    read = inputs.reshape(-1).astype(np.int16 if len(p["emb"]) < 1 << 15 else np.int32)
+    hit = np.argsort(read, kind="stable")
+    token, first = np.unique(read[hit], return_index=True)
+    g["emb"][:] = 0
+    g["emb"][token] = np.add.reduceat((flat_du.T @ p["win"].T)[hit], first, axis=0)
+    return -float(logs.sum()) / total, g, last, len(goal)
 
 
 class Adam:
-    def __init__(self, p, rate: float):
+    """Over one vector of parameters; a gradient longer than 1 is cut to 1."""
+
+    def __init__(self, w: np.ndarray, rate: float):
         self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.m, self.v = np.zeros_like(w), np.zeros_like(w)
 
-    def apply(self, p, g) -> None:
+    def apply(self, w: np.ndarray, g: np.ndarray) -> None:
         self.t += 1
-        size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        scale = min(1.0, 1.0 / (size + 1e-9))
-        for k in p:
-            d = g[k] * scale
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.005 * (d * d - self.v[k])
-            p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.995**self.t)) + 1e-6)
-
-
-def _packed(texts: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
-    """Texts dealt to lanes of about equal length, longest lane first; each lane's in an order from a fixed shuffle."""
-    dealt: list[list[np.ndarray]] = [[] for _ in range(min(lanes, len(texts)))]
-    load = [(0, j) for j in range(len(dealt))]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        n, j = heapq.heappop(load)
-        dealt[j].append(texts[i])
-        heapq.heappush(load, (n + len(texts[i]), j))
-    rng = np.random.default_rng(len(texts))
-    mixed = [[own[i] for i in rng.permutation(len(own))] for own in dealt]
-    return sorted(mixed, key=lambda own: -sum(map(len, own)))
-
-
-def train(p, texts: list[np.ndarray], start: int, head: int, rate: float = 0.01, lanes: int = 48, window: int = 32) -> int:
-    """Truncated backpropagation over whole texts (arrays of outputs: row < head * MEMBERS
-    is a head word, later rows are tail classes). A lane reads one text after another;
-    the state goes on from window to window and is zero where a text begins. p changes
-    in place; tokens seen."""
-    dealt = _packed([t for t in texts if len(t)], lanes)
-    streams = [np.concatenate(own) for own in dealt]
-    sizes = [len(s) for s in streams]
-    reads, begins = [], []
-    for own, s in zip(dealt, streams, strict=True):
-        first = np.zeros(len(s), bool)
-        first[np.cumsum([0, *map(len, own[:-1])])] = True
-        reads.append(np.where(first, start, np.concatenate([[start], s[:-1]])))
-        begins.append(first)
-    opt, seen = Adam(p, rate), 0
-    h = np.zeros((len(streams), HIDDEN), np.float32)
-    for t in range(0, sizes[0] if sizes else 0, window):
-        open_ = [j for j in range(len(streams)) if sizes[j] > t]
-        steps = min(window, sizes[0] - t)
-        ids, read = np.zeros((steps, len(open_)), np.int64), np.full((steps, len(open_)), start)
-        mask, fresh = np.zeros((steps, len(open_)), np.float32), np.zeros((steps, len(open_)), bool)
-        for j in open_:
-            n = min(steps, sizes[j] - t)
-            ids[:n, j], read[:n, j], fresh[:n, j], mask[:n, j] = streams[j][t : t + n], reads[j][t : t + n], begins[j][t : t + n], 1
-        is_head = ids < head * MEMBERS
-        cls = np.where(is_head, ids // MEMBERS, ids - head * MEMBERS + head)
-        mem = np.where(is_head, ids % MEMBERS, -1)
-        _, g, h, n = window_gradient(p, read, cls, mem, mask, h[: len(open_)], fresh)
-        opt.apply(p, g)
-        seen += int(n)
+        g *= min(1.0, 1.0 / (float(np.sqrt(np.dot(g, g))) + 1e-9))
+        self.m += 0.1 * (g - self.m)
+        g *= g
+        self.v += 0.005 * (g - self.v)
+        np.divide(self.v, 1 - 0.995**self.t, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=g)
+        w -= (self.rate / (1 - 0.9**self.t)) * g
+
+
+def blocks(texts: Iterable[np.ndarray], start: int, lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts dealt to lanes as these come free: (read, own, fresh, of), steps x lanes
+    each. own: outputs; read: the ones before them, `start` at a text's beginning;
+    fresh: where one begins; of: the text's number, -1 where nothing is left. Memory:
+    one text a lane."""
+    source = enumerate(texts)
+    rest: list[tuple[int, np.ndarray]] = [(-1, np.zeros(0, np.int16))] * lanes
+    before = np.full(lanes, start, np.int64)
+    open_ = True
+    while True:
+        own, of, fresh = np.full((lanes, steps), start, np.int64), np.full((lanes, steps), -1, np.int64), np.zeros((lanes, steps), bool)
+        for j in range(lanes):
+            at = 0
+            i, t = rest[j]
+            while at < steps:
+                if not len(t):
+                    if not open_:
+                        break
+                    i, t = next(source, (-1, None))
+                    if t is None:
+                        open_, t = False, np.zeros(0, np.int16)
+                        break
+                    if not len(t):
+                        continue
+                    fresh[j, at] = True
+                m = min(steps - at, len(t))
+                own[j, at : at + m], of[j, at : at + m] = t[:m], i
+                t, at = t[m:], at + m
+            rest[j] = (i, t)
+        used = np.flatnonzero((of >= 0).any(1))
+        if not len(used):
+            return
+        read = np.concatenate([before[:, None], own[:, :-1]], 1)
+        read[fresh] = start
+        before = own[:, -1]
+        if len(used) < lanes:  # lanes left without a text stay so
+            own, of, fresh, read, before = own[used], of[used], fresh[used], read[used], before[used]
+            rest = [rest[j] for j in used]
+            lanes = len(used)
+            yield np.ascontiguousarray(read.T), np.ascontiguousarray(own.T), np.ascontiguousarray(fresh.T), np.ascontiguousarray(of.T), used
+        else:
+            yield np.ascontiguousarray(read.T), np.ascontiguousarray(own.T), np.ascontiguousarray(fresh.T), np.ascontiguousarray(of.T), None
+
+
+def train(w: np.ndarray, texts: Iterable[np.ndarray], start: int, classes: int, rate: float = 0.003, lanes: int = 256, window: int = 32) -> int:
+    """Truncated backpropagation over every token of whole texts (arrays of outputs):
+    the state goes on from window to window, the gradient stops at a window's start.
+    w, the parameters as one vector, changes in place; returns the tokens seen."""
+    p = unflat(w, classes)
+    grad = np.empty_like(w)
+    g = unflat(grad, classes)
+    opt, seen = Adam(w, rate), 0
+    h, held = np.zeros((HIDDEN, lanes), w.dtype), Window(p)
+    for read, own, fresh, of, used in blocks(texts, start, lanes, window):
+        if used is not None:
+            h = h[:, used]
+        _, _, h, n = window_gradient(p, read, own, of >= 0, h, fresh, held, g)
+        opt.apply(w, grad)
+        seen += n
     return seen
 
 
-def log10_likelihood(p, rows: list[np.ndarray], start: int, head: int, lanes: int = 4096, together: int = 16384) -> np.ndarray:
-    """log10 of the probability of each text's outputs (class, and member in head
-    classes). The state goes on to the text's end, from window to window; outputs
-    are looked at for about `together` tokens at a time."""
-    gates = p["emb"] @ p["win"] + p["bin"]
-    n = HIDDEN
-    # no output of a class is above this, as states lie between -1 and 1
-    most = float((p["bcls"] + np.abs(p["wcls"]).sum(0)).max())
-    low = float((p["bcls"] - np.abs(p["wcls"]).sum(0)).max())
-    fixed = most - low < 60
-    members = np.ascontiguousarray(p["wmem"].transpose(0, 2, 1))
-    out = np.zeros(len(rows))
-    sizes = np.array([len(r) for r in rows], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    for at in range(0, len(order), lanes):
-        own = order[at : at + lanes]
-        size = sizes[own]
-        steps = int(size[0])
-        alive = np.searchsorted(-size, -np.arange(steps), side="left")
-        first = np.cumsum(size) - size
-        ids = np.concatenate([rows[i] for i in own])
-        h = np.zeros((len(own), n), np.float32)
-        prev = np.full(len(own), start)
-        total = np.zeros(len(own))
-        t = 0
-        while t < steps:
-            states, targets, ks, held = [], [], [], 0
-            while t < steps and held < together:
-                k = int(alive[t])
-                x = gates[prev[:k]]
-                h = h[:k]
-                u = h @ p["rec"]
-                zr = x[:, : 2 * n] + u[:, : 2 * n]
-                np.negative(zr, out=zr)
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                c = zr[:, n:] * u[:, 2 * n :]
-                c += x[:, 2 * n :]
-                np.tanh(c, out=c)
-                h = c + zr[:, :n] * (h - c)
-                now = ids[first[:k] + t]
-                states.append(h)
-                targets.append(now)
-                ks.append(k)
-                prev = now
-                held += k
-                t += 1
-            y = np.concatenate(targets)
-            x = np.concatenate(states)
-            lane = np.concatenate([np.arange(k) for k in ks]) if len(ks) > 1 else np.arange(ks[0])
-            is_head = y < head * MEMBERS
-            cls = np.where(is_head, y // MEMBERS, y - head * MEMBERS + head)
-            logit = x @ p["wcls"]
-            logit += p["bcls"]
-            shift = np.float32(most) if fixed else logit.max(1, keepdims=True)
-            logit -= shift
-            lp = logit[np.arange(len(y)), cls].astype(np.float64)
-            np.exp(logit, out=logit)
-            lp -= np.log(logit.sum(1))
-            by = np.flatnonzero(is_head)
-            by = by[np.argsort(cls[by].astype(np.int16), kind="stable")]
-            ends = np.searchsorted(cls[by], np.arange(head + 1))
-            for k in np.flatnonzero(np.diff(ends)):
-                i = by[ends[k] : ends[k + 1]]
-                lm = softmax_log(x[i] @ members[k] + p["bmem"][k])
-                lp[i] += lm[np.arange(len(i)), y[i] - k * MEMBERS]
-            total += np.bincount(lane, weights=lp, minlength=len(own))
-        out[own] = total / np.log(10)
-    return out
+def log10_likelihood(w: np.ndarray, texts: Iterable[np.ndarray], start: int, classes: int, lanes: int = 512, window: int = 32) -> Iterator[tuple[int, float]]:
+    """(number, log10 of the probability) of each text that isn't empty, in the order
+    in which they end. The state goes on to a text's end."""
+    p = unflat(w, classes)
+    h, held = np.zeros((HIDDEN, lanes), w.dtype), Window(p)
+    total: dict[int, float] = {}
+    for read, own, fresh, of, used in blocks(texts, start, lanes, window):
+        if used is not None:
+            h = h[:, used]
+        out = held.run(read, h, fresh)
+        h = out[:, -1].copy()
+        which = of.reshape(-1)
+        live = np.flatnonzero(which >= 0)
+        x, y = out.reshape(HIDDEN, -1), own.reshape(-1)
+        if len(live) < len(which):
+            x, y, which = np.take(x, live, axis=1), y[live], which[live]
+        got, _ = outputs(p, x, y, held.new)
+        texts_here, of_text = np.unique(which, return_inverse=True)
+        for i, s in zip(texts_here.tolist(), np.bincount(of_text, weights=got).tolist(), strict=True):
+            total[i] = total.get(i, 0.0) + s
+        going = set(of[-1].tolist())  # texts that may go on
+        for i in [i for i in total if i not in going]:
+            yield i, total.pop(i) / np.log(10)
+    for i, s in total.items():
+        yield i, s / np.log(10)

@@ -2,190 +2,210 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm import gru
-from seqspark.llm.common import materialise
+from seqspark.llm import gru, wordkeys
+from seqspark.llm.common import materialise, release
 
-END = b""  # no word is empty
+#: Words in a task's own table, classes of frequent words, classes of all others (by spelling).
+TABLE_WORDS, HEAD, TAIL = 200_000, 32, 1 << wordkeys.CLASS_BITS
 
-#: Words looked up in a task's own table (each of 64 bytes at most), head classes, tail classes.
-TABLE_WORDS, WORD_BYTES, HEAD, TAIL = 200_000, 64, 32, 128
+CLASSES = HEAD + TAIL // gru.MEMBERS
 
-#: Tokens that a task holds at a time for training; rounds of local training on every token, and averaging.
-HELD_TOKENS, ROUNDS = 1_000_000, 2
+#: The training rows are dealt into so many parts, each trained on from the average that
+#: the one before gave; a part into shards of about so many tokens, but no more than MAX_SHARDS.
+PARTS, SHARD_TOKENS, MAX_SHARDS = 4, 1_000_000, 10_000
 
-BLOCK = 512  # weights averaged together
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z), then one end."""
-    out = (text or "").encode().lower().split()
-    out.append(END)
-    return out
+#: Texts of so many tokens begin first, so that they don't go on alone at a task's end.
+LONG_TOKENS = 2_048
 
-
-def tail_class(word: bytes) -> int:
-    """The tail class of a word: by its last two letters and what follows them."""
-    core = word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    end = word[len(core) :][:1]
-    kind = 0 if not end else 1 if end == b"," else 2 if end == b"." else 3
-    last = core.decode(errors="replace")[-2:].encode() if core else word[:1]
-    return (zlib.crc32(last) % (TAIL // 4)) * 4 + kind
+BLOCK = 512  # weights averaged together
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, c): each token of all rows with its count; counted in the tasks first."""
+    """(w, c): the key of each token of all rows with its count; counted in the tasks first."""
 
     def run(batches):
-        n: Counter = Counter()
+        counts = wordkeys.Counts()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n.update(tokens(t))
-                if len(n) > 500_000:
-                    yield out(n)
-                    n = Counter()
-        yield out(n)
+            for _, _, keys, _ in wordkeys.tokens(batch, 0):
+                yield from map(out, counts.add(keys))
+        yield from map(out, counts.rest())
+        del counts
+        release()
 
-    def out(n):
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["w", "c"])
+    def out(pair):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["w", "c"])
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _class_totals(batches):
-    c, v = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
-    for batch in batches:
-        k = np.array([tail_class(w) for w in batch.column(0).to_pylist()], np.int64)
-        if len(k):
-            c += np.bincount(k, weights=batch.column(1).to_numpy(), minlength=TAIL).astype(np.int64)
-            v += np.bincount(k, minlength=TAIL)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL), pa.int32()), pa.array(c), pa.array(v)], names=["k", "c", "v"])
-
-
-class Lookup:
-    """Words of the task's table: their output row in the network and log10(c + 1)."""
-
-    def __init__(self, model: dict):
-        self.index = {w: i for i, w in enumerate(model["words"])}
-        self.rows = np.append(model["rows"], 0)
-        self.logs = np.append(np.log10(model["counts"] + 1.0), 0.0)
-        self.head = HEAD * gru.MEMBERS
-        self.far: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None):
-        """(positions in the table, -1 for others; output row of each token; the others)."""
-        words = tokens(text)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        rows = self.rows[at]
-        lost = np.flatnonzero(at < 0)
-        rest = [words[i] for i in lost]
-        if len(self.far) > 200_000:
-            self.far.clear()
-        for j, w in zip(lost.tolist(), rest, strict=True):
-            k = self.far.get(w)
-            if k is None:
-                k = self.far[w] = self.head + tail_class(w)
-            rows[j] = k
-        return at, rows, rest
-
-
-def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The words above some count, TABLE_WORDS at most, most frequent first.
+def _frequent(counts: DataFrame) -> list[tuple[int, int]]:
+    """The words above some count, TABLE_WORDS at most, and the end; most frequent first.
 
     The count comes from a histogram (eight classes to each doubling), so the
     driver gets its few hundred rows and then only the words themselves."""
     step = F.floor(F.log2("c") * 8)
-    short = counts.where(F.length("w") <= WORD_BYTES)
     room, least = TABLE_WORDS, None
-    for r in sorted(short.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
         if r["n"] > room:
             break
         room, least = room - r["n"], r["s"]
-    if least is None:
-        return []
-    got = short.where((step >= least) | (F.length("w") == 0)).toArrow()
+    keep = F.col("w") == wordkeys.END
+    got = counts.where(keep if least is None else (step >= least) | keep).toArrow()
     return sorted(zip(got["w"].to_pylist(), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, rate: float = 0.01) -> tuple[dict, DataFrame]:
-    """(model, word counts) from all rows of docs.
-
-    Word counts, class totals and the network's training all cover every row and
-    grow with the input. The network trains in each task on every token of that
-    task's documents, by truncated backpropagation with the state carried to a
-    document's end; the tasks' weights are averaged by tokens seen, and a second
-    round starts from the average. The
-    driver gets the counts' totals, at most TABLE_WORDS words and the weights.
-    """
-    spark = docs.sparkSession
-    counts = materialise(count_words(docs, text_col), "words")
+def vocabulary(counts: DataFrame) -> dict:
+    """The model before training: words of the table with their outputs and counts, totals,
+    and weights that make it the class-factored unigram model."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     listed = _frequent(counts)
     members = HEAD * gru.MEMBERS
     inside = listed[:members]
-    end = next((x for x in listed if x[0] == END), None)
+    end = next((x for x in listed if x[0] == wordkeys.END), None)
     if end and end not in inside:  # the end is always told apart
         inside[-1] = end
     names = {w for w, _ in inside}
     ordered = inside + [x for x in listed if x[0] not in names]
-    words = [w for w, _ in ordered]
+    keys = np.array([w for w, _ in ordered], np.int64)
     c = np.array([k for _, k in ordered], np.int64)
-    rows = np.array([i if i < len(inside) else members + tail_class(w) for i, w in enumerate(words)], np.int64)
-    head_words = spark.createDataFrame([(bytearray(w),) for w in sorted(names)], "w binary") if names else None
-    far = counts.join(F.broadcast(head_words), "w", "left_anti") if names else counts  # at most 1,024 words of 64 bytes
-    totals = far.select("w", "c").mapInArrow(_class_totals, "k int, c bigint, v bigint").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
+    rows = np.where(np.arange(len(keys)) < len(inside), np.arange(len(keys)), members + (keys & (TAIL - 1)))
+    far = counts.where(~F.col("w").isin(sorted(names))) if names else counts  # 1,024 keys at most
     tail_c, tail_v = np.zeros(TAIL), np.zeros(TAIL)
-    for r in totals:
+    for r in far.groupBy(F.col("w").bitwiseAND(F.lit(TAIL - 1)).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         tail_c[r["k"]], tail_v[r["k"]] = r["c"], r["v"]
-    member = np.zeros((HEAD, gru.MEMBERS))
-    member.reshape(-1)[: len(inside)] = [k for _, k in inside]
-    p = gru.init(HEAD, TAIL, np.concatenate([member.sum(1), tail_c]), member)
-    start = int(next((i for i, w in enumerate(words) if w == END), 0))
-    model = {"words": words, "counts": c, "rows": rows, "n": int(n), "v": int(v), "tail_log": np.log10(tail_c + tail_v + 1), "start": start, "weights": gru.flat(p)}
-    texts = docs.select(F.col(text_col).alias("t"))
-    for _ in range(rounds if n else 0):
-        model["weights"] = _round(texts, model, rate)
-    return model, counts
+    by_output = np.zeros(CLASSES * gru.MEMBERS)
+    by_output[: len(inside)] = [k for _, k in inside]
+    by_output[members:] = tail_c
+    start = int(np.flatnonzero(keys == wordkeys.END)[0]) if len(keys) else 0
+    weights = gru.flat(gru.init(by_output.reshape(CLASSES, gru.MEMBERS)))
+    return {"keys": keys, "rows": rows.astype(np.int16), "logs": np.log10(c + 1.0), "n": int(n), "v": int(v), "tail_log": np.log10(tail_c + tail_v + 1), "start": start, "weights": weights}
+
+
+ENCODED = "uid bigint, id string, train boolean, key bigint, n_tokens bigint, known bigint, base double, own double, rest array<bigint>, ids binary"
 
 
-def _round(texts: DataFrame, model: dict, rate: float) -> np.ndarray:
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def encode(docs: DataFrame, model: dict, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs, its whole text as outputs of the network (`ids`, 16 bits
+    each), with what the word counts alone say: known tokens, base (log10 under the
+    counts), own (what listed words of tail classes add to the network's score), and
+    the keys of the words that aren't in the model's table."""
+    small = {k: model[k] for k in ("keys", "rows", "logs", "n", "v", "tail_log")}
+    shared = docs.sparkSession.sparkContext.broadcast(small)
 
     def run(batches):
-        look = Lookup(shared.value)
-        p = gru.unflat(shared.value["weights"].copy(), HEAD, TAIL)
-        seen, held, size = 0, [], 0
+        m = shared.value
+        table, members = wordkeys.Table(m["keys"]), HEAD * gru.MEMBERS
+        rows, logs = np.append(m["rows"], 0), np.append(m["logs"], 0.0)
+        unit = np.log10(m["n"] + m["v"] + 1.0)
+        within = np.append(np.zeros(members), m["tail_log"])
+        extra = np.append(np.where(m["rows"] >= members, m["logs"], 0.0), 0.0)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(look(t)[1])
-                size += len(held[-1])
-                if size >= HELD_TOKENS:
-                    seen += gru.train(p, held, shared.value["start"], HEAD, rate)
-                    held, size = [], 0
-        if held:
-            seen += gru.train(p, held, shared.value["start"], HEAD, rate)
+            for i, j, keys, first in wordkeys.tokens(batch, 4):
+                at = table.find(keys)
+                lost = np.flatnonzero(at < 0)
+                row = rows[at]
+                row[lost] = members + (keys[lost] & (TAIL - 1))
+                n = np.diff(first)
+                base, own = np.add.reduceat(logs[at], first[:-1]) - n * unit, np.add.reduceat(extra[at] - within[row], first[:-1])
+                far = np.searchsorted(lost, first)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(k) for k in range(4)),
+                        pa.array(n, pa.int64()),
+                        pa.array(n - np.diff(far), pa.int64()),
+                        pa.array(base),
+                        pa.array(own),
+                        pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(keys[lost], pa.int64())),
+                        pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(row.astype("<i2"))]),
+                    ],
+                    names=["uid", "id", "train", "key", "n_tokens", "known", "base", "own", "rest", "ids"],
+                )
+        release()
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"),
+        F.col(id_col).cast("string").alias("id"),
+        F.coalesce(train, F.lit(False)).alias("train"),
+        F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("key"),
+        F.col(text_col).alias("t"),
+    )
+    return materialise(rows.mapInArrow(run, ENCODED), "encoded")
+
+
+def _texts(batches, column: int, seen=None) -> Iterator[np.ndarray]:
+    """The outputs of each row's text; seen: gets each batch first."""
+    for batch in batches:
+        if seen:
+            seen(batch)
+        data, at = wordkeys.buffers(batch.column(column))
+        ids = np.frombuffer(data, "<i2") if len(data) else np.zeros(0, np.int16)
+        for a, b in zip((at[:-1] // 2).tolist(), (at[1:] // 2).tolist(), strict=True):
+            yield ids[a:b]
+
+
+def fit(encoded: DataFrame, model: dict, parts: int = PARTS, rate: float = 0.003, shard_tokens: int = SHARD_TOKENS) -> np.ndarray:
+    """The network's weights after reading every token of the rows marked `train`, once.
+
+    Rows go to parts and shards by hash of id and text, so the weights depend on the
+    rows alone, not on how a table is split into files. Each shard trains from the
+    weights so far, by truncated backpropagation with the state carried to each
+    text's end; a part's shards are averaged by tokens seen."""
+    weights = model["weights"]
+    shards = max(1, min(MAX_SHARDS, -(-model["n"] // (parts * shard_tokens))))
+    for part in range(parts):
+        own = encoded.where(F.col("train") & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)) == part)).select((F.col("n_tokens") >= LONG_TOKENS).alias("long"), "key", "ids")
+        own = own.repartition(shards, "key").sortWithinPartitions(F.col("long").desc(), "key").select("ids")
+        blocks = own.mapInArrow(_trainer(encoded, weights, model["start"], rate), _WEIGHTS).groupBy("k").applyInArrow(_total, _WEIGHTS).collect()
+        if blocks:
+            weights = np.concatenate([np.array(r["w"]) / r["n"] for r in sorted(blocks, key=lambda r: r["k"])]).astype(np.float32)
+    return weights
+
+
+_WEIGHTS = "k int, shard int, w array<double>, n bigint"
+
+
+def _trainer(frame: DataFrame, weights: np.ndarray, start: int, rate: float):
+    shared = frame.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w = shared.value.copy()
+        seen = gru.train(w, _texts(batches, 0), start, CLASSES, rate)
+        release()
         if seen:
-            w = gru.flat(p).astype(np.float64) * seen
-            parts = [w[i : i + BLOCK] for i in range(0, len(w), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64())), pa.array([seen] * len(parts), pa.int64())], names=["k", "w", "n"])
+            parts = [w[i : i + BLOCK].astype(np.float64) * seen for i in range(0, len(w), BLOCK)]
+            context = TaskContext.get()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([context.partitionId() if context else 0] * len(parts), pa.int32()), pa.array(parts, pa.list_(pa.float64())), pa.array([seen] * len(parts), pa.int64())], names=["k", "shard", "w", "n"])
+
+    return run
+
+
+def _total(t: pa.Table) -> pa.Table:
+    t = t.sort_by("shard").combine_chunks()
+    w = t["w"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(0)
+    return pa.table({"k": t["k"].slice(0, 1).cast(pa.int32()), "shard": pa.array([0], pa.int32()), "w": pa.array([w], pa.list_(pa.float64())), "n": pa.array([t["n"].to_numpy().sum()], pa.int64())})
 
-    def total(t: pa.Table) -> pa.Table:
-        w = np.sum([np.asarray(x) for x in t["w"].to_pylist()], 0)
-        return pa.table({"k": t["k"].slice(0, 1).cast(pa.int32()), "w": pa.array([w], pa.list_(pa.float64())), "n": pa.array([sum(t["n"].to_pylist())], pa.int64())})
 
-    schema = "k int, w array<double>, n bigint"
-    blocks = texts.mapInArrow(run, schema).groupBy("k").applyInArrow(total, schema).collect()
-    if not blocks:
-        return model["weights"]
-    return np.concatenate([np.array(r["w"]) / r["n"] for r in sorted(blocks, key=lambda r: r["k"])]).astype(np.float32)
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rate: float = 0.003) -> tuple[dict, DataFrame]:
+    """(model, word counts) from all rows of docs.
+
+    Word counts, class totals and the network's training all cover every row and
+    grow with the input; the network reads every token once. The driver gets the
+    counts' totals, at most TABLE_WORDS keys and the weights.
+    """
+    counts = materialise(count_words(docs, text_col), "words")
+    model = vocabulary(counts)
+    if model["n"] and parts:
+        model["weights"] = fit(encode(docs, model, F.lit(True), id_col, text_col), model, parts, rate)
+    return model, counts
 
 
 def score(docs: DataFrame, model: dict, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,43 +217,54 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, id_col: str = "doc_id
     are looked up in the whole table of counts by a join, split where skewed.
 
     A null text is empty: one token, the end. Without any training token all
-    words are unknown, base_score is 0 and so is score. Repeated rows give
-    repeated results, null ids stay null, other columns are not looked at.
+    words are unknown, base_score is 0 and so is score. An empty table gives no
+    rows. Repeated rows give repeated results, null ids stay null, other columns
+    are not looked at. Long texts are cut into pieces between words while they
+    are encoded, and read window by window; a task holds the outputs (two bytes a
+    token) of the texts that it reads at the time.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(encode(docs, model, F.lit(False), id_col, text_col), model, counts, id_col, docs.schema[id_col].dataType.simpleString())
+
+
+def _scored(encoded: DataFrame, model: dict, counts: DataFrame, id_col: str, kind: str) -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast((model["weights"], model["start"], model["n"]))
+    columns = ["uid", "id", "n_tokens", "known", "base", "own"]
+    schema = pa.schema([("uid", pa.int64()), ("id", pa.string()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
 
     def run(batches):
-        m = shared.value
-        look = Lookup(m)
-        p = gru.unflat(m["weights"], HEAD, TAIL)
-        members, within = look.head, m["tail_log"]
-        unit = np.log10(m["n"] + m["v"] + 1.0)
-        # what a listed word adds beyond its class
-        extra = np.append(np.where(look.rows[:-1] >= members, look.logs[:-1], 0.0), 0.0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                n, known, base, own, rest, rows = [], [], [], [], [], []
-                for t in part.column(2).to_pylist():
-                    i, r, lost = look(t)
-                    n.append(len(i))
-                    known.append(len(i) - len(lost))
-                    base.append(float(look.logs[i].sum()) - len(i) * unit)
-                    far = r[r >= members] - members
-                    own.append(float(extra[i].sum() - within[far].sum()))
-                    rest.append(lost)
-                    rows.append(r)
-                total = gru.log10_likelihood(p, rows, m["start"], HEAD) + np.array(own) if m["n"] else np.zeros(len(n))
-                yield pa.RecordBatch.from_pydict({"uid": part.column(0), "id": part.column(1), "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "own": pa.array(total, pa.float64()), "rest": pa.array(rest, pa.list_(pa.binary()))})
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    rows = materialise(rows.mapInArrow(run, "uid bigint, id string, n_tokens bigint, known bigint, base double, own double, rest array<binary>"), "scored")
-    met = rows.select("uid", F.explode("rest").alias("w")).join(counts, "w")
+        weights, start, n = shared.value
+        held: dict[int, tuple] = {}
+        out: list[tuple] = []
+
+        def take(batch):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                held[take.next] = row
+                take.next += 1
+
+        take.next = 0
+
+        def flush():
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+            return made
+
+        texts = _texts((b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)), 6, take)
+        for i, s in gru.log10_likelihood(weights, texts, start, CLASSES) if n else ((i, None) for i, _ in enumerate(texts)):
+            *row, own = held.pop(i)
+            out.append((*row, 0.0 if s is None else own + s))
+            if len(out) == 4096:
+                yield flush()
+        if out:
+            yield flush()
+        release()
+
+    # long texts begin first
+    rows = encoded.sortWithinPartitions((F.col("n_tokens") >= LONG_TOKENS).desc()).select(*columns, "ids")
+    rows = rows.mapInArrow(run, "uid bigint, id string, n_tokens bigint, known bigint, base double, own double")
+    met = encoded.select("uid", F.explode("rest").alias("w")).join(counts, "w")
     more = met.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("found"))
-    out = rows.drop("rest").join(more, "uid", "left")
     add = F.coalesce("more", F.lit(0.0))
-    return out.select(
+    return rows.join(more, "uid", "left").select(
         F.col("id").cast(kind).alias(id_col),
         "n_tokens",
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
@@ -243,7 +274,11 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, id_col: str = "doc_id
     )
 
 
-def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """score() of all rows by what learn() finds in those where `train` holds."""
-    model, counts = learn(docs.where(train), id_col, text_col, **kw)
-    return score(docs, model, counts, id_col, text_col)
+def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rate: float = 0.003) -> DataFrame:
+    """score() of all rows by what learn() finds in those where `train` holds; texts are encoded once."""
+    counts = materialise(count_words(docs.where(train), text_col), "words")
+    model = vocabulary(counts)
+    encoded = encode(docs, model, train, id_col, text_col)
+    if model["n"]:
+        model["weights"] = fit(encoded, model, parts, rate)
+    return _scored(encoded, model, counts, id_col, docs.schema[id_col].dataType.simpleString())

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.llm import gru, lm, toxicity
+from seqspark.llm import gru, lm, toxicity, wordkeys
 from seqspark.llm.html import extract, main_text
 from seqspark.llm.langid import identify, learn, train_and_identify
 from seqspark.llm.queries import piece_model
@@ -163,14 +164,13 @@ def test_toxicity_and_identity_terms(spark):
 
 def test_network_gradient():
     rng = np.random.default_rng(0)
-    head, tail = 3, 5
-    p = gru.init(head, tail, rng.integers(1, 50, head + tail).astype(float), rng.integers(1, 50, (head, gru.MEMBERS)).astype(float))
+    classes = 3
+    p = gru.init(rng.integers(1, 50, (classes, gru.MEMBERS)).astype(float))
     p = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in p.items()}
-    read, y = rng.integers(0, head * 32 + tail, (6, 4)), rng.integers(0, head * 32 + tail, (6, 4))
-    cls, mem = np.where(y < head * 32, y // 32, y - head * 32 + head), np.where(y < head * 32, y % 32, -1)
-    mask, h0 = (rng.random((6, 4)) < 0.8).astype(float), rng.standard_normal((4, gru.HIDDEN)) * 0.3
-    loss = lambda: gru.window_gradient(p, read, cls, mem, mask, h0)[0]
-    g = gru.window_gradient(p, read, cls, mem, mask, h0)[1]
+    read, y = rng.integers(0, classes * 32, (6, 4)), rng.integers(0, classes * 32, (6, 4))
+    mask, fresh, h0 = rng.random((6, 4)) < 0.8, rng.random((6, 4)) < 0.2, rng.standard_normal((gru.HIDDEN, 4)) * 0.3
+    loss = lambda: gru.window_gradient(p, read, y, mask, h0, fresh)[0]
+    g = gru.window_gradient(p, read, y, mask, h0, fresh)[1]
     for k in p:
         for _ in range(4):
             i = tuple(rng.integers(0, s) for s in p[k].shape)
@@ -183,18 +183,73 @@ def test_network_gradient():
             assert (up - down) / 2e-5 == pytest.approx(g[k][i], abs=1e-7)
 
 
+def plain_log10(w, rows, start, classes):
+    """The network's score of one text, token by token."""
+    p = {k: v.astype(np.float64) for k, v in gru.unflat(w, classes).items()}
+    n, h, before, total = gru.HIDDEN, np.zeros(gru.HIDDEN), start, 0.0
+    for y in rows:
+        x, u = p["emb"][before] @ p["win"] + p["bin"], h @ p["rec"]
+        z, r = (1 / (1 + np.exp(-(x[a:b] + u[a:b]))) for a, b in ((0, n), (n, 2 * n)))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+        for logit, k in ((h @ p["wcls"] + p["bcls"], y // 32), (h @ p["wmem"][y // 32] + p["bmem"][y // 32], y % 32)):
+            total += logit[k] - np.log(np.exp(logit).sum())
+        before = y
+    return total / math.log(10)
+
+
+def trained(texts, classes=3, **kw):
+    w = gru.flat(gru.init(np.ones((classes, gru.MEMBERS))))
+    assert gru.train(w, iter(texts), 0, classes, **kw) == sum(map(len, texts))
+    return w
+
+
 def test_network_is_a_distribution():
     rng = np.random.default_rng(1)
-    head, tail = 2, 3
-    p = gru.init(head, tail, np.ones(head + tail), np.ones((head, gru.MEMBERS)))
-    n = head * gru.MEMBERS + tail
-    first = rng.integers(0, n, 40)
-    rows = [np.append(first, k) for k in range(n)]
-    whole = gru.log10_likelihood(p, rows, 0, head, lanes=7, together=50)
-    begin = gru.log10_likelihood(p, [first], 0, head)[0]
+    first = rng.integers(0, 96, 40)
+    w = trained([first, first[:7]], lanes=2, window=8)
+    rows = [np.append(first, k) for k in range(96)]
+    whole = np.array([s for _, s in sorted(gru.log10_likelihood(w, rows, 0, 3, lanes=7, window=5))])
+    begin = dict(gru.log10_likelihood(w, [first], 0, 3))[0]
     assert (10 ** (whole - begin)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_network_scores_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 96, n) for n in (1, 300, 5, 77, 0, 64, 2)]
+    w = trained(texts, lanes=3, window=16)
+    got = dict(gru.log10_likelihood(w, texts, 0, 3, lanes=2, window=16))
+    assert sorted(got) == [0, 1, 2, 3, 5, 6]
+    for i, s in got.items():
+        assert s == pytest.approx(plain_log10(w, texts[i], 0, 3), rel=1e-4)
+    steep = w * 60  # softmax without its shift would overflow
+    assert dict(gru.log10_likelihood(steep, texts[:1], 0, 3))[0] < 0
+
+
+def test_word_keys(monkeypatch):
+    rng = random.Random(0)
+    texts = ["", None, "a b a", "  x\ty\x0bz\x0c\r\n", "A.b, (c) ...", "z" * 300 + " the THE The", "É école", "\x1c\x85 \u3000x"]
+    texts += [" ".join(rng.choice(["the", "cat", "Dog,", "dog.", "x" * rng.randint(1, 80), "!!"]) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    for piece in (1 << 20, 150):  # the second cuts long texts
+        monkeypatch.setattr(wordkeys, "PIECE", piece)
+        got = [k[f[a] : f[a + 1]].tolist() for i, j, k, f in wordkeys.tokens(batch, 0) for a in range(j - i)]
+        there, back = {}, {}
+        for t, keys in zip(texts, got, strict=True):
+            words = (t or "").encode().lower().split() + [b""]
+            assert len(words) == len(keys)
+            for w, k in zip(words, keys, strict=True):
+                assert there.setdefault(w, k) == k and back.setdefault(k, w) == w
+    keys = np.array(sorted(back), np.int64)
+    table = wordkeys.Table(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys + 128) < 0).all()
+    counts = wordkeys.Counts(limit=20)
+    parts = [x for k in got for x in counts.add(np.array(k))] + list(counts.rest())
+    sums = Counter()
+    for k, c in parts:
+        sums.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    assert sums == Counter(k for own in got for k in own)
+
+
 def test_language_model(spark):
     rng = random.Random(4)
     en, de = EN.split(), DE.split()
@@ -219,44 +274,83 @@ def test_language_model(spark):
     assert lm.train_and_score(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(EN.split()) for _ in range(rng.randint(1, 60))) for _ in range(120)] + ["the cat " * 1500]
+    df = documents(spark, texts)
+    one, four = ({r.doc_id: r.score for r in lm.train_and_score(df.repartition(n), F.lit(True)).collect()} for n in (1, 4))
+    assert one == pytest.approx(four, rel=1e-6) and len(one) == 121
+
+
+def test_scores_equal_plain_ones(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([*EN.split(), f"rare{rng.randint(0, 900)}."]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    df = documents(spark, texts)
+    model, counts = lm.learn(df)
+    c = {r.w: r.c for r in counts.collect()}
+    row = dict(zip(model["keys"].tolist(), model["rows"].tolist(), strict=True))
+    totals = Counter()  # of tail classes: tokens + words + 1
+    for k, i in row.items():
+        if i >= lm.HEAD * 32:
+            totals[i] += c[k] + 1
+    got = {r.doc_id: r.score for r in lm.score(df, model, counts).collect()}
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    for i, j, keys, first in wordkeys.tokens(batch, 0):
+        for a in range(i, j):
+            own = keys[first[a - i] : first[a - i + 1]].tolist()
+            want = plain_log10(model["weights"], [row[k] for k in own], model["start"], lm.CLASSES)
+            want += sum(math.log10((c[k] + 1) / (totals[row[k]] + 1)) for k in own if row[k] >= lm.HEAD * 32)
+            assert got[a] == pytest.approx(want, rel=1e-4)
+
+
 def test_network_trains_on_every_token():
-    # texts of three lengths: all their tokens are seen, and the gradient across a text's begin is that of separate texts
+    # texts of several lengths: all their tokens are seen, and the gradient across a text's begin is that of separate texts
     rng = np.random.default_rng(2)
-    head, tail = 2, 3
-    p = gru.init(head, tail, np.ones(head + tail), np.ones((head, gru.MEMBERS)))
-    texts = [rng.integers(0, head * gru.MEMBERS + tail, n) for n in (5, 700, 90, 1)]
-    assert gru.train({k: v.copy() for k, v in p.items()}, texts, 0, head, lanes=2) == 796
-    a, b = rng.integers(0, 64, (3, 1)), rng.integers(0, 64, (4, 1))
+    texts = [rng.integers(0, 96, n) for n in (5, 700, 90, 1)]
+    for kw in ({"lanes": 2}, {"lanes": 8, "window": 7}):
+        trained(texts, **kw)
+        seen = {i: [] for i in range(4)}
+        for read, own, fresh, of, _ in gru.blocks(iter(texts), 95, **{"lanes": 8, "steps": 7}):
+            for j in range(own.shape[1]):
+                for t in np.flatnonzero(of[:, j] >= 0):
+                    i = int(of[t, j])
+                    assert fresh[t, j] == (not seen[i]) and read[t, j] == (seen[i][-1] if seen[i] else 95)
+                    seen[i].append(int(own[t, j]))
+        assert seen == {i: t.tolist() for i, t in enumerate(texts)}
+    p = gru.init(np.ones((3, gru.MEMBERS)))
+    a, b = rng.integers(0, 96, (3, 1)), rng.integers(0, 96, (4, 1))
     both, fresh = np.concatenate([a, b]), np.zeros((7, 1), bool)
     fresh[[0, 3]] = True
-    zero = np.zeros((1, gru.HIDDEN), np.float32)
-    part = lambda x, **kw: gru.window_gradient(p, x, x // 32, x % 32, np.ones(x.shape), zero, **kw)[1]
-    whole, first, last = part(both, fresh=fresh), part(a), part(b)
+    zero = np.zeros((gru.HIDDEN, 1), np.float32)
+    part = lambda x, f: gru.window_gradient(p, x, x, np.ones(x.shape, bool), zero, f)[1]
+    whole, first, last = part(both, fresh), part(a, fresh[:3]), part(b, fresh[:4] & False)
     for k in p:
         assert whole[k] == pytest.approx((3 * first[k] + 4 * last[k]) / 7, abs=1e-6)
 
 
-def test_long_texts_are_trained_to_their_end(spark, monkeypatch):
-    # a word's neighbours are learned from any place of a long text, in one piece with what comes before
-    seen = []
-    real = gru.train
-    monkeypatch.setattr(gru, "train", lambda p, texts, *a, **kw: seen.append([len(t) for t in texts]) or real(p, texts, *a, **kw))
-    docs = documents(spark, ["the cat " * 1000, "a dog", None]).coalesce(1)
-    rows = docs.select("text").toArrow().to_batches()
-    model, _ = lm.learn(docs, rounds=0)
-
-    class Rows:
-        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda m: type("B", (), {"value": m}))})})
-
-        def mapInArrow(self, run, schema):
-            self.out = list(run(iter(rows)))
-            return self
-
-        groupBy = applyInArrow = lambda self, *a: self
-        collect = lambda self: []
-
-    lm._round(Rows(), model, 0.01)
-    assert seen == [[2001, 3, 1]]
+def test_every_training_row_is_read_once(spark, monkeypatch):
+    # in one piece, to its end; rows that aren't marked stay out
+    docs = documents(spark, ["the cat " * 1500, "a dog", None, *(f"word{i} and" for i in range(50))])
+    train = F.col("doc_id") != 1
+    counts = lm.count_words(docs.where(train))
+    model = lm.vocabulary(counts)
+    rows = lm.encode(docs, model, train).where("train").select("key", "n_tokens", "ids").collect()
+    assert sorted(r.n_tokens for r in rows) == [1, *[3] * 50, 3001] and all(len(r.ids) == 2 * r.n_tokens for r in rows)
+    assert sum(r.n_tokens for r in rows) == model["n"]
+    # by trainings that give back what they saw
+    monkeypatch.setattr(lm, "_trainer", lambda frame, w, *a: _counting(w))
+    weights = lm.fit(lm.encode(docs, model, train), model, parts=3, shard_tokens=500)
+    assert weights == pytest.approx(model["weights"] + 3, rel=1e-5)
+
+
+def _counting(w):
+    def run(batches):
+        n = sum(len(t) for t in lm._texts(batches, 0))
+        out = w.astype(np.float64) + 1
+        parts = [out[i : i + lm.BLOCK] * n for i in range(0, len(out), lm.BLOCK)] if n else []
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([0] * len(parts), pa.int32()), "w": pa.array(parts, pa.list_(pa.float64())), "n": pa.array([n] * len(parts), pa.int64())})
+
+    return run
 
 
 def test_pages_keep_text_with_unlucky_names():
