@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +55,18 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores until no column of df is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n)), F.lit(-1)).cast("int")
@@ -63,6 +76,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+#: Bytes of the Arrow batches that executors hand to Python, and Spark's own setting.
+BATCH_BYTES, _SPARK_BYTES = "4m", "67108864b"
+
+
+def in_arrow(df: DataFrame, f, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, in batches of few bytes: ones of 64 MB take executors several
+    times that beside the heap. A session's own spark.sql.execution.arrow.maxBytesPerBatch stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == _SPARK_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in slices of few rows, so that a task turns few texts into Python
     objects at a time. At the end the worker gives its free memory back: Spark keeps
@@ -146,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
-    e = materialise(e.mapInArrow(_forest, "a bigint, b bigint"), "edges")
+    e = materialise(in_arrow(e, _forest, "a bigint, b bigint"), "edges")
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     roots = nodes.select("node", F.col("node").alias("root"))
     used = [e]

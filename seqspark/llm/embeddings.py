@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import components, materialise
+from seqspark.llm.common import components, in_arrow, materialise
 
 #: Passes, hashes concatenated in each, rows of a block, guaranteed neighbour window.
 PASSES, HASHES, BLOCK, WINDOW = 12, 64, 1024, 128
@@ -134,7 +134,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    rows = rows.mapInArrow(_classes(kind, passes, hashes, seed), "id string, label string, digest binary, dim int, vec array<double>, keys array<binary>")
+    rows = in_arrow(rows, _classes(kind, passes, hashes, seed), "id string, label string, digest binary, dim int, vec array<double>, keys array<binary>")
     rows = materialise(rows.select(F.col("id").cast(kind).alias("id"), "label", "digest", "dim", "vec", "keys"), "vectors")
     linked = rows.where("label is not null and digest is not null")
     base = linked.groupBy("label", "dim", "digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
@@ -145,7 +145,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     order = ["pass", "label", "dim", "key", "c"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranked = ranked.select("pass", "label", "dim", "c").mapInArrow(_positions, "pid bigint, pos bigint, pass int, label string, dim int, c bigint")
+    ranked = in_arrow(ranked.select("pass", "label", "dim", "c"), _positions, "pid bigint, pos bigint, pass int, label string, dim int, c bigint")
     ranked = materialise(ranked, "ranks")
     sizes = {r["pid"]: r["n"] for r in ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     offsets, total = [], 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import slices
+from seqspark.llm.common import in_arrow, slices
 
 MARK = "▁"
 
@@ -145,5 +145,5 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict(cols)
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(run, schema)
+    out = in_arrow(rows, run, schema)
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import components, local_forest, materialise, release, slices
+from seqspark.llm.common import components, fresh, in_arrow, local_forest, materialise, release, slices
 
 #: Rows that one cell of the index may hold; larger groups are dealt out as pairs of parts.
 CELL_ROWS = 20_000
@@ -51,7 +51,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], names=["id", "th", "fp"])
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "id string, th bigint, fp bigint").select(F.col("id").cast(kind).alias("id"), "th", "fp")
+    return in_arrow(rows, run, "id string, th bigint, fp bigint").select(F.col("id").cast(kind).alias("id"), "th", "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def hamming_edges(fps: DataFrame, bits: int = 3, cell_rows: int = CELL_ROWS) ->
         others = F.filter(others, lambda c: c != part * F.col("parts") + part)
         cells = rows.join(hot, ["m", "key"], "left").select("m", "key", F.explode(F.when(F.col("parts") > 1, others).otherwise(F.array(F.lit(0)))).alias("cell"), "fp")
     dealt = cells.repartition("m", "key", "cell").sortWithinPartitions("m", "key", "cell")
-    return dealt.mapInArrow(_links(bits), "a bigint, b bigint")
+    return in_arrow(dealt, _links(bits), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -216,7 +216,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     differing bits or fewer, the row itself included. Null or wordless texts have
     fingerprint zero and link like any other. A null id never is a component_id
     unless its whole component has none. Repeated rows give repeated results;
-    other columns of df are not looked at; an empty df gives no rows.
+    other columns of df are not looked at; an empty df gives no rows. Texts of any
+    length: one is held at a time, its hashes in blocks.
     """
     rows = _labelled(df, id_col, text_col, shingle, bits, cell_rows)
     return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -237,15 +238,19 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """df without near copies: of each component one row stays, that with the
     smallest id (on a tie, the text of smallest hash; of equal rows, one). Rows
-    with a null id can't be named as copies and all stay."""
+    with a null id can't be named as copies and all stay. Null and wordless texts
+    are copies of each other. An empty df stays empty; whole texts of any length
+    are read, one at a time; further columns, whatever their names, stay as they are."""
     rows = materialise(_labelled(df, id_col, text_col, **kw), "labelled").where("id is not null")
     keep = rows.where("id = component_id").groupBy("root").agg(F.min("th").alias("keep"))
+    own, hashed = fresh(df, "__id", "__th")
+    named = [F.col("id").alias(own), F.col("th").alias(hashed)]
     # the dropped rows are fewer than the kept ones: only their keys go to the texts
-    drop = rows.join(keep, "root", "left").where("keep is null or th <> keep or id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    drop = rows.join(keep, "root", "left").where("keep is null or th <> keep or id <> component_id").select(*named).distinct()
     drop = materialise(drop, "copies")
-    twice = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    twice = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*named)
     twice = materialise(twice, "twice")
-    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    same = (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col) == F.col(hashed))
     kept = df.join(drop, same, "left_anti")
     if twice.isEmpty():
         return kept

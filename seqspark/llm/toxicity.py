@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import slices
+from seqspark.llm.common import in_arrow, slices
 
 # Identity terms; those of one row can stand for each other.
 IDENTITY = [
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     def counted(n):
         return pa.RecordBatch.from_pydict({"f": pa.array(list(n), pa.binary()), "neg": pa.array([v[0] for v in n.values()], pa.int64()), "pos": pa.array([v[1] for v in n.values()], pa.int64())})
 
-    sums = picked.mapInArrow(count, "f binary, neg bigint, pos bigint").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    sums = in_arrow(picked, count, "f binary, neg bigint, pos bigint").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     total = {r["f"] == b"": r for r in sums.where(F.length("f") == 0).collect()}.get(True)
     empty = {"weights": {}, "bias": -2.0, "identity": list(swap)}
     if total is None or not total["pos"] or not total["neg"]:
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
                 cs.append(sorted(c) if c is not None else None)
             yield pa.RecordBatch.from_pydict({"y": batch.column(0), "x": pa.array(xs, pa.list_(pa.int32())), "c": pa.array(cs, pa.list_(pa.int32()))})
 
-    data = picked.mapInArrow(reduce, "y int, x array<int>, c array<int>").toArrow()
+    data = in_arrow(picked, reduce, "y int, x array<int>, c array<int>").toArrow()
     weights, bias = regress(data["y"].to_pylist(), data["x"].to_pylist(), data["c"].to_pylist(), len(vocab), fairness, l2)
     return {"weights": {f: float(w) for f, w in zip(vocab, weights, strict=True) if w}, "bias": float(bias), "identity": list(swap)}
 
@@ -222,7 +222,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(run, "id string, score double")
+    out = in_arrow(rows, run, "id string, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -236,4 +236,4 @@ def accepted(df: DataFrame, model: dict, text_col: str = "text", threshold: floa
         for batch in slices(batches):
             yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialise, new_path
+from seqspark.llm.common import in_arrow, materialise, new_path
 
 MAGIC = b"WARC/1.0\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -192,7 +192,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     inside a payload is no record, and what follows a broken record is dropped.
     Empty files and folders without records give no rows.
     """
-    cands = materialise(_scan(spark, path).mapInArrow(_candidates(payload), _CAND + ", payload binary" * payload), "candidates")
+    cands = materialise(in_arrow(_scan(spark, path), _candidates(payload), _CAND + ", payload binary" * payload), "candidates")
     m = len(MAGIC)
     totals = cands.groupBy("file", "split").agg(F.sum(F.col("size") + m).alias("total"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -257,7 +257,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
             cols["payload"] = pa.array([content], pa.binary())
         return pa.table(cols)
 
-    again = _scan(spark, path).mapInArrow(segments, "file string, split bigint, idx bigint, seg binary").join(pieces, place)
+    again = in_arrow(_scan(spark, path), segments, "file string, split bigint, idx bigint, seg binary").join(pieces, place)
     schema = "file string, offset bigint, type string, record_id string, url string, refers_to string, header_digest string, header_length bigint, payload_bytes bigint, digest string" + ", payload binary" * payload
     joined = again.join(heads, ["file", "owner"]).groupBy("file", "owner").applyInArrow(assemble, schema)
     return whole.union(joined.where("payload_bytes IS NOT NULL"))
