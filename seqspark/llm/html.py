@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.llm.common import in_arrow
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)"
@@ -19,7 +21,7 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for n in ("script", "style", "noscript", "textarea", "title", "iframe", "template", "xmp", "noembed", "noframes", "svg", "math", "select")}
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for n in ("script", "style", "noscript", "textarea", "title", "iframe", "template", "xmp", "noembed", "noframes", "svg", "annotation", "annotation-xml", "select")}
 
 # Element names by role.
 RAW = set(_RAW_END)
@@ -41,7 +43,7 @@ UNLIKELY = re.compile(
 #: Words that may stand beside those in a name without giving it another meaning.
 _FILLER = re.compile(r"left|right|top|bottom|main|site|page|global|primary|secondary|box|wrap(?:per)?|container|inner|outer|area|block|section|col(?:umn)?|list|items?|links?|bar|unit|slot|title|head(?:er|ing)?|body|text|content|posts?|articles?|stories|entries|news|form|icons?|buttons?|btns?|js|the|us|policy|overlay|message|\d*", re.I)
 #: A form, or a part of which only a piece of the name is unlikely, stays with so much text at a link density below SPARED_LINKS.
-FORM_TEXT, SPARED_TEXT, SPARED_LINKS = 25, 140, 0.25
+FORM_TEXT, SPARED_TEXT, SPARED_LINKS = 25, 25, 0.25
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: The head of an article is no page header.
 _OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|blog|title|section)[_-]*header", re.I)
@@ -98,6 +100,14 @@ def parse(page: str) -> Node:
     links = 0  # open a elements
     run_links = 0
     pos, n = 0, len(page)
+    opened: dict[str, int] = {}  # block elements open by name: an end tag without one is passed over at once
+
+    def leave(node: Node):
+        """Ends node and what is open inside it."""
+        nonlocal at
+        while at is not node.parent:
+            opened[at.name] -= 1
+            at = at.parent
 
     def text(piece: str):
         nonlocal run_links
@@ -157,23 +167,25 @@ def parse(page: str) -> Node:
             flush()
             links = 0
             if closing:
-                up = at
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
-                    at = up.parent
+                if opened.get(name):
+                    up = at
+                    while up.name != name:
+                        up = up.parent
+                    leave(up)
                 continue
             # what this start tag ends
             if name not in P_STAYS and at.name == "p":
-                at = at.parent
+                leave(at)
             if name[0] == "h" and name[1:].isdigit() and at.name[0] == "h" and at.name[1:].isdigit():
-                at = at.parent
+                leave(at)
             for end in ENDS.get(name, ()):
+                if not opened.get(end):
+                    continue
                 up = at
                 while up is not root and up.name != end and up.name not in HOLDERS:
                     up = up.parent
                 if up.name == end:
-                    at = up.parent
+                    leave(up)
             unlikely, good, piece = _attrs(attrs, name) if attrs.strip() else (False, False, False)
             if piece and (name in HEADINGS or name in ("p", "section")):
                 unlikely = False
@@ -182,6 +194,7 @@ def parse(page: str) -> Node:
             node = Node(name, at, drop, good, drop and (piece or not unlikely) and (name not in DROPPED or name in ("form", "fieldset")))
             at.children.append(node)
             at = node
+            opened[name] = opened.get(name, 0) + 1
     flush()
     return root
 
@@ -306,19 +319,20 @@ def best(root: Node) -> list[Node]:
     if top.parent is None or top.name == "body":
         return [top]
     bar = max(10.0, most * 0.2)
-    out = []
+    out, before = [], True
     for c in top.parent.children:
         if isinstance(c, str):
             continue
         if c is top:
             out.append(c)
+            before = False
         elif c.score * (1.0 - _density(c)) >= bar and c.name not in ("article",) or c.name == "article" and top.name == "article" and c.score * (1.0 - _density(c)) >= max(bar, most * 0.5):
             out.append(c)
         elif top.parent.name != "body" and c.text_len and _density(c) < 0.3 and c.name not in ("article", "main"):
             out.append(c)
         elif c.name == "p" and (c.text_len > 80 and _density(c) < 0.25 or 0 < c.text_len and not c.link_len and re.search(r"[.!?](?:\s|$)", "".join(x for x in c.children if isinstance(x, str)))):
             out.append(c)
-        elif c.name in ("h1", "h2") and c.text_len and top.name not in ("article", "main") and top.parent.children.index(c) < top.parent.children.index(top):
+        elif c.name in ("h1", "h2") and c.text_len and top.name not in ("article", "main") and before:
             out.append(c)
     return out
 
@@ -352,7 +366,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     they are sections, headings or much text in few links. Inside a block white space becomes one space;
     blocks are joined by a line feed.
 
-    Null or empty html, and pages without text, give the text '' and 0. Broken
+    Null or empty html, and pages without text, give the text '' and 0; an empty
+    table gives no rows. Of containers with equal scores the first is taken. Broken
     markup is read as far as it goes. Repeated rows give repeated results, null
     ids and urls stay null, other columns are not looked at. Whole pages of any
     length; memory is that of one page's tree.
@@ -367,5 +382,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("h"))
-    out = rows.mapInArrow(run, "id string, url string, text string, n_chars bigint")
+    out = in_arrow(rows, run, "id string, url string, text string, n_chars bigint")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
