@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.llm.common import in_arrow
+
 BUCKETS = 1 << 16
-TOP = 0x32000  # code points above hold no letters here
+TOP = 0x34000  # code points above hold no letters
 
 # Code point ranges of scripts.
 SCRIPTS = [
@@ -42,29 +46,32 @@ SCRIPTS = [
 OTHER = len(SCRIPTS) + 1  # letters of scripts not listed; 0 is no letter
 
 
-def letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(script of each code point, 0 for no letter; its lower case where that is one code point)."""
+@cache
+def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its script, 0 for neither letter nor mark; its lower case where
+    that is one code point; whether it is a letter."""
     import unicodedata
 
-    script, lower = np.zeros(TOP + 1, np.uint8), np.arange(TOP + 1, dtype=np.uint32)
+    script, lower, letter = np.zeros(TOP + 1, np.uint8), np.arange(TOP + 1, dtype=np.uint32), np.zeros(TOP + 1, bool)
     for i in range(TOP):
         c = chr(i)
-        if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc") and i > 0x36F:
+        letter[i] = c.isalpha()
+        if letter[i] or unicodedata.category(c) in ("Mn", "Mc") and i > 0x36F:
             script[i] = OTHER
         if len(low := c.lower()) == 1:
             lower[i] = min(ord(low), TOP)
     for k, (_, ranges) in enumerate(SCRIPTS, 1):
         for a, b in ranges:
             script[a : min(b, TOP - 1) + 1][script[a : min(b, TOP - 1) + 1] > 0] = k
-    return script, lower
+    return script, lower, letter
 
 
 def words_of(texts: list[str], tables):
-    """The words of some texts: runs of letters of one script.
+    """The words of some texts: runs of letters of one script, marks included, with one letter at least.
 
     Returns (bucket of each letter's trigram, first letter of each word, script of
     each word, text of each word, first character and one past the last)."""
-    script_of, lower = tables
+    script_of, lower, letter = tables
     parts = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
     sizes = np.array([len(p) + 1 for p in parts])
     cp = np.full(int(sizes.sum()), 32, np.uint32)
@@ -80,6 +87,14 @@ def words_of(texts: list[str], tables):
     s = script[at]
     first = np.ones(len(at), bool)
     first[1:] = (at[1:] != at[:-1] + 1) | (s[1:] != s[:-1])
+    begin = np.flatnonzero(first)
+    real = np.logical_or.reduceat(letter[cp[at]], begin)
+    if not real.all():  # marks without a letter
+        keep = np.repeat(real, np.diff(np.append(begin, len(at))))
+        at, s, first = at[keep], s[keep], first[keep]
+        if not len(at):
+            z = np.zeros(0, np.int64)
+            return z, z, z, z, z, z
     last = np.ones(len(at), bool)
     last[:-1] = first[1:]
     c = cp[at].astype(np.uint64)
@@ -133,7 +148,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", min_sha
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(full), pa.string()), "k": pa.array(full, pa.int32()), "n": pa.array(c[full], pa.int64())})
 
     rows = df.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    counts = rows.mapInArrow(run, "lang string, k int, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
+    counts = in_arrow(rows, run, "lang string, k int, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     of = {x: i for i, x in enumerate(langs)}
     all_ = np.zeros((BUCKETS + 64, len(langs)))
@@ -194,8 +209,10 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     change of language labels every word. lang_pred is the language with most
     letters (on a tie the first in order), score its share of all letters.
 
-    A text that is null or has no letters, or a model without languages: 'und',
-    score 0, no spans. Repeated rows give repeated results; null ids stay null;
+    A text that is null or has no letters (digits, marks or signs alone), or a model
+    without languages: 'und', score 0, no spans. An empty table gives no rows.
+    Texts of any length: rows are read together up to two million characters, a
+    longer text alone. Repeated rows give repeated results; null ids stay null;
     only id_col and text_col are looked at.
     """
     spark = df.sparkSession
@@ -238,7 +255,7 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_pydict(cols)
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(run, "id string, lang_pred string, score double, n_words bigint" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
+    out = in_arrow(rows, run, "id string, lang_pred string, score double, n_words bigint" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 
