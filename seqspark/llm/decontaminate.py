@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialise
+from seqspark.llm.common import fresh, materialise
 from seqspark.llm.names import FEMALE, MALE, NUMBERS, NUMBERS_MORE, SIGNS, UNITS, UNITS_MORE
 
 #: Words of a window, share of an item's windows that must be found, windows of the benchmark up to which they are broadcast.
@@ -105,7 +105,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     Null and empty texts on either side match nothing. All texts of an item are
     looked for; repeated documents and items count once. A find of an item with a
     null id has no name to be listed by, so it shows in clean() only. Documents with a null id are found too. Extra columns are not
-    looked at.
+    looked at. An empty table on either side gives no rows. Whole texts of any length
+    are read: a text's windows leave one by one, and only those that meet an item go on.
     """
     found = _found(docs, bench, id_col, text_col, item_col, item_text, **kw)
     found = found.where("item is not null").groupBy("id", "item").agg(F.max(F.struct("coverage", "n_windows", "n_slots", "same_values")).alias("m"))
@@ -187,7 +188,11 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **kw) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    bad = _found(docs, bench, id_col, text_col, item_col, item_text, **kw).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """docs without the documents that hold a benchmark item, as contaminated() finds
+    them; items with a null id count, too. Documents with a null text stay, those with
+    a null id are judged by their text. Empty tables on either side: docs as they are.
+    Further columns, whatever their names, stay as they are."""
+    own, hashed = fresh(docs, "__id", "__th")
+    bad = _found(docs, bench, id_col, text_col, item_col, item_text, **kw).select(F.col("id").alias(own), F.col("th").alias(hashed)).distinct()
     bad = materialise(bad, "leaks")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(hashed)), "left_anti")

@@ -15,6 +15,13 @@ TITLES_MALE = "Mr Mister Sir Herr Monsieur Señor Sr Don Господин".split
 TITLES_FEMALE = "Mrs Ms Miss Madam Lady Frau Madame Mme Mlle Señora Sra Señorita Srta Doña Госпожа".split()
 TITLES_ANY = "Dr Prof Professor Doctor".split()
 
+# Words that say that a name comes next, and that one has just been.
+NAME_NEXT = ["name is", "named", "Dear", "Hello", "Sincerely,", "Regards,", "Signed,", "signed by", "written by", "Name:", "Author:", "Contact:", "Attn:", "heiße", "heißt", "Liebe", "Lieber", "Grüße,", "appelle", "Cher", "Chère", "llamo", "llama", "Querido", "Querida", "Estimado", "Estimada"]
+NAME_BEFORE = "said says called calls wrote writes told tells asked asks replied answered met meets lives lived works worked joined resigned smiled laughed left arrived sagte sagt schrieb fragte antwortete wohnt arbeitet disait écrit demanda répondit habite travaille dijo dice escribió preguntó respondió vive trabaja".split()
+
+# Capitalised words that begin sentences or names of things, not of persons.
+NO_NAME = "The A An This That These Those It He She We They You I In On At As And But Or If When While After Before For From With Mr Mrs Der Die Das Ein Eine Und Aber Le La Les Un Une Et Mais El Los Las Una Y Pero New North South East West United National Saint San White State University Company Ministry Department President Minister Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+
 # Syllables of made-up family names, by script.
 SYLLABLES = {
     "Latin": "bar ben bor cal car col dan del dor fal fen gar gil hal har hol jar kel kor lan lor mal mar mel mor nal nor par pel ral ran rel ros sal sel sor tal tar tor val ver vin wal wen wil".split(),

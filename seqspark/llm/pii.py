@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import materialise
-from seqspark.llm.names import FEMALE, MALE, SYLLABLES, TITLES_ANY, TITLES_FEMALE, TITLES_MALE
+from seqspark.llm.names import FEMALE, MALE, NAME_BEFORE, NAME_NEXT, NO_NAME, SYLLABLES, TITLES_ANY, TITLES_FEMALE, TITLES_MALE
 
 #: Rounds of new keys for colliding surrogates; what still collides gets a numbered placeholder.
 ROUNDS = 24
@@ -16,25 +16,56 @@ _TITLE = "|".join([*TITLES_MALE, *TITLES_FEMALE, *TITLES_ANY])
 _NAME = r"\p{Lu}[\p{L}'’]*\p{L}(?:-\p{Lu}\p{L}+)?"
 
 EMAIL = r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}"
-IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
+_OCTET, _HEX4 = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)", "[0-9A-Fa-f]{1,4}"
+IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"
+IPV6 = rf"(?:{_HEX4}:){{7}}{_HEX4}(?![\p{{L}}\p{{N}}:])|(?=[A-Fa-f:]*\d)(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}(?![\p{{L}}\p{{N}}:])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ ./-]?\d{2,5}){1,4}(?!\p{N})|\(\d{2,5}\)[ .-]?\d{3,5}(?:[ .-]\d{2,5}){0,3}(?!\p{N})|\d{3}[-. ]\d{3}[-. ]\d{4}(?![\p{L}\p{N}])|0\d{1,4}[ /-]\d{3,}(?:[ -]?\d{2,})*(?![\p{L}\p{N}])"
 TOKEN = r"[0-9a-f]{32,128}(?![\p{L}\p{N}])|[0-9A-F]{32,128}(?![\p{L}\p{N}])|(?:sk|pk|rk)[-_](?:live|test)[-_][A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|xox[baprs]-[A-Za-z0-9-]{10,}"
-PERSON = rf"(?:{_TITLE})\.?[ \t]{_NAME}(?:[ \t]{_NAME}){{0,2}}|(?:{'|'.join(_GIVEN)})(?![\p{{L}}\p{{N}}])(?:[ \t]{_NAME}){{1,2}}"
+PERSON = rf"(?:{_TITLE})\.?[ \t]{_NAME}(?:[ \t]{_NAME}){{0,2}}|(?:{'|'.join(_GIVEN)})(?![\p{{L}}\p{{N}}])(?:[ \t]{_NAME}){{1,2}}|(?<=\b(?:{'|'.join(NAME_NEXT)})[ \t])(?!(?:{'|'.join(NO_NAME)})(?![\p{{L}}\p{{N}}])){_NAME}(?:[ \t]{_NAME}){{0,2}}|(?!(?:{'|'.join(NO_NAME)})(?![\p{{L}}\p{{N}}])){_NAME}(?:[ \t]{_NAME}){{1,2}}(?=[ \t](?:{'|'.join(NAME_BEFORE)})(?![\p{{L}}\p{{N}}]))"
 
 #: One pattern for all: types by order of preference at the same place.
-ENTITY = rf"(?<![\p{{L}}\p{{N}}._%+@-])(?:{EMAIL}|(?=[\d(+])(?:{IPV4}|{SSN}|{CARD}|{PHONE})|(?=[0-9a-fA-Zgprsx])(?:{TOKEN})|(?=\p{{Lu}})(?:{IBAN}|{PERSON}))"
+ENTITY = rf"(?<![\p{{L}}\p{{N}}._%+@-])(?:{EMAIL}|(?=[\d(+])(?:{IPV4}|{SSN}|{CARD}|{PHONE})|(?=[0-9a-fA-F])(?:{IPV6})|(?=[0-9a-fA-Zgprsx])(?:{TOKEN})|(?=\p{{Lu}})(?:{IBAN}|{PERSON}))"
 
 _DIGITS, _LOWER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 
 
+def luhn(digits: Column) -> Column:
+    """The Luhn sum of a string of digits, modulo 10."""
+    doubled = lambda x: F.when(x > 4, 2 * x - 9).otherwise(2 * x)
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, doubled(c.cast("int"))).otherwise(c.cast("int")))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
+
+
+def mod97(s: Column) -> Column:
+    """The remainder by 97 of a string of digits and A-Z, letters being 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(s, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + value(c)).otherwise(a * 100 + value(c)) % 97)
+
+
+def _turned(iban: Column) -> Column:
+    return F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+
 def kind_of(m: Column) -> Column:
+    """The type of a match of ENTITY; 'lit' for numbers that look like a card or an
+    account but whose check digits are wrong."""
     full = lambda p: m.rlike(rf"^(?:{p})$")
+    digits, bare = F.regexp_replace(m, r"\D", ""), F.regexp_replace(m, " ", "")
     return (
-        F.when(full(EMAIL), "email").when(full(IPV4), "ip").when(full(SSN), "ssn").when(full(CARD), "card").when(m.rlike(r"^[+(\d][\d ()./+-]*$") & ~full(TOKEN), "phone").when(full(TOKEN), "token").when(full(IBAN), "iban").otherwise("person")
+        F.when(full(EMAIL), "email")
+        .when(full(IPV4), "ip")
+        .when(full(SSN), "ssn")
+        .when(full(CARD) & (luhn(digits) == 0), "card")
+        .when(full(TOKEN), "token")
+        .when(full(PHONE), "phone")
+        .when(full(IPV6), "ip6")
+        .when(full(CARD), "lit")
+        .when(full(IBAN), F.when(mod97(_turned(bare)) == 1, "iban").otherwise("lit"))
+        .otherwise("person")
     )
 
 
@@ -52,8 +83,8 @@ def person_parts(m: Column) -> Column:
         """
         transform(p.words, (w, i) -> struct(
           CASE WHEN p.title AND i = 0 OR w RLIKE '^[ \\t]$' THEN 'lit'
-               WHEN lower(w) IN (%(male)s) AND i < size(p.words) - 1 THEN 'male'
-               WHEN lower(w) IN (%(female)s) AND i < size(p.words) - 1 THEN 'female'
+               WHEN lower(w) IN (%(male)s) AND (i < size(p.words) - 1 OR size(p.words) = 1) THEN 'male'
+               WHEN lower(w) IN (%(female)s) AND (i < size(p.words) - 1 OR size(p.words) = 1) THEN 'female'
                WHEN i = size(p.words) - 1 THEN 'family'
                WHEN p.gender = 'm' THEN 'male' WHEN p.gender = 'f' THEN 'female'
                ELSE 'given' END AS kind,
@@ -106,14 +137,21 @@ def surrogate(kind: Column, canon: Column, turn: Column, key: str) -> Column:
         # longer with each round, so the names never run out
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + F.least(turn, F.lit(4))), lambda i: of_list(SYLLABLES[s], 7 + i)), "")
 
+    body = F.array_join(F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), digit), "")
+    card = F.concat(body, F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    account = F.array_join(F.transform(F.filter(chars, lambda c, i: i >= 4), lambda c, i: swap(c, i + 4, False)), "")
+    country = F.substring(canon, 1, 2)
+    iban = F.concat(country, F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     return (
         F.when(kind == "email", F.concat(more, joined(lambda c, i: F.when(i >= tld, c).otherwise(swap(c, i, False)))))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "phone", joined(lambda c, i: F.when(canon.startswith("+") & (i < F.when(canon.startswith("+1"), 2).otherwise(3)), c).otherwise(digit(c, i))))
-        .when(kind.isin("ssn", "card"), joined(lambda c, i: digit(c, i)))
+        .when(kind == "ssn", joined(lambda c, i: digit(c, i)))
+        .when(kind == "card", card)
+        .when(kind == "ip6", joined(lambda c, i: swap(c, i, True)))
         .when((kind == "token") & canon.rlike("^([0-9a-f]+|[0-9A-F]+)$"), joined(lambda c, i: swap(c, i, True)))
         .when(kind == "token", joined(lambda c, i: F.when(i < 4, c).otherwise(swap(c, i, False))))
-        .when(kind == "iban", joined(lambda c, i: F.when(i < 2, c).otherwise(swap(c, i, False))))
+        .when(kind == "iban", iban)
         .when(kind == "male", given(MALE))
         .when(kind == "female", given(FEMALE))
         .when(kind == "given", given({s: [*MALE[s], *FEMALE[s]] for s in MALE}))
@@ -124,7 +162,7 @@ def surrogate(kind: Column, canon: Column, turn: Column, key: str) -> Column:
 def canonical(kind: Column, m: Column) -> Column:
     """What mentions of one entity have in common: the digits of numbers, the lower case of an address."""
     digits = F.regexp_replace(m, r"\D", "")
-    return F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits)).when(kind == "email", F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
+    return F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits)).when(kind.isin("email", "ip6"), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
 
 
 def resolve(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
@@ -180,31 +218,46 @@ def dressed(kind: Column, part: Column, sur: Column) -> Column:
         .when(kind.isin("ssn", "card", "phone"), numbers)
         .when(kind == "iban", spaced)
         .when(kind == "email", cased)
+        .when((kind == "ip6") & (part == F.upper(part)), F.upper(sur))
         .when(kind.isin("male", "female", "given", "family"), named)
         .otherwise(sur)
     )
 
 
+def renamed(piece: Column, names: Column) -> Column:
+    """Text between entities with bare names of its document's persons replaced: whole
+    words, as in the full mention, in capitals, or with a capital first."""
+    edge = r"(?<![\p{L}\p{N}])\Q", r"\E(?![\p{L}\p{N}])"
+    put = lambda text, form, by: F.regexp_replace(text, F.concat(F.lit(edge[0]), form, F.lit(edge[1])), by)
+    one = lambda text, n: put(put(text, n["form"], n["by"]), F.upper(n["form"]), F.upper(n["by"]))
+    return F.when(F.size(names) == 0, piece).otherwise(F.aggregate(names, piece, one))
+
+
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """df with every detected entity of text_col replaced by its surrogate; all
     columns stay as they are, count_col (if named) is added: entities replaced.
 
-    Detected: e-mail addresses, IPv4 addresses, phone, card and account numbers,
-    social security numbers, access tokens, and names after a title or beginning
-    with a known given name. Surrogates are drawn with `key` from the entity
-    alone: the same entity has the same surrogate in every row and spelling
-    (numbers by their digits, names by their words), different entities have
-    different ones, and none is an entity that the data holds. Type, script,
-    gender, length of numbers and addresses, separators and capitals stay.
-
-    A null text stays null, an empty one empty; repeated rows get equal results;
-    ids play no part. Rows without entities are passed through unread by any join.
+    Detected: e-mail addresses, IPv4 and IPv6 addresses, phone numbers, card numbers
+    that pass the Luhn check, account numbers whose check digits are right (IBAN),
+    social security numbers, access tokens, and names: after a title, beginning with
+    a known given name, or by the words around them (NAME_NEXT, NAME_BEFORE). Names
+    that a document has once in full are replaced where they stand alone in it, too.
+    Surrogates are drawn with `key` from the entity alone: the same entity has the
+    same surrogate in every row and spelling (numbers by their digits, names by their
+    words), different entities have different ones, and none is an entity that the
+    data holds. Type, script, gender, length of numbers and addresses, check digits,
+    separators and capitals stay.
+
+    A null text stays null, an empty one empty; an empty table gives no rows; repeated
+    rows get equal results; ids play no part. Of types that match at one place, the
+    first in the order of ENTITY counts. Rows without entities are passed through
+    unread by any join. Texts of any length: a row's own entities meet in one row.
     """
     # inner names that no column of df has
     prefix = "__pii"
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix += "_"
-    uid, hits, out_col = f"{prefix}uid", f"{prefix}hits", f"{prefix}out"
+    uid, hits, out_col, names_col, n_col = (f"{prefix}{x}" for x in ("uid", "hits", "out", "names", "n"))
     found = F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))
     own = df.columns
     rest = df.where(~F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False)))
@@ -217,12 +270,15 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     parts = each.select("uid", "pos", F.posexplode("parts").alias("idx", "x")).select("uid", "pos", "idx", "x.kind", "x.canon", "x.part")
     parts = materialise(parts, "parts")
     table = resolve(parts.where("kind <> 'lit'").select("kind", "canon").distinct(), key)
-    filled = parts.join(table, ["kind", "canon"], "left").select("uid", "pos", "idx", dressed(F.col("kind"), F.col("part"), F.col("sur")).alias("o"))
-    whole = filled.groupBy("uid", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "o"))), lambda x: x["o"]), "").alias("o"))
-    by_row = whole.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias(out_col))
+    filled = parts.join(table, ["kind", "canon"], "left").select("uid", "pos", "idx", "kind", "part", dressed(F.col("kind"), F.col("part"), F.col("sur")).alias("o"))
+    names = F.struct(F.col("part").alias("form"), F.col("o").alias("by"))
+    filled = filled.withColumn("name", F.when(F.col("kind").isin("male", "female", "given", "family") & F.col("o").isNotNull() & (F.length("part") > 1), names))
+    whole = filled.groupBy("uid", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "o"))), lambda x: x["o"]), "").alias("o"), F.collect_set("name").alias("names"), F.max(F.col("kind") != "lit").cast("int").alias("is"))
+    # a document's mentions; its names in their own form, in capitals and with a capital, family names last
+    by_row = whole.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias(out_col), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(names_col), F.sum("is").cast("bigint").alias(n_col))
     done = with_.join(by_row.withColumnRenamed("uid", uid), uid)
-    between = F.split(F.col(text_col), ENTITY, -1)
+    between = F.transform(F.split(F.col(text_col), ENTITY, -1), lambda piece: renamed(piece, F.col(names_col)))
     text = F.array_join(F.zip_with(between, F.col(out_col), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     add = lambda n: [n.alias(count_col)] if count_col else []
-    changed = done.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], *add(F.size(out_col).cast("bigint")))
+    changed = done.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], *add(F.col(n_col)))
     return rest.select(*own, *add(F.lit(0).cast("bigint"))).union(changed)

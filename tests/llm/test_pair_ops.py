@@ -251,6 +251,72 @@ def test_surrogates(spark):
     assert pseudonymise(df.limit(0), "key").count() == 0
 
 
+def luhn(digits):
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(digits)))) % 10
+
+
+def mod97(iban):
+    s = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_names_stand_for_one_person(spark):
+    # what is found once in full is replaced alone, too; in no other document, and not inside other words
+    text = "John Smith met Mrs. Jones ... Smith left and Jones stayed; Jones said so. Keira Oduya called. SMITH's car, Smithers, smith. Oduya came; Keira too"
+    rows = [(1, text), (2, "Smith and Jones alone. The Times said no."), (3, "My name is Ada Lovelace. Dear Zoltan, hello. Lovelace")]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k", count_col="n").collect()}
+    m = re.fullmatch(r"(\S+) (\S+) met Mrs\. (\S+) \.\.\. (\S+) left and (\S+) stayed; (\S+) said so\. (\S+) (\S+) called\. (\S+)'s car, Smithers, smith\. (\S+) came; (\S+) too", got[1].text)
+    assert m[2] == m[4] and m[2].upper() == m[9] and m[3] == m[5] == m[6] and m[8] == m[10] and m[7] == m[11]
+    assert len({m[2], m[3], m[8], "Smith", "Jones", "Oduya"}) == 6 and got[1].n == 3
+    assert (got[2].text, got[2].n) == (rows[1][1], 0)
+    m = re.fullmatch(r"My name is (\S+) (\S+)\. Dear (\S+), hello\. (\S+)", got[3].text)
+    assert m[2] == m[4] != "Lovelace" and m[3] != "Zoltan" and m[1] != "Ada"
+
+
+def test_check_digits(spark):
+    rng = random.Random(5)
+    cards = ["".join(rng.choice("0123456789") for _ in range(n)) for n in rng.choices(range(13, 20), k=60)]
+    text = "Account DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819, wrong DE88 3704 0044 0532 0130 00. From 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and FE80::1FF:FE23:4567:890A, not 300.1.1.1, 12:30:45 or std::vector."
+    got = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame([(1, " ; ".join(cards)), (2, text)], "doc_id int, text string"), "k").collect()}
+    new = got[1].split(" ; ")
+    for a, b in zip(cards, new, strict=True):
+        assert len(a) == len(b) and luhn(b) == luhn(a) and (a != b) == (luhn(a) == 0)
+    assert 0 < sum(luhn(c) == 0 for c in cards) < 60 and len(set(new)) == 60
+    m = re.fullmatch(r"Account (DE\d\d(?: \d{4}){4} \d\d), (GB\d\d[A-Z]{4}\d{14}), wrong (DE88 3704 0044 0532 0130 00)\. From ([0-9a-f:]{39}) and ([0-9A-F]{4}::[0-9A-F]{3}(?::[0-9A-F]{4}){3}), not 300\.1\.1\.1, 12:30:45 or std::vector\.", got[2])
+    assert mod97(m[1]) == mod97(m[2]) == 1 and "3704" not in m[1] and m[4] != "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    assert m[5] != "FE80::1FF:FE23:4567:890A"
+
+
+def test_surrogates_by_plain_matching(spark):
+    # entities found by another regex engine; what lies between them stays, one entity has one surrogate of its kind
+    import regex
+
+    rng, docs = random.Random(9), []
+    for _ in range(60):
+        parts = [rng.choice([f"u{rng.randint(1, 9)}@mail{rng.randint(1, 3)}.example.com", f"10.1.{rng.randint(0, 9)}.7", f"+1 (20{rng.randint(1, 9)}) 555-01{rng.randint(10, 30)}", f"{rng.randint(100, 120)}-22-3333"]) for _ in range(rng.randint(0, 5))]
+        docs.append(" ".join(x for p in parts for x in (prose(rng, 3), p)))
+    docs += ["", docs[0], "mail " * 2000 + "a@b.example.com"]
+    got = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    pattern, seen = regex.compile(ENTITY), {}
+    for a, b in zip(docs, got, strict=True):
+        assert pattern.split(a) == pattern.split(b)
+        for x, y in zip(pattern.findall(a), pattern.findall(b), strict=True):
+            assert seen.setdefault(x, y) == y and x != y
+            assert x.count(".") == y.count(".") and re.sub(r"\d+|[a-z]+", "x", x) == re.sub(r"\d+|[a-z]+", "x", y)
+    assert len(set(seen.values())) == len(seen) > 40 and not set(seen) & set(seen.values())
+
+
+def test_clashing_columns(spark):
+    text = "a very common text of some words " * 3
+    df = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8), (3, "another one", 1, 2)], "doc_id bigint, text string, __id int, __TH int")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3]
+    bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    out = clean(df, bench)
+    assert [tuple(r) for r in out.collect()] == [(3, "another one", 1, 2)] and out.columns == df.columns
+    assert clean(df, bench.limit(0)).count() == 3 and clean(df.limit(0), bench).count() == 0
+    assert pseudonymise(df, "k").columns == df.columns
+
+
 def test_surrogates_stay_distinct(spark):
     # addresses from a small space: collisions are certain, distinctness must hold
     addresses = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 4) for d in range(1, 4)]
