@@ -72,40 +72,49 @@ class Window:
     def __init__(self, p):
         self.p, self.new = p, Scratch(p["rec"].dtype)
 
-    def run(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    def run(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray, keep: bool = True) -> np.ndarray:
         """The states after each step. h: the state before (features x lanes); fresh:
-        where a text begins, so its lane's state is zero before."""
+        where a text begins, so its lane's state is zero before; keep: for a pass back."""
         p, n, new, (steps, lanes) = self.p, HIDDEN, self.new, inputs.shape
         self.gates = gates = new("gates", 3 * n, steps, lanes)  # z, r and the candidate
-        self.cand = cand = new("cand", n, steps, lanes)  # what the reset gate acts on
-        self.before = prior = new("before", n, steps, lanes)
-        self.after = after = new("after", n, steps, lanes)
-        self.inputs = read = new("inputs", EMBED, steps, lanes)
-        np.take(np.ascontiguousarray(p["emb"].T), inputs, axis=1, out=read, mode="clip")
-        np.dot(p["win"].T, read.reshape(EMBED, -1), out=gates.reshape(3 * n, -1))
-        gates += p["bin"][:, None, None]
-        by_zr, by_k = np.ascontiguousarray(p["rec"][:, : 2 * n].T), np.ascontiguousarray(p["rec"][:, 2 * n :].T)
-        u, c, k, f, now = new("u", 2 * n, lanes), new("c", n, lanes), new("k", n, lanes), new("f", n, lanes), new("now", n, lanes)
+        after = new("after", n, steps, lanes)
+        if keep:
+            self.cand = cand = new("cand", n, steps, lanes)  # what the reset gate acts on
+            self.before = prior = new("before", n, steps, lanes)
+        # a row of ones takes the bias in
+        self.inputs = read = new("inputs", EMBED + 1, steps, lanes)
+        np.take(np.ascontiguousarray(p["emb"].T), inputs, axis=1, out=read[:EMBED], mode="clip")
+        read[EMBED] = 1
+        # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2: the half is taken in the weights
+        half = np.ones(3 * n, gates.dtype)
+        half[: 2 * n] = 0.5
+        into = np.concatenate([p["win"], p["bin"][None]]) * half
+        rec = np.ascontiguousarray((p["rec"] * half).T)
+        np.dot(into.T, read.reshape(EMBED + 1, -1), out=gates.reshape(3 * n, -1))
+        by_zr, by_k = rec[: 2 * n], rec[2 * n :]
+        u, c, k, now = new("u", 2 * n, lanes), new("c", n, lanes), new("k", n, lanes), new("now", n, lanes)
         now[:] = h
         starts = fresh.any(1)
         for t in range(steps):
             if starts[t]:
                 now[:, fresh[t]] = 0
-            prior[:, t] = now
+            if keep:
+                prior[:, t] = now
             np.dot(by_zr, now, out=u)
             np.dot(by_k, now, out=c)
             u += gates[: 2 * n, t]
-            np.negative(u, out=u)
-            np.exp(u, out=u)
-            u += 1
-            np.reciprocal(u, out=u)
+            np.tanh(u, out=u)
+            u *= 0.5
+            u += 0.5
             np.multiply(u[n:], c, out=k)
             k += gates[2 * n :, t]
             np.tanh(k, out=k)
             now -= k
             now *= u[:n]
             now += k
-            gates[: 2 * n, t], gates[2 * n :, t], cand[:, t], after[:, t] = u, k, c, now
+            after[:, t] = now
+            if keep:
+                gates[: 2 * n, t], gates[2 * n :, t], cand[:, t] = u, k, c
         return after
 
 
@@ -232,8 +241,8 @@ def window_gradient(p, inputs: np.ndarray, y: np.ndarray, mask: np.ndarray, h0:
     flat_du = du.reshape(3 * n, -1)
     np.dot(window.before.reshape(n, -1), flat_du.T, out=g["rec"])
     du[2 * n :] = dk
-    np.dot(window.inputs.reshape(EMBED, -1), flat_du.T, out=g["win"])
-    flat_du.sum(1, out=g["bin"])
+    into = window.inputs.reshape(EMBED + 1, -1) @ flat_du.T
+    g["win"][:], g["bin"][:] = into[:EMBED], into[EMBED]
     # sums by token, as tokens repeat
     read = inputs.reshape(-1).astype(np.int16 if len(p["emb"]) < 1 << 15 else np.int32)
     hit = np.argsort(read, kind="stable")
@@ -334,7 +343,7 @@ def log10_likelihood(w: np.ndarray, texts: Iterable[np.ndarray], start: int, cla
     for read, own, fresh, of, used in blocks(texts, start, lanes, window):
         if used is not None:
             h = h[:, used]
-        out = held.run(read, h, fresh)
+        out = held.run(read, h, fresh, keep=False)
         h = out[:, -1].copy()
         which = of.reshape(-1)
         live = np.flatnonzero(which >= 0)

@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import gru, wordkeys
-from seqspark.llm.common import materialise, release
+from seqspark.llm.common import in_arrow, materialise, release
 
 #: Words in a task's own table, classes of frequent words, classes of all others (by spelling).
-TABLE_WORDS, HEAD, TAIL = 200_000, 32, 1 << wordkeys.CLASS_BITS
+TABLE_WORDS, HEAD, TAIL = 500_000, 32, 1 << wordkeys.CLASS_BITS
 
 CLASSES = HEAD + TAIL // gru.MEMBERS
 
 #: The training rows are dealt into so many parts, each trained on from the average that
 #: the one before gave; a part into shards of about so many tokens, but no more than MAX_SHARDS.
-PARTS, SHARD_TOKENS, MAX_SHARDS = 4, 1_000_000, 10_000
+PARTS, SHARD_TOKENS, MAX_SHARDS = 4, 2_000_000, 10_000
 
 #: Texts of so many tokens begin first, so that they don't go on alone at a task's end.
 LONG_TOKENS = 2_048
@@ -43,10 +43,10 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def out(pair):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["w", "c"])
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select(F.col(text_col).alias("t")), run, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _frequent(counts: DataFrame) -> list[tuple[int, int]]:
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The words above some count, TABLE_WORDS at most, and the end; most frequent first.
 
     The count comes from a histogram (eight classes to each doubling), so the
@@ -59,30 +59,31 @@ def _frequent(counts: DataFrame) -> list[tuple[int, int]]:
         room, least = room - r["n"], r["s"]
     keep = F.col("w") == wordkeys.END
     got = counts.where(keep if least is None else (step >= least) | keep).toArrow()
-    return sorted(zip(got["w"].to_pylist(), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    w, c = got["w"].to_numpy(), got["c"].to_numpy()
+    order = np.lexsort((w, -c))
+    return w[order], c[order]
 
 
 def vocabulary(counts: DataFrame) -> dict:
     """The model before training: words of the table with their outputs and counts, totals,
     and weights that make it the class-factored unigram model."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    listed = _frequent(counts)
+    keys, c = _frequent(counts)
     members = HEAD * gru.MEMBERS
-    inside = listed[:members]
-    end = next((x for x in listed if x[0] == wordkeys.END), None)
-    if end and end not in inside:  # the end is always told apart
-        inside[-1] = end
-    names = {w for w, _ in inside}
-    ordered = inside + [x for x in listed if x[0] not in names]
-    keys = np.array([w for w, _ in ordered], np.int64)
-    c = np.array([k for _, k in ordered], np.int64)
-    rows = np.where(np.arange(len(keys)) < len(inside), np.arange(len(keys)), members + (keys & (TAIL - 1)))
-    far = counts.where(~F.col("w").isin(sorted(names))) if names else counts  # 1,024 keys at most
+    end = np.flatnonzero(keys == wordkeys.END)
+    if len(end) and end[0] >= members:  # the end is always told apart
+        order = np.arange(len(keys))
+        order[members - 1], order[end[0]] = end[0], members - 1
+        keys, c = keys[order], c[order]
+    known = min(members, len(keys))
+    rows = np.where(np.arange(len(keys)) < known, np.arange(len(keys)), members + (keys & (TAIL - 1)))
+    names = keys[:known].tolist()
+    far = counts.where(~F.col("w").isin(names)) if names else counts  # 1,024 keys at most
     tail_c, tail_v = np.zeros(TAIL), np.zeros(TAIL)
     for r in far.groupBy(F.col("w").bitwiseAND(F.lit(TAIL - 1)).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         tail_c[r["k"]], tail_v[r["k"]] = r["c"], r["v"]
     by_output = np.zeros(CLASSES * gru.MEMBERS)
-    by_output[: len(inside)] = [k for _, k in inside]
+    by_output[:known] = c[:known]
     by_output[members:] = tail_c
     start = int(np.flatnonzero(keys == wordkeys.END)[0]) if len(keys) else 0
     weights = gru.flat(gru.init(by_output.reshape(CLASSES, gru.MEMBERS)))
@@ -138,7 +139,7 @@ def encode(docs: DataFrame, model: dict, train: Column, id_col: str = "doc_id",
         F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("key"),
         F.col(text_col).alias("t"),
     )
-    return materialise(rows.mapInArrow(run, ENCODED), "encoded")
+    return materialise(in_arrow(rows, run, ENCODED), "encoded")
 
 
 def _texts(batches, column: int, seen=None) -> Iterator[np.ndarray]:
@@ -164,7 +165,7 @@ def fit(encoded: DataFrame, model: dict, parts: int = PARTS, rate: float = 0.003
     for part in range(parts):
         own = encoded.where(F.col("train") & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)) == part)).select((F.col("n_tokens") >= LONG_TOKENS).alias("long"), "key", "ids")
         own = own.repartition(shards, "key").sortWithinPartitions(F.col("long").desc(), "key").select("ids")
-        blocks = own.mapInArrow(_trainer(encoded, weights, model["start"], rate), _WEIGHTS).groupBy("k").applyInArrow(_total, _WEIGHTS).collect()
+        blocks = in_arrow(own, _trainer(encoded, weights, model["start"], rate), _WEIGHTS).groupBy("k").applyInArrow(_total, _WEIGHTS).collect()
         if blocks:
             weights = np.concatenate([np.array(r["w"]) / r["n"] for r in sorted(blocks, key=lambda r: r["k"])]).astype(np.float32)
     return weights
@@ -260,7 +261,7 @@ def _scored(encoded: DataFrame, model: dict, counts: DataFrame, id_col: str, kin
 
     # long texts begin first
     rows = encoded.sortWithinPartitions((F.col("n_tokens") >= LONG_TOKENS).desc()).select(*columns, "ids")
-    rows = rows.mapInArrow(run, "uid bigint, id string, n_tokens bigint, known bigint, base double, own double")
+    rows = in_arrow(rows, run, "uid bigint, id string, n_tokens bigint, known bigint, base double, own double")
     met = encoded.select("uid", F.explode("rest").alias("w")).join(counts, "w")
     more = met.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("found"))
     add = F.coalesce("more", F.lit(0.0))
