@@ -73,46 +73,47 @@ class Window:
         self.p, self.new = p, Scratch(p["rec"].dtype)
 
     def run(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray, keep: bool = True) -> np.ndarray:
-        """The states after each step. h: the state before (features x lanes); fresh:
-        where a text begins, so its lane's state is zero before; keep: for a pass back."""
+        """The states after each step, with a last row of ones. h: the state before
+        (features x lanes); fresh: where a text begins, so its lane's state is zero
+        before; keep: for a pass back."""
         p, n, new, (steps, lanes) = self.p, HIDDEN, self.new, inputs.shape
-        self.gates = gates = new("gates", 3 * n, steps, lanes)  # z, r and the candidate
-        after = new("after", n, steps, lanes)
+        after = new("after", n + 1, steps, lanes)
+        after[n] = 1
         if keep:
+            self.gates = gates = new("gates", 3 * n, steps, lanes)  # z, r and the candidate
             self.cand = cand = new("cand", n, steps, lanes)  # what the reset gate acts on
             self.before = prior = new("before", n, steps, lanes)
         # a row of ones takes the bias in
         self.inputs = read = new("inputs", EMBED + 1, steps, lanes)
         np.take(np.ascontiguousarray(p["emb"].T), inputs, axis=1, out=read[:EMBED], mode="clip")
         read[EMBED] = 1
+        into = np.concatenate([p["win"], p["bin"][None]]).T
         # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2: the half is taken in the weights
-        half = np.ones(3 * n, gates.dtype)
-        half[: 2 * n] = 0.5
-        into = np.concatenate([p["win"], p["bin"][None]]) * half
-        rec = np.ascontiguousarray((p["rec"] * half).T)
-        np.dot(into.T, read.reshape(EMBED + 1, -1), out=gates.reshape(3 * n, -1))
-        by_zr, by_k = rec[: 2 * n], rec[2 * n :]
-        u, c, k, now = new("u", 2 * n, lanes), new("c", n, lanes), new("k", n, lanes), new("now", n, lanes)
+        by_zr = 0.5 * np.concatenate([p["rec"][:, : 2 * n].T, into[: 2 * n]], 1)
+        by_k, into_k = np.ascontiguousarray(p["rec"][:, 2 * n :].T), np.ascontiguousarray(into[2 * n :])
+        both, u, c, k, f = new("both", n + EMBED + 1, lanes), new("u", 2 * n, lanes), new("c", n, lanes), new("k", n, lanes), new("f", n, lanes)
+        now, token = both[:n], both[n:]  # state and input together: one product for two gates
         now[:] = h
         starts = fresh.any(1)
         for t in range(steps):
+            token[:] = read[:, t]
             if starts[t]:
                 now[:, fresh[t]] = 0
             if keep:
                 prior[:, t] = now
-            np.dot(by_zr, now, out=u)
+            np.dot(by_zr, both, out=u)
             np.dot(by_k, now, out=c)
-            u += gates[: 2 * n, t]
+            np.dot(into_k, token, out=k)
             np.tanh(u, out=u)
             u *= 0.5
             u += 0.5
-            np.multiply(u[n:], c, out=k)
-            k += gates[2 * n :, t]
+            np.multiply(u[n:], c, out=f)
+            k += f
             np.tanh(k, out=k)
             now -= k
             now *= u[:n]
             now += k
-            after[:, t] = now
+            after[:n, t] = now
             if keep:
                 gates[: 2 * n, t], gates[2 * n :, t], cand[:, t] = u, k, c
         return after
@@ -143,44 +144,47 @@ def _softmax(logit: np.ndarray, at: np.ndarray, safe: bool, back: bool) -> np.nd
 
 
 def outputs(p, x: np.ndarray, y: np.ndarray, new: Scratch, g: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
-    """The log probabilities of outputs y at states x (features x tokens). g: gets the
-    gradients of minus their sum times `scale`; then that by x is returned, too."""
-    safe, n, classes = _safe(p), len(y), len(p["bcls"])
+    """The log probabilities of outputs y at states x (features and a row of ones x
+    tokens). g: gets the gradients of minus their sum times `scale`; then that by x is
+    returned, too."""
+    safe, h, n, classes = _safe(p), HIDDEN, len(y), len(p["bcls"])
     cls, mem = (y // MEMBERS).astype(np.int16), y % MEMBERS
+    to_class = np.concatenate([p["wcls"], p["bcls"][None]])
+    to_member = np.concatenate([p["wmem"], p["bmem"][:, None]], 1)
     lc = new("class", classes, n)
-    np.dot(p["wcls"].T, x, out=lc)
-    lc += p["bcls"][:, None]
+    np.dot(to_class.T, x, out=lc)
     out = _softmax(lc, cls, safe, g is not None)
     order = np.argsort(cls, kind="stable")  # class by class: one product each
     ends = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
-    xs, lm = new("sorted", len(x), n), new("member", MEMBERS, n)
+    xs, lm = new("sorted", h + 1, n), new("member", MEMBERS, n)
     np.take(x, order, axis=1, out=xs, mode="clip")
     for k in range(classes):
         a, b = ends[k], ends[k + 1]
         if a < b:
-            np.add(p["wmem"][k].T @ xs[:, a:b], p["bmem"][k][:, None], out=lm[:, a:b])
+            lm[:, a:b] = to_member[k].T @ xs[:, a:b]
     out[order] += _softmax(lm, mem[order], safe, g is not None)
     if g is None:
         return out, None
     lc *= scale
     lm *= scale
-    np.dot(x, lc.T, out=g["wcls"])
-    lc.sum(1, out=g["bcls"])
-    by_x = new("by_x", len(x), n)
-    back = new("back", len(x), n)
+    by_class = x @ lc.T
+    g["wcls"][:], g["bcls"][:] = by_class[:h], by_class[h]
+    by_x, back = new("by_x", h, n), new("back", h, n)
     for k in range(classes):
         a, b = ends[k], ends[k + 1]
         if a < b:
-            np.dot(xs[:, a:b], lm[:, a:b].T, out=g["wmem"][k])
-            lm[:, a:b].sum(1, out=g["bmem"][k])
-            back[:, a:b] = p["wmem"][k] @ lm[:, a:b]
+            own = lm[:, a:b]
+            by_member = xs[:, a:b] @ own.T
+            g["wmem"][k], g["bmem"][k] = by_member[:h], by_member[h]
+            back[:, a:b] = p["wmem"][k] @ own
         else:
             g["wmem"][k] = g["bmem"][k] = 0
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    np.take(back, place, axis=1, out=xs, mode="clip")
+    turned = xs[:h]
+    np.take(back, place, axis=1, out=turned, mode="clip")
     np.dot(p["wcls"], lc, out=by_x)
-    by_x += xs
+    by_x += turned
     return out, by_x
 
 
@@ -197,8 +201,8 @@ def window_gradient(p, inputs: np.ndarray, y: np.ndarray, mask: np.ndarray, h0:
     if g is None:
         g = {k: np.empty_like(v) for k, v in p.items()}
     out = window.run(inputs, h0, fresh)
-    last = out[:, -1].copy()
-    x, goal = out.reshape(n, -1), y.reshape(-1)
+    last = out[:n, -1].copy()
+    x, goal = out.reshape(n + 1, -1), y.reshape(-1)
     live = None if mask.all() else np.flatnonzero(mask.reshape(-1))
     if live is not None:
         x, goal = np.take(x, live, axis=1), goal[live]
@@ -344,16 +348,20 @@ def log10_likelihood(w: np.ndarray, texts: Iterable[np.ndarray], start: int, cla
         if used is not None:
             h = h[:, used]
         out = held.run(read, h, fresh, keep=False)
-        h = out[:, -1].copy()
-        which = of.reshape(-1)
-        live = np.flatnonzero(which >= 0)
-        x, y = out.reshape(HIDDEN, -1), own.reshape(-1)
-        if len(live) < len(which):
-            x, y, which = np.take(x, live, axis=1), y[live], which[live]
-        got, _ = outputs(p, x, y, held.new)
-        texts_here, of_text = np.unique(which, return_inverse=True)
-        for i, s in zip(texts_here.tolist(), np.bincount(of_text, weights=got).tolist(), strict=True):
-            total[i] = total.get(i, 0.0) + s
+        h = out[:HIDDEN, -1].copy()
+        live = np.flatnonzero(of.reshape(-1) >= 0)
+        x, y = out.reshape(HIDDEN + 1, -1), own.reshape(-1)
+        got = np.zeros(len(y))
+        if len(live) < len(y):
+            got[live] = outputs(p, np.take(x, live, axis=1), y[live], held.new)[0]
+        else:
+            got[:] = outputs(p, x, y, held.new)[0]
+        # lane by lane, a text's tokens are side by side
+        which = of.T.reshape(-1)
+        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        for i, s in zip(which[first].tolist(), np.add.reduceat(got.reshape(own.shape).T.reshape(-1), first).tolist(), strict=True):
+            if i >= 0:
+                total[i] = total.get(i, 0.0) + s
         going = set(of[-1].tolist())  # texts that may go on
         for i in [i for i in total if i not in going]:
             yield i, total.pop(i) / np.log(10)
