@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark import format as fmt
@@ -19,7 +19,7 @@ from seqspark.config import AlignConfig
 
 RESULT = "status int, edit_distance int, end_locations array<int>, start_locations array<int>, num_locations int, alignment binary, alignment_length int, alphabet_length int, cigar string"
 
-_TYPE = pa.struct(
+STRUCT = pa.struct(
     [
         ("status", pa.int32()),
         ("edit_distance", pa.int32()),
@@ -101,29 +101,85 @@ def _packed(array: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
     return raw, at - at[0]
 
 
+def _packed_lists(queries: pa.Array, targets: pa.Array):
+    """Two list arrays of one type as (symbols, offsets) each, their values numbered
+    together, and the number of each value. None if the values can't be numbered."""
+    parts, sizes = [], []
+    for a in (queries, targets):
+        if not (pa.types.is_list(a.type) or pa.types.is_large_list(a.type)) or pa.types.is_nested(a.type.value_type):
+            return None
+        parts.append(a.flatten())
+        sizes.append(np.concatenate([[0], np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64))
+    if parts[0].type != parts[1].type:
+        return None
+    coded = pa.concat_arrays(parts).dictionary_encode(null_encoding="encode")
+    codes, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(parts[0])
+    of = {x: i for i, x in enumerate(coded.dictionary.to_pylist())}
+    if len(of) < len(coded.dictionary):  # values that are equal to Python only
+        return None
+    return (codes[:n], sizes[0]), (codes[n:], sizes[1]), of
+
+
+def batch_distances(queries: pa.Array, targets: pa.Array, config: AlignConfig) -> pa.Array:
+    """Distances of pairs in two arrays of one type: strings, binaries or lists."""
+    near = kernel.partners(config.equalities)
+    number = None
+    q, t = (None, None) if queries.type != targets.type or config.max_alphabet is not None else (_packed(queries), _packed(targets))
+    if q is None and queries.type == targets.type and config.max_alphabet is None and (lists := _packed_lists(queries, targets)):
+        q, t, of = lists
+        number = of.get
+    elif pa.types.is_string(queries.type) or pa.types.is_large_string(queries.type):
+        number = ord
+    none = np.asarray(queries.is_null()) | np.asarray(targets.is_null())
+    if q is None or t is None:
+        return pa.array([None if r is None else r.edit_distance for r in batch_align(_values(queries), _values(targets), config)], pa.int32())
+    match = None
+    if near:
+        coded = {(number(a) if number else a): [number(b) if number else b for b in bs] for a, bs in near.items()}
+        match = {a: [b for b in bs if b is not None] for a, bs in coded.items() if a is not None}
+    size, other = np.diff(q[1]), np.diff(t[1])
+    far = np.flatnonzero((size >= LANE_SYMBOLS) & ~none)
+    d = np.empty(len(size), np.int32)
+    if len(far):  # one at a time, whole columns as one integer
+        slow = batch_align(_values(queries.take(pa.array(far))), _values(targets.take(pa.array(far))), config)
+        d[far] = [r.edit_distance for r in slow]
+        short = np.flatnonzero((size < LANE_SYMBOLS) | none)
+        sub = lambda p, n: (p[0][np.repeat(np.isin(np.arange(len(n)), short), n)], np.concatenate([[0], np.cumsum(n[short])]))
+        q, t = sub(q, size), sub(t, other)
+    else:
+        short = np.arange(len(size))
+    own = lanes.distances(*q, *t, config.mode, match)
+    if config.k >= 0:
+        both = (size[short] > 0) & (other[short] > 0)
+        own = np.where(both & (own > config.k), -1, own)
+    d[short] = own
+    return pa.array(d, pa.int32(), mask=none)
+
+
 def _distances(config: AlignConfig):
     """An Arrow iterator function that gives the distances alone."""
-    near = kernel.partners(config.equalities)
-    slow = _pairs(config, lambda r: r.edit_distance, pa.int32())
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for queries, targets in batches:
-            q, t = _packed(queries), _packed(targets)
-            if q is None or t is None or config.max_alphabet is not None or queries.type != targets.type or np.diff(q[1]).max(initial=0) >= LANE_SYMBOLS:
-                yield from slow(iter([(queries, targets)]))
-                continue
-            text = pa.types.is_string(queries.type) or pa.types.is_large_string(queries.type)
-            match = {(ord(a) if text else a): [ord(b) if text else b for b in bs] for a, bs in near.items()} if near else None
-            d = lanes.distances(*q, *t, config.mode, match)
-            both = (np.diff(q[1]) > 0) & (np.diff(t[1]) > 0)
-            if config.k >= 0:
-                d = np.where(both & (d > config.k), -1, d)
-            none = np.asarray(queries.is_null()) | np.asarray(targets.is_null())
-            yield pa.array(d, pa.int32(), mask=none)
+            yield batch_distances(queries, targets, config)
 
     return run
 
 
+def as_struct(r: kernel.Alignment, cigar_format: str = "extended") -> dict:
+    return {
+        "status": r.status,
+        "edit_distance": r.edit_distance,
+        "end_locations": r.ends,
+        "start_locations": r.starts,
+        "num_locations": len(r.ends or []),
+        "alignment": r.path,
+        "alignment_length": len(r.path or b""),
+        "alphabet_length": r.alphabet_length,
+        "cigar": fmt.cigar(r.path, cigar_format),
+    }
+
+
 def _udf(f, ret: str):
     # the annotations tell Spark that this is an iterator of tuples
     f.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
@@ -137,27 +193,15 @@ def align(query, target, mode: str = "NW", task: str = "distance", k: int = -1,
     if cigar_format not in fmt.LETTERS:
         raise ValueError(f"unknown CIGAR format {cigar_format!r}")
 
-    def build(r):
-        return {
-            "status": r.status,
-            "edit_distance": r.edit_distance,
-            "end_locations": r.ends,
-            "start_locations": r.starts,
-            "num_locations": len(r.ends or []),
-            "alignment": r.path,
-            "alignment_length": len(r.path or b""),
-            "alphabet_length": r.alphabet_length,
-            "cigar": fmt.cigar(r.path, cigar_format),
-        }
-
-    return _udf(_pairs(config, build, _TYPE), RESULT)(column(query), column(target))
+    return _udf(_pairs(config, lambda r: as_struct(r, cigar_format), STRUCT), RESULT)(column(query), column(target))
 
 
 def edit_distance(query, target, mode: str = "NW", k: int = -1, equalities=(), native: bool | None = None) -> Column:
     """The distance, -1 where it is over k (k < 0: no bound).
 
     Global distances of strings under plain equality stay in the JVM
-    (levenshtein) unless native=False; everything else goes to the Arrow kernel."""
+    (levenshtein) unless native=False; everything else goes to the Arrow kernel.
+    with_distance() chooses by the texts' lengths."""
     config = AlignConfig(k=k, mode=mode, equalities=tuple(equalities))
     q, t = column(query), column(target)
     if native is None:
@@ -173,6 +217,20 @@ def edit_distance(query, target, mode: str = "NW", k: int = -1, equalities=(), n
     return _udf(_distances(config), "int")(q, t)
 
 
+#: Texts this long or longer are cheaper in the Arrow kernel than in levenshtein.
+LONG_TEXT = 128
+
+
+def with_distance(df: DataFrame, query: str, target: str, out: str = "distance", k: int = -1) -> DataFrame:
+    """df with the global distance of two string columns as `out`, in two plans: pairs
+    with a text of LONG_TEXT characters or more go to the Arrow kernel, which keeps to a
+    band, all others and nulls stay in the JVM. Rows in any order."""
+    long = F.coalesce(F.greatest(F.length(query), F.length(target)) >= LONG_TEXT, F.lit(False))
+    near = df.where(~long).withColumn(out, edit_distance(query, target, k=k, native=True))
+    far = df.where(long).withColumn(out, edit_distance(query, target, k=k, native=False))
+    return near.union(far)
+
+
 def alphabet_length(query, target) -> Column:
     """Distinct symbols of the two strings together."""
     q, t = column(query), column(target)

@@ -10,10 +10,14 @@ import numpy as np
 
 ONE = np.uint64(1)
 TOP = np.uint64(63)
+BOTTOM = ONE << TOP
 
 #: Cells of the score table, and match words, that one group may hold.
 CELLS, MASK_WORDS = 16_000_000, 4_000_000
 
+#: Words of a query from which on global distances are looked for in bands, and the width of the first.
+BAND_WORDS, FIRST_BAND = 8, 128
+
 
 def encode(sequences: list, equal: dict) -> tuple[list[np.ndarray], int, np.ndarray]:
     """Sequences as small codes, the number of codes, and which codes match which."""
@@ -159,7 +163,7 @@ def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray,
     full = np.flatnonzero((q_size > 0) & (t_size > 0))
     words = -(-q_size // 64)
     order = full[np.lexsort((-t_size[full], words[full]))]
-    i = 0
+    i, guess = 0, FIRST_BAND
     while i < len(order):
         w = int(words[order[i]])
         longest = int(t_size[order[i]])
@@ -167,11 +171,32 @@ def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray,
         lot = order[i : i + most]
         lot = lot[words[lot] == w]
         i += len(lot)
-        out[lot] = _lot(qc, q_at[lot], q_size[lot], tc, t_at[lot], t_size[lot], w, n_codes, same, mode)
+        plain = lambda own, w=w: _lot(qc, q_at[own], q_size[own], tc, t_at[own], t_size[own], w, n_codes, same, mode)
+        if mode != "NW" or w < BAND_WORDS:
+            out[lot] = plain(lot)
+            continue
+        # bands of growing width, the first as wide as the lots before would have had it
+        k, left = guess, lot
+        while len(left) and 2 * k < 64 * (w - 2):
+            far = np.abs(t_size[left] - q_size[left]) > k
+            own = left[~far]
+            d = _lot(qc, q_at[own], q_size[own], tc, t_at[own], t_size[own], w, n_codes, same, mode, k) if len(own) else np.zeros(0, np.int32)
+            out[own] = d
+            left = np.concatenate([left[far], own[d > k]])
+            left = left[np.argsort(-t_size[left], kind="stable")]
+            k *= 2
+        if len(left):
+            out[left] = plain(left)
+        guess = max(FIRST_BAND, int(np.quantile(out[lot], 0.95)) * 9 // 8)
     return out
 
 
-def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode):
+def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode, band=None):
+    """Distances of pairs whose queries have one number of words, longest targets first.
+
+    band (NW): only the words with rows within `band` of the diagonal are kept. What
+    lies above is taken for growing by one a column, what lies below for one more
+    than its neighbour: a result of `band` or less is right, a larger one is not."""
     n = len(q_size)
     rows = _fill(q, q_at, q_size, words * 64, -1, q.dtype)
     peq = np.empty((n_codes, words, n), np.uint64)
@@ -184,6 +209,11 @@ def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode):
     plus = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
     minus = np.zeros((words, n), np.uint64)
     score = q_size.astype(np.int32)
+    low, high = 0, words - 1  # words in use
+    if band is not None and words > 1:
+        high = min(words - 1, band // 64)
+        if high < words - 1:
+            score = np.full(n, 64 * (high + 1), np.int32)  # of the lowest row in use
     best = np.full(n, np.iinfo(np.int32).max, np.int32)
     alive = np.searchsorted(-t_size, -np.arange(steps), side="left")
     flat = peq.reshape(-1)
@@ -195,7 +225,13 @@ def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode):
         at = text[j, :k] * (words * n) + lane[:k]
         hp_in, hm_in = first, None
         x, y, z, hp = a[:k], b[:k], d[:k], h[:k]
-        for w in range(words):
+        if band is not None:
+            low = max(0, j - band) // 64
+            while high < words - 1 and j + 1 + band > 64 * (high + 1):
+                high += 1  # a new word: each row one more than that above
+                score += 64 if high < words - 1 else (q_size - 64 * (words - 1)).astype(np.int32)
+            low = min(low, high)
+        for w in range(low, high + 1):
             p, m = plus[w, :k], minus[w, :k]
             eq = flat[at + w * n]
             np.bitwise_or(eq, m, out=x)
@@ -209,8 +245,8 @@ def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode):
             np.invert(hp, out=hp)
             hp |= m
             np.bitwise_and(p, z, out=y)  # horizontal -1
-            if w == words - 1:
-                bit = last[:k]
+            if w == high:
+                bit = last[:k] if w == words - 1 else BOTTOM
                 score[:k] += ((hp & bit) != 0).view(np.int8)
                 score[:k] -= ((y & bit) != 0).view(np.int8)
             else:
@@ -224,7 +260,7 @@ def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode):
             np.invert(z, out=z)
             np.bitwise_or(y, z, out=p)
             np.bitwise_and(hp, x, out=m)
-            if w < words - 1:
+            if w < high:
                 hp_in, hm_in = hp_out, hm_out
         if mode != "NW":
             np.minimum(best[:k], score[:k], out=best[:k])

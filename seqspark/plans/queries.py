@@ -152,10 +152,13 @@ def q_binary(spark, sf_dir):
 
 
 def q_array_symbols(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    seq = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("seq"))
-    both = seq.crossJoin(seq.select(F.col("user_id").alias("other_id"), F.col("seq").alias("other"))).where("user_id < other_id")
-    return both.select("user_id", "other_id", edit_distance("seq", "other", native=False).alias("distance"))
+    """What users did in a week, as arrays of event types: those whose id 20 divides, a
+    stated set, against all others of the week."""
+    e = table(spark, sf_dir, "events").withColumn("week", F.date_trunc("week", "ts").cast("date"))
+    seq = e.groupBy("user_id", "week").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("seq"))
+    asked = seq.where("user_id % 20 = 0")
+    both = asked.join(seq.select(F.col("user_id").alias("other_id"), "week", F.col("seq").alias("other")), "week").where("user_id <> other_id")
+    return both.select("user_id", "other_id", F.col("week").cast("string").alias("week"), edit_distance("seq", "other", native=False).alias("distance"))
 
 
 def _scored(spark, sf_dir):
@@ -272,7 +275,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_nice": f"SELECT q, t, qa AS query_aligned, translate(ops, '=XID', '|.--') AS matched_aligned, ta AS target_aligned FROM ({_NW_PATHS})",
     "q_equalities": f"SELECT upper(q) AS u, t, CAST(levenshtein(lower(q), lower(t)) AS INT) AS distance FROM {_P}",
     "q_alphabet": f"SELECT q, t, CAST(length(list_distinct(list_concat(string_split(q, ''), string_split(t, '')))) AS INT) AS symbols FROM {_P}",
-    "q_array_symbols": "WITH s AS (SELECT user_id, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'p' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1) SELECT a.user_id, b.user_id AS other_id, CAST(levenshtein(a.seq, b.seq) AS INT) AS distance FROM s a, s b WHERE a.user_id < b.user_id",
+    "q_array_symbols": "WITH s AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'p' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1, 2) SELECT a.user_id, b.user_id AS other_id, CAST(a.week AS VARCHAR) AS week, CAST(levenshtein(a.seq, b.seq) AS INT) AS distance FROM s a JOIN s b USING (week) WHERE a.user_id % 20 = 0 AND a.user_id <> b.user_id",
     "q_nbest": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 10",
     "q_nbest_cli": f"WITH s AS (SELECT * FROM ({_SCORES}) WHERE score <= 8), l AS (SELECT max(score) AS top FROM (SELECT score FROM s ORDER BY score LIMIT 10)) SELECT query_idx, score FROM s, l WHERE score <= top AND (score = 0 OR (SELECT count(*) FROM s o WHERE o.query_idx < s.query_idx AND o.score <= s.score) < 10)",
     "q_containment": "SELECT item_id, doc_id, CAST(floor(length(b.text) * 0.05) AS INT) AS k, 0 AS distance FROM benchmark b, documents d WHERE contains(d.text, b.text)",

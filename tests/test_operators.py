@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, pretty_alignment
+from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
 from seqspark.operators.search import align_fasta, n_best, n_best_cli
@@ -59,10 +59,12 @@ def test_locations_and_sql(spark):
     assert tuple(one) == (0, "2=", "1M1I1M", "-|")
 
 
-@pytest.mark.parametrize("k, method", [(0, None), (1, "deletions"), (2, "deletions"), (1, "pieces"), (2, "pieces"), (3, "pieces"), (4, "pieces")])
+@pytest.mark.parametrize("k, method", [(0, None), (1, "deletions"), (2, "deletions"), (1, "pieces"), (2, "pieces"), (3, "pieces"), (4, "pieces"), (1, None), (2, None)])
 def test_join_loses_nothing(spark, k, method):
     rng = random.Random(k)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(60)] + [None, "aaa", "aaa"]
+    long = "".join(rng.choice("abc") for _ in range(30))
+    words += [long[:n] for n in range(20, 30)]  # on both sides of where the method changes
     df = spark.createDataFrame(list(enumerate(words)), "id int, w string")
     got = sorted((r.id, r.id2, r.distance) for r in distance_join(df, df.toDF("id2", "w2"), "w", "w2", k, method=method).collect())
     want = sorted((i, j, d) for i, a in enumerate(words) for j, b in enumerate(words) if a is not None and b is not None and (d := dp.table(a, b, "NW")[-1][-1]) <= k)
@@ -71,16 +73,52 @@ def test_join_loses_nothing(spark, k, method):
     assert semi == {i for i, j, _ in want if j < 5}
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_containment(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1_000_000, 0])
+def test_containment(spark, broadcast_bytes):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(12)]
     queries = [texts[2][50:150], texts[3][10:60][:20] + "Z" + texts[3][10:60][21:], "ab", "q" * 60]
-    got = {(r.qid, r.tid, r.distance) for r in containment_join(spark.createDataFrame(list(enumerate(queries)), "qid int, q string"), spark.createDataFrame([*enumerate(texts), (99, None)], "tid int, t string"), "qid", "q", "tid", "t", k_share=0.06, broadcast_rows=broadcast_rows).collect()}
+    got = {(r.qid, r.tid, r.distance) for r in containment_join(spark.createDataFrame(list(enumerate(queries)), "qid int, q string"), spark.createDataFrame([*enumerate(texts), (99, None)], "tid int, t string"), "qid", "q", "tid", "t", k_share=0.06, broadcast_bytes=broadcast_bytes).collect()}
     want = {(i, j, d) for i, q in enumerate(queries) for j, t in enumerate(texts) if (d := dp.search(q, t, "HW")[0]) <= int(len(q) * 0.06)}
     assert got == want and (0, 2, 0) in want and (1, 3, 1) in want
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "abc", "x"), (2, "abd", "y")], "a int, b string, __r string")
+    other = spark.createDataFrame([("abc", 5, 6)], "b string, A int, d int")
+    out = distance_join(df, other, "b", "b", 1)
+    assert out.columns == ["a", "b", "__r", "b", "A", "d", "distance"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "abc", "x", "abc", 5, 6, 0), (2, "abd", "y", "abc", 5, 6, 1)]
+    assert [r.a for r in distance_join(df, other, "b", "b", 0, how="left_semi").collect()] == [1]
+    assert distance_join(df, other.limit(0), "b", "b", 1).count() == 0
+    where = locations(df, "b", "b")
+    assert where.columns == ["a", "b", "__r", "location_idx", "start", "end"] and where.count() == 2
+    scored = df.select(F.col("a").alias("query_idx"), F.lit(1).alias("score"), F.lit(1).alias("__top"), F.lit(2).alias("__level"))
+    assert n_best_cli(scored, 1).columns == scored.columns and n_best_cli(scored, 1).count() == 1
+
+
+def test_arrays_like_strings(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    rows = [(list(a), list(b), a, b) for a in words[:8] for b in words] + [(None, ["a"], None, "a")]
+    df = spark.createDataFrame(rows, "x array<string>, y array<string>, s string, t string")
+    for mode in ("NW", "HW", "SHW"):
+        got = df.select(edit_distance("x", "y", mode=mode, k=20, native=False, equalities=[("a", "b")]).alias("d"), edit_distance("s", "t", mode=mode, k=20, native=False, equalities=[("a", "b")]).alias("e")).collect()
+        assert all(r.d == r.e for r in got) and got[-1].d is None
+    odd = spark.createDataFrame([([1, None, 3], [1, None, 4])], "x array<int>, y array<int>")
+    assert odd.select(edit_distance("x", "y", native=False).alias("d")).first().d == 1
+
+
+def test_distance_by_length(spark):
+    rng = random.Random(2)
+    base = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (5, 127, 128, 700, 2500)]
+    cut = [b[3:] + "A" for b in base]
+    df = spark.createDataFrame([*zip(base, cut, strict=True), (None, "x"), ("", "")], "q string, t string")
+    got = {r.q: r.distance for r in with_distance(df, "q", "t").collect()}
+    assert got == {**{b: dp.table(b, c, "NW")[-1][-1] for b, c in zip(base[:4], cut[:4], strict=True)}, base[4]: 4, None: None, "": 0}
+    assert {r.q: r.distance for r in with_distance(df, "q", "t", k=2).collect()}[base[4]] == -1
+
+
 def cli_rule(scores, n, k):
     """A run that tightens its bound as it goes; scores over the bound are -1."""
     import heapq
