@@ -22,6 +22,7 @@ class AlignConfig:
     k: largest distance of interest, negative for no bound. equalities: pairs of
     symbols that count as equal (symmetric, not transitive). max_alphabet: an
     error above so many distinct symbols in a pair (None: no limit).
+    path_bytes: size of stored columns from which a path is found by dividing the pair.
     before_start: whether an end of -1 (query wholly before the target) is
     reported as the reference convention has it, or never."""
 
@@ -31,6 +32,7 @@ class AlignConfig:
     equalities: tuple = ()
     max_alphabet: int | None = None
     before_start: bool = True
+    path_bytes: int = 1 << 20
 
     def __post_init__(self):
         if self.mode not in MODES:

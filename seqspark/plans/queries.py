@@ -6,16 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.config import CASE_INSENSITIVE
-from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment
+from seqspark.config import CASE_INSENSITIVE, IUPAC, AlignConfig
+from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
 from seqspark.operators.search import align_fasta, align_to_target, n_best, n_best_cli
-from seqspark.sources.fasta import read_fasta, sequence_stats
-from seqspark.streaming.align import align_stream
+from seqspark.sources.fasta import read_fasta, sequence_stats, write_scores
+from seqspark.streaming.align import align_stream, n_best_stream
 
 #: Queries of the infix and prefix searches.
 PATTERNS = ("ring", "widgit", "blu bolt", "xyz", "gea", "zzzzzzzzzzzz")
@@ -26,7 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqspark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="seqspark-")
     return f"{base.rstrip('/')}/seqspark-q-{uuid.uuid4().hex}"
 
 
@@ -216,6 +221,98 @@ def q_stream(spark, sf_dir):
     return spark.read.schema("p_partkey bigint, distance int").parquet(out)
 
 
+def q_with_distance(spark, sf_dir):
+    """Neighbouring benchmark texts, of any length, in two plans by length; by ASCII
+    characters, as the SQL's function counts bytes."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("q"))
+    shifted = b.select((F.col("item_id") - 1).alias("item_id"), F.col("q").alias("t"))
+    return with_distance(b.join(shifted, "item_id"), "q", "t").select("item_id", "distance")
+
+
+def q_headerless(spark, sf_dir):
+    """Records whose file has no header, and one whose text before the first header counts."""
+    path = scratch(spark)
+    p = table(spark, sf_dir, "part").where("p_partkey <= 50").select(F.concat(F.col("p_name"), F.lit("\n>"), F.col("p_partkey").cast("string"), F.lit("\nAC\r\nGT")).alias("value"), "p_partkey")
+    p.write.partitionBy("p_partkey").text(path)
+    return read_fasta(spark, path).select("seq_idx", "header", "sequence")
+
+
+def q_missing_file(spark, sf_dir):
+    try:
+        read_fasta(spark, scratch(spark)).count()
+        found = "none"
+    except AnalysisException as e:
+        found = e.getCondition()
+    return spark.createDataFrame([(found,)], "error string")
+
+
+def q_score_table(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_idx"), F.col("p_name").alias("sequence"))
+    out = scratch(spark)
+    write_scores(align_to_target(p, spark.createDataFrame([("blue widget",)], "sequence string"), k=9), out)
+    return spark.read.text(out).select(F.col("value").alias("line"))
+
+
+def q_pretty(spark, sf_dir):
+    r = pairs(spark, sf_dir).withColumn("r", align("q", "t", task="path"))
+    return r.select("q", "t", pretty_alignment("q", "t", F.col("r")).alias("pretty"))
+
+
+def q_divided_paths(spark, sf_dir):
+    """Paths found by dividing every pair: their cost, and what they take of both texts."""
+    r = pairs(spark, sf_dir).select("q", "t", align("q", "t", task="path", path_bytes=1).alias("r"))
+    runs = F.regexp_extract_all("r.cigar", F.lit(r"\d+[=XID]"), F.lit(0))
+    n = lambda kinds: F.aggregate(F.transform(runs, lambda x: F.when(F.right(x, F.lit(1)).isin(*kinds), F.regexp_extract(x, r"\d+", 0).cast("int")).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return r.select("q", "t", n("XID").alias("cost"), n("=XI").alias("of_query"), n("=XD").alias("of_target"))
+
+
+def q_iupac(spark, sf_dir):
+    """Nucleotide ambiguity codes: N equals each base, in distance, locations and path."""
+    t = names(spark, sf_dir, "name").select("name", F.translate(F.upper("name"), "BCDEFGHIJKLMNOPQRSTUVWXYZ ", "CGTACGTACGTACGTACGTACGTACG").alias("t"))
+    t = t.withColumn("q", F.repeat(F.lit("N"), F.length("t") - 2))
+    return t.select("name", edit_distance("q", "t", equalities=IUPAC).alias("distance"), align("q", "t", mode="SHW", task="path", equalities=IUPAC).getField("cigar").alias("cigar"))
+
+
+def q_sql_functions(spark, sf_dir):
+    register(spark)
+    pairs(spark, sf_dir).createOrReplaceTempView("seqspark_pairs")
+    return spark.sql(
+        "SELECT q, t, seq_distance(q, t, 'NW', -1) AS distance, r.cigar AS cigar, seq_cigar(r.alignment, 'standard') AS standard, n.matched_aligned AS matched "
+        "FROM (SELECT q, t, seq_align(q, t, 'NW', 'path', -1) AS r, seq_nice(q, t, 'NW') AS n FROM seqspark_pairs)"
+    )
+
+
+def q_align_fasta_pretty(spark, sf_dir):
+    target = scratch(spark)
+    spark.createDataFrame([(">t\nblue widget",)], "value string").write.text(target)
+    out = align_fasta(spark, _fasta(spark, sf_dir), target, task="path", pretty=True)
+    return out.select(F.col("header").cast("bigint").alias("p_partkey"), "score", "pretty")
+
+
+def q_align_fasta_nice(spark, sf_dir):
+    target = scratch(spark)
+    spark.createDataFrame([(">t\nblue widget",)], "value string").write.text(target)
+    out = align_fasta(spark, _fasta(spark, sf_dir), target, task="path", nice=True)
+    return out.select(F.col("header").cast("bigint").alias("p_partkey"), "nice.query_aligned", "nice.matched_aligned", "nice.target_aligned")
+
+
+def q_nbest_stream(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    stream = spark.readStream.schema(part.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/part.parquet*")
+    scored = stream.withColumn("distance", edit_distance("p_name", F.lit("blue widget"))).withColumn("item", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    out = scratch(spark)
+    best = n_best_stream(scored, "p_brand", "distance", "item", 3)
+    write = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)
+    best.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("p_brand").agg(F.max_by(F.struct("items", "scores"), "batch").alias("m"))
+    return last.select("p_brand", F.array_join("m.items", ",").alias("items"), F.array_join(F.col("m.scores").cast("array<string>"), ",").alias("scores"))
+
+
+def q_settings(spark, sf_dir):
+    c = AlignConfig()
+    return spark.createDataFrame([(c.k, c.mode, c.task, len(c.equalities), len(IUPAC), len(CASE_INSENSITIVE))], "k int, mode string, task string, equalities int, iupac int, letters int")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 _P = "(SELECT DISTINCT p_name AS q FROM part) a, (SELECT DISTINCT p_name AS t FROM part) b"
@@ -248,6 +345,12 @@ def _rle(ops: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({ops}, '=+|X+|I+|D+|M+'), lambda x: length(x) || left(x, 1)), '')"
 
 
+def _pretty(q: str, t: str) -> str:
+    """The one block of an alignment of fifty columns or fewer."""
+    return f"'T: ' || ta || ' (0 - ' || (length({t}) - 1) || ')' || chr(10) || '   ' || translate(ops, '=XID', '|   ') || chr(10) || 'Q: ' || qa || ' (0 - ' || (length({q}) - 1) || ')' || chr(10)"
+
+
+_FASTA_PATHS = _paths("SELECT p_partkey AS k, p_name AS q, 'blue widget' AS t FROM part")
 _NW_PATHS = _paths(f"SELECT t AS k, q, t FROM {_P}")
 _HW_PATHS = _paths(f"""SELECT t AS k, q, substr(t, CAST(start AS INT) + 1, CAST("end" - start + 1 AS INT)) AS t FROM ({_STARTS}) QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY "end") = 1""")
 _SCORES = "SELECT p_partkey AS query_idx, CAST(levenshtein(p_name, 'blue widget') AS INT) AS score FROM part"
@@ -276,6 +379,18 @@ ORACLE_SQL: dict[str, str] = {
     "q_equalities": f"SELECT upper(q) AS u, t, CAST(levenshtein(lower(q), lower(t)) AS INT) AS distance FROM {_P}",
     "q_alphabet": f"SELECT q, t, CAST(length(list_distinct(list_concat(string_split(q, ''), string_split(t, '')))) AS INT) AS symbols FROM {_P}",
     "q_array_symbols": "WITH s AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'p' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1, 2) SELECT a.user_id, b.user_id AS other_id, CAST(a.week AS VARCHAR) AS week, CAST(levenshtein(a.seq, b.seq) AS INT) AS distance FROM s a JOIN s b USING (week) WHERE a.user_id % 20 = 0 AND a.user_id <> b.user_id",
+    "q_with_distance": r"WITH x AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark) SELECT a.item_id, CAST(levenshtein(a.text, b.text) AS INT) AS distance FROM x a JOIN x b ON b.item_id = a.item_id + 1",
+    "q_headerless": "SELECT x.i AS seq_idx, CASE WHEN x.i = 1 THEN CAST(p_partkey AS VARCHAR) END AS header, CASE WHEN x.i = 0 THEN p_name ELSE 'ACGT' END AS sequence FROM part, (SELECT CAST(unnest([0, 1]) AS INT) AS i) x WHERE p_partkey <= 50",
+    "q_missing_file": "SELECT 'PATH_NOT_FOUND' AS error",
+    "q_score_table": f"SELECT '#' || query_idx || ': ' || score || '  1 [ (?, 10) ]' AS line FROM ({_SCORES}) WHERE score <= 9",
+    "q_pretty": f"SELECT q, t, {_pretty('q', 't')} AS pretty FROM ({_NW_PATHS})",
+    "q_divided_paths": f"SELECT q, t, CAST(levenshtein(q, t) AS INT) AS cost, CAST(length(q) AS INT) AS of_query, CAST(length(t) AS INT) AS of_target FROM {_P}",
+    "q_iupac": "SELECT DISTINCT p_name AS name, 2 AS distance, (length(p_name) - 2) || '=' AS cigar FROM part",
+    "q_sql_functions": f"SELECT q, t, CAST(levenshtein(q, t) AS INT) AS distance, {_rle('ops')} AS cigar, " + _rle("replace(replace(ops, '=', 'M'), 'X', 'M')") + f" AS standard, translate(ops, '=XID', '|.--') AS matched FROM ({_NW_PATHS})",
+    "q_align_fasta_pretty": f"SELECT k AS p_partkey, CAST(levenshtein(q, t) AS INT) AS score, {_pretty('q', 't')} AS pretty FROM ({_FASTA_PATHS})",
+    "q_align_fasta_nice": f"SELECT k AS p_partkey, qa AS query_aligned, translate(ops, '=XID', '|.--') AS matched_aligned, ta AS target_aligned FROM ({_FASTA_PATHS})",
+    "q_nbest_stream": "SELECT p_brand, string_agg(lpad(CAST(p_partkey AS VARCHAR), 12, '0'), ',' ORDER BY d, p_partkey) AS items, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d, p_partkey) AS scores FROM (SELECT *, levenshtein(p_name, 'blue widget') AS d FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY d, p_partkey) <= 3) GROUP BY 1",
+    "q_settings": "SELECT -1 AS k, 'NW' AS mode, 'distance' AS task, 0 AS equalities, 28 AS iupac, 26 AS letters",
     "q_nbest": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 10",
     "q_nbest_cli": f"WITH s AS (SELECT * FROM ({_SCORES}) WHERE score <= 8), l AS (SELECT max(score) AS top FROM (SELECT score FROM s ORDER BY score LIMIT 10)) SELECT query_idx, score FROM s, l WHERE score <= top AND (score = 0 OR (SELECT count(*) FROM s o WHERE o.query_idx < s.query_idx AND o.score <= s.score) < 10)",
     "q_containment": "SELECT item_id, doc_id, CAST(floor(length(b.text) * 0.05) AS INT) AS k, 0 AS distance FROM benchmark b, documents d WHERE contains(d.text, b.text)",
