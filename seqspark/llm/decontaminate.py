@@ -16,6 +16,8 @@ TOKEN = r"[.!?\n]|\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*(?:['’]\p{L}+)?|[%$
 
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 
+_ENDS = "'.', '!', '?', '\\n'"
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -25,17 +27,22 @@ def _sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+#: A number begins so; the first two tell ASCII digits without a pattern.
+_NUMBER = r"(x < ':' AND x >= '0' OR x > '~' AND x RLIKE '^\\p{N}')"
+
+
 def template_sql(arr: str, names: bool = True) -> str:
-    """SQL for an array of struct(raw, t): tokens without sentence ends, each with
-    its template form: a placeholder for numbers, units and names, else the
-    lower-case word. A name is a capitalised word inside a sentence, or a known
-    given name anywhere; names=False leaves them as words."""
+    """SQL for an array of template forms: a placeholder for numbers, units and names,
+    else the lower-case word; sentence ends stay. A name is a capitalised word inside
+    a sentence, or a known given name anywhere; names=False leaves them as words."""
     given = sorted({n for d in (MALE, FEMALE) for k in d.values() for n in k})
-    plain = f"CASE WHEN lower(x) IN ({_sql_list([*UNITS, *SIGNS])}) THEN '{UNIT}' WHEN lower(x) IN ({_sql_list(NUMBERS)}) THEN '{NUM}' ELSE lower(x) END"
-    inside = f"i > 0 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND NOT {arr}[i - 1] IN ('.', '!', '?', '\n')"
+    units, numbers = [*UNITS, *SIGNS], NUMBERS
+    # a word in lower case is looked up as it is, once
+    plain = lambda x: f"CASE WHEN {x} IN ({_sql_list([*units, *numbers])}) THEN CASE WHEN {x} IN ({_sql_list(units)}) THEN '{UNIT}' ELSE '{NUM}' END ELSE {x} END"
+    inside = f"i > 0 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND NOT {arr}[i - 1] IN ({_ENDS})"
     if not names:
-        return f"transform({arr}, x -> CASE WHEN x < ':' AND x >= '0' THEN '{NUM}' ELSE {plain} END)"
-    kind = f"CASE WHEN x < ':' AND x >= '0' THEN '{NUM}' WHEN x = lower(x) THEN {plain} WHEN x IN ({_sql_list(given)}) OR ({inside}) THEN '{NAME}' ELSE {plain} END"
+        return f"transform({arr}, x -> CASE WHEN {_NUMBER} THEN '{NUM}' WHEN x = lower(x) THEN {plain('x')} ELSE {plain('lower(x)')} END)"
+    kind = f"CASE WHEN {_NUMBER} THEN '{NUM}' WHEN x = lower(x) THEN {plain('x')} WHEN x IN ({_sql_list(given)}) OR ({inside}) THEN '{NAME}' ELSE {plain('lower(x)')} END"
     return f"transform({arr}, (x, i) -> {kind})"
 
 
@@ -52,27 +59,73 @@ def templated(df: DataFrame, keys: list[str], text: str, names: bool = True, loo
     out of both; loose: with lt, their loose template forms, too."""
     out = df.select(*keys, tokens(F.col(text)).alias("all"))
     out = out.select(*keys, "all", F.expr(template_sql("all", names)).alias("forms"))
-    ends = "array('.', '!', '?', '\n')"
-    out = out.select(*keys, F.expr(f"filter(all, x -> NOT array_contains({ends}, x))").alias("raw"), F.expr(f"filter(forms, x -> NOT array_contains({ends}, x))").alias("t"))
+    out = out.select(*keys, F.expr(f"filter(all, x -> NOT x IN ({_ENDS}))").alias("raw"), F.expr(f"filter(forms, x -> NOT x IN ({_ENDS}))").alias("t"))
     return out.withColumn("lt", F.expr(loose_sql("raw", "t"))) if loose else out
 
 
+def hashed(df: DataFrame, keys: list[str], text: str, low: bool = False) -> DataFrame:
+    """df's keys with __t1 and __lt1, the hashes of the tokens' template forms and loose
+    forms as templated() has them, sentence ends left out; low: with __low1, those of the
+    tokens in lower case. One step a token, and a single look-up for most."""
+    units, numbers = [*UNITS, *SIGNS], NUMBERS
+    more_numbers = sorted(set(NUMBERS_MORE) - {*units, *numbers})
+    more_units = sorted({*UNITS_MORE} - {*NUMBERS_MORE, *units, *numbers})
+    given = sorted({n for d in (MALE, FEMALE) for k in d.values() for n in k})
+    third = lambda x: f", xxhash64({x}) AS c" if low else ""
+    put = lambda a, b, x: f"struct(xxhash64({a}) AS a, xxhash64({b}) AS b{third(x)})"
+    q = lambda kind: f"'{kind}'"
+    listed = lambda x: f"WHEN {x} IN ({_sql_list(units)}) THEN {put(q(UNIT), q(UNIT), x)} WHEN {x} IN ({_sql_list(numbers)}) THEN {put(q(NUM), q(NUM), x)} WHEN {x} IN ({_sql_list(more_numbers)}) THEN {put(x, q(NUM), x)} WHEN {x} IN ({_sql_list(more_units)}) THEN {put(x, q(UNIT), x)}"
+    special = _sql_list([*units, *numbers, *more_numbers, *more_units])
+    inside = f"i > 0 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND NOT all[i - 1] IN ({_ENDS})"
+    form = f"""CASE WHEN {_NUMBER} THEN {put(q(NUM), q(NUM), 'lower(x)')}
+        WHEN x = lower(x) THEN CASE WHEN x IN ({special}, {_ENDS}) THEN CASE WHEN x IN ({_ENDS}) THEN NULL {listed('x')} END ELSE {put('x', 'x', 'x')} END
+        WHEN x IN ({_sql_list(given)}) OR ({inside}) THEN {put(q(NAME), q(NAME), 'lower(x)')}
+        WHEN lower(x) IN ({special}) THEN CASE {listed('lower(x)')} END
+        WHEN length(x) > 1 AND substr(x, 2) = substr(lower(x), 2) THEN {put('lower(x)', q(NAME), 'lower(x)')}
+        ELSE {put('lower(x)', 'lower(x)', 'lower(x)')} END"""
+    out = df.select(*keys, tokens(F.col(text)).alias("all"))
+    out = out.select(*keys, F.expr(f"filter(transform(all, (x, i) -> {form}), s -> s IS NOT NULL)").alias("hs"))
+    return out.select(*keys, F.col("hs.a").alias("__t1"), F.col("hs.b").alias("__lt1"), *([F.col("hs.c").alias("__low1")] if low else []))
+
+
+def _hashes(df: DataFrame, col: str, size: int) -> tuple[DataFrame, str]:
+    """df with a column of the 64-bit hashes of all windows of `size` tokens of an array
+    column, and that column's name. Each token is hashed once, and windows are put
+    together from ones of half their length: a few steps a window, whatever its size."""
+    name = lambda n: f"__{col}{n}"
+    if name(1) not in df.columns:
+        df = df.withColumn(name(1), F.expr(f"transform({col}, x -> xxhash64(x))"))
+    n, whole, at, half = f"size({name(1)})", None, 0, 1
+    while half <= size:
+        if half > 1 and name(half) not in df.columns:
+            df = df.withColumn(name(half), F.expr(f"zip_with({name(half // 2)}, slice({name(half // 2)}, {half // 2 + 1}, {n}), (a, b) -> xxhash64(a, b))"))
+        if size & half:
+            whole = name(half) if whole is None else f"zip_with({whole}, slice({name(half)}, {at + 1}, {n}), (a, b) -> xxhash64(a, b))"
+            at += half
+        half *= 2
+    out = f"__{col}_{size}"
+    return df.withColumn(out, F.expr(f"slice({whole}, 1, greatest({n} - {size} + 1, 0))")), out
+
+
 def windows(df: DataFrame, keys: list[str], size: int, col: str = "t") -> DataFrame:
-    """One row per window of template tokens (or those of another column): keys,
-    pos, h (its 64-bit hash). A shorter row is one window, its missing tokens left
-    out of the hash."""
-    # tokens one by one: slice() would copy the whole array for each window
-    hashed = ", ".join(f"get({col}, i + {k})" for k in range(size))
-    spans = F.expr(f"transform(sequence(0, greatest(size({col}) - {size}, 0)), i -> xxhash64({hashed}))")
-    return df.select(*keys, F.posexplode(spans).alias("pos", "h"))
+    """One row per window of `size` template tokens (or those of another column): keys, pos, h (its hash)."""
+    df, h = _hashes(df, col, size)
+    return df.select(*keys, F.posexplode(h).alias("pos", "h"))
+
+
+def item_windows(df: DataFrame, keys: list[str], size: int, lengths: list[int], col: str = "t") -> DataFrame:
+    """windows() of items; those of fewer tokens (their lengths given) are one window of their own length."""
+    out = windows(df, keys, size, col)
+    for n in lengths:
+        out = out.union(windows(df.where(F.size(col) == n), keys, n, col))
+    return out
 
 
 def both_windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     """windows() of t with dmode 0, and those of lt that differ with dmode 1."""
-    h = lambda col: "xxhash64(" + ", ".join(f"get({col}, i + {k})" for k in range(size)) + ")"
-    equal = " AND ".join(f"get(t, i + {k}) <=> get(lt, i + {k})" for k in range(size))
-    at = f"sequence(0, greatest(size(t) - {size}, 0))"
-    spans = F.expr(f"concat(transform({at}, i -> struct(i AS pos, {h('t')} AS h, 0 AS dmode)), transform(filter({at}, i -> NOT ({equal})), i -> struct(i AS pos, {h('lt')} AS h, 1 AS dmode)))")
+    df, h = _hashes(df, "t", size)
+    df, lh = _hashes(df, "lt", size)
+    spans = F.expr(f"concat(transform({h}, (x, i) -> struct(i AS pos, x AS h, 0 AS dmode)), filter(transform({lh}, (x, i) -> struct(i AS pos, x AS h, 1 AS dmode)), s -> s.h <> {h}[s.pos]))")
     return df.select(*keys, F.inline(spans))
 
 
@@ -131,20 +184,20 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     low = F.expr("transform(raw, x -> lower(x))")
     plain = shaped(False)
     bare = items.where(F.expr(f"{whole_of('t')} OR {whole_of('lt')}")).withColumn("low", low).withColumn("whole", F.lit(False))
-    asked = windows(items.withColumn("whole", whole), [*key, "whole"], window).union(windows(plain.withColumn("whole", whole), [*key, "whole"], window))
-    asked = asked.union(windows(bare, [*key, "whole"], window, "low")).distinct().withColumn("mode", F.lit(0))
+    lengths = sorted(r[0] for r in items.where(F.size("t") < window).select(F.size("t")).distinct().collect())  # window - 1 numbers at most
+    of = lambda df, col="t": item_windows(df, [*key, "whole"], window, lengths, col)
+    asked = of(items.withColumn("whole", whole)).union(of(plain.withColumn("whole", whole)))
+    asked = asked.union(of(bare, "low")).distinct().withColumn("mode", F.lit(0))
     # the loose templates' own windows: what they find counts where the others fail
-    more = windows(items.withColumn("whole", F.expr(whole_of("lt"))), [*key, "whole"], window, "lt").withColumn("mode", F.lit(1))
+    more = of(items.withColumn("whole", F.expr(whole_of("lt"))), "lt").withColumn("mode", F.lit(1))
     asked = asked.union(more).groupBy(*key, "whole", "pos", "h").agg(F.min("mode").alias("mode"))
     asked = materialise(asked.withColumnRenamed("pos", "ipos"), "asked")
-    lengths = sorted(r[0] for r in items.where(F.size("t") < window).select(F.size("t")).distinct().collect())  # window - 1 numbers at most
-    shapes = templated(d, ["id", "th"], "text", loose=True)
-    shapes = shapes.withColumn("low", low) if lengths else shapes
+    shapes = hashed(d, ["id", "th"], "text", bool(lengths))
     met = both_windows(shapes, ["id", "th"], window).withColumn("inner", F.lit(False))
-    for n in lengths:
-        longer = shapes.where(F.size("t") > n)
-        met = met.union(both_windows(longer, ["id", "th"], n).withColumn("inner", F.lit(True)))
-        met = met.union(windows(longer, ["id", "th"], n, "low").withColumn("dmode", F.lit(0)).withColumn("inner", F.lit(True)))
+    for n in lengths:  # short items: windows of their length, in texts that are longer or consist of one
+        inner = F.size("__t1") > n
+        met = met.union(both_windows(shapes.withColumn("inner", inner), ["id", "th", "inner"], n).select("id", "th", "pos", "h", "dmode", "inner"))
+        met = met.union(windows(shapes.where(inner), ["id", "th"], n, "low").select("id", "th", "pos", "h", F.lit(0).alias("dmode"), F.lit(True).alias("inner")))
     few = asked.count() <= broadcast_rows
     met = met.join(F.broadcast(asked) if few else asked, "h")
     if lengths:
