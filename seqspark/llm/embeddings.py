@@ -6,12 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import components, in_arrow, materialise
+from seqspark.llm.common import components, in_arrow, materialise, slices
 
 #: Passes, hashes concatenated in each, rows of a block, guaranteed neighbour window.
 PASSES, HASHES, BLOCK, WINDOW = 12, 64, 1024, 128
@@ -21,43 +20,48 @@ def planes(dim: int, n_pass: int, hashes: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, n_pass, dim]).standard_normal((dim, hashes))
 
 
-def _classes(id_type: str, passes: int, hashes: int, seed: int):
-    """Per row: whether it can link, a digest of its vector, and its sort key for each pass."""
+def _flat(column: pa.Array, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values of a list column one after another, lengths, which rows can link): rows
+    that are null, empty, zero, or hold null or non-finite numbers can't."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten()
+    flat = (values.to_numpy(zero_copy_only=False) if not values.null_count else values.fill_null(float("nan")).to_numpy(zero_copy_only=False)).astype(width) + width(0)
+    ok = size > 0
+    if len(flat):
+        full = np.flatnonzero(ok)
+        first = (np.cumsum(size) - size)[full]
+        ok[full] = np.logical_and.reduceat(np.isfinite(flat), first) & np.logical_or.reduceat(flat != 0, first)
+    return flat, size, ok
+
+
+def _classes(width: type, passes: int, hashes: int, seed: int):
+    """Per row: a digest of its vector, its bytes (little-endian, of the width they came
+    in), and its sort key for each pass; nulls where it can't link."""
 
     def run(batches):
-        made: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            digests, valid, keys, dims = [], [], [], []
-            for v in batch.column(1).to_pylist():
-                x = None
-                if v is not None and len(v) and not any(k is None for k in v):
-                    x = np.array(v, np.float64) + 0.0
-                    m = np.abs(x).max()
-                    if not np.isfinite(m) or m == 0:
-                        x = None
-                valid.append(x is not None)
-                dims.append(len(v) if x is not None else 0)
-                if x is None:
-                    digests.append(None)
-                    keys.append(None)
-                    continue
-                digests.append(hashlib.sha1(x.tobytes()).digest())
-                own = []
-                for p in range(passes):
-                    if (len(x), p) not in made:
-                        made[len(x), p] = planes(len(x), p, hashes, seed)
-                    bits = (x / m) @ made[len(x), p] > 0
-                    own.append(np.packbits(bits).tobytes())
-                keys.append(own)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": batch.column(0),
-                    "label": batch.column(2),
-                    "digest": pa.array(digests, pa.binary()),
-                    "dim": pa.array(dims, pa.int32()),
-                    "vec": pa.array([v if ok else None for v, ok in zip(batch.column(1).to_pylist(), valid, strict=True)], pa.list_(pa.float64())),
-                    "keys": pa.array(keys, pa.list_(pa.binary())),
-                }
+        made: dict[int, np.ndarray] = {}
+        for batch in slices(batches, 1024):
+            flat, size, ok = _flat(batch.column(1), width)
+            at = np.cumsum(size) - size
+            n = batch.num_rows
+            digests, vecs = [None] * n, [None] * n
+            keys = np.zeros((n, passes, -(-hashes // 8)), np.uint8)
+            for dim in np.unique(size[ok]).tolist():
+                own = np.flatnonzero(ok & (size == dim))
+                x = flat[at[own][:, None] + np.arange(dim)]
+                if dim not in made:
+                    made[dim] = np.concatenate([planes(dim, p, hashes, seed) for p in range(passes)], 1)
+                wide = x.astype(np.float64)
+                wide /= np.abs(wide).max(1, keepdims=True)
+                bits = (wide @ made[dim] > 0).reshape(len(own), passes, hashes)
+                keys[own] = np.packbits(bits, axis=2)
+                for i, v in zip(own.tolist(), x, strict=True):
+                    vecs[i] = v.tobytes()
+                    digests[i] = hashlib.sha1(vecs[i]).digest()
+            listed = [[k.tobytes() for k in keys[i]] if ok[i] else None for i in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(np.where(ok, size, 0), pa.int32()), pa.array(vecs, pa.binary()), pa.array(listed, pa.list_(pa.binary()))],
+                names=["id", "label", "digest", "dim", "vec", "keys"],
             )
 
     return run
@@ -74,13 +78,13 @@ def _positions(batches):
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64()), ("far", pa.int64())])
 
 
-def _unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    x = pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    x = x / np.abs(x).max(1, keepdims=True)
+def _unit(column: pa.ChunkedArray, dim: int, width: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(column.to_pylist()), width).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _compare(least: float):
+def _compare(least: float, width: type):
     """Links within one cell: rows of side 0 with each other (if alone) and with those of side 1."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -93,7 +97,7 @@ def _compare(least: float):
         for i, j in zip(cut, np.append(cut[1:], len(kind)), strict=True):
             if j - i < 2:
                 continue
-            x = _unit(t["vec"].slice(i, j - i), int(dim[i]))
+            x = _unit(t["vec"].slice(i, j - i), int(dim[i]), width)
             r, s = rank[i:j], side[i:j]
             own = np.flatnonzero(s == 0)
             for at in range(0, len(own), 512):
@@ -129,12 +133,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     null label, link with nothing: n_links 0, component_id their own id, kept.
     Vectors of different length don't link. n_links counts other rows; repeated
     ids are separate rows. component_id is the smallest id of the component (null
-    if it has none) and kept says id = component_id (null-safe).
+    if it has none) and kept says id = component_id (null-safe). An empty table gives
+    no rows; other columns are not looked at. Vectors of any length: a task holds the
+    vectors of one block and its neighbours.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    rows = in_arrow(rows, _classes(kind, passes, hashes, seed), "id string, label string, digest binary, dim int, vec array<double>, keys array<binary>")
+    # what is shuffled has the width of the input; cosines are computed in double precision
+    width = np.float32 if df.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>" if width is np.float32 else "array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    rows = in_arrow(rows, _classes(width, passes, hashes, seed), "id string, label string, digest binary, dim int, vec binary, keys array<binary>")
     rows = materialise(rows.select(F.col("id").cast(kind).alias("id"), "label", "digest", "dim", "vec", "keys"), "vectors")
     linked = rows.where("label is not null and digest is not null")
     base = linked.groupBy("label", "dim", "digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
@@ -160,7 +168,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     def compared(dealt: DataFrame) -> DataFrame:
         full = dealt.join(base.select("c", "dim", "vec"), "c").select("cell", "cross", "side", "kind", "rank", "c", "dim", "vec")
-        return materialise(full.groupBy("cell").applyInArrow(_compare(threshold), "a bigint, b bigint, cell bigint, far bigint"), "links")
+        return materialise(full.groupBy("cell").applyInArrow(_compare(threshold, width), "a bigint, b bigint, cell bigint, far bigint"), "links")
 
     halo = F.array(F.struct(F.col("block").alias("cell"), F.lit(0).alias("side")))
     halo = F.when((F.col("rank") % block < window) & (F.col("block") > 0), F.concat(halo, F.array(F.struct((F.col("block") - 1).alias("cell"), F.lit(1).alias("side"))))).otherwise(halo)

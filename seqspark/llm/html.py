@@ -42,8 +42,8 @@ UNLIKELY = re.compile(
 )
 #: Words that may stand beside those in a name without giving it another meaning.
 _FILLER = re.compile(r"left|right|top|bottom|main|site|page|global|primary|secondary|box|wrap(?:per)?|container|inner|outer|area|block|section|col(?:umn)?|list|items?|links?|bar|unit|slot|title|head(?:er|ing)?|body|text|content|posts?|articles?|stories|entries|news|form|icons?|buttons?|btns?|js|the|us|policy|overlay|message|\d*", re.I)
-#: A form, or a part of which only a piece of the name is unlikely, stays with so much text at a link density below SPARED_LINKS.
-FORM_TEXT, SPARED_TEXT, SPARED_LINKS = 25, 25, 0.25
+#: A form of so much text may stay; a part of which only a piece of the name is unlikely does at a link density below SPARED_LINKS.
+FORM_TEXT, SPARED_LINKS = 25, 0.25
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: The head of an article is no page header.
 _OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|blog|title|section)[_-]*header", re.I)
@@ -249,7 +249,7 @@ def _header_of_article(node: Node) -> None:
 
 
 def _spare(root: Node) -> None:
-    """Keeps forms that hold most of the page's text, and much text in few links
+    """Keeps forms that hold most of the page's text, and text in few links
     where only a piece of a name spoke against it."""
     order, stack = [], [root]
     while stack:
@@ -269,7 +269,7 @@ def _spare(root: Node) -> None:
             if x.name in ("form", "fieldset"):
                 x.drop = not (n >= FORM_TEXT and 2 * n > size[id(root)][0])
             else:
-                x.drop = not (n >= SPARED_TEXT and links < SPARED_LINKS * n)
+                x.drop = not links < SPARED_LINKS * n
 
 
 def best(root: Node) -> list[Node]:
@@ -363,7 +363,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     footers, sidebars, notices, adverts, forms, scripts, styles, comments and
     hidden parts are left out, but a form that holds most of the page's text, and
     parts of which only a piece of a class or id is unlikely ("related-work") if
-    they are sections, headings or much text in few links. Inside a block white space becomes one space;
+    they are sections, headings or text in few links. Inside a block white space becomes one space;
     blocks are joined by a line feed.
 
     Null or empty html, and pages without text, give the text '' and 0; an empty

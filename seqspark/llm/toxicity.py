@@ -146,20 +146,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
                 cs.append(sorted(c) if c is not None else None)
             yield pa.RecordBatch.from_pydict({"y": batch.column(0), "x": pa.array(xs, pa.list_(pa.int32())), "c": pa.array(cs, pa.list_(pa.int32()))})
 
-    data = in_arrow(picked, reduce, "y int, x array<int>, c array<int>").toArrow()
-    weights, bias = regress(data["y"].to_pylist(), data["x"].to_pylist(), data["c"].to_pylist(), len(vocab), fairness, l2)
+    data = in_arrow(picked, reduce, "y int, x array<int>, c array<int>").toArrow().combine_chunks()
+    weights, bias = regress(data["y"].to_numpy(), _rows(data["x"]), _rows(data["c"]), len(vocab), fairness, l2)
     return {"weights": {f: float(w) for f, w in zip(vocab, weights, strict=True) if w}, "bias": float(bias), "identity": list(swap)}
 
 
-def _csr(rows: list[list[int]]):
+def _rows(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The rows of a column of integer lists, without a Python object a number."""
+    out: list[np.ndarray | None] = []
+    for part in column.chunks:
+        flat, size = part.flatten().to_numpy(), part.value_lengths().fill_null(0).to_numpy()
+        at = np.cumsum(size) - size
+        out += [flat[i : i + n] if ok else None for i, n, ok in zip(at.tolist(), size.tolist(), part.is_valid().to_pylist(), strict=True)]
+    return out
+
+
+def _csr(rows: list[np.ndarray]):
     size = np.array([len(r) for r in rows], np.int64)
-    return np.concatenate([np.asarray(r, np.int64) for r in rows]) if size.sum() else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), size)
+    return np.concatenate(rows).astype(np.int64) if size.sum() else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), size)
 
 
 def regress(y, x, c, n_features: int, fairness: float, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the counterfactual-regularised logistic loss. The rows'
+    """Full-batch Adam on the counterfactual-regularised logistic loss. y: labels; x:
+    the rows' features; c: those with identity terms swapped, or None. The rows'
     order is made the same whichever order they came in."""
-    order = sorted(range(len(y)), key=lambda i: (y[i], x[i], c[i] or []))
+    order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes(), b"" if c[i] is None else c[i].tobytes()))
     y, x, c = np.array([y[i] for i in order], float), [x[i] for i in order], [c[i] for i in order]
     col, row = _csr(x)
     pairs = [i for i, k in enumerate(c) if k is not None]

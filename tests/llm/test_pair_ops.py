@@ -135,6 +135,33 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_of_vectors(spark):
+    # one label of many blocks: planted pairs just above the threshold, and a dense group
+    rng = np.random.default_rng(4)
+    n, dim = 20_000, 32
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(600):  # at cosines from 0.98 to 1
+        side = rng.normal(size=dim)
+        side -= (side @ x[i]) * x[i]
+        c = rng.uniform(0.9801, 0.9999)
+        x[10_000 + i] = c * x[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x[15_000:15_400] = x[15_000] + rng.normal(size=(400, dim)) * 0.012
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(4)
+    wide = x.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    links = np.concatenate([((wide[i : i + 2000] @ wide.T) >= 0.98).sum(1) - 1 for i in range(0, n, 2000)])
+    got = np.zeros(n, np.int64)
+    comp = np.arange(n)
+    for r in embeddings.near_duplicates(df).collect():
+        got[r.vec_id], comp[r.vec_id] = r.n_links, r.component_id
+    assert (got <= links).all() and got.sum() >= 0.9 * links.sum() and links.sum() > 100_000
+    assert (comp[10_000:10_600] == np.arange(600)).mean() >= 0.9
+    assert (comp[15_000:15_400] == 15_000).all()
+
+
 BENCH = "A train leaves Paris at 9 and covers 120 km in 2 hours, then Alice walks 3 miles more to the old stone bridge; how far is it in all?"
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -162,6 +163,96 @@ def test_toxicity_and_identity_terms(spark):
     assert toxicity.score(docs, empty).where("predicted = 1").count() == 0
 
 
+def test_classifier_by_plain_steps():
+    # the same loss and the same steps, one row and one feature at a time; equal rows and ties among them
+    rng = random.Random(2)
+    n, k, fair, l2 = 24, 6, 3.0, 1e-3
+    x = [np.array(sorted(rng.sample(range(k), rng.randint(0, 4))), np.int32) for _ in range(n)]
+    y = [int(0 in r or rng.random() < 0.2) for r in x]
+    c = [np.array(sorted(rng.sample(range(k), 2)), np.int32) if i % 3 == 0 else None for i in range(n)]
+    x, y, c = [*x, x[0], x[1]], [*y, y[0], 1 - y[1]], [*c, c[0], c[1]]
+    got, bias = toxicity.regress(y, x, c, k, fair, l2, steps=25)
+    w, m, v, n = [0.0] * (k + 1), [0.0] * (k + 1), [0.0] * (k + 1), len(y)
+    pairs = sum(r is not None for r in c)
+    for t in range(1, 26):
+        g = [l2 * a for a in w[:k]] + [0.0]
+        for own, label, other in zip(x, y, c, strict=True):
+            s = w[k] + sum(w[i] for i in own)
+            d = (1 / (1 + math.exp(-s)) - label) / (2 * sum(y) if label else 2 * (n - sum(y)))
+            g[k] += d
+            for i in own:
+                g[i] += d
+            if other is not None:
+                e = 2 * fair * (s - w[k] - sum(w[i] for i in other)) / pairs
+                for i in own:
+                    g[i] += e
+                for i in other:
+                    g[i] -= e
+        for i in range(k + 1):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.999 * v[i] + 0.001 * g[i] ** 2
+            w[i] -= 0.05 * m[i] / (1 - 0.9**t) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    assert list(got) == pytest.approx(w[:k], abs=1e-9) and bias == pytest.approx(w[k], abs=1e-9)
+    again = list(range(len(y)))[::-1]
+    assert toxicity.regress([y[i] for i in again], [x[i] for i in again], [c[i] for i in again], k, fair, l2, steps=25)[0] == pytest.approx(got)
+
+
+def test_toxicity_of_odd_tables(spark):
+    df = documents(spark, ["a calm day " * 5, None, "", "word " * 40_000])
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    model = toxicity.fit(df, labels, F.lit(True))
+    rows = toxicity.score(df, model).collect()
+    assert len(rows) == 4 and len({r.score for r in rows}) == 1 and {r.predicted for r in rows} == {0}
+    assert toxicity.score(df.limit(0), model).count() == 0 and toxicity.accepted(df, model).columns == df.columns
+
+
+def test_languages_by_plain_counts(spark):
+    # trigrams, scores and the best path by plain Python
+    from seqspark.llm.langid import BUCKETS
+
+    rng = random.Random(3)
+    langs = {"en": EN.split(), "de": DE.split(), "ru": RU.split()}
+    rows = [(i, " ".join(rng.choice(langs[k]) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate(rng.choices(list(langs), k=40))]
+    mixed = [(100 + i, " ".join(rng.choice(langs[rng.choice(list(langs))]) for _ in range(8)), None) for i in range(10)]
+    df = spark.createDataFrame(rows + mixed, "doc_id bigint, text string, lang string").withColumn("lang_pred", F.lit("clash"))
+    got = {r.doc_id: r for r in train_and_identify(df, F.lit(True), spans=False).collect()}
+
+    def bucket(a, b, c):
+        m = (1 << 64) - 1
+        h = (ord(a) * 0x9E3779B97F4A7C15 + ord(b) * 0xC2B2AE3D27D4EB4F + ord(c) * 0x165667B19E3779F9) & m
+        h ^= h >> 29
+        return ((h * 0xBF58476D1CE4E5B9) & m) >> 48
+
+    grams = lambda w: [bucket(*(f" {w} "[i : i + 3])) for i in range(len(w))]
+    names = sorted(langs)
+    count = {k: Counter() for k in names}
+    for _, t, k in rows:
+        count[k].update(g for w in t.split() for g in grams(w))
+    logp = {k: lambda g, c=count[k], n=sum(count[k].values()): math.log((c[g] + 0.5) / (n + 0.5 * BUCKETS)) for k in names}
+    script = lambda w: "ru" if ord(w[0]) > 0x400 else "latin"
+    for i, t, _ in rows + mixed:
+        words = t.split()
+        score = [[sum(map(logp[k], grams(w))) + (0 if (k == "ru") == (script(w) == "ru") else -1e6) for k in names] for w in words]
+        path = {j: (score[0][j], [j]) for j in range(3)}
+        for s in score[1:]:
+            path = {j: max(((p[0] - (8.0 if a != j else 0) + s[j], [*p[1], j]) for a, p in path.items()), key=lambda x: x[0]) for j in range(3)}
+        best = max(path.values(), key=lambda x: x[0])[1]
+        letters = Counter()
+        for j, w in zip(best, words, strict=True):
+            letters[names[j]] += len(w)
+        want = max(names, key=lambda k: letters[k])
+        assert got[i].lang_pred == want and got[i].score == pytest.approx(letters[want] / sum(letters.values())) and got[i].n_words == len(words)
+
+
+def test_letters_of_all_planes(spark):
+    from seqspark.llm.langid import TOP
+
+    assert not any(chr(i).isalpha() for i in range(TOP, 0x110000))
+    df = spark.createDataFrame([(1, "\U00032010" * 3), (2, "\u0301\u0302 \u0903"), (3, "the cat " * 30_000), (4, "12 345")], "doc_id bigint, text string")
+    model = learn(spark.createDataFrame([("en", EN), ("de", DE)], "lang string, text string"))
+    got = {r.doc_id: r.lang_pred for r in identify(df, model).collect()}
+    assert got[1] in ("en", "de") and got[2] == got[4] == "und" and got[3] == "en"
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     classes = 3
@@ -353,6 +444,19 @@ def _counting(w):
     return run
 
 
+def test_pages_with_odd_markup(spark):
+    para = ("A sentence with a number of words, and then some more of them to read. " * 3).strip()
+    page = f"<article><p>{para}</p><p>Area is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here.</p><p class='side-effects'>Short one.</p><div class='tags-of-war'>A block of some length.</div><section class='related-work'><p>More.</p></section></article>"
+    assert main_text(page) == f"{para}\nArea is x=2 here.\nShort one.\nA block of some length.\nMore."
+    # end tags that nothing opened, in deep trees: linear time
+    start = time.process_time()
+    assert main_text("<div>" * 50_000 + para + "</p>" * 100_000 + "</td>" * 50_000) == para
+    assert time.process_time() - start < 5
+    df = spark.createDataFrame([(1, "u", page, "clash")], "page_id bigint, url string, html string, text string")
+    assert extract(df).columns == ["page_id", "url", "text", "n_chars"] and extract(df).first().n_chars == len(main_text(page))
+    assert extract(df.limit(0)).count() == 0
+
+
 def test_pages_keep_text_with_unlucky_names():
     para = "A sentence with a number of words, and then some more of them to read. " * 3
     para = para.strip()
