@@ -2,33 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: What a split's records are: its place, how many whole ones with residues come before,
+#: whether a record begins with the split (lead), whether the split ends in its header (open).
+_RECORD = "path string, at bigint, k bigint, lead boolean, open boolean, header string, sequence string"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the splits in a task. Pieces between marks come in a split's order; a
+    mark inside a header parts pieces, too, so those without a line end are put together."""
+    out: list[tuple] = []
+    place, k = None, 0
+    lead, header, pieces, opened = False, None, [], False
+
+    def close():
+        nonlocal k
+        text = ">".join(pieces)
+        if header is None and not lead:  # before any header
+            head, body = None, text
+        else:
+            head, _, body = text.partition("\n")
+            head = head.removesuffix("\r")
+        body = body.replace("\r", "").replace("\n", "")
+        out.append((*place, k, lead, opened, head, body))
+        k += bool(body) and not lead and not opened
+
+    def flush():
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _KINDS, strict=True)], names=_NAMES)
+        out.clear()
+        return made
+
+    for batch in batches:
+        for path, at, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (path, at) != place:
+                if place is not None:
+                    close()
+                place, k, pieces = (path, at), 0, [piece]
+                # the file's first piece stands before any mark; another split's may go on with a header
+                lead, header = at > 0, (True if at > 0 else None)
+                opened = lead and "\n" not in piece
+            elif opened:
+                pieces.append(piece)
+                opened = "\n" not in piece
+            else:
+                close()
+                lead, header, pieces = False, True, [piece]
+                opened = "\n" not in piece
+            if len(out) >= 4096:
+                yield flush()
+    if place is not None:
+        close()
+    yield flush()
+
+
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
+_NAMES = ["path", "at", "k", "lead", "open", "header", "sequence"]
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """path, seq_idx, header, sequence of every record of the files under path.
 
     A '>' outside a header begins one, mid-line too; a header ends with its line;
     line ends inside a sequence are dropped, every other character stays. Records
     without a residue vanish; text before any header is a record with a null
-    header. One file is read by one task (files over 2 GB need splitting first).
-    A missing path raises Spark's PATH_NOT_FOUND.
+    header. Large files are read in splits, by as many tasks; a header that goes on
+    over a split's end is put together again. One record stays below 2 GB.
+    A missing path raises Spark's PATH_NOT_FOUND; empty files have no records.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
-    # a headerless record first: a mark that no header text can hold
-    marked = F.regexp_replace(F.col("v"), r">([^\n]*)(?:\n|$)", "\u0001>$1\n")
-    pieces = F.split(marked, "\u0001", -1)
-    records = F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            F.when(i > 0, F.regexp_extract(p, r"^>([^\n]*?)\r?\n", 1)).alias("header"),
-            F.regexp_replace(F.when(i > 0, F.regexp_replace(p, r"^>[^\n]*\n", "")).otherwise(p), r"[\r\n]", "").alias("sequence"),
-        ),
-    )
-    kept = F.filter(records, lambda r: F.length(r["sequence"]) > 0)
-    out = text.select("path", F.posexplode(kept).alias("seq_idx", "r"))
-    return out.select("path", "seq_idx", F.col("r.header").alias("header"), F.col("r.sequence").alias("sequence"))
+    text = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("v"))
+    found = text.mapInArrow(_records, _RECORD)
+    # of each split, the record that may go on from the one before, and the one that may go on:
+    # leads whose predecessor is open are parts of it
+    ends = found.where("lead OR open")
+    w = Window.partitionBy("path").orderBy("at", ~F.col("lead"))  # two rows a split
+    joined = F.col("lead") & F.coalesce(F.lag("open").over(w) & (F.lag("at").over(w) < F.col("at")), F.lit(False))
+    ends = ends.withColumn("chain", F.sum(F.when(joined, 0).otherwise(1)).over(w))
+    part = F.struct("at", (~F.col("lead")).alias("late"), "k", "header", "sequence")
+    whole = ends.groupBy("path", "chain").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    text_of = lambda name, by: F.array_join(F.transform("p", lambda x: x[name]), by).alias(name)
+    first = F.element_at("p", 1)
+    whole = whole.select("path", first["at"].alias("at"), first["late"].alias("late"), first["k"].alias("k"), text_of("header", ">"), text_of("sequence", "")).where("sequence <> ''")
+    plain = found.where("NOT (lead OR open) AND sequence <> ''")
+    # numbers within a file, from the splits' counts
+    kinds = plain.select("path", "at", F.lit(1).alias("n"), F.lit(0).alias("early")).union(whole.select("path", "at", F.lit(1), F.when(F.col("late"), 0).otherwise(1)))
+    splits = kinds.groupBy("path", "at").agg(F.sum("n").alias("n"), F.sum("early").alias("early"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "at", before.alias("before"), "early")
+    rows = plain.select("path", "at", F.lit(True).alias("late"), "k", "header", "sequence").union(whole)
+    index = F.col("before") + F.col("k") + F.when(F.col("late"), F.col("early")).otherwise(0)
+    return rows.join(splits, ["path", "at"]).select("path", index.cast("int").alias("seq_idx"), "header", "sequence")
 
 
 def sequence_stats(sequences: DataFrame) -> DataFrame:

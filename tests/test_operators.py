@@ -164,6 +164,45 @@ def test_fasta(spark, tmp_path):
         read_fasta(spark, str(tmp_path / "missing"))
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    rng = random.Random(4)
+    text = "".join(rng.choice([">", "\n", "\r\n", "A", "C", "G > T", ">x > y\n", "ACGT" * 5, ">h\nAC\n"]) for _ in range(400))
+    (tmp_path / "a.fa").write_text(text, newline="")
+    (tmp_path / "b.fa").write_text(">only > one > header" * 20, newline="")
+    (tmp_path / "c.fa").write_text("ACGT" * 200 + "\n>x\nA", newline="")
+
+    def plain(text):
+        out, header, body, inside = [], None, [], False
+        for c in text:
+            if inside:
+                if c == "\n":
+                    inside = False
+                else:
+                    header += c
+            elif c == ">":
+                out.append((header, "".join(body)))
+                header, body, inside = "", [], True
+            elif c not in "\r\n":
+                body.append(c)
+        out.append((header, "".join(body)))
+        return [(h.removesuffix("\r") if h is not None else None, b) for h, b in out if b]
+
+    want = {f: plain((tmp_path / f).read_bytes().decode()) for f in ("a.fa", "b.fa", "c.fa")}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "97", "40", "7"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = {f: [] for f in want}
+            for r in read_fasta(spark, str(tmp_path)).orderBy("path", "seq_idx").collect():
+                assert r.seq_idx == len(got[r.path[-4:]])
+                got[r.path[-4:]].append((r.header, r.sequence))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_align_fasta_and_score_table(spark, tmp_path):
     (tmp_path / "q.fa").write_text(">a\nACT\n>b\nGGG\n>c\nCGA\n")
     (tmp_path / "t.fa").write_text("CGACTGAC\n>second\nTTTT\n")
