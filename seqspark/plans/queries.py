@@ -184,6 +184,13 @@ def q_containment(spark, sf_dir):
     return containment_join(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
+def q_containment_near(spark, sf_dir):
+    """Patterns that stand in names with up to a quarter of their characters changed."""
+    queries = spark.createDataFrame([(p,) for p in PATTERNS], "q string")
+    out = containment_join(queries, names(spark, sf_dir, "t"), "q", "q", "t", "t", k_share=0.25)
+    return out.select("q", "t", "k", "distance")
+
+
 def q_distance_by_brand(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("d", edit_distance("p_name", "p_type"))
     return p.groupBy("p_brand").agg(F.min("d").cast("bigint").alias("least"), F.max("d").cast("bigint").alias("most"), F.sum("d").alias("total"), F.count(F.lit(1)).alias("n"))
@@ -394,6 +401,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_nbest": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 10",
     "q_nbest_cli": f"WITH s AS (SELECT * FROM ({_SCORES}) WHERE score <= 8), l AS (SELECT max(score) AS top FROM (SELECT score FROM s ORDER BY score LIMIT 10)) SELECT query_idx, score FROM s, l WHERE score <= top AND (score = 0 OR (SELECT count(*) FROM s o WHERE o.query_idx < s.query_idx AND o.score <= s.score) < 10)",
     "q_containment": "SELECT item_id, doc_id, CAST(floor(length(b.text) * 0.05) AS INT) AS k, 0 AS distance FROM benchmark b, documents d WHERE contains(d.text, b.text)",
+    "q_containment_near": f"SELECT q, t, CAST(floor(length(q) * 0.25) AS INT) AS k, CAST(least(length(q), min(d)) AS INT) AS distance FROM ({_ENDS['HW']}) GROUP BY q, t HAVING least(length(q), min(d)) <= floor(length(q) * 0.25)",
     "q_distance_by_brand": "SELECT p_brand, min(levenshtein(p_name, p_type)) AS least, max(levenshtein(p_name, p_type)) AS most, CAST(sum(levenshtein(p_name, p_type)) AS BIGINT) AS total, count(*) AS n FROM part GROUP BY 1",
     "q_fasta": "SELECT p_partkey, p_name AS sequence FROM part",
     "q_fasta_stats": "SELECT count(*) AS n_records, CAST(sum(length(p_name)) AS BIGINT) AS n_residues FROM part",
