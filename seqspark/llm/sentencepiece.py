@@ -108,7 +108,8 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
 
     A null text counts as empty (only the begin and end ids). Repeated rows give
     repeated results; a null id stays null; other columns of df are not looked
-    at. Texts of any length: memory is that of one text and a bounded table.
+    at; an empty table gives no rows. Texts of any length: memory is that of one text
+    and a bounded table.
     """
     apart = cuts_at_marks(model)
     schema = "id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * text

@@ -82,7 +82,9 @@ def sample(labels: DataFrame, train: Column, id_col: str, label_col: str, rows:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, top: int = FEATURES, fairness: float = 10.0, l2: float = 1e-4, seed: int = 0) -> dict:
-    """The classifier, from at most `rows` labelled rows of each class (documented bound).
+    """The classifier, from at most `rows` labelled rows of each class (documented bound;
+    those of least hash of their id, so ties and the tables' order play no part). Without
+    rows of both classes it rejects nothing.
 
     Executors count features by label and later reduce each row to the features
     kept; the driver gets at most 2 * rows lists of at most `top` numbers. The
@@ -221,7 +223,8 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
     Whole texts are read. A null, empty or wordless text gets the score of a text
     without features. Repeated rows give repeated results; null ids stay null;
-    only id_col and text_col are looked at. Memory: one text and a bounded table.
+    only id_col and text_col are looked at; an empty table gives no rows. Whole texts of
+    any length: memory is that of a few texts and a bounded table.
     """
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -238,7 +241,8 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 
 def accepted(df: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, whole, whose text scores below the threshold. Nothing is joined, so null and repeated ids are no matter."""
+    """The rows of df, whole, whose text scores below the threshold. Nothing is joined,
+    so null and repeated ids, and columns of any names, are no matter."""
     at = df.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

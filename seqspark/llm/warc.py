@@ -269,7 +269,10 @@ def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A response's length and digest are those of the payload read; a revisit has
     its header's, which are the full payload's. Records whose payload differs from
-    its declared digest are left out."""
+    its declared digest are left out. A null html is an empty payload; equal payloads
+    are told by their bytes, of pages with equal ids one is named. Null ids and repeated
+    rows are records of their own, other columns are not looked at, an empty table gives
+    no rows. Payloads below 2 GB."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     path = path or new_path(spark, "warc")
