@@ -75,6 +75,9 @@ def _positions(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, TaskContext.get().partitionId()), pa.int64()), pa.array(pos, pa.int64()), *batch.columns], names=["pid", "pos", *batch.schema.names])
 
 
+#: More than what single precision may be off at a cosine, up to some ten thousand dimensions.
+ROUGH = 1e-3
+
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64()), ("far", pa.int64())])
 
 
@@ -99,15 +102,18 @@ def _compare(least: float, width: type):
                 continue
             x = _unit(t["vec"].slice(i, j - i), int(dim[i]), width)
             r, s = rank[i:j], side[i:j]
-            own = np.flatnonzero(s == 0)
-            for at in range(0, len(own), 512):
-                a = own[at : at + 512]
-                near = x[a] @ x.T >= least
-                near &= r[None, :] > r[a][:, None]
-                if cross:
-                    near &= s[None, :] == 1
-                p, q = np.nonzero(near)
-                found.append((c[i:j][a[p]], c[i:j][q], r[q] - r[a[p]]))
+            # side 0 comes first by rank: a row's partners stand behind it
+            n = int((s == 0).sum())
+            rough = x.astype(np.float32)
+            for at in range(0, n, 256):
+                a = slice(at, min(at + 256, n))
+                b = n if cross else at
+                p, q = np.nonzero(rough[a] @ rough[b:].T >= least - ROUGH)
+                p, q = p + at, q + b
+                p, q = p[r[q] > r[p]], q[r[q] > r[p]]
+                close = np.einsum("ij,ij->i", x[p], x[q]) >= least  # in double precision
+                p, q = p[close], q[close]
+                found.append((c[i:j][p], c[i:j][q], r[q] - r[p]))
         if not found:
             return LINK.empty_table()
         a, b, far = (np.concatenate(k) for k in zip(*found, strict=True))
