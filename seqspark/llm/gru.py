@@ -259,11 +259,11 @@ def window_gradient(p, inputs: np.ndarray, y: np.ndarray, mask: np.ndarray, h0:
 class Adam:
     """Over one vector of parameters; a gradient longer than 1 is cut to 1."""
 
-    def __init__(self, w: np.ndarray, rate: float):
-        self.rate, self.t = rate, 0
+    def __init__(self, w: np.ndarray):
+        self.t = 0
         self.m, self.v = np.zeros_like(w), np.zeros_like(w)
 
-    def apply(self, w: np.ndarray, g: np.ndarray) -> None:
+    def apply(self, w: np.ndarray, g: np.ndarray, rate: float) -> None:
         self.t += 1
         g *= min(1.0, 1.0 / (float(np.sqrt(np.dot(g, g))) + 1e-9))
         self.m += 0.1 * (g - self.m)
@@ -273,7 +273,7 @@ class Adam:
         np.sqrt(g, out=g)
         g += 1e-6
         np.divide(self.m, g, out=g)
-        w -= (self.rate / (1 - 0.9**self.t)) * g
+        w -= (rate / (1 - 0.9**self.t)) * g
 
 
 def blocks(texts: Iterable[np.ndarray], start: int, lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -320,20 +320,21 @@ def blocks(texts: Iterable[np.ndarray], start: int, lanes: int, steps: int) -> I
             yield np.ascontiguousarray(read.T), np.ascontiguousarray(own.T), np.ascontiguousarray(fresh.T), np.ascontiguousarray(of.T), None
 
 
-def train(w: np.ndarray, texts: Iterable[np.ndarray], start: int, classes: int, rate: float = 0.003, lanes: int = 256, window: int = 32) -> int:
+def train(w: np.ndarray, texts: Iterable[np.ndarray], start: int, classes: int, rates: tuple[float, float] = (0.003, 0.003), tokens: int = 1, lanes: int = 256, window: int = 32) -> int:
     """Truncated backpropagation over every token of whole texts (arrays of outputs):
     the state goes on from window to window, the gradient stops at a window's start.
+    The rate goes from the first of `rates` to the second over about `tokens` tokens.
     w, the parameters as one vector, changes in place; returns the tokens seen."""
     p = unflat(w, classes)
     grad = np.empty_like(w)
     g = unflat(grad, classes)
-    opt, seen = Adam(w, rate), 0
+    opt, seen = Adam(w), 0
     h, held = np.zeros((HIDDEN, lanes), w.dtype), Window(p)
     for read, own, fresh, of, used in blocks(texts, start, lanes, window):
         if used is not None:
             h = h[:, used]
         _, _, h, n = window_gradient(p, read, own, of >= 0, h, fresh, held, g)
-        opt.apply(w, grad)
+        opt.apply(w, grad, rates[0] + (rates[1] - rates[0]) * min(1.0, seen / max(1, tokens)))
         seen += n
     return seen
 

@@ -22,6 +22,9 @@ CLASSES = HEAD + TAIL // gru.MEMBERS
 #: the one before gave; a part into shards of about so many tokens, but no more than MAX_SHARDS.
 PARTS, SHARD_TOKENS, MAX_SHARDS = 4, 2_000_000, 10_000
 
+#: Learning rates at the beginning and the end of the training rows.
+RATES = (0.01, 0.0005)
+
 #: Texts of so many tokens begin first, so that they don't go on alone at a task's end.
 LONG_TOKENS = 2_048
 
@@ -153,7 +156,7 @@ def _texts(batches, column: int, seen=None) -> Iterator[np.ndarray]:
             yield ids[a:b]
 
 
-def fit(encoded: DataFrame, model: dict, parts: int = PARTS, rate: float = 0.003, shard_tokens: int = SHARD_TOKENS) -> np.ndarray:
+def fit(encoded: DataFrame, model: dict, parts: int = PARTS, rates: tuple[float, float] = RATES, shard_tokens: int = SHARD_TOKENS) -> np.ndarray:
     """The network's weights after reading every token of the rows marked `train`, once.
 
     Rows go to parts and shards by hash of id and text, so the weights depend on the
@@ -162,10 +165,11 @@ def fit(encoded: DataFrame, model: dict, parts: int = PARTS, rate: float = 0.003
     text's end; a part's shards are averaged by tokens seen."""
     weights = model["weights"]
     shards = max(1, min(MAX_SHARDS, -(-model["n"] // (parts * shard_tokens))))
+    at = lambda share: rates[0] + (rates[1] - rates[0]) * share
     for part in range(parts):
         own = encoded.where(F.col("train") & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)) == part)).select((F.col("n_tokens") >= LONG_TOKENS).alias("long"), "key", "ids")
         own = own.repartition(shards, "key").sortWithinPartitions(F.col("long").desc(), "key").select("ids")
-        blocks = in_arrow(own, _trainer(encoded, weights, model["start"], rate), _WEIGHTS).groupBy("k").applyInArrow(_total, _WEIGHTS).collect()
+        blocks = in_arrow(own, _trainer(encoded, weights, model["start"], (at(part / parts), at((part + 1) / parts)), model["n"] // (parts * shards)), _WEIGHTS).groupBy("k").applyInArrow(_total, _WEIGHTS).collect()
         if blocks:
             weights = np.concatenate([np.array(r["w"]) / r["n"] for r in sorted(blocks, key=lambda r: r["k"])]).astype(np.float32)
     return weights
@@ -174,12 +178,12 @@ def fit(encoded: DataFrame, model: dict, parts: int = PARTS, rate: float = 0.003
 _WEIGHTS = "k int, shard int, w array<double>, n bigint"
 
 
-def _trainer(frame: DataFrame, weights: np.ndarray, start: int, rate: float):
+def _trainer(frame: DataFrame, weights: np.ndarray, start: int, rates: tuple[float, float], tokens: int):
     shared = frame.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w = shared.value.copy()
-        seen = gru.train(w, _texts(batches, 0), start, CLASSES, rate)
+        seen = gru.train(w, _texts(batches, 0), start, CLASSES, rates, tokens)
         release()
         if seen:
             parts = [w[i : i + BLOCK].astype(np.float64) * seen for i in range(0, len(w), BLOCK)]
@@ -195,7 +199,7 @@ def _total(t: pa.Table) -> pa.Table:
     return pa.table({"k": t["k"].slice(0, 1).cast(pa.int32()), "shard": pa.array([0], pa.int32()), "w": pa.array([w], pa.list_(pa.float64())), "n": pa.array([t["n"].to_numpy().sum()], pa.int64())})
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rate: float = 0.003) -> tuple[dict, DataFrame]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rates: tuple[float, float] = RATES) -> tuple[dict, DataFrame]:
     """(model, word counts) from all rows of docs.
 
     Word counts, class totals and the network's training all cover every row and
@@ -205,7 +209,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     counts = materialise(count_words(docs, text_col), "words")
     model = vocabulary(counts)
     if model["n"] and parts:
-        model["weights"] = fit(encode(docs, model, F.lit(True), id_col, text_col), model, parts, rate)
+        model["weights"] = fit(encode(docs, model, F.lit(True), id_col, text_col), model, parts, rates)
     return model, counts
 
 
@@ -275,11 +279,11 @@ def _scored(encoded: DataFrame, model: dict, counts: DataFrame, id_col: str, kin
     )
 
 
-def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rate: float = 0.003) -> DataFrame:
+def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rates: tuple[float, float] = RATES) -> DataFrame:
     """score() of all rows by what learn() finds in those where `train` holds; texts are encoded once."""
     counts = materialise(count_words(docs.where(train), text_col), "words")
     model = vocabulary(counts)
     encoded = encode(docs, model, train, id_col, text_col)
     if model["n"]:
-        model["weights"] = fit(encoded, model, parts, rate)
+        model["weights"] = fit(encoded, model, parts, rates)
     return _scored(encoded, model, counts, id_col, docs.schema[id_col].dataType.simpleString())
