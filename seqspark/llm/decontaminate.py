@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import fresh, materialise
-from seqspark.llm.names import FEMALE, MALE, NUMBERS, NUMBERS_MORE, SIGNS, UNITS, UNITS_MORE
+from seqspark.llm.names import FEMALE, MALE, NUMBERS, NUMBERS_MORE, SIGNS, UNITS, UNITS_MORE, UNITS_SHORT
 
 #: Words of a window, share of an item's windows that must be found, windows of the benchmark up to which they are broadcast.
 WINDOW, COVERAGE, BROADCAST_ROWS = 5, 0.8, 1_000_000
@@ -28,21 +28,28 @@ def _sql_list(words) -> str:
 
 
 #: A number begins so; the first two tell ASCII digits without a pattern.
-_NUMBER = r"(x < ':' AND x >= '0' OR x > '~' AND x RLIKE '^\\p{N}')"
+_number = lambda x: rf"({x} < ':' AND {x} >= '0' OR {x} > '~' AND {x} RLIKE '^\\p{{N}}')"
+_NUMBER = _number("x")
+
+
+def _after_number(arr: str) -> str:
+    """SQL for whether a number stands right before place i."""
+    before = f"{arr}[i - 1]"
+    return f"i > 0 AND ({_number(before)} OR lower({before}) IN ({_sql_list(NUMBERS)}))"
 
 
 def template_sql(arr: str, names: bool = True) -> str:
     """SQL for an array of template forms: a placeholder for numbers, units and names,
     else the lower-case word; sentence ends stay. A name is a capitalised word inside
-    a sentence, or a known given name anywhere; names=False leaves them as words."""
+    a sentence, or a known given name anywhere; names=False leaves them as words.
+    Units that are common words as well (UNITS_SHORT) count after a number only."""
     given = sorted({n for d in (MALE, FEMALE) for k in d.values() for n in k})
-    units, numbers = [*UNITS, *SIGNS], NUMBERS
+    units, numbers = [*(u for u in UNITS if u not in UNITS_SHORT), *SIGNS], NUMBERS
     # a word in lower case is looked up as it is, once
-    plain = lambda x: f"CASE WHEN {x} IN ({_sql_list([*units, *numbers])}) THEN CASE WHEN {x} IN ({_sql_list(units)}) THEN '{UNIT}' ELSE '{NUM}' END ELSE {x} END"
+    plain = lambda x: f"CASE WHEN {x} IN ({_sql_list([*UNITS, *SIGNS, *numbers])}) THEN CASE WHEN {x} IN ({_sql_list(units)}) THEN '{UNIT}' WHEN {x} IN ({_sql_list(numbers)}) THEN '{NUM}' WHEN {_after_number(arr)} THEN '{UNIT}' ELSE {x} END ELSE {x} END"
     inside = f"i > 0 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND NOT {arr}[i - 1] IN ({_ENDS})"
-    if not names:
-        return f"transform({arr}, x -> CASE WHEN {_NUMBER} THEN '{NUM}' WHEN x = lower(x) THEN {plain('x')} ELSE {plain('lower(x)')} END)"
-    kind = f"CASE WHEN {_NUMBER} THEN '{NUM}' WHEN x = lower(x) THEN {plain('x')} WHEN x IN ({_sql_list(given)}) OR ({inside}) THEN '{NAME}' ELSE {plain('lower(x)')} END"
+    named = f"WHEN x IN ({_sql_list(given)}) OR ({inside}) THEN '{NAME}'" if names else ""
+    kind = f"CASE WHEN {_NUMBER} THEN '{NUM}' WHEN x = lower(x) THEN {plain('x')} {named} ELSE {plain('lower(x)')} END"
     return f"transform({arr}, (x, i) -> {kind})"
 
 
@@ -67,15 +74,16 @@ def hashed(df: DataFrame, keys: list[str], text: str, low: bool = False) -> Data
     """df's keys with __t1 and __lt1, the hashes of the tokens' template forms and loose
     forms as templated() has them, sentence ends left out; low: with __low1, those of the
     tokens in lower case. One step a token, and a single look-up for most."""
-    units, numbers = [*UNITS, *SIGNS], NUMBERS
-    more_numbers = sorted(set(NUMBERS_MORE) - {*units, *numbers})
-    more_units = sorted({*UNITS_MORE} - {*NUMBERS_MORE, *units, *numbers})
+    units, numbers = [*(u for u in UNITS if u not in UNITS_SHORT), *SIGNS], NUMBERS
+    known = {*UNITS, *SIGNS, *numbers}
+    more_numbers, more_units = sorted(set(NUMBERS_MORE) - known), sorted({*UNITS_MORE} - {*NUMBERS_MORE, *known})
     given = sorted({n for d in (MALE, FEMALE) for k in d.values() for n in k})
     third = lambda x: f", xxhash64({x}) AS c" if low else ""
     put = lambda a, b, x: f"struct(xxhash64({a}) AS a, xxhash64({b}) AS b{third(x)})"
     q = lambda kind: f"'{kind}'"
-    listed = lambda x: f"WHEN {x} IN ({_sql_list(units)}) THEN {put(q(UNIT), q(UNIT), x)} WHEN {x} IN ({_sql_list(numbers)}) THEN {put(q(NUM), q(NUM), x)} WHEN {x} IN ({_sql_list(more_numbers)}) THEN {put(x, q(NUM), x)} WHEN {x} IN ({_sql_list(more_units)}) THEN {put(x, q(UNIT), x)}"
-    special = _sql_list([*units, *numbers, *more_numbers, *more_units])
+    short = lambda x: f"WHEN {x} IN ({_sql_list(UNITS_SHORT)}) THEN CASE WHEN {_after_number('all')} THEN {put(q(UNIT), q(UNIT), x)} ELSE {put(x, x, x)} END"
+    listed = lambda x: f"{short(x)} WHEN {x} IN ({_sql_list(units)}) THEN {put(q(UNIT), q(UNIT), x)} WHEN {x} IN ({_sql_list(numbers)}) THEN {put(q(NUM), q(NUM), x)} WHEN {x} IN ({_sql_list(more_numbers)}) THEN {put(x, q(NUM), x)} WHEN {x} IN ({_sql_list(more_units)}) THEN {put(x, q(UNIT), x)}"
+    special = _sql_list([*UNITS_SHORT, *units, *numbers, *more_numbers, *more_units])
     inside = f"i > 0 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND NOT all[i - 1] IN ({_ENDS})"
     form = f"""CASE WHEN {_NUMBER} THEN {put(q(NUM), q(NUM), 'lower(x)')}
         WHEN x = lower(x) THEN CASE WHEN x IN ({special}, {_ENDS}) THEN CASE WHEN x IN ({_ENDS}) THEN NULL {listed('x')} END ELSE {put('x', 'x', 'x')} END

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from seqspark.llm.decontaminate import COVERAGE, NAME, NUM, TOKEN, UNIT, WINDOW, _sql_list
-from seqspark.llm.names import FEMALE, MALE, NUMBERS, SIGNS, UNITS
+from seqspark.llm.names import FEMALE, MALE, NUMBERS, SIGNS, UNITS, UNITS_SHORT
 
 _ENDS = "('.', '!', '?', chr(10))"
-_PLAIN = f"CASE WHEN lower(x) IN ({_sql_list([*UNITS, *SIGNS])}) THEN '{UNIT}' WHEN lower(x) IN ({_sql_list(NUMBERS)}) THEN '{NUM}' ELSE lower(x) END"
+_DIGIT = lambda x: f"({x} >= '0' AND {x} < ':' OR {x} > '~' AND regexp_matches({x}, '^\\p{{N}}'))"
+_AFTER = f"i > 1 AND ({_DIGIT('a[i - 1]')} OR lower(a[i - 1]) IN ({_sql_list(NUMBERS)}))"
+_CLEAR = [*(u for u in UNITS if u not in UNITS_SHORT), *SIGNS]
+_PLAIN = f"CASE WHEN lower(x) IN ({_sql_list(_CLEAR)}) THEN '{UNIT}' WHEN lower(x) IN ({_sql_list(NUMBERS)}) THEN '{NUM}' WHEN lower(x) IN ({_sql_list(UNITS_SHORT)}) AND {_AFTER} THEN '{UNIT}' ELSE lower(x) END"
 _GIVEN = _sql_list(sorted({n for d in (MALE, FEMALE) for k in d.values() for n in k}))
 _FORMS = {
-    True: f"CASE WHEN x >= '0' AND x < ':' THEN '{NUM}' WHEN x = lower(x) THEN {_PLAIN} WHEN x IN ({_GIVEN}) OR (i > 1 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND a[i - 1] NOT IN {_ENDS}) THEN '{NAME}' ELSE {_PLAIN} END",
-    False: f"CASE WHEN x >= '0' AND x < ':' THEN '{NUM}' ELSE {_PLAIN} END",
+    True: f"CASE WHEN {_DIGIT('x')} THEN '{NUM}' WHEN x = lower(x) THEN {_PLAIN} WHEN x IN ({_GIVEN}) OR (i > 1 AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) AND a[i - 1] NOT IN {_ENDS}) THEN '{NAME}' ELSE {_PLAIN} END",
+    False: f"CASE WHEN {_DIGIT('x')} THEN '{NUM}' ELSE {_PLAIN} END",
 }
 
 

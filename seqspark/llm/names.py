@@ -30,6 +30,8 @@ SYLLABLES = {
 
 # Units of measure and currency.
 UNITS = "mm cm dm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards mg g kg t lb lbs oz gram grams kilogram kilograms ton tons pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb mph kph kmh".split()
+#: Of these, the ones that are common words or letters, too: units after a number only.
+UNITS_SHORT = "in m t s h g l ft mi min sec second degree".split()
 SIGNS = ["%", "$", "€", "£", "¥", "°"]
 
 # Number words.

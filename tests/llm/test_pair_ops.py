@@ -235,6 +235,23 @@ def test_leaks_with_unlisted_names_and_words(spark):
     assert got == {(i, i): False for i in items}
 
 
+def test_hashes_are_those_of_the_templates(spark):
+    from seqspark.llm.decontaminate import both_windows, hashed, templated, windows
+
+    rng = random.Random(12)
+    words = ["in", "m", "5", "٣٤", "three", "drei", "km", "%", "Alice", "Priya", "The", "stadt", "Meter", "heures", "HELLO", "été", ".", "?", "x", "T", "t", "2.5", "IN"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", "5 in 5 m in m", "a\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = templated(df, ["id"], "text", loose=True).withColumn("low", F.expr("transform(raw, x -> lower(x))"))
+    quick = hashed(df, ["id"], "text", low=True)
+    for n in (1, 2, 3, 4, 5):
+        a, b = (sorted(map(tuple, both_windows(x, ["id"], n).collect())) for x in (plain, quick))
+        assert a == b and len(a) > 0
+        assert sorted(map(tuple, windows(plain, ["id"], n, "low").collect())) == sorted(map(tuple, windows(quick, ["id"], n, "low").collect()))
+    forms = {r.id: r.t for r in plain.collect()}
+    assert forms[301] == ["<num>", "<unit>", "<num>", "<unit>", "in", "m"]
+
+
 PRIVATE = [
     "Write to Anna.Schmidt42@mail.example.com or call +1 (017) 555-7713, from 10.20.130.4.",
     "anna.schmidt42@MAIL.example.com; +1 017-555-7713. Card 4785 3805 9239 1139, SSN 123-45-6789.",
