@@ -230,8 +230,10 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits:
     roots = components(hamming_edges(least.select("fp"), bits, cell_rows))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "roots")
-    comp = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(comp, "root").select("fp", "root", "component_id")
+    # only components of several fingerprints, and apart from the join, so that Spark may split a large one
+    comp = named.groupBy("root").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "smallest")
+    comp = materialise(comp, "components")
+    labels = named.join(comp, "root", "left").select("fp", "root", F.coalesce("smallest", "least").alias("component_id"))
     return fps.join(labels, "fp").select("id", "th", "fp", "root", "component_id")
 
 
@@ -242,11 +244,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
     are copies of each other. An empty df stays empty; whole texts of any length
     are read, one at a time; further columns, whatever their names, stay as they are."""
     rows = materialise(_labelled(df, id_col, text_col, **kw), "labelled").where("id is not null")
-    keep = rows.where("id = component_id").groupBy("root").agg(F.min("th").alias("keep"))
+    first = rows.where("id = component_id")  # one a component, but where ids repeat
+    keep = first.groupBy("root").agg(F.min("th").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "keep")
     own, hashed = fresh(df, "__id", "__th")
     named = [F.col("id").alias(own), F.col("th").alias(hashed)]
     # the dropped rows are fewer than the kept ones: only their keys go to the texts
-    drop = rows.join(keep, "root", "left").where("keep is null or th <> keep or id <> component_id").select(*named).distinct()
+    drop = rows.where("id <> component_id").select(*named).union(first.join(keep, "root").where("th <> keep").select(*named)).distinct()
     drop = materialise(drop, "copies")
     twice = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*named)
     twice = materialise(twice, "twice")
