@@ -37,6 +37,7 @@ def test_native_plan_and_bound(spark):
         align("q", "t", cigar_format="x")
 
 
+# The same alignment as in test_kernel.py.
 def test_renderings_in_the_jvm(spark):
     q, t = "TAAGGATGGTCCCATTC", "AAGGGGTCTCATATC"
     r = spark.createDataFrame([(q, t)], "q string, t string").withColumn("r", align("q", "t", task="path"))
