@@ -44,18 +44,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._seqspark_path = path
+    return out
 
 
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of tables made by materialise() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of tables made by materialise() that no plan will read any more:
+    those that a later round has replaced."""
     for df in frames:
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/seqspark-" in name:
-                p = jvm.org.apache.hadoop.fs.Path(name)
-                p.getFileSystem(conf).delete(p, True)
+        path = df.__dict__.pop("_seqspark_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -178,7 +180,6 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialise(in_arrow(e, _forest, "a bigint, b bigint"), "edges")
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     roots = nodes.select("node", F.col("node").alias("root"))
-    used = [e]
     turn = 0
     while not e.isEmpty():
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -193,8 +194,9 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        e = materialise(e2, "edges")
+        before, e = e, materialise(e2, "edges")
+        if turn:  # the nodes are read from the first edges
+            discard(before)
         roots = roots.join(to.select(F.col("u").alias("root"), "t"), "root", "left").select("node", F.coalesce("t", "root").alias("root"))
-        used.append(e)
         turn += 1
     return roots

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialise
+from seqspark.llm.common import discard, materialise
 from seqspark.llm.names import FEMALE, MALE, NAME_BEFORE, NAME_NEXT, NO_NAME, SYLLABLES, TITLES_ANY, TITLES_FEMALE, TITLES_MALE
 
 #: Rounds of new keys for colliding surrogates; what still collides gets a numbered placeholder.
@@ -189,7 +189,8 @@ def resolve(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
             new = F.concat(F.lit("["), F.upper("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256), 1, 32), F.lit("]"))
         else:
             new = surrogate(F.col("kind"), F.col("canon"), F.lit(turn), key)
-        at = materialise(joined.select("kind", "canon", "pool", F.when(again, F.lit(turn)).otherwise(F.col("turn")).alias("turn"), F.when(again, new).otherwise(F.col("sur")).alias("sur")), "surrogates")
+        before, at = at, materialise(joined.select("kind", "canon", "pool", F.when(again, F.lit(turn)).otherwise(F.col("turn")).alias("turn"), F.when(again, new).otherwise(F.col("sur")).alias("sur")), "surrogates")
+        discard(before, clash)
     return at.select("kind", "canon", "sur")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import in_arrow, materialise, new_path
+from seqspark.llm.common import discard, in_arrow, materialise, new_path
 
 MAGIC = b"WARC/1.0\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -212,9 +212,10 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
         count = now
         ahead = reached.join(jump, ["file", "start"]).select("file", F.col("exit").alias("start"))
         ahead = ahead.join(jump.select("file", "start"), ["file", "start"], "left_semi")
-        reached = materialise(reached.union(ahead).distinct(), "reached")
+        was, reached = reached, materialise(reached.union(ahead).distinct(), "reached")
         to = jump.select("file", F.col("start").alias("exit"), F.col("exit").alias("exit2"))
-        jump = materialise(jump.join(to, ["file", "exit"], "left").select("file", "start", F.coalesce("exit2", "exit").alias("exit")), "jumps")
+        old, jump = jump, materialise(jump.join(to, ["file", "exit"], "left").select("file", "start", F.coalesce("exit2", "exit").alias("exit")), "jumps")
+        discard(was, old)
     entries = reached.withColumn("entry", F.lit(True))
     marked = placed.join(entries, ["file", "start"], "left").groupBy("file", "split").applyInArrow(_marks, "file string, split bigint, idx bigint, start bigint, verified boolean, owner bigint")
     marked = materialise(marked, "marks")
