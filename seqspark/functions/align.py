@@ -36,6 +36,9 @@ STRUCT = pa.struct(
 #: Queries this long or longer are cheaper one at a time: whole columns as one integer.
 LANE_SYMBOLS = 2048
 
+#: So are targets this long, where no more than so many stand side by side.
+FEW_SYMBOLS, FEW_PAIRS = 4096, 64
+
 
 def column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -138,12 +141,14 @@ def batch_distances(queries: pa.Array, targets: pa.Array, config: AlignConfig) -
         coded = {(number(a) if number else a): [number(b) if number else b for b in bs] for a, bs in near.items()}
         match = {a: [b for b in bs if b is not None] for a, bs in coded.items() if a is not None}
     size, other = np.diff(q[1]), np.diff(t[1])
-    far = np.flatnonzero((size >= LANE_SYMBOLS) & ~none)
+    few = (other >= FEW_SYMBOLS) & (size > 0)
+    alone = (size >= LANE_SYMBOLS) | (few if few.sum() <= FEW_PAIRS else False)
+    far = np.flatnonzero(alone & ~none)
     d = np.empty(len(size), np.int32)
     if len(far):  # one at a time, whole columns as one integer
         slow = batch_align(_values(queries.take(pa.array(far))), _values(targets.take(pa.array(far))), config)
         d[far] = [r.edit_distance for r in slow]
-        short = np.flatnonzero((size < LANE_SYMBOLS) | none)
+        short = np.flatnonzero(~alone | none)
         sub = lambda p, n: (p[0][np.repeat(np.isin(np.arange(len(n)), short), n)], np.concatenate([[0], np.cumsum(n[short])]))
         q, t = sub(q, size), sub(t, other)
     else:
