@@ -37,7 +37,7 @@ STRUCT = pa.struct(
 LANE_SYMBOLS = 2048
 
 #: So are targets this long, where no more than so many stand side by side.
-FEW_SYMBOLS, FEW_PAIRS = 4096, 64
+FEW_SYMBOLS, FEW_PAIRS = 4096, 6
 
 
 def column(c) -> Column:
