@@ -20,7 +20,7 @@ NAME_NEXT = ["name is", "named", "Dear", "Hello", "Sincerely,", "Regards,", "Sig
 NAME_BEFORE = "said says called calls wrote writes told tells asked asks replied answered met meets lives lived works worked joined resigned smiled laughed left arrived sagte sagt schrieb fragte antwortete wohnt arbeitet disait écrit demanda répondit habite travaille dijo dice escribió preguntó respondió vive trabaja".split()
 
 # Capitalised words that begin sentences or names of things, not of persons.
-NO_NAME = "The A An This That These Those It He She We They You I In On At As And But Or If When While After Before For From With Mr Mrs Der Die Das Ein Eine Und Aber Le La Les Un Une Et Mais El Los Las Una Y Pero New North South East West United National Saint San White State University Company Ministry Department President Minister Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+NO_NAME = "The A An This That These Those It He She We They You I In On At As And But Or If When While After Before For From With Mr Mrs Der Die Das Ein Eine Und Aber Le La Les Un Une Et Mais El Los Las Una Y Pero New North South East West United National Saint San White State University Company Ministry Department President Minister Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Customer Customers Sir Sirs Madam All Team Friend Friends Reader Readers Colleague Colleagues Editor Mom Dad God Santa Kunde Kunden Kollegen Freunde Leser Grüße Gott Monsieur Madame Mademoiselle Ami Amis Client Clients Señor Señora Cliente Clientes Amigo Amigos Equipo".split()
 
 # Syllables of made-up family names, by script.
 SYLLABLES = {
