@@ -14,6 +14,8 @@ from seqspark.llm.html import extract
 from seqspark.llm.langid import train_and_identify
 from seqspark.llm.leak_sql import LEAKS
 from seqspark.llm.lm import train_and_score
+from seqspark.llm.merkle import manifest
+from seqspark.llm.merkle_sql import MANIFEST
 from seqspark.llm.pii import pseudonymise
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
@@ -85,6 +87,11 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", tampered=id_bucket(F.col("doc_id"), 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
+    "op11_merkle": op11_merkle,
 }
 
 #: The others can't be expressed in SQL (64-bit XXHash, the tokenizer's library,
@@ -110,6 +118,7 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, n) AS top FROM b
 SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to FROM m""",
     "op7_decontamination": LEAKS,
+    "op11_merkle": MANIFEST,
     "op10_embeddings": """
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS MATERIALIZED (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0
