@@ -16,6 +16,7 @@ from seqspark.llm.leak_sql import LEAKS
 from seqspark.llm.lm import train_and_score
 from seqspark.llm.merkle import manifest
 from seqspark.llm.merkle_sql import MANIFEST
+from seqspark.llm.packing import pack
 from seqspark.llm.pii import pseudonymise
 from seqspark.llm.sentencepiece import encode_decode
 from seqspark.llm.simhash import near_duplicates
@@ -27,6 +28,7 @@ from seqspark.llm.warc import round_trip
 PII_KEY = "surrogate-key"
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def piece_model(path: str | None = None) -> bytes:
@@ -39,6 +41,16 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def word_tokenizer(path: str | None = None) -> str:
+    """The text of the public tokenizer file; path: another tokenizer's file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(WORD_TOKENIZER)
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = train_and_score(docs, id_bucket(F.col("doc_id"), 7) != 2)
@@ -92,6 +104,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", tampered=id_bucket(F.col("doc_id"), 5) == 0)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
@@ -104,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
     "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
 }
 
 #: The others can't be expressed in SQL (64-bit XXHash, the tokenizer's library,
