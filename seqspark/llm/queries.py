@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqspark.llm.collocation_sql import COLLOCATIONS
+from seqspark.llm.collocations import collocations
 from seqspark.llm.common import id_bucket, table
 from seqspark.llm.decontaminate import contaminated
 from seqspark.llm.embeddings import near_duplicates as near_vectors
@@ -108,6 +110,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
     "op11_merkle": op11_merkle,
     "op12_packing": op12_packing,
+    "op13_collocations": op13_collocations,
 }
 
 #: The others can't be expressed in SQL (64-bit XXHash, the tokenizer's library,
@@ -136,6 +143,7 @@ SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN
        CASE WHEN page_id <> top THEN top END AS refers_to FROM m""",
     "op7_decontamination": LEAKS,
     "op11_merkle": MANIFEST,
+    "op13_collocations": COLLOCATIONS,
     "op10_embeddings": """
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS MATERIALIZED (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0
