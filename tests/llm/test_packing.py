@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from seqspark.llm.packing import Words, boundaries, cut, pack, words_apart
+from seqspark.llm.packing import END, Words, boundaries, cut, pack, words_apart
 from seqspark.llm.queries import word_tokenizer
 
 JSON = word_tokenizer()
@@ -19,11 +19,13 @@ LIBRARY = Tokenizer.from_str(JSON)
 def test_words_give_the_library_s_ids():
     assert words_apart(JSON)
     assert not words_apart(word_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
-    rng, words = random.Random(5), Words(LIBRARY, limit=500)
+    rng = random.Random(5)
     symbols = [*" \n\t\r\x0b\x1c\x85\xa0\u2000\u3000\u00c0\u00c9e\u0301\u03a3\u03c2'sT.?!,12\ud55c\ufb01\u2460\u0130\u00df\u4e2d\U0001f642\u200b", "<|endoftext|>", "'ll", " "]
-    for _ in range(3000):
-        text = "".join(rng.choice(symbols) for _ in range(rng.randrange(40)))
-        assert words.encode(text)[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    symbols += [*"()\u00d7\u0178\u01c5\u0141\u0149A#$%&*+-/<=>@[]^_`{|}~", "<|", "|>"]
+    for words in (Words(LIBRARY, limit=500), Words(LIBRARY, limit=500, letters=True)):
+        for _ in range(4000):
+            text = "".join(rng.choice(symbols) for _ in range(rng.randrange(40)))
+            assert (words.encode(text) & ~np.uint32(END)).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def padding(size, window):
@@ -46,8 +48,8 @@ def test_cuts_cost_the_least():
 
 
 def test_boundaries():
-    at, cost = boundaries(np.array([10, 300, 310]), 310, 4, 32)
-    assert at.tolist() == [10, 138, 266, 300, 310] and cost.tolist() == [4, 32, 32, 4, 0]
+    at, cost = boundaries(np.array([10, 300, 310, 315]), np.array([310, 320]), 4, 32)
+    assert at.tolist() == [10, 138, 266, 300, 310, 315, 320] and cost.tolist() == [4, 32, 32, 4, 0, 4, 0]
 
 
 @pytest.mark.parametrize("window", [256, 2048])
