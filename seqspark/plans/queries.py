@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.config import CASE_INSENSITIVE, IUPAC, AlignConfig
@@ -15,6 +13,7 @@ from seqspark.functions.align import align, alphabet_length, cigar, edit_distanc
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
 from seqspark.operators.search import align_fasta, align_to_target, n_best, n_best_cli
+from seqspark.scratch import scratch
 from seqspark.sources.fasta import read_fasta, sequence_stats, write_scores
 from seqspark.streaming.align import align_stream, n_best_stream
 
@@ -26,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="seqspark-")
-    return f"{base.rstrip('/')}/seqspark-q-{uuid.uuid4().hex}"
-
-
 def names(spark: SparkSession, sf_dir: str, alias: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_name").alias(alias)).distinct()
 
@@ -157,13 +147,13 @@ def q_binary(spark, sf_dir):
 
 
 def q_array_symbols(spark, sf_dir):
-    """What users did in a week, as arrays of event types: those whose id 20 divides, a
-    stated set, against all others of the week."""
+    """What users did in a week, as arrays of event types (by their first letter's number): the weeks of
+    users whose id 20 divides, a stated set, against every week of every other user."""
     e = table(spark, sf_dir, "events").withColumn("week", F.date_trunc("week", "ts").cast("date"))
-    seq = e.groupBy("user_id", "week").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("seq"))
-    asked = seq.where("user_id % 20 = 0")
-    both = asked.join(seq.select(F.col("user_id").alias("other_id"), "week", F.col("seq").alias("other")), "week").where("user_id <> other_id")
-    return both.select("user_id", "other_id", F.col("week").cast("string").alias("week"), edit_distance("seq", "other", native=False).alias("distance"))
+    seq = e.groupBy("user_id", "week").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.ascii(x["event_type"])).alias("seq"))
+    both = seq.where("user_id % 20 = 0").crossJoin(seq.select(F.col("user_id").alias("other_id"), F.col("week").alias("other_week"), F.col("seq").alias("other"))).where("user_id <> other_id")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return both.select("user_id", "other_id", text("week"), text("other_week"), edit_distance("seq", "other", native=False).alias("distance"))
 
 
 def _scored(spark, sf_dir):
@@ -239,9 +229,12 @@ def q_with_distance(spark, sf_dir):
 def q_headerless(spark, sf_dir):
     """Records whose file has no header, and one whose text before the first header counts."""
     path = scratch(spark)
-    p = table(spark, sf_dir, "part").where("p_partkey <= 50").select(F.concat(F.col("p_name"), F.lit("\n>"), F.col("p_partkey").cast("string"), F.lit("\nAC\r\nGT")).alias("value"), "p_partkey")
-    p.write.partitionBy("p_partkey").text(path)
-    return read_fasta(spark, path).select("seq_idx", "header", "sequence")
+    lines = F.concat(F.lit("\n>"), F.col("p_partkey").cast("string"), F.lit("\nAC\r\nGT\n>brand "), F.col("p_brand"), F.lit("\n"), F.col("p_name"), F.lit("\n"))
+    first = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) == 1
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(first, F.col("p_name")).alias("bare"), lines.alias("rest"))
+    p = p.repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey")
+    p.select("p_brand", F.concat(F.coalesce("bare", F.lit("")), "rest").alias("value")).write.partitionBy("p_brand").text(path)
+    return read_fasta(spark, path).select(F.url_decode(F.url_decode(F.regexp_extract("path", "p_brand=([^/]*)", 1))).alias("brand"), "seq_idx", "header", "sequence")
 
 
 def q_missing_file(spark, sf_dir):
@@ -385,9 +378,9 @@ ORACLE_SQL: dict[str, str] = {
     "q_nice": f"SELECT q, t, qa AS query_aligned, translate(ops, '=XID', '|.--') AS matched_aligned, ta AS target_aligned FROM ({_NW_PATHS})",
     "q_equalities": f"SELECT upper(q) AS u, t, CAST(levenshtein(lower(q), lower(t)) AS INT) AS distance FROM {_P}",
     "q_alphabet": f"SELECT q, t, CAST(length(list_distinct(list_concat(string_split(q, ''), string_split(t, '')))) AS INT) AS symbols FROM {_P}",
-    "q_array_symbols": "WITH s AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'p' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1, 2) SELECT a.user_id, b.user_id AS other_id, CAST(a.week AS VARCHAR) AS week, CAST(levenshtein(a.seq, b.seq) AS INT) AS distance FROM s a JOIN s b USING (week) WHERE a.user_id % 20 = 0 AND a.user_id <> b.user_id",
+    "q_array_symbols": "WITH s AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'p' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1, 2) SELECT a.user_id, b.user_id AS other_id, CAST(a.week AS VARCHAR) AS week, CAST(b.week AS VARCHAR) AS other_week, CAST(levenshtein(a.seq, b.seq) AS INT) AS distance FROM s a JOIN s b ON a.user_id % 20 = 0 AND a.user_id <> b.user_id",
     "q_with_distance": r"WITH x AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark) SELECT a.item_id, CAST(levenshtein(a.text, b.text) AS INT) AS distance FROM x a JOIN x b ON b.item_id = a.item_id + 1",
-    "q_headerless": "SELECT x.i AS seq_idx, CASE WHEN x.i = 1 THEN CAST(p_partkey AS VARCHAR) END AS header, CASE WHEN x.i = 0 THEN p_name ELSE 'ACGT' END AS sequence FROM part, (SELECT CAST(unnest([0, 1]) AS INT) AS i) x WHERE p_partkey <= 50",
+    "q_headerless": "WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_brand AS brand, CAST(CASE WHEN i = 0 THEN 0 ELSE 2 * k - 2 + i END AS INT) AS seq_idx, CASE i WHEN 1 THEN CAST(p_partkey AS VARCHAR) WHEN 2 THEN 'brand ' || p_brand END AS header, CASE WHEN i = 1 THEN 'ACGT' ELSE p_name END AS sequence FROM p, (SELECT unnest([0, 1, 2]) AS i) WHERE i > 0 OR k = 1",
     "q_missing_file": "SELECT 'PATH_NOT_FOUND' AS error",
     "q_score_table": f"SELECT '#' || query_idx || ': ' || score || '  1 [ (?, 10) ]' AS line FROM ({_SCORES}) WHERE score <= 9",
     "q_pretty": f"SELECT q, t, {_pretty('q', 't')} AS pretty FROM ({_NW_PATHS})",

@@ -8,61 +8,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqspark.scratch import cut
 
-#: What a split's records are: its place, how many whole ones with residues come before,
-#: whether a record begins with the split (lead), whether the split ends in its header (open).
-_RECORD = "path string, at bigint, k bigint, lead boolean, open boolean, header string, sequence string"
+#: What a split's records are: number within the split, and whether the split's first
+#: piece is part of the header, which an open header of the split before would precede.
+_RECORD = "path string, at bigint, k bigint, lead boolean, header string, sequence string"
 
+#: Of a split: its records with residues, whether a header ends in it (or no header is open
+#: at its start), and the text of the header that is open at its end.
+_SUMMARY = "path string, at bigint, n bigint, closed boolean, tail string"
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of the splits in a task. Pieces between marks come in a split's order; a
-    mark inside a header parts pieces, too, so those without a line end are put together."""
-    out: list[tuple] = []
-    place, k = None, 0
-    lead, header, pieces, opened = False, None, [], False
-
-    def close():
-        nonlocal k
-        text = ">".join(pieces)
-        if header is None and not lead:  # before any header
-            head, body = None, text
-        else:
-            head, _, body = text.partition("\n")
-            head = head.removesuffix("\r")
-        body = body.replace("\r", "").replace("\n", "")
-        out.append((*place, k, lead, opened, head, body))
-        k += bool(body) and not lead and not opened
-
-    def flush():
-        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _KINDS, strict=True)], names=_NAMES)
-        out.clear()
-        return made
+#: Splits whose summaries are broadcast; more are joined by a shuffle.
+BROADCAST_SPLITS = 200_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _walk(batches: Iterator[pa.RecordBatch]):
+    """Events in a task's order: ("record", path, at, k, lead, header, sequence) for each record
+    with residues, ("end", path, at, n, closed, tail) where a split ends."""
+    place, k, closed, pending = None, 0, False, []
+
+    def end():
+        return "end", *place, k, closed, ">".join(pending) if pending else None
 
     for batch in batches:
         for path, at, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (path, at) != place:
                 if place is not None:
-                    close()
-                place, k, pieces = (path, at), 0, [piece]
-                # the file's first piece stands before any mark; another split's may go on with a header
-                lead, header = at > 0, (True if at > 0 else None)
-                opened = lead and "\n" not in piece
-            elif opened:
-                pieces.append(piece)
-                opened = "\n" not in piece
-            else:
-                close()
-                lead, header, pieces = False, True, [piece]
-                opened = "\n" not in piece
-            if len(out) >= 4096:
-                yield flush()
+                    yield end()
+                place, k, closed, pending = (path, at), 0, at == 0, []
+                if not at:  # a file's first piece stands before any header
+                    body = piece.replace("\r", "").replace("\n", "")
+                    if body:
+                        yield "record", path, at, k, False, None, body
+                        k = 1
+                    continue
+            head, line, body = piece.partition("\n")
+            pending.append(head)
+            if line:
+                body = body.replace("\r", "").replace("\n", "")
+                if body:
+                    yield "record", path, at, k, not closed, ">".join(pending).removesuffix("\r"), body
+                    k += 1
+                pending, closed = [], True
     if place is not None:
-        close()
-    yield flush()
+        yield end()
 
 
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
-_NAMES = ["path", "at", "k", "lead", "open", "header", "sequence"]
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [event[1:] for event in _walk(batches) if event[0] == "end"]
+    if rows:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "at", "n", "closed", "tail"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds, names = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()), ["path", "at", "k", "lead", "header", "sequence"]
+    rows, size = [], 0
+    for event in _walk(batches):
+        if event[0] == "record":
+            rows.append(event[1:])
+            size += len(event[6])
+            if len(rows) == 4096 or size > 1 << 24:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _known(parts: DataFrame) -> DataFrame:
+    """(path, at, before, carried) from the splits' summaries: the records before a split, and
+    the text of the header that is open where it begins. Both add up split by split (counts by
+    sums, open headers by concatenation up to the last split that closed one)."""
+    order = Window.partitionBy("path").orderBy("at")
+    sums = parts.withColumn("chain", F.sum(F.col("closed").cast("int")).over(order)).withColumn("before", F.sum("n").over(order) - F.col("n"))
+    tails = F.collect_list("tail").over(Window.partitionBy("path", "chain").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("so_far", F.when(F.size(tails) > 0, F.array_join(tails, ">")))
+    return sums.select(F.col("path").alias("p_"), F.col("at").alias("a_"), "before", F.lag("so_far").over(order).alias("carried"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -71,32 +93,31 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     A '>' outside a header begins one, mid-line too; a header ends with its line;
     line ends inside a sequence are dropped, every other character stays. Records
     without a residue vanish; text before any header is a record with a null
-    header. Large files are read in splits, by as many tasks; a header that goes on
-    over a split's end is put together again. One record stays below 2 GB.
-    A missing path raises Spark's PATH_NOT_FOUND; empty files have no records.
+    header. A missing path raises Spark's PATH_NOT_FOUND; empty files have no records.
+    One record stays below 2 GB.
+
+    Each split gives its records where it is read. Files that
+    are smaller than Spark's smallest split are read once. Larger ones are read a first time for a
+    summary of each split (records, open header), from which its first number and what its
+    first header goes on from follow; summaries are broadcast after a check of their size (beyond
+    it, records are joined with them by a shuffle).
     """
-    text = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("v"))
-    found = text.mapInArrow(_records, _RECORD)
-    # of each split, the record that may go on from the one before, and the one that may go on:
-    # leads whose predecessor is open are parts of it
-    ends = found.where("lead OR open")
-    w = Window.partitionBy("path").orderBy("at", ~F.col("lead"))  # two rows a split
-    joined = F.col("lead") & F.coalesce(F.lag("open").over(w) & (F.lag("at").over(w) < F.col("at")), F.lit(False))
-    ends = ends.withColumn("chain", F.sum(F.when(joined, 0).otherwise(1)).over(w))
-    part = F.struct("at", (~F.col("lead")).alias("late"), "k", "header", "sequence")
-    whole = ends.groupBy("path", "chain").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    text_of = lambda name, by: F.array_join(F.transform("p", lambda x: x[name]), by).alias(name)
-    first = F.element_at("p", 1)
-    whole = whole.select("path", first["at"].alias("at"), first["late"].alias("late"), first["k"].alias("k"), text_of("header", ">"), text_of("sequence", "")).where("sequence <> ''")
-    plain = found.where("NOT (lead OR open) AND sequence <> ''")
-    # numbers within a file, from the splits' counts
-    kinds = plain.select("path", "at", F.lit(1).alias("n"), F.lit(0).alias("early")).union(whole.select("path", "at", F.lit(1), F.when(F.col("late"), 0).otherwise(1)))
-    splits = kinds.groupBy("path", "at").agg(F.sum("n").alias("n"), F.sum("early").alias("early"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("path", "at", before.alias("before"), "early")
-    rows = plain.select("path", "at", F.lit(True).alias("late"), "k", "header", "sequence").union(whole)
-    index = F.col("before") + F.col("k") + F.when(F.col("late"), F.col("early")).otherwise(0)
-    return rows.join(splits, ["path", "at"]).select("path", index.cast("int").alias("seq_idx"), "header", "sequence")
+    m = F.col("_metadata")
+    text = spark.read.option("lineSep", ">").text(path)
+    least = int(spark.conf.get("spark.sql.files.openCostInBytes").removesuffix("b"))
+    part = text.where((m["file_size"] > least) & (m["file_block_length"] < m["file_size"]))
+    rows = text.select(m["file_path"].alias("path"), m["file_block_start"].alias("at"), "value").mapInArrow(_records, _RECORD)
+    if part.isEmpty():
+        return rows.select("path", F.col("k").cast("int").alias("seq_idx"), "header", "sequence")
+    parts = cut(part.select(m["file_path"].alias("path"), m["file_block_start"].alias("at"), "value").mapInArrow(_summaries, _SUMMARY))
+    n, size = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("tail")), F.lit(0))).first()
+    known = _known(parts)
+    if n <= BROADCAST_SPLITS and size <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    rows = rows.join(known, (F.col("path") == F.col("p_")) & (F.col("at") == F.col("a_")), "left")
+    index = F.coalesce("before", F.lit(0)) + F.col("k")
+    header = F.when(F.col("lead") & F.col("carried").isNotNull(), F.concat("carried", F.lit(">"), "header")).otherwise(F.col("header"))
+    return rows.select("path", index.cast("int").alias("seq_idx"), header.alias("header"), "sequence")
 
 
 def sequence_stats(sequences: DataFrame) -> DataFrame:
