@@ -139,6 +139,10 @@ def words_apart(tokenizer_json: str) -> bool:
 _PROBES = ("One's  two, . ; 3 4\n\nfive! ", " \n ", "A \u0301b e\u0301 .\n.", "(ÀÉ) --Straße?! Łódź Ñ#% İ ǅ _x_ [y]")
 
 
+#: A worker's table of words outlives its task: the next one goes on with it.
+_KEPT: dict = {}
+
+
 def _encoder(tokenizer_json: str):
     """A function from a text to its ids, with END at the ends of sentences."""
     import os
@@ -146,11 +150,15 @@ def _encoder(tokenizer_json: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    if tokenizer_json in _KEPT:
+        return _KEPT[tokenizer_json]
     tokenizer = Tokenizer.from_str(tokenizer_json)
     if words_apart(tokenizer_json):
         for letters in (True, False):
             words = Words(tokenizer, letters=letters and tokenizer.normalizer is not None)
             if all((words.encode(t) & ~np.uint32(END)).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in _PROBES):
+                _KEPT.clear()
+                _KEPT[tokenizer_json] = words.encode
                 return words.encode
 
     def whole(text: str) -> np.ndarray:
