@@ -30,6 +30,9 @@ LOT_WORDS = 2_000_000
 #: Bytes of text, and those up to the end of the piece, that are split into words at a time.
 SLICE_BYTES = 1_000_000
 
+#: Phrases that a task sends on at a time.
+BATCH_ROWS = 65_536
+
 #: Most bits of a filter; bits a phrase below that, and probes.
 FILTER_BITS, PHRASE_BITS, PROBES = 1 << 27, 12, 4
 
@@ -83,12 +86,12 @@ class Lot:
             at = end
 
     def count(self, n: int, lang: str, tables: list[np.ndarray]):
-        """(phrases, their numbers): n-grams whose shorter parts pass the filters."""
+        """(phrases, their numbers), some at a time: n-grams whose shorter parts pass the filters."""
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int32)
         words = list(self.index)
         if n == 1:
-            counts = np.bincount(codes, minlength=len(words))
-            return words[1:], counts[1:]
+            yield words[1:], np.bincount(codes, minlength=len(words))[1:]
+            return
         own = _word_hash(words)
         # of the m-grams that begin at each place: number (-1: none), and of each number a place and a hash
         gram = np.where(codes > 0, codes, -1).astype(np.int64)
@@ -100,15 +103,17 @@ class Lot:
             last = codes[place + m]
             key, first, inverse, counts = np.unique(gram[place] * len(words) + last, return_index=True, return_inverse=True, return_counts=True)
             if not len(key):
-                return [], key
+                return
             h = _longer(h[key // len(words)], own[key % len(words)])
             gram = np.full(len(codes), -1, np.int64)
             gram[place] = inverse
             if m < n - 1:
                 good = _holds(tables[m], h, lang)
         at = place[first]
-        columns = [[words[c] for c in codes[at + j].tolist()] for j in range(n)]
-        return list(map(b" ".join, zip(*columns, strict=True))), counts
+        del gram, place, key, first, inverse, h
+        for a in range(0, len(at), BATCH_ROWS):
+            columns = [[words[c] for c in codes[at[a : a + BATCH_ROWS] + j].tolist()] for j in range(n)]
+            yield list(map(b" ".join, zip(*columns, strict=True))), counts[a : a + BATCH_ROWS]
 
 
 def _grams(df: DataFrame, lang: str, text: str, n: int, tables: list) -> DataFrame:
@@ -117,10 +122,8 @@ def _grams(df: DataFrame, lang: str, text: str, n: int, tables: list) -> DataFra
 
     def flush(lots: dict):
         for name, lot in lots.items():
-            phrases, counts = lot.count(n, name, [t.value for t in tables])
-            for a in range(0, len(phrases), 65_536):
-                part = phrases[a : a + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[a : a + 65_536], pa.int64())], names)
+            for phrases, counts in lot.count(n, name, [t.value for t in tables]):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names)
 
     def run(batches):
         lots: dict[str, Lot] = {}
