@@ -48,11 +48,13 @@ def batch_align(queries: list, targets: list, config: AlignConfig) -> list[kerne
     """Alignments of pairs; a numpy lane for each of the shorter ones."""
     equal = kernel.partners(config.equalities)
     out: list = [None] * len(queries)
-    fast, far = [], config.mode == "NW" and config.k >= 0
+    fast, far, pieces = [], config.mode == "NW" and config.k >= 0, config.mode == "HW" and not equal
     for i, (q, t) in enumerate(zip(queries, targets, strict=True)):
-        if q is not None and t is not None and len(q) and len(t) and len(q) < LANE_SYMBOLS and not (far and abs(len(q) - len(t)) > config.k):
+        if q is not None and t is not None and len(q) and len(t) and len(q) < LANE_SYMBOLS and not (far and abs(len(q) - len(t)) > config.k) and not (pieces and kernel.by_pieces(q, t, config.k)):
             fast.append(i)
     known = dict(zip(fast, lanes.search([queries[i] for i in fast], [targets[i] for i in fast], config.mode, equal), strict=True)) if len(fast) > 1 else {}
+    starts = _starts(queries, targets, known, config, equal) if config.task != "distance" else {}
+    paths = _paths(queries, targets, known, starts, config, equal) if config.task == "path" else {}
     profiles: dict = {}
     for i, (q, t) in enumerate(zip(queries, targets, strict=True)):
         if q is None or t is None:
@@ -65,10 +67,64 @@ def batch_align(queries: list, targets: list, config: AlignConfig) -> list[kerne
                 if len(profiles) > 256:
                     profiles.clear()
                 profile = profiles[key] = kernel.Profile(q, equal)
-        out[i] = kernel.align(q, t, config, profile, known.get(i))
+        out[i] = kernel.align(q, t, config, profile, known.get(i), starts.get(i), paths.get(i))
     return out
 
 
+#: Symbols that are searched for starts at a time.
+START_SYMBOLS = 4_000_000
+
+
+def _starts(queries: list, targets: list, known: dict, config: AlignConfig, equal: dict) -> dict[int, list[int]]:
+    """The smallest start of each end: a prefix search of the reversed query from each end on
+    backwards, a lane a location; the last column that reaches the distance is the start."""
+    if config.mode != "HW":
+        return {i: [0] * len(ends) for i, (_, ends) in known.items()}
+    out: dict[int, list[int]] = {}
+    jobs: list[tuple] = []  # pair, end, distance
+    lots: tuple[list, list] = ([], [])
+    size = 0
+
+    def flush():
+        for (i, end, d), (got, at) in zip(jobs, lanes.search(*lots, "SHW", equal), strict=True):
+            out[i].append(end - at[-1] if got == d else end + 1)
+        jobs.clear()
+        for x in lots:
+            x.clear()
+
+    for i, (d, ends) in known.items():
+        out[i] = []
+        if config.k >= 0 and d > config.k:
+            continue
+        back = queries[i][::-1]
+        for end in ends:
+            part = targets[i][max(0, end + 1 - len(back) - d) : end + 1][::-1]
+            jobs.append((i, end, d))
+            lots[0].append(back)
+            lots[1].append(part)
+            size += len(back) + len(part)
+            if size > START_SYMBOLS:
+                flush()
+                size = 0
+    if jobs:
+        flush()
+    return out
+
+
+def _paths(queries: list, targets: list, known: dict, starts: dict, config: AlignConfig, equal: dict) -> dict[int, bytes]:
+    """Paths of the first locations, for pairs that needn't be divided."""
+    own, parts = [], []
+    for i, (d, ends) in known.items():
+        n = len(queries[i])
+        if 0 <= config.k < d or config.mode != "NW" and config.before_start and kernel.before_start(d, n):
+            continue
+        part = targets[i][starts[i][0] : ends[0] + 1]
+        if len(part) and kernel.stored(n, len(part), config.path_bytes):
+            own.append(i)
+            parts.append(part)
+    return dict(zip(own, lanes.paths([queries[i] for i in own], parts, equal), strict=True)) if own else {}
+
+
 def _values(array: pa.Array) -> list:
     return array.to_pylist()
 
@@ -143,6 +199,8 @@ def batch_distances(queries: pa.Array, targets: pa.Array, config: AlignConfig) -
     size, other = np.diff(q[1]), np.diff(t[1])
     few = (other >= FEW_SYMBOLS) & (size > 0)
     alone = (size >= LANE_SYMBOLS) | (few if few.sum() <= FEW_PAIRS else False)
+    if config.mode == "HW" and config.k >= 0 and not near and not pa.types.is_nested(queries.type):  # by their pieces
+        alone |= (size >= kernel.PIECE * (config.k + 1)) & (other >= kernel.PIECE_TARGET)
     far = np.flatnonzero(alone & ~none)
     d = np.empty(len(size), np.int32)
     if len(far):  # one at a time, whole columns as one integer
@@ -153,7 +211,7 @@ def batch_distances(queries: pa.Array, targets: pa.Array, config: AlignConfig) -
         q, t = sub(q, size), sub(t, other)
     else:
         short = np.arange(len(size))
-    own = lanes.distances(*q, *t, config.mode, match)
+    own = lanes.distances(*q, *t, config.mode, match, config.k)
     if config.k >= 0:
         both = (size[short] > 0) & (other[short] > 0)
         own = np.where(both & (own > config.k), -1, own)

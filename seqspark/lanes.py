@@ -15,8 +15,8 @@ BOTTOM = ONE << TOP
 #: Cells of the score table, and match words, that one group may hold.
 CELLS, MASK_WORDS = 16_000_000, 4_000_000
 
-#: Words of a query from which on global distances are looked for in bands, and the width of the first.
-BAND_WORDS, FIRST_BAND = 8, 128
+#: The width of the first band that global distances are looked for in.
+FIRST_BAND = 128
 
 
 def encode(sequences: list, equal: dict) -> tuple[list[np.ndarray], int, np.ndarray]:
@@ -57,8 +57,10 @@ def masks(queries: list[np.ndarray], words: int, n_codes: int, match: np.ndarray
     return out
 
 
-def _group(queries, targets, n_codes, match, plain, mode):
-    """(distance, ends) for pairs whose queries have one number of words; longest targets first."""
+def _group(queries, targets, n_codes, match, plain, mode, keep=None):
+    """(distance, ends) for pairs whose queries have one number of words; longest targets first.
+    keep: two tables (columns x words x lanes) for the rows of each column that are one more than the
+    row above, and one more than the column before."""
     words = -(-max(len(q) for q in queries) // 64)
     lanes = len(queries)
     size = np.array([len(t) for t in targets])
@@ -94,10 +96,14 @@ def _group(queries, targets, n_codes, match, plain, mode):
                 bit = last[:k]
                 score[:k] += ((hp & bit) != 0).view(np.int8)
                 score[:k] -= ((hm & bit) != 0).view(np.int8)
+            if keep:
+                keep[1][j, w, :k] = hp
             hp_out, hm_out = hp >> TOP, hm >> TOP
             hp = (hp << ONE) | hp_in
             hm = (hm << ONE) | hm_in
             plus[w, :k] = hm | ~(x | hp)
+            if keep:
+                keep[0][j, w, :k] = plus[w, :k]
             minus[w, :k] = hp & x
             hp_in, hm_in = hp_out, hm_out
         if table is not None:
@@ -134,6 +140,60 @@ def search(queries: list, targets: list, mode: str, equal: dict) -> list[tuple[i
     return out
 
 
+#: Words of stored columns that a lot of paths may hold.
+PATH_WORDS = 4_000_000
+
+
+def paths(queries: list, targets: list, equal: dict) -> list[bytes]:
+    """The global path of each pair of non-empty sequences, all going back from the end together;
+    an insertion is preferred to a deletion, and that to a diagonal."""
+    n = len(queries)
+    parts, n_codes, match = encode([*queries, *targets], equal)
+    q, t = parts[:n], parts[n:]
+    words = np.array([-(-len(x) // 64) for x in q])
+    order = sorted(range(n), key=lambda i: (words[i], -len(t[i])))
+    out: list = [b""] * n
+    i = 0
+    while i < n:
+        w, longest = int(words[order[i]]), len(t[order[i]])
+        most = max(1, min(PATH_WORDS // (w * longest), MASK_WORDS // (w * n_codes), 4096))
+        group = [k for k in order[i : i + most] if words[k] == w]
+        i += len(group)
+        keep = [np.zeros((longest, w, len(group)), np.uint64) for _ in range(2)]
+        own_q, own_t = [q[k] for k in group], [t[k] for k in group]
+        _group(own_q, own_t, n_codes, match, not equal, "NW", keep)
+        for k, path in zip(group, _back(own_q, own_t, match, *keep), strict=True):
+            out[k] = path
+    return out
+
+
+def _back(queries, targets, match, plus, raised) -> list[bytes]:
+    n = len(queries)
+    size, reach = (np.array([len(x) for x in xs]) for xs in (queries, targets))
+    symbols = [np.zeros((n, int(m.max())), np.int32) for m in (size, reach)]
+    for table, xs in zip(symbols, (queries, targets), strict=True):
+        for r, x in enumerate(xs):
+            table[r, : len(x)] = x
+    ops = np.empty((int((size + reach).max()), n), np.uint8)
+    i, j, lane = size.copy(), reach.copy(), np.arange(n)
+    a, b, steps = i, j, np.zeros(n, np.int64)
+    while len(lane):
+        row, column = a - 1, b - 1
+        word, bit = row >> 6, (row & 63).astype(np.uint64)
+        up = (plus[column, word, lane] >> bit) & ONE != 0
+        left = (raised[column, word, lane] >> bit) & ONE != 0
+        same = match[symbols[0][lane, row], symbols[1][lane, column]]
+        op = np.where(up, 1, np.where(left, 2, np.where(same, 0, 3))).astype(np.uint8)
+        ops[steps[lane], lane] = op
+        steps[lane] += 1
+        a, b = a - (op != 2), b - (op != 1)
+        i[lane], j[lane] = a, b
+        on = (a > 0) & (b > 0)
+        lane, a, b = lane[on], a[on], b[on]
+    ops = np.ascontiguousarray(ops.T)
+    return [b"\2" * int(j[r]) + b"\1" * int(i[r]) + ops[r, : steps[r]][::-1].tobytes() for r in range(n)]
+
+
 def _fill(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, empty: int, kind) -> np.ndarray:
     """Rows of a packed table side by side, short ones filled up."""
     out = np.full((len(size), width), empty, kind)
@@ -141,10 +201,11 @@ def _fill(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, emp
     return out
 
 
-def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray, mode: str, match: dict | None = None) -> np.ndarray:
+def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray, mode: str, match: dict | None = None, k: int = -1) -> np.ndarray:
     """Distances of packed pairs: symbols (small non-negative integers) of all
     queries one after another and their offsets, likewise the targets. match:
-    symbol -> others that equal it. Pairs with an empty side follow the rule for those."""
+    symbol -> others that equal it. k: what is over it (if it isn't negative) may
+    come out as any larger number. Pairs with an empty side follow the rule for those."""
     q_size, t_size = np.diff(q_at), np.diff(t_at)
     out = np.where(mode == "NW", np.maximum(q_size, t_size), q_size).astype(np.int32)
     top = int(max(q.max(initial=0), t.max(initial=0))) + 1
@@ -160,83 +221,111 @@ def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray,
         for b in others:
             if a < top and b < top and seen[a] and seen[b]:
                 same[code_of[a]].append(int(code_of[b]))
-    full = np.flatnonzero((q_size > 0) & (t_size > 0))
+    full = (q_size > 0) & (t_size > 0)
+    if k >= 0 and mode == "NW":
+        gap = np.abs(q_size - t_size)
+        out = np.where(full & (gap > k), gap, out).astype(np.int32)
+        full &= gap <= k
+    full = np.flatnonzero(full)
     words = -(-q_size // 64)
     order = full[np.lexsort((-t_size[full], words[full]))]
     i, guess = 0, FIRST_BAND
     while i < len(order):
         w = int(words[order[i]])
         longest = int(t_size[order[i]])
-        most = max(1, min(4096, CELLS // longest, MASK_WORDS // (w * n_codes)))
+        most = max(1, min(LANES // min(w, 16), CELLS // longest, MASK_WORDS // (w * n_codes)))
         lot = order[i : i + most]
-        lot = lot[words[lot] == w]
+        lot = lot[(words[lot] == w) & ((t_size[lot] >= 0.8 * longest) | (np.arange(len(lot)) < 64))]
         i += len(lot)
-        plain = lambda own, w=w: _lot(qc, q_at[own], q_size[own], tc, t_at[own], t_size[own], w, n_codes, same, mode)
-        if mode != "NW" or w < BAND_WORDS:
-            out[lot] = plain(lot)
+        sweep = lambda own, bound, w=w: _sweep(qc, q_at[own], q_size[own], tc, t_at[own], t_size[own], w, n_codes, same, mode, bound)
+        if mode != "NW":
+            out[lot] = sweep(lot, k)
             continue
         # bands of growing width, the first as wide as the lots before would have had it
-        k, left = guess, lot
-        while len(left) and 2 * k < 64 * (w - 2):
-            far = np.abs(t_size[left] - q_size[left]) > k
+        left, band = lot, guess if k < 0 else min(guess, max(k, 1))
+        while len(left) and 2 * band < 64 * (w - 2):
+            far = np.abs(t_size[left] - q_size[left]) > band
             own = left[~far]
-            d = _lot(qc, q_at[own], q_size[own], tc, t_at[own], t_size[own], w, n_codes, same, mode, k) if len(own) else np.zeros(0, np.int32)
+            d = sweep(own, band) if len(own) else np.zeros(0, np.int32)
             out[own] = d
-            left = np.concatenate([left[far], own[d > k]])
-            left = left[np.argsort(-t_size[left], kind="stable")]
-            k *= 2
+            if 0 <= k <= band:
+                left = left[:0]
+            else:
+                left = np.concatenate([left[far], own[d > band]])
+                left = left[np.argsort(-t_size[left], kind="stable")]
+                band *= 2
         if len(left):
-            out[left] = plain(left)
+            out[left] = sweep(left, -1)
         guess = max(FIRST_BAND, int(np.quantile(out[lot], 0.95)) * 9 // 8)
     return out
 
 
-def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode, band=None):
+#: Lanes that are swept side by side at most, and columns between changes of the blocks in use.
+LANES, TILE, BOUNDED_TILE = 8192, 128, 64
+
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _sweep(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode, bound):
     """Distances of pairs whose queries have one number of words, longest targets first.
 
-    band (NW): only the words with rows within `band` of the diagonal are kept. What
-    lies above is taken for growing by one a column, what lies below for one more
-    than its neighbour: a result of `band` or less is right, a larger one is not."""
+    The words of all lanes go forward together, each a column behind the one above it, so that
+    a step is one numpy operation on (words x lanes) and no word waits for another's carry.
+    Columns go by in tiles. Before a tile the blocks in use are chosen. NW: those within
+    `bound` of the diagonal; what lies above is taken for growing by one a column, what lies
+    below for one more than its neighbour: a result up to the bound is right, a larger one
+    only tells that the distance is larger. SHW, HW: those from the first one to the last that
+    can still lead to a score of the least one found so far, or the bound, in any lane."""
     n = len(q_size)
     rows = _fill(q, q_at, q_size, words * 64, -1, q.dtype)
     peq = np.empty((n_codes, words, n), np.uint64)
     for c in range(n_codes):
         hit = rows == c if len(same[c]) == 1 else np.isin(rows, same[c])
         peq[c] = np.packbits(hit, axis=1, bitorder="little").view("<u8").T
-    steps = int(t_size[0])
-    text = np.ascontiguousarray(_fill(t, t_at, t_size, steps, 0, np.int32).T)
+    peq = peq.reshape(-1)
+    steps, width = int(t_size[0]), words * n
+    # columns from last to first: the words of a step then read one stretch of it
+    text = np.ascontiguousarray(_fill(t, t_at, t_size, steps, 0, np.int32).T[::-1]).astype(np.int64).reshape(-1) * width
+    lane = np.arange(width)
     last = ONE << ((q_size - 1) % 64).astype(np.uint64)
-    plus = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
-    minus = np.zeros((words, n), np.uint64)
-    score = q_size.astype(np.int32)
-    low, high = 0, words - 1  # words in use
-    if band is not None and words > 1:
-        high = min(words - 1, band // 64)
-        if high < words - 1:
-            score = np.full(n, 64 * (high + 1), np.int32)  # of the lowest row in use
+    inside = last | (last - ONE)  # the query's rows in its last word
+    rest = (q_size - 64 * (words - 1)).astype(np.int32)
+    plus, minus = np.full(width, _ALL), np.zeros(width, np.uint64)
+    carry = [[np.zeros(width + n, np.uint64), np.zeros(width + n, np.uint64)] for _ in range(2)]
+    low, high = 0, 1
+    score = np.full(n, 64, np.int32) if words > 1 else q_size.astype(np.int32)  # of the lowest row in use
     best = np.full(n, np.iinfo(np.int32).max, np.int32)
-    alive = np.searchsorted(-t_size, -np.arange(steps), side="left")
-    flat = peq.reshape(-1)
-    lane = np.arange(n)
-    first = np.uint64(0 if mode == "HW" else 1)
-    a, b, d, h = (np.empty(n, np.uint64) for _ in range(4))
-    for j in range(steps):
-        k = int(alive[j])
-        at = text[j, :k] * (words * n) + lane[:k]
-        hp_in, hm_in = first, None
-        x, y, z, hp = a[:k], b[:k], d[:k], h[:k]
-        if band is not None:
-            low = max(0, j - band) // 64
-            while high < words - 1 and j + 1 + band > 64 * (high + 1):
-                high += 1  # a new word: each row one more than that above
-                score += 64 if high < words - 1 else (q_size - 64 * (words - 1)).astype(np.int32)
-            low = min(low, high)
-        for w in range(low, high + 1):
-            p, m = plus[w, :k], minus[w, :k]
-            eq = flat[at + w * n]
+    limit = np.minimum(q_size, bound if bound >= 0 else q_size).astype(np.int32)
+    alive = np.searchsorted(-t_size, -np.arange(steps + 1), side="left").tolist()  # lanes with a column j
+    buffers = [np.empty(width, np.uint64) for _ in range(4)]
+    index = np.empty(width, np.int64)
+    banded = mode == "NW" and bound >= 0
+    tile = TILE if banded else BOUNDED_TILE if mode != "NW" and words > 2 else steps
+    need = 1 + (int(limit.max()) + tile) // 64 if mode != "NW" and words > 2 else words
+    for a in range(0, steps, tile):
+        b = min(steps, a + tile)
+        if banded:
+            low = max(low, max(0, a - bound) // 64)
+            need = -(-(b + bound) // 64)
+        need = min(words, max(need, low + 1))
+        if need > high:  # new words: each row one more than that above
+            plus[high * n : need * n], minus[high * n : need * n] = _ALL, 0
+            score += 64 * (need - high) if need < words else 64 * (need - 1 - high) + rest
+            high = need
+        for one, two in carry:
+            one[low * n : (low + 1) * n], two[low * n : (low + 1) * n] = 0 if mode == "HW" and not low else 1, 0
+        used, mask = high - low, last if high == words else BOTTOM
+        for s in range(b - a + used - 1):
+            top, end = (low + max(0, s - (b - a) + 1)) * n, (low + min(used - 1, s) + 1) * n
+            size = end - top
+            at = (steps - 1 - a - s) * n + top - low * n
+            x, y, z, hp = (f[:size] for f in buffers)
+            p, m = plus[top:end], minus[top:end]
+            (hp_in, hm_in), (hp_out, hm_out) = carry
+            np.add(text[at : at + size], lane[top:end], out=index[:size])
+            eq = peq.take(index[:size])
             np.bitwise_or(eq, m, out=x)
-            if hm_in is not None:
-                eq |= hm_in
+            eq |= hm_in[top:end]
             np.bitwise_and(eq, p, out=z)
             z += p
             z ^= p
@@ -245,23 +334,47 @@ def _lot(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode, band=None
             np.invert(hp, out=hp)
             hp |= m
             np.bitwise_and(p, z, out=y)  # horizontal -1
-            if w == high:
-                bit = last[:k] if w == words - 1 else BOTTOM
-                score[:k] += ((hp & bit) != 0).view(np.int8)
-                score[:k] -= ((y & bit) != 0).view(np.int8)
-            else:
-                hp_out, hm_out = hp >> TOP, y >> TOP
+            j = a + s - used + 1
+            if j >= a:
+                score += ((hp[size - n :] & mask) != 0).view(np.int8)
+                score -= ((y[size - n :] & mask) != 0).view(np.int8)
+                if high == words:
+                    k = alive[j]
+                    if mode != "NW":
+                        np.minimum(best[:k], score[:k], out=best[:k])
+                    elif alive[j + 1] < k:
+                        best[alive[j + 1] : k] = score[alive[j + 1] : k]
+            np.right_shift(hp, TOP, out=hp_out[top + n : end + n])
+            np.right_shift(y, TOP, out=hm_out[top + n : end + n])
             hp <<= ONE
-            hp |= hp_in
+            hp |= hp_in[top:end]
             y <<= ONE
-            if hm_in is not None:
-                y |= hm_in
+            y |= hm_in[top:end]
             np.bitwise_or(x, hp, out=z)
             np.invert(z, out=z)
             np.bitwise_or(y, z, out=p)
             np.bitwise_and(hp, x, out=m)
-            if w < high:
-                hp_in, hm_in = hp_out, hm_out
-        if mode != "NW":
-            np.minimum(best[:k], score[:k], out=best[:k])
-    return score if mode == "NW" else best
+            carry.reverse()
+        if b == steps or not (banded or mode != "NW" and words > 2):
+            continue
+        # what the rows of each word are at least, from the scores at its ends
+        own = slice(low * n, high * n)
+        p, m = plus[own].reshape(used, n), minus[own].reshape(used, n)
+        if high == words:
+            p, m = p.copy(), m.copy()
+            p[-1] &= inside
+            m[-1] &= inside
+        step = np.bitwise_count(p).astype(np.int32) - np.bitwise_count(m).astype(np.int32)
+        under = score - np.cumsum(step[::-1], axis=0)[::-1]  # the score above each word
+        open_ = (2 * under + step - 64 <= 2 * (bound if banded else np.minimum(limit, best))).any(axis=1)
+        if banded:
+            if not open_.any():
+                break
+            continue
+        if not open_.any():
+            break
+        need = low + int(np.flatnonzero(open_)[-1]) + 2 + tile // 64
+        if need < high:
+            score = (under + step)[need - 1 - low]
+            high = need
+    return best
