@@ -26,20 +26,29 @@ _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for n in ("sc
 # Element names by role.
 RAW = set(_RAW_END)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html head li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button".split())
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html head li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BREAKS = {"hr"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "head", "menu", "button", "dialog", "fieldset"}
+DROPPED = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "fieldset"}
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "#text"}
 #: What an open element ends when a sibling of its kind, or a block in a p, begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-P_STAYS = {"button"}
 HOLDERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body"}
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv(?:ert\w*)?|advert\w*|banner\w*|sponsor\w*|promo\w*|popup|modal|cookies?\w*|consent|notice\w*|alert\w*|gdpr|newsletter|subscribe\w*|signup|share|sharing|social|"
     r"side-?bar\w*|side|rail|related|recommend\w*|widget\w*|menu\w*|nav\w*|breadcrumbs?|pager|pagination|toolbar|masthead|site-?header|page-?header|header|site-?footer|page-?footer|footer\w*|foot|"
-    r"comments?(?:-?(?:list|section|area|thread|form|body|text|box))?|commentlist|disqus\w*|replies|reply|respond|login|search\w*|disclaimer|outbrain|taboola|skip-?link|tags?)(?=$|[\s_-])",
+    r"disqus\w*|replies|reply|respond|login|search\w*|disclaimer|outbrain|taboola|skip-?link|tags?)(?=$|[\s_-])",
     re.I,
 )
+#: Words of readers' comments in a name, and what makes such a name one of the comments' state.
+_COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|comment(?:list|form|area|section|body|box|thread)s?|disqus)(?=$|[_-])", re.I)
+_COMMENT_STATE = re.compile(r"(?:^|[_-])(?:open|closed|off|on|no|has|with|without|enabled|disabled|count|allowed)(?=$|[_-])", re.I)
+#: What an article is filed under, in a name: tag-news, category-food.
+_FILED = re.compile(r"(?:tag|category|cat|topic|format|type|status)[_-](?!cloud|list|links?|s$|box|widget|block|area|section|wrap)[\w-]+", re.I)
+#: A part with more than this share of the page's text stays whatever its name, if its links are few; half of it does where
+#: the name speaks for it, too.
+MOST_TEXT = 0.5
+#: Length of a piece of text; such a part has two, or an article's heading or container.
+LONG_PIECE = 80
 #: Words that may stand beside those in a name without giving it another meaning.
 _FILLER = re.compile(r"left|right|top|bottom|main|site|page|global|primary|secondary|box|wrap(?:per)?|container|inner|outer|area|block|section|col(?:umn)?|list|items?|links?|bar|unit|slot|title|head(?:er|ing)?|body|text|content|posts?|articles?|stories|entries|news|form|icons?|buttons?|btns?|js|the|us|policy|overlay|message|\d*", re.I)
 #: A form of so much text may stay; a part of which only a piece of the name is unlikely does at a link density below SPARED_LINKS.
@@ -54,7 +63,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 class Node:
     __slots__ = ("name", "parent", "children", "score", "weight", "drop", "soft", "good", "text_len", "link_len", "commas")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False, good: bool = False, soft: bool = False):
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, good: bool = False, soft: str = ""):
         self.name, self.parent, self.drop, self.good, self.soft = name, parent, drop, good, soft
         self.children: list[Node | str] = []
         self.score = self.weight = 0.0
@@ -66,8 +75,8 @@ def _wholly(token: str) -> bool:
     return bool(UNLIKELY.fullmatch(token)) or all(_FILLER.fullmatch(w) or UNLIKELY.fullmatch(w) for w in re.split(r"[_-]+", token))
 
 
-def _attrs(text: str, name: str = "div") -> tuple[bool, bool, bool]:
-    """(unlikely, likely, only by a piece of a name) from an element's attributes.
+def _attrs(text: str, name: str = "div") -> tuple[bool, bool, bool, bool]:
+    """(unlikely, likely, only by a piece of a name, for good) from an element's attributes.
     Ids of headings and paragraphs, made from their text as a rule, say nothing."""
     words, hidden, role = [], False, ""
     for m in _ATTR.finditer(text):
@@ -86,9 +95,20 @@ def _attrs(text: str, name: str = "div") -> tuple[bool, bool, bool]:
     said = _OWN_HEADER.sub(" ", " ".join(words))
     good = bool(LIKELY.search(said)) or role in ("main", "article")
     if hidden or role in ROLES:
-        return True, good, False
-    met = [w for w in said.split() if UNLIKELY.search(w)]
-    return bool(met), good, bool(met) and not any(map(_wholly, met))
+        return True, good, False, True
+    tokens = [w for w in said.split() if not _FILED.fullmatch(w)]
+    comments = any(_COMMENTS.search(w) and not _COMMENT_STATE.search(w) for w in tokens)
+    if comments and name not in HEADINGS and name not in ("p", "body", "html", "main"):
+        return True, good, False, True
+    met = [w for w in tokens if UNLIKELY.search(w)]
+    wholly = [w for w in met if _wholly(w)]
+    if wholly and role not in ("main", "article"):  # related-posts says nothing for it
+        good = bool(LIKELY.search(" ".join(w for w in tokens if w not in wholly)))
+    return bool(met), good, bool(met) and not wholly, False
+
+
+#: Text of buttons is no part of the sentence around them.
+_BUTTON_END = re.compile(r"</button(?=[\s/>]|$)[^>]*(?:>|$)", re.I)
 
 
 def parse(page: str) -> Node:
@@ -100,14 +120,28 @@ def parse(page: str) -> Node:
     links = 0  # open a elements
     run_links = 0
     pos, n = 0, len(page)
-    opened: dict[str, int] = {}  # block elements open by name: an end tag without one is passed over at once
+    path: list[Node] = [root]  # the open elements
+    opened: dict[str, list[int]] = {}  # where those of a name stand in it, and those of HOLDERS under ""
+    buttons = True  # whether an end of a button may come
 
-    def leave(node: Node):
-        """Ends node and what is open inside it."""
+    def enter(node: Node):
+        nonlocal at
+        at.children.append(node)
+        at = node
+        opened.setdefault(node.name, []).append(len(path))
+        if node.name in HOLDERS:
+            opened.setdefault("", []).append(len(path))
+        path.append(node)
+
+    def leave(depth: int):
+        """Ends the element there and what is open inside it."""
         nonlocal at
-        while at is not node.parent:
-            opened[at.name] -= 1
-            at = at.parent
+        while len(path) > depth:
+            node = path.pop()
+            opened[node.name].pop()
+            if node.name in HOLDERS:
+                opened[""].pop()
+        at = path[-1]
 
     def text(piece: str):
         nonlocal run_links
@@ -156,7 +190,12 @@ def parse(page: str) -> Node:
                 end = _RAW_END[name].search(page, pos)
                 pos = end.end() if end else n
             continue
-        if name == "a":
+        if name == "button":
+            if not closing and buttons:
+                end = _BUTTON_END.search(page, pos)
+                pos, buttons = (end.end(), True) if end else (pos, False)
+                run.append(" ")
+        elif name == "a":
             links = 0 if closing else 1
         elif name in VOID:
             if name == "br":
@@ -168,33 +207,24 @@ def parse(page: str) -> Node:
             links = 0
             if closing:
                 if opened.get(name):
-                    up = at
-                    while up.name != name:
-                        up = up.parent
-                    leave(up)
+                    leave(opened[name][-1])
                 continue
             # what this start tag ends
-            if name not in P_STAYS and at.name == "p":
-                leave(at)
+            if at.name == "p":
+                leave(len(path) - 1)
             if name[0] == "h" and name[1:].isdigit() and at.name[0] == "h" and at.name[1:].isdigit():
-                leave(at)
+                leave(len(path) - 1)
             for end in ENDS.get(name, ()):
-                if not opened.get(end):
-                    continue
-                up = at
-                while up is not root and up.name != end and up.name not in HOLDERS:
-                    up = up.parent
-                if up.name == end:
-                    leave(up)
-            unlikely, good, piece = _attrs(attrs, name) if attrs.strip() else (False, False, False)
+                if opened.get(end) and opened[end][-1] > (opened.get("") or [0])[-1]:
+                    leave(opened[end][-1])
+            unlikely, good, piece, sure = _attrs(attrs, name) if attrs.strip() else (False, False, False, False)
             if piece and (name in HEADINGS or name in ("p", "section")):
                 unlikely = False
-            unlikely = unlikely and name not in ("html", "body", "article", "main")
+            unlikely = unlikely and (name not in ("html", "body", "article", "main") or sure and name == "article" and not good)
             drop = name in DROPPED or unlikely
-            node = Node(name, at, drop, good, drop and (piece or not unlikely) and (name not in DROPPED or name in ("form", "fieldset")))
-            at.children.append(node)
-            at = node
-            opened[name] = opened.get(name, 0) + 1
+            # a form, or a name, may be overruled by the text
+            soft = "piece" if piece else "form" if name in ("form", "fieldset") and not sure else "name" if unlikely and not sure and name not in DROPPED else ""
+            enter(Node(name, at, drop, good, soft if drop else ""))
     flush()
     return root
 
@@ -249,8 +279,8 @@ def _header_of_article(node: Node) -> None:
 
 
 def _spare(root: Node) -> None:
-    """Keeps forms that hold most of the page's text, and text in few links
-    where only a piece of a name spoke against it."""
+    """Keeps text in few links where only a piece of a name spoke against it, and what holds most
+    of the page's text: forms, and parts with the name of a sidebar, which then is a flag of the layout."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -258,18 +288,22 @@ def _spare(root: Node) -> None:
         stack.extend(c for c in x.children if isinstance(c, Node) and (not c.drop or c.soft))
     if not any(x.soft for x in order):
         return
-    size = {id(x): [x.text_len, x.link_len] for x in order}
+    # text, text of links, long pieces of text (an article's heading or container counts for two)
+    size = {id(x): [x.text_len, x.link_len, sum(isinstance(c, str) and len(c) >= LONG_PIECE for c in x.children) + 2 * (x.good or x.name in ("article", "main", "h1"))] for x in order}
     for x in reversed(order):
         if x.parent is not None:
-            size[id(x.parent)][0] += size[id(x)][0]
-            size[id(x.parent)][1] += size[id(x)][1]
+            up, own = size[id(x.parent)], size[id(x)]
+            for i in range(3):
+                up[i] += own[i]
+    whole = size[id(root)][0]
     for x in order:
         if x.soft:
-            n, links = size[id(x)]
-            if x.name in ("form", "fieldset"):
-                x.drop = not (n >= FORM_TEXT and 2 * n > size[id(root)][0])
+            n, links, pieces = size[id(x)]
+            few = links < SPARED_LINKS * n
+            if x.soft == "form":
+                x.drop = not (n >= FORM_TEXT and 2 * n > whole)
             else:
-                x.drop = not links < SPARED_LINKS * n
+                x.drop = not few or x.soft == "name" and (pieces < 2 or n <= MOST_TEXT * whole * (0.5 if x.good else 1.0))
 
 
 def best(root: Node) -> list[Node]:

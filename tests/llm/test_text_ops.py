@@ -467,3 +467,29 @@ def test_pages_keep_text_with_unlucky_names():
     # what is unlikely as a whole stays out, so do small forms
     for name in ("related-posts", "comment-list", "left-sidebar", "cookie-banner"):
         assert main_text(f'<article><h1>T</h1><p>{para}</p><div class="{name}"><p>{para}</p></div><form><p>Your mail address</p></form></article>') == f"T\n{para}"
+
+
+def test_pages_whose_layout_has_the_name_of_a_sidebar():
+    rose = "The river rose in the night, and by morning the lower fields were under water. " * 2
+    seen = "Nobody had seen it so high, not even the oldest of the millers, who was ninety. " * 2
+    body = f"<p>{rose}</p><p>{seen}</p>"
+    side = '<div class="sidebar"><ul><li><a href="/a">Other story one</a></li><li><a href="/b">Other story two</a></li></ul></div>'
+    said = '<div class="reader-comments"><h3>Comments</h3><div class="c"><p>I do not agree with this article at all, sorry to say so, and never shall.</p></div><div class="c"><p>Me neither, and I have read it twice, both times with care and a pencil.</p></div></div>'
+    text = f"{rose.strip()}\n{seen.strip()}"
+    for name in ("site right-sidebar", "content sidebar-left", "hentry tag-news", "main-header-bottom", "has-sidebar", "page no-sidebar two-columns", "post comments-open"):
+        for more in ("", side, said, side + said):
+            page = f"<body><nav><a href='/'>Home</a></nav><div class='{name}'>{{}}{body}{more}</div><footer>Imprint</footer></body>"
+            assert main_text(page.format("")) == text
+            assert main_text(page.format("<h1>Flood</h1>")) == f"Flood\n{text}"
+    assert main_text(f"<body><article><h1>Flood</h1>{body}{said}</article></body>") == f"Flood\n{text}"
+    # a short article beside a longer notice
+    assert main_text(f'<body><article><p>It rained.</p></article><div class="cookie-notice"><p>{rose}</p></div></body>') == "It rained."
+    assert main_text("<body><article><p>Press <button>OK</button> to go on, and wait until the page has been loaded.</p></article></body>") == "Press to go on, and wait until the page has been loaded."
+
+
+def test_pages_are_parsed_in_linear_time():
+    pages = [lambda n: "<center>" * n + "<dt></dt>" * n + "x", lambda n: "<div><dd><div>" * n + "x", lambda n: "<center>" * n + "<li></li>" * n + "x", lambda n: "<button>" * n + "x", lambda n: "<article>" + "<header>" * n + "x"]
+    for page in pages:
+        start = time.process_time()
+        main_text(page(50_000))
+        assert time.process_time() - start < 8
