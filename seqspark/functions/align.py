@@ -262,22 +262,29 @@ def align(query, target, mode: str = "NW", task: str = "distance", k: int = -1,
 def edit_distance(query, target, mode: str = "NW", k: int = -1, equalities=(), native: bool | None = None) -> Column:
     """The distance, -1 where it is over k (k < 0: no bound).
 
-    Global distances of strings under plain equality stay in the JVM
-    (levenshtein) unless native=False; everything else goes to the Arrow kernel.
-    with_distance() chooses by the texts' lengths."""
+    Global distances of strings under plain equality are computed where that is cheaper, row
+    by row: in the JVM (levenshtein), or, for pairs with a text of LONG_TEXT characters or more, in the
+    Arrow kernel, which keeps to a band; the kernel sees nulls for the others. native=True keeps all
+    in the JVM, native=False sends all to the kernel, which also takes other modes, equalities,
+    binaries and arrays. with_distance() splits a table into two plans instead."""
     config = AlignConfig(k=k, mode=mode, equalities=tuple(equalities))
     q, t = column(query), column(target)
-    if native is None:
-        native = mode == "NW" and not equalities
-    if native:
-        if mode != "NW" or equalities:
-            raise ValueError("only global distances under plain equality have a native form")
-        if config.k < 0:
-            return F.levenshtein(q, t)
+    plain = mode == "NW" and not equalities
+    if native and not plain:
+        raise ValueError("only global distances under plain equality have a native form")
+    kernel_of = _udf(_distances(config), "int")
+    if native is False or not plain:
+        return kernel_of(q, t)
+    if config.k < 0:
+        short = F.levenshtein(q, t)
+    else:
         # an empty side is exempt from the bound; lengths too far apart need no table
         gap = F.abs(F.length(q) - F.length(t))
-        return F.when((F.length(q) == 0) | (F.length(t) == 0), F.greatest(F.length(q), F.length(t))).when(gap > config.k, -1).otherwise(F.levenshtein(q, t, config.k))
-    return _udf(_distances(config), "int")(q, t)
+        short = F.when((F.length(q) == 0) | (F.length(t) == 0), F.greatest(F.length(q), F.length(t))).when(gap > config.k, -1).otherwise(F.levenshtein(q, t, config.k))
+    if native:
+        return short
+    long = F.greatest(F.length(q), F.length(t)) >= LONG_TEXT
+    return F.when(long, kernel_of(F.when(long, q).cast("string"), F.when(long, t).cast("string"))).otherwise(short)
 
 
 #: Texts this long or longer are cheaper in the Arrow kernel than in levenshtein.
@@ -345,6 +352,40 @@ def nice_alignment(query, target, result, gap: str = "-") -> Column:
     return F.when(F.length(text) > 0, made)
 
 
+def path_check(query, target, result, mode: str = "NW") -> Column:
+    """struct(sound, cost, start, starts_by_insertion) of an align() result with a path, of strings
+    under plain equality: whether its matches match, its mismatches don't and it takes the
+    whole query up to the end; what it costs; where it begins in the target; and whether it begins by inserting a
+    symbol although the target has one before it, which a mismatch could take instead.
+    Null without a path. In the JVM, over the CIGAR's runs."""
+    r = column(result)
+    text = r["cigar"]
+    q, t = column(query), column(target)
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+)[=XID]"), F.lit(1))
+    ops = F.regexp_extract_all(text, F.lit(r"\d+([=XID])"), F.lit(1))
+    pairs = F.zip_with(runs, ops, lambda n, op: F.struct(n.cast("int").alias("n"), op.alias("op")))
+    taken = lambda but: F.aggregate(pairs, F.lit(0), lambda a, x: a + F.when(x["op"] == but, 0).otherwise(x["n"]))
+    end = F.element_at(r["end_locations"], 1)
+    first = end + 1 - taken("I")
+    start = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("cost"), F.lit(0).alias("i"), first.alias("j"))
+
+    def step(a, x):
+        own, other = F.substring(q, a["i"] + 1, x["n"]), F.substring(t, a["j"] + 1, x["n"])
+        differ = ~F.exists(F.sequence(F.lit(1), x["n"]), lambda p: F.substring(own, p, F.lit(1)) == F.substring(other, p, F.lit(1)))
+        good = F.when(x["op"] == "=", own == other).when(x["op"] == "X", differ).otherwise(True)
+        return F.struct(
+            (a["ok"] & good).alias("ok"),
+            (a["cost"] + F.when(x["op"] == "=", 0).otherwise(x["n"])).alias("cost"),
+            (a["i"] + F.when(x["op"] == "D", 0).otherwise(x["n"])).alias("i"),
+            (a["j"] + F.when(x["op"] == "I", 0).otherwise(x["n"])).alias("j"),
+        )
+
+    walked = F.aggregate(pairs, start, step)
+    sound = walked["ok"] & (walked["i"] == F.length(q)) & (walked["j"] == end + 1) & (F.lit(mode != "NW") | (first == 0))
+    made = F.struct(sound.alias("sound"), walked["cost"].alias("cost"), first.alias("start"), ((F.element_at(ops, 1) == "I") & (first > 0)).alias("starts_by_insertion"))
+    return F.when(F.length(text) > 0, made)
+
+
 def pretty_alignment(query, target, result, mode: str = "NW") -> Column:
     """A text of fifty-column blocks, from an align() result with a path."""
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.config import CASE_INSENSITIVE, IUPAC, AlignConfig
-from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, pretty_alignment, with_distance
+from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, path_check, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
-from seqspark.operators.search import align_fasta, align_to_target, n_best, n_best_cli
+from seqspark.operators.search import align_fasta, align_to_target, best_targets, n_best, n_best_cli
 from seqspark.scratch import scratch
 from seqspark.sources.fasta import read_fasta, sequence_stats, write_scores
 from seqspark.streaming.align import align_stream, n_best_stream
@@ -238,12 +238,19 @@ def q_headerless(spark, sf_dir):
 
 
 def q_missing_file(spark, sf_dir):
+    """The records of each brand's file, and the error for a brand that has none."""
+    path = scratch(spark)
+    p = table(spark, sf_dir, "part")
+    p.select("p_brand", F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit("\n"), F.col("p_name")).alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(path)
+    brand = F.url_decode(F.url_decode(F.regexp_extract("path", "p_brand=([^/]*)", 1)))
+    there = read_fasta(spark, path).groupBy(brand.alias("brand")).agg(F.count(F.lit(1)).alias("records"))
     try:
-        read_fasta(spark, scratch(spark)).count()
-        found = "none"
+        read_fasta(spark, f"{path}/p_brand=none").count()
+        error = "nothing"
     except AnalysisException as e:
-        found = e.getCondition()
-    return spark.createDataFrame([(found,)], "error string")
+        error = e.getCondition()
+    missing = spark.createDataFrame([("none", 0, error)], "brand string, records bigint, error string")
+    return there.withColumn("error", F.lit(None).cast("string")).unionByName(missing)
 
 
 def q_score_table(spark, sf_dir):
@@ -309,8 +316,29 @@ def q_nbest_stream(spark, sf_dir):
 
 
 def q_settings(spark, sf_dir):
+    """What the settings do to a pair: by default, all stated, a null bound, bounds one below and at the distance."""
     c = AlignConfig()
-    return spark.createDataFrame([(c.k, c.mode, c.task, len(c.equalities), len(IUPAC), len(CASE_INSENSITIVE))], "k int, mode string, task string, equalities int, iupac int, letters int")
+    r = pairs(spark, sf_dir).select("q", "t", align("q", "t").alias("r"), align("q", "t", mode=c.mode, task=c.task, k=c.k, equalities=c.equalities).alias("s"), align("q", "t", k=None, task="locations").alias("u"))
+    bounded = lambda k: edit_distance("q", "t", k=k, native=False)
+    return r.select("q", "t", F.col("r.edit_distance").alias("distance"), F.col("s.edit_distance").alias("stated"), F.col("u.edit_distance").alias("unbounded"), F.col("r.start_locations").isNull().alias("no_starts"), F.element_at("u.start_locations", 1).alias("start"), bounded(6).alias("within_6"), bounded(7).alias("within_7"))
+
+
+def q_path_checks(spark, sf_dir):
+    """Paths of all three modes, walked: sound, as dear as the distance says, from the reported start on, and
+    none inserts at first where a mismatch could stand."""
+    out = None
+    for mode, of in (("NW", pairs), ("SHW", searches), ("HW", searches)):
+        r = of(spark, sf_dir).withColumn("r", align("q", "t", mode=mode, task="path"))
+        r = r.withColumn("c", path_check("q", "t", F.col("r"), mode)).where("c is not null")
+        r = r.select(F.lit(mode).alias("mode"), "q", "t", "c.sound", "c.cost", (F.col("c.start") == F.element_at("r.start_locations", 1)).alias("from_start"), F.col("c.starts_by_insertion").alias("starts_by_insertion"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def q_best_targets(spark, sf_dir):
+    """The parts in whose names each of a stated set of patterns is found best, with all ties."""
+    asked = spark.createDataFrame([(p,) for p in PATTERNS], "q string")
+    return best_targets(asked, table(spark, sf_dir, "part"), "q", "q", "p_partkey", "p_name", mode="HW")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -381,7 +409,10 @@ ORACLE_SQL: dict[str, str] = {
     "q_array_symbols": "WITH s AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'p' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1, 2) SELECT a.user_id, b.user_id AS other_id, CAST(a.week AS VARCHAR) AS week, CAST(b.week AS VARCHAR) AS other_week, CAST(levenshtein(a.seq, b.seq) AS INT) AS distance FROM s a JOIN s b ON a.user_id % 20 = 0 AND a.user_id <> b.user_id",
     "q_with_distance": r"WITH x AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark) SELECT a.item_id, CAST(levenshtein(a.text, b.text) AS INT) AS distance FROM x a JOIN x b ON b.item_id = a.item_id + 1",
     "q_headerless": "WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_brand AS brand, CAST(CASE WHEN i = 0 THEN 0 ELSE 2 * k - 2 + i END AS INT) AS seq_idx, CASE i WHEN 1 THEN CAST(p_partkey AS VARCHAR) WHEN 2 THEN 'brand ' || p_brand END AS header, CASE WHEN i = 1 THEN 'ACGT' ELSE p_name END AS sequence FROM p, (SELECT unnest([0, 1, 2]) AS i) WHERE i > 0 OR k = 1",
-    "q_missing_file": "SELECT 'PATH_NOT_FOUND' AS error",
+    "q_missing_file": "SELECT p_brand AS brand, count(*) AS records, CAST(NULL AS VARCHAR) AS error FROM part GROUP BY 1 UNION ALL SELECT 'none', 0, 'PATH_NOT_FOUND'",
+    "q_path_checks": f"SELECT 'NW' AS mode, q, t, true AS sound, CAST(levenshtein(q, t) AS INT) AS cost, true AS from_start, false AS starts_by_insertion FROM {_P} UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{m}', q, t, true, CAST(min(d) AS INT), true, false FROM ({_ENDS[m]}) GROUP BY q, t" for m in ("SHW", "HW")),
+    "q_best_targets": f"WITH d AS (SELECT q, t, CAST(min(d) AS INT) AS distance FROM ({_ENDS['HW']}) GROUP BY q, t), m AS (SELECT q, min(distance) AS distance FROM d GROUP BY q) SELECT q, p_partkey, distance FROM d JOIN m USING (q, distance) JOIN part ON p_name = t",
     "q_score_table": f"SELECT '#' || query_idx || ': ' || score || '  1 [ (?, 10) ]' AS line FROM ({_SCORES}) WHERE score <= 9",
     "q_pretty": f"SELECT q, t, {_pretty('q', 't')} AS pretty FROM ({_NW_PATHS})",
     "q_divided_paths": f"SELECT q, t, CAST(levenshtein(q, t) AS INT) AS cost, CAST(length(q) AS INT) AS of_query, CAST(length(t) AS INT) AS of_target FROM {_P}",
@@ -390,7 +421,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_align_fasta_pretty": f"SELECT k AS p_partkey, CAST(levenshtein(q, t) AS INT) AS score, {_pretty('q', 't')} AS pretty FROM ({_FASTA_PATHS})",
     "q_align_fasta_nice": f"SELECT k AS p_partkey, qa AS query_aligned, translate(ops, '=XID', '|.--') AS matched_aligned, ta AS target_aligned FROM ({_FASTA_PATHS})",
     "q_nbest_stream": "SELECT p_brand, string_agg(lpad(CAST(p_partkey AS VARCHAR), 12, '0'), ',' ORDER BY d, p_partkey) AS items, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d, p_partkey) AS scores FROM (SELECT *, levenshtein(p_name, 'blue widget') AS d FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY d, p_partkey) <= 3) GROUP BY 1",
-    "q_settings": "SELECT -1 AS k, 'NW' AS mode, 'distance' AS task, 0 AS equalities, 28 AS iupac, 26 AS letters",
+    "q_settings": f"SELECT q, t, d AS distance, d AS stated, d AS unbounded, true AS no_starts, 0 AS start, CASE WHEN d <= 6 THEN d ELSE -1 END AS within_6, CASE WHEN d <= 7 THEN d ELSE -1 END AS within_7 FROM (SELECT q, t, CAST(levenshtein(q, t) AS INT) AS d FROM {_P})",
     "q_nbest": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 10",
     "q_nbest_cli": f"WITH s AS (SELECT * FROM ({_SCORES}) WHERE score <= 8), l AS (SELECT max(score) AS top FROM (SELECT score FROM s ORDER BY score LIMIT 10)) SELECT query_idx, score FROM s, l WHERE score <= top AND (score = 0 OR (SELECT count(*) FROM s o WHERE o.query_idx < s.query_idx AND o.score <= s.score) < 10)",
     "q_containment": "SELECT item_id, doc_id, CAST(floor(length(b.text) * 0.05) AS INT) AS k, 0 AS distance FROM benchmark b, documents d WHERE contains(d.text, b.text)",

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, pretty_alignment, with_distance
+from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, path_check, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
 from seqspark.operators.search import align_fasta, n_best, n_best_cli
@@ -225,3 +225,58 @@ def test_streams(spark, tmp_path):
     q = n_best_stream(made, "k", "d", "w", 2).writeStream.outputMode("update").format("memory").queryName("best").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.k, tuple(r["items"])) for r in spark.table("best").collect()} == {("a", ("kitten", "mitten")), ("b", ("sitting",))}
+
+
+@pytest.mark.parametrize("mode,k", [("NW", -1), ("NW", 2), ("HW", -1), ("SHW", 3)])
+def test_best_targets_with_all_ties(spark, monkeypatch, mode, k):
+    from seqspark.operators import search
+
+    monkeypatch.setattr(search, "NEAR_PAIRS", 7)
+    monkeypatch.setattr(search, "NEAR_IDS", 5)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("AB") for _ in range(n))
+    q = [(i, word(rng.randrange(1, 7)), "x") for i in range(12)] + [(12, "", "x"), (13, None, "x")]
+    t = [(i, word(rng.randrange(1, 9)), 0) for i in range(40)] + [(40, "", 0), (41, None, 0), (39, "AB", 0), (39, "AB", 0)]
+    got = search.best_targets(spark.createDataFrame(q, "id int, q string, d string"), spark.createDataFrame(t, "id int, q string, n int").repartition(3), "id", "q", "id", "q", mode=mode, k=k)
+    got = sorted(tuple(r) for r in got.collect())
+    want = []
+    for i, a, _ in q:
+        if a is None:
+            continue
+        d = [(dp.search(a, b, mode)[0] if a and b else max(len(a), len(b)) if mode == "NW" else len(a), j) for j, b, _ in t if b is not None]
+        least = min(x for x, _ in d)
+        want += [(i, j, x) for x, j in d if x == least and (k < 0 or x <= k)]
+    assert got == sorted(want)
+    assert search.best_targets(spark.createDataFrame([], "id int, q string"), spark.createDataFrame(t, "id int, q string, n int"), "id", "q", "id", "q").collect() == []
+
+
+def test_join_with_a_piece_that_all_texts_have(spark, monkeypatch):
+    from seqspark.operators import join
+
+    monkeypatch.setattr(join, "PIECE_ROWS", 5)
+    rng = random.Random(3)
+    texts = ["the same long beginning " + "".join(rng.choice("ABCD") for _ in range(rng.randrange(0, 20))) for _ in range(120)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, s string")
+    got = {(r[0], r[2]) for r in join.distance_join(df, df.toDF("j", "u"), "s", "u", 3).collect()}
+    assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if dp.search(a, b, "NW")[0] <= 3}
+
+
+def test_default_distance_of_long_texts(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = [(word(n), word(n + rng.randrange(9))) for n in (1, 20, 127, 128, 300)] + [("", word(200)), (word(200), ""), (None, word(200)), ("A", None)]
+    df = spark.createDataFrame(rows, "q string, t string")
+    for k in (-1, 90):
+        a, b = (df.select(edit_distance("q", "t", k=k, native=n).alias("d")).collect() for n in (None, True))
+        assert a == b
+
+
+def test_path_check(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    df = spark.createDataFrame([(word(rng.randrange(1, 30)), word(rng.randrange(1, 60))) for _ in range(60)], "q string, t string")
+    for mode in ("NW", "HW", "SHW"):
+        r = df.withColumn("r", align("q", "t", mode=mode, task="path")).select("r", path_check("q", "t", F.col("r"), mode).alias("c")).where("c is not null").collect()
+        assert all(x.c.sound and x.c.cost == x.r.edit_distance and x.c.start == x.r.start_locations[0] and not x.c.starts_by_insertion for x in r) and r
+    wrong = spark.createDataFrame([("AC", "AG")], "q string, t string").withColumn("r", F.expr("named_struct('cigar', '2=', 'end_locations', array(1))"))
+    assert not wrong.select(path_check("q", "t", F.col("r")).alias("c")).first().c.sound
