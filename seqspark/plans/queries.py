@@ -12,7 +12,7 @@ from seqspark.config import CASE_INSENSITIVE, IUPAC, AlignConfig
 from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, path_check, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
-from seqspark.operators.search import align_fasta, align_to_target, best_targets, n_best, n_best_cli
+from seqspark.operators.search import align_fasta, align_to_target, best_targets, n_best, n_best_cli, n_nearest
 from seqspark.scratch import scratch
 from seqspark.sources.fasta import read_fasta, sequence_stats, write_scores
 from seqspark.streaming.align import align_stream, n_best_stream
@@ -166,6 +166,13 @@ def q_nbest(spark, sf_dir):
     return n_best(_scored(spark, sf_dir), 10)
 
 
+def q_nbest_bounded(spark, sf_dir):
+    """The parts whose names are nearest to a text, by distances within a bound that some of them gave."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_idx"), F.col("p_name").alias("sequence"))
+    target = spark.createDataFrame([("blue widget",)], "sequence string")
+    return n_nearest(p, target, 25).select("query_idx", "score")
+
+
 def q_nbest_cli(spark, sf_dir):
     return n_best_cli(_scored(spark, sf_dir), 10, 8)
 
@@ -423,6 +430,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_nbest_stream": "SELECT p_brand, string_agg(lpad(CAST(p_partkey AS VARCHAR), 12, '0'), ',' ORDER BY d, p_partkey) AS items, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d, p_partkey) AS scores FROM (SELECT *, levenshtein(p_name, 'blue widget') AS d FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY d, p_partkey) <= 3) GROUP BY 1",
     "q_settings": f"SELECT q, t, d AS distance, d AS stated, d AS unbounded, true AS no_starts, 0 AS start, CASE WHEN d <= 6 THEN d ELSE -1 END AS within_6, CASE WHEN d <= 7 THEN d ELSE -1 END AS within_7 FROM (SELECT q, t, CAST(levenshtein(q, t) AS INT) AS d FROM {_P})",
     "q_nbest": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 10",
+    "q_nbest_bounded": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 25",
     "q_nbest_cli": f"WITH s AS (SELECT * FROM ({_SCORES}) WHERE score <= 8), l AS (SELECT max(score) AS top FROM (SELECT score FROM s ORDER BY score LIMIT 10)) SELECT query_idx, score FROM s, l WHERE score <= top AND (score = 0 OR (SELECT count(*) FROM s o WHERE o.query_idx < s.query_idx AND o.score <= s.score) < 10)",
     "q_containment": "SELECT item_id, doc_id, CAST(floor(length(b.text) * 0.05) AS INT) AS k, 0 AS distance FROM benchmark b, documents d WHERE contains(d.text, b.text)",
     "q_containment_near": f"SELECT q, t, CAST(floor(length(q) * 0.25) AS INT) AS k, CAST(least(length(q), min(d)) AS INT) AS distance FROM ({_ENDS['HW']}) GROUP BY q, t HAVING least(length(q), min(d)) <= floor(length(q) * 0.25)",

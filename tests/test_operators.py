@@ -280,3 +280,17 @@ def test_path_check(spark):
         assert all(x.c.sound and x.c.cost == x.r.edit_distance and x.c.start == x.r.start_locations[0] and not x.c.starts_by_insertion for x in r) and r
     wrong = spark.createDataFrame([("AC", "AG")], "q string, t string").withColumn("r", F.expr("named_struct('cigar', '2=', 'end_locations', array(1))"))
     assert not wrong.select(path_check("q", "t", F.col("r")).alias("c")).first().c.sound
+
+
+@pytest.mark.parametrize("mode,k,n", [("NW", -1, 5), ("HW", -1, 7), ("NW", 3, 40), ("NW", -1, 0), ("SHW", -1, 500)])
+def test_n_nearest_within_a_first_bound(spark, monkeypatch, mode, k, n):
+    from seqspark.operators import search
+
+    monkeypatch.setattr(search, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(search, "SAMPLE_TIMES", 1)
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("AB") for _ in range(rng.randrange(1, 12)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "query_idx int, sequence string").repartition(3)
+    got = search.n_nearest(df, spark.createDataFrame([("ABBABA",)], "sequence string"), n, mode=mode, k=k).select("score", "query_idx").collect()
+    want = sorted((d, i) for i, s in rows if k < 0 or (d := dp.search(s, "ABBABA", mode)[0]) <= k) if k >= 0 else sorted((dp.search(s, "ABBABA", mode)[0], i) for i, s in rows)
+    assert sorted(tuple(r) for r in got) == (want[:n] if n else want)
