@@ -63,6 +63,15 @@ def q_nw_join_pieces(spark, sf_dir):
     return distance_join(a, a.toDF("other", "m"), "name", "other", 3).select("name", "n", "other", "m", "distance")
 
 
+def q_join_equalities(spark, sf_dir):
+    """Numbers of customers as bases, against the same with ambiguity codes in front: R is A or G, Y is C or T,
+    but A isn't G."""
+    c = table(spark, sf_dir, "customer").select(F.translate(F.right("c_name", F.lit(9)), "0123456789", "ACGTACGTAC").alias("base"))
+    c = c.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    coded = c.select(F.concat(F.translate(F.left("base", F.lit(6)), "ACGT", "RYRY"), F.right("base", F.lit(3))).alias("code"), F.col("n").alias("m"))
+    return distance_join(coded.groupBy("code").agg(F.sum("m").alias("m")), c, "code", "base", 1, equalities=IUPAC).select("code", "m", "base", "n", "distance")
+
+
 def q_semi_join(spark, sf_dir):
     words = spark.createDataFrame([("small rings",), ("blu bolt",), ("nothing like it",)], "w string")
     return distance_join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), words, "p_name", "w", 2, how="left_semi")
@@ -397,6 +406,11 @@ ORACLE_SQL: dict[str, str] = {
     "q_nw_bounded": f"SELECT q, t, CAST(CASE WHEN levenshtein(q, t) > 3 THEN -1 ELSE levenshtein(q, t) END AS INT) AS distance FROM {_P}",
     "q_nw_join": "SELECT a.c_custkey, b.c_custkey AS other_key, CAST(levenshtein(a.c_name, b.c_name) AS INT) AS distance FROM customer a, customer b WHERE levenshtein(a.c_name, b.c_name) <= 1",
     "q_nw_join_pieces": "WITH n AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1) SELECT a.name, a.n, b.name AS other, b.n AS m, CAST(levenshtein(a.name, b.name) AS INT) AS distance FROM n a, n b WHERE levenshtein(a.name, b.name) <= 3",
+    "q_join_equalities": "WITH c AS (SELECT translate(right(c_name, 9), '0123456789', 'ACGTACGTAC') AS base, count(*) AS n FROM customer GROUP BY 1), d AS (SELECT translate(left(base, 6), 'ACGT', 'RYRY') || right(base, 3) AS code, CAST(sum(n) AS BIGINT) AS m FROM c GROUP BY 1), "
+    # how a code with three bases at the end meets bases: three tails, each taken apart from its head
+    "s AS (SELECT code, m, base, n, left(code, 6) AS h, right(code, 3) AS t FROM d, c), "
+    "e AS (SELECT code, m, base, n, min(levenshtein(h, translate(left(base, i), 'ACGT', 'RYRY')) + levenshtein(t, substr(base, i + 1))) AS d FROM s, (SELECT CAST(unnest(range(4, 9)) AS BIGINT) AS i) GROUP BY ALL) "
+    "SELECT code, m, base, n, CAST(d AS INT) AS distance FROM e WHERE d <= 1",
     "q_semi_join": "SELECT p_partkey, p_name FROM part WHERE least(levenshtein(p_name, 'small rings'), levenshtein(p_name, 'blu bolt'), levenshtein(p_name, 'nothing like it')) <= 2",
     "q_nw_empty": "WITH n AS (SELECT DISTINCT p_name AS t FROM part), m AS (SELECT unnest(['NW', 'SHW', 'HW']) AS mode) SELECT mode, '' AS query, t AS target, CAST(CASE WHEN mode = 'NW' THEN length(t) ELSE 0 END AS INT) AS distance, CAST(CASE WHEN mode = 'NW' THEN length(t) - 1 ELSE -1 END AS INT) AS \"end\" FROM n, m UNION ALL SELECT mode, t, '', CAST(length(t) AS INT), -1 FROM n, m",
     "q_hw_distance": f"SELECT q, t, CAST(min(d) AS INT) AS distance FROM ({_ENDS['HW']}) GROUP BY q, t",

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqspark import kernel
+from seqspark.config import CASE_INSENSITIVE, IUPAC, AlignConfig
 from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, path_check, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
 from seqspark.operators.join import containment_join, distance_join
@@ -294,3 +296,24 @@ def test_n_nearest_within_a_first_bound(spark, monkeypatch, mode, k, n):
     got = search.n_nearest(df, spark.createDataFrame([("ABBABA",)], "sequence string"), n, mode=mode, k=k).select("score", "query_idx").collect()
     want = sorted((d, i) for i, s in rows if k < 0 or (d := dp.search(s, "ABBABA", mode)[0]) <= k) if k >= 0 else sorted((dp.search(s, "ABBABA", mode)[0], i) for i, s in rows)
     assert sorted(tuple(r) for r in got) == (want[:n] if n else want)
+
+
+@pytest.mark.parametrize("relation", ["iupac", "case", "chain"])
+@pytest.mark.parametrize("k", [0, 1, 3])
+def test_join_under_equalities(spark, monkeypatch, relation, k):
+    from seqspark.operators import join
+
+    equalities, letters = {"iupac": (IUPAC, "ACGTNRY"), "case": (CASE_INSENSITIVE, "abAB"), "chain": ((("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("e", "a")), "abcdef")}[relation]
+    near = kernel.partners(equalities)
+    # each pair of equal symbols has something in common, and so has each with itself
+    stand = join._plain_symbols(equalities)
+    reads = lambda s: set(stand.get(s, [s]))
+    assert all(reads(a) & reads(b) for a in near for b in near[a])
+    monkeypatch.setattr(join, "EXPANSIONS", 16)
+    rng = random.Random(k)
+    texts = ["".join(rng.choice(letters if rng.random() < 0.4 else letters[:3]) for _ in range(rng.randrange(0, 14))) for _ in range(45)]
+    a, b = (spark.createDataFrame(list(enumerate(x)), "i int, s string") for x in (texts[:25], texts[15:]))
+    got = sorted((r[0], r[2], r[4]) for r in join.distance_join(a, b, "s", "s", k, equalities=equalities).collect())
+    equal = lambda x, y: x == y or y in near.get(x, ())
+    far = lambda x, y: dp.table(x, y, "NW", equal)[-1][-1]
+    assert got == sorted((i, j, far(x, y)) for i, x in enumerate(texts[:25]) for j, y in enumerate(texts[15:]) if far(x, y) <= k)
