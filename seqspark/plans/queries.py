@@ -15,7 +15,7 @@ from seqspark.operators.join import containment_join, distance_join
 from seqspark.operators.search import align_fasta, align_to_target, best_targets, n_best, n_best_cli, n_nearest
 from seqspark.scratch import scratch
 from seqspark.sources.fasta import read_fasta, sequence_stats, write_scores
-from seqspark.streaming.align import align_stream, n_best_stream
+from seqspark.streaming.align import align_stream, n_best_stream, n_best_window_stream
 
 #: Queries of the infix and prefix searches.
 PATTERNS = ("ring", "widgit", "blu bolt", "xyz", "gea", "zzzzzzzzzzzz")
@@ -331,6 +331,22 @@ def q_nbest_stream(spark, sf_dir):
     return last.select("p_brand", F.array_join("m.items", ",").alias("items"), F.array_join(F.col("m.scores").cast("array<string>"), ",").alias("scores"))
 
 
+def q_nbest_window_stream(spark, sf_dir):
+    """For each event type and quarter of a day, once its time is over, the events whose user number is nearest to a text."""
+    e = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    scored = stream.withColumn("distance", edit_distance(F.col("user_id").cast("string"), F.lit("777"), native=True)).withColumn("item", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    out, key = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        best = n_best_window_stream(scored, "event_type", "ts", "distance", "item", 3, "6 hours")
+        best.writeStream.outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out).select("event_type", F.col("until").cast("string").alias("until"), F.array_join("items", ",").alias("items"), F.array_join(F.col("scores").cast("array<string>"), ",").alias("scores"))
+
+
 def q_settings(spark, sf_dir):
     """What the settings do to a pair: by default, all stated, a null bound, bounds one below and at the distance."""
     c = AlignConfig()
@@ -442,6 +458,9 @@ ORACLE_SQL: dict[str, str] = {
     "q_align_fasta_pretty": f"SELECT k AS p_partkey, CAST(levenshtein(q, t) AS INT) AS score, {_pretty('q', 't')} AS pretty FROM ({_FASTA_PATHS})",
     "q_align_fasta_nice": f"SELECT k AS p_partkey, qa AS query_aligned, translate(ops, '=XID', '|.--') AS matched_aligned, ta AS target_aligned FROM ({_FASTA_PATHS})",
     "q_nbest_stream": "SELECT p_brand, string_agg(lpad(CAST(p_partkey AS VARCHAR), 12, '0'), ',' ORDER BY d, p_partkey) AS items, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d, p_partkey) AS scores FROM (SELECT *, levenshtein(p_name, 'blue widget') AS d FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY d, p_partkey) <= 3) GROUP BY 1",
+    "q_nbest_window_stream": "WITH e AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS until, lpad(CAST(event_id AS VARCHAR), 12, '0') AS item, CAST(levenshtein(CAST(user_id AS VARCHAR), '777') AS INT) AS d FROM events), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY event_type, until ORDER BY d, item) AS k FROM e WHERE until < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) "
+    "SELECT event_type, CAST(until AS VARCHAR) AS until, string_agg(item, ',' ORDER BY k) AS items, string_agg(CAST(d AS VARCHAR), ',' ORDER BY k) AS scores FROM r WHERE k <= 3 GROUP BY 1, 2",
     "q_settings": f"SELECT q, t, d AS distance, d AS stated, d AS unbounded, true AS no_starts, 0 AS start, CASE WHEN d <= 6 THEN d ELSE -1 END AS within_6, CASE WHEN d <= 7 THEN d ELSE -1 END AS within_7 FROM (SELECT q, t, CAST(levenshtein(q, t) AS INT) AS d FROM {_P})",
     "q_nbest": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 10",
     "q_nbest_bounded": f"SELECT query_idx, score FROM ({_SCORES}) ORDER BY score, query_idx LIMIT 25",

@@ -317,3 +317,26 @@ def test_join_under_equalities(spark, monkeypatch, relation, k):
     equal = lambda x, y: x == y or y in near.get(x, ())
     far = lambda x, y: dp.table(x, y, "NW", equal)[-1][-1]
     assert got == sorted((i, j, far(x, y)) for i, x in enumerate(texts[:25]) for j, y in enumerate(texts[15:]) if far(x, y) <= k)
+
+
+def test_best_of_windows_on_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from seqspark.streaming.align import n_best_window_stream
+
+    at = lambda h, m=0: datetime(2024, 1, 1 + h // 24, h % 24, m)
+    schema = "k string, at timestamp, s int, i string"
+    lots = [[("a", at(1), 5, "p"), ("a", at(2), 3, "q"), ("a", at(3), 3, "o"), ("b", at(4), 1, "r"), ("b", at(4), -1, "bad"), ("b", at(5), None, "bad"), (None, at(5), 1, "bad")], [("a", at(20), 1, "s"), ("a", at(30), 9, "t")], [("b", at(60), 2, "u"), ("a", at(2), 0, "late")]]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n, lot in enumerate(lots):  # state goes from one run to the next
+            spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            best = n_best_window_stream(stream, "k", "at", "s", "i", 2, "1 day", "1 hour")
+            best.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = {(r.k, r.until.day, tuple(r["items"]), tuple(r.scores)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 2, ("s", "o"), (1, 3)), ("b", 2, ("r",), (1,)), ("a", 3, ("t",), (9,))}
