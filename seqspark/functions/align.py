@@ -264,7 +264,8 @@ def edit_distance(query, target, mode: str = "NW", k: int = -1, equalities=(), n
 
     Global distances of strings under plain equality are computed where that is cheaper, row
     by row: in the JVM (levenshtein), or, for pairs with a text of LONG_TEXT characters or more, in the
-    Arrow kernel, which keeps to a band; the kernel sees nulls for the others. native=True keeps all
+    Arrow kernel, which keeps to a band; the kernel sees nulls for the others. Below a bound of LONG_TEXT
+    levenshtein keeps to a band itself, so all stay in the JVM. native=True keeps all
     in the JVM, native=False sends all to the kernel, which also takes other modes, equalities,
     binaries and arrays. with_distance() splits a table into two plans instead."""
     config = AlignConfig(k=k, mode=mode, equalities=tuple(equalities))
@@ -281,7 +282,7 @@ def edit_distance(query, target, mode: str = "NW", k: int = -1, equalities=(), n
         # an empty side is exempt from the bound; lengths too far apart need no table
         gap = F.abs(F.length(q) - F.length(t))
         short = F.when((F.length(q) == 0) | (F.length(t) == 0), F.greatest(F.length(q), F.length(t))).when(gap > config.k, -1).otherwise(F.levenshtein(q, t, config.k))
-    if native:
+    if native or 0 <= config.k < LONG_TEXT:
         return short
     long = F.greatest(F.length(q), F.length(t)) >= LONG_TEXT
     return F.when(long, kernel_of(F.when(long, q).cast("string"), F.when(long, t).cast("string"))).otherwise(short)

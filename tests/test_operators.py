@@ -268,7 +268,7 @@ def test_default_distance_of_long_texts(spark):
     word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
     rows = [(word(n), word(n + rng.randrange(9))) for n in (1, 20, 127, 128, 300)] + [("", word(200)), (word(200), ""), (None, word(200)), ("A", None)]
     df = spark.createDataFrame(rows, "q string, t string")
-    for k in (-1, 90):
+    for k in (-1, 90, 150):
         a, b = (df.select(edit_distance("q", "t", k=k, native=n).alias("d")).collect() for n in (None, True))
         assert a == b
 
