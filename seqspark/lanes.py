@@ -243,7 +243,7 @@ def distances(q: np.ndarray, q_at: np.ndarray, t: np.ndarray, t_at: np.ndarray,
             continue
         # bands of growing width, the first as wide as the lots before would have had it
         left, band = lot, guess if k < 0 else min(guess, max(k, 1))
-        while len(left) and 2 * band < 64 * (w - 2):
+        while len(left) and band < 64 * (w - 2):
             far = np.abs(t_size[left] - q_size[left]) > band
             own = left[~far]
             d = sweep(own, band) if len(own) else np.zeros(0, np.int32)
@@ -271,8 +271,8 @@ def _sweep(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode, bound):
 
     The words of all lanes go forward together, each a column behind the one above it, so that
     a step is one numpy operation on (words x lanes) and no word waits for another's carry.
-    Columns go by in tiles. Before a tile the blocks in use are chosen. NW: those within
-    `bound` of the diagonal; what lies above is taken for growing by one a column, what lies
+    Columns go by in tiles. Before a tile the blocks in use are chosen. NW: those that
+    a path of cost `bound` can pass; what lies above is taken for growing by one a column, what lies
     below for one more than its neighbour: a result up to the bound is right, a larger one
     only tells that the distance is larger. SHW, HW: those from the first one to the last that
     can still lead to a score of the least one found so far, or the bound, in any lane."""
@@ -300,13 +300,15 @@ def _sweep(q, q_at, q_size, t, t_at, t_size, words, n_codes, same, mode, bound):
     buffers = [np.empty(width, np.uint64) for _ in range(4)]
     index = np.empty(width, np.int64)
     banded = mode == "NW" and bound >= 0
+    # a path that is e off the diagonal has cost e and must come back to the gap of the lengths
+    up, down = (int((bound + sign * (t_size - q_size)).max()) // 2 for sign in (1, -1))
     tile = TILE if banded else BOUNDED_TILE if mode != "NW" and words > 2 else steps
     need = 1 + (int(limit.max()) + tile) // 64 if mode != "NW" and words > 2 else words
     for a in range(0, steps, tile):
         b = min(steps, a + tile)
         if banded:
-            low = max(low, max(0, a - bound) // 64)
-            need = -(-(b + bound) // 64)
+            low = max(low, max(0, a - up) // 64)
+            need = -(-(b + down) // 64)
         need = min(words, max(need, low + 1))
         if need > high:  # new words: each row one more than that above
             plus[high * n : need * n], minus[high * n : need * n] = _ALL, 0
