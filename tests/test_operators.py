@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from seqspark import kernel
 from seqspark.config import CASE_INSENSITIVE, IUPAC, AlignConfig
 from seqspark.functions.align import align, alphabet_length, cigar, edit_distance, nice_alignment, path_check, pretty_alignment, with_distance
 from seqspark.functions.table import locations, register
-from seqspark.operators.join import containment_join, distance_join
+from seqspark.operators.join import _within_one, containment_join, distance_join
 from seqspark.operators.search import align_fasta, n_best, n_best_cli
 from seqspark.sources.fasta import read_fasta, sequence_stats, write_scores
 from seqspark.streaming.align import align_stream, n_best_stream
@@ -340,3 +341,23 @@ def test_best_of_windows_on_a_stream(spark, tmp_path):
         spark.conf.set(key, before)
     got = {(r.k, r.until.day, tuple(r["items"]), tuple(r.scores)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 2, ("s", "o"), (1, 3)), ("b", 2, ("r",), (1,)), ("a", 3, ("t",), (9,))}
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_join_broadcasts_no_side_by_its_estimated_size(spark, tmp_path, k, how):
+    # what a small file holds may be exploded into more than the driver can
+    spark.range(50).selectExpr("id", "'text ' || id as t").write.parquet(str(tmp_path / "t"))
+    a = spark.read.parquet(str(tmp_path / "t"))
+    plan = distance_join(a, a.toDF("other", "u"), "t", "u", k, how=how)._jdf.queryExecution().executedPlan().toString()
+    builds = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    # but the few frequent pieces, one in PIECE_ROWS rows at most
+    assert len(builds) <= (1 if k else 0)
+
+
+def test_pairs_within_one_edit_meet_once(spark):
+    texts = ["".join(t) for n in range(5) for t in itertools.product("ab", repeat=n)] + ["héllo", "hélo", "hello", "\U0001f600a"]
+    a = spark.createDataFrame([(t,) for t in texts], "a string").distinct()
+    got = _within_one(a, a.toDF("b")).collect()
+    expected = {(x, y) for x in texts for y in texts if dp.table(x, y, "NW")[-1][-1] <= 1}
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
