@@ -361,3 +361,31 @@ def test_pairs_within_one_edit_meet_once(spark):
     got = _within_one(a, a.toDF("b")).collect()
     expected = {(x, y) for x in texts for y in texts if dp.table(x, y, "NW")[-1][-1] <= 1}
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_all_distances_with_equal_sequences_and_nulls(spark):
+    from seqspark.operators import search
+
+    rng = random.Random(11)
+    own = [[rng.choice([7, 9, None]) for _ in range(rng.randrange(4))] for _ in range(12)] + [None, [], [9]]
+    rows = [((i, None if i % 5 == 0 else f"w{i}"), own[i % len(own)]) for i in range(45)]  # each sequence three times
+    df = spark.createDataFrame(rows, "id struct<n:int,w:string>, s array<int>")
+    out = search.all_distances(df.where("id.n % 4 = 0"), df.toDF("other", "t"), "id", "s", "other", "t")
+    got = {(r[0].n, r[0].w, r[1].n, r[1].w): r[2] for r in out.collect()}
+    want = {(*a, *b): None if x is None or y is None else dp.table(x, y, "NW")[-1][-1] for a, x in rows if a[0] % 4 == 0 for b, y in rows}
+    assert got == want and out.count() == len(want)
+
+
+def test_array_symbols_compares_distinct_weeks(spark, tmp_path):
+    from seqspark.plans.queries import q_array_symbols
+
+    # 40 users of one and the same week
+    spark.range(80).selectExpr("id AS event_id", "timestamp'2024-01-02 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 40 AS user_id", "if(id < 40, 'view', 'click') AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    out = q_array_symbols(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 2 * 39 and {(r.week, r.other_week, r.distance) for r in rows} == {("2024-01-01", "2024-01-01", 0)}
+    # two distinct sides meet in the product, not all weeks
+    # what meets in the product is grouped by its sequence before
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan[plan.index("CartesianProduct") :].count("functions=[min(") >= 2
