@@ -389,3 +389,17 @@ def test_array_symbols_compares_distinct_weeks(spark, tmp_path):
     # what meets in the product is grouped by its sequence before
     assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
     assert plan[plan.index("CartesianProduct") :].count("functions=[min(") >= 2
+
+
+def test_all_distances_shuffles_no_pairs(spark, monkeypatch):
+    from seqspark.operators import search
+
+    monkeypatch.setattr(search, "MEMBERS", 4, raising=False)  # 30 ids of a sequence come in parts
+    df = spark.range(90).selectExpr("id", "array(int(id % 3), 1) as s")
+    out = search.all_distances(df.where("id % 5 = 0"), df.toDF("other", "t"), "id", "s", "other", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert {(r.id, r.other): r.distance for r in rows} == {(i, j): int(i % 3 != j % 3) for i in range(0, 90, 5) for j in range(90)} and len(rows) == 18 * 90
+    # what follows the product is given out where it is compared
+    above = plan[: plan.index("CartesianProduct")]
+    assert "Exchange" not in above and "Join" not in above
