@@ -403,3 +403,18 @@ def test_all_distances_shuffles_no_pairs(spark, monkeypatch):
     # what follows the product is given out where it is compared
     above = plan[: plan.index("CartesianProduct")]
     assert "Exchange" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_join_loses_no_pair_of_other_types(spark, k):
+    pairs = lambda rows: {(i, j, d) for i, x in enumerate(rows) for j, y in enumerate(rows) if (d := dp.table(x, y, "NW")[-1][-1]) <= k}
+    numbers = [7, 27, 270, 2670, 21, 212, -21]
+    binaries = [b"", b"aa", b"\xc8a", b"\xc8\x00a", b"\xc8\xc8\xffa"]
+    collated = ["abc", "ABC", "abd", "x", "X"]
+    for rows, kind, texts in ((numbers, "long", list(map(str, numbers))), (binaries, "binary", binaries), (collated, "string collate UTF8_LCASE", collated)):
+        df = spark.createDataFrame(list(enumerate(rows)), f"i int, t {kind}")
+        got = distance_join(df, df.toDF("j", "u"), "t", "u", k)
+        assert got.schema["t"].dataType == got.schema["u"].dataType == df.schema["t"].dataType
+        assert {(r.i, r.j, r.distance) for r in got.collect()} == pairs(texts)
+        near = {r.i for r in distance_join(df, df.where("i = 1").toDF("j", "u"), "t", "u", k, how="left_semi").collect()}
+        assert near == {i for i, j, _ in pairs(texts) if j == 1}
